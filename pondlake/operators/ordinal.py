@@ -48,34 +48,34 @@ def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = (df.repartitionByRange(n, *sort_cols)
                 .sortWithinPartitions(*sort_cols)
-                .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = (ranged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
-                    .withColumn("_local", F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1))
-                    .drop("_mid"))
+                .withColumn("__mid", F.monotonically_increasing_id()))
+    ranged = (ranged.withColumn("__pid", F.shiftright("__mid", _LOCAL_BITS))
+                    .withColumn("__local", F.col("__mid").bitwiseAND((1 << _LOCAL_BITS) - 1))
+                    .drop("__mid"))
     # One materialisation feeds both the run table and the rows: two separately
     # planned range exchanges would sample different bounds (the sampler is
     # seeded by RDD id) and the partition ids would no longer agree.
     ranged = cut_lineage(ranged)
 
-    gkeys = [f"_g{i}" for i in range(len(group_cols))]
-    runs = (ranged.groupBy("_pid", *group_cols)
-                  .agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
-                  .select(F.col("_pid").alias("_rpid"),
+    gkeys = [f"__g{i}" for i in range(len(group_cols))]
+    runs = (ranged.groupBy("__pid", *group_cols)
+                  .agg(F.min("__local").alias("__run_first"), F.count(F.lit(1)).alias("__run_n"))
+                  .select(F.col("__pid").alias("__rpid"),
                           *[F.col(g).alias(k) for g, k in zip(group_cols, gkeys)],
-                          "_first", "_n"))
-    before = Window.partitionBy(*gkeys).orderBy("_rpid").rowsBetween(
+                          "__run_first", "__run_n"))
+    before = Window.partitionBy(*gkeys).orderBy("__rpid").rowsBetween(
         Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    runs = runs.withColumn("__run_offset", F.coalesce(F.sum("__run_n").over(before), F.lit(0)))
     if count_col:
-        runs = runs.withColumn(count_col, F.sum("_n").over(Window.partitionBy(*gkeys)))
-    runs = runs.drop("_n")
+        runs = runs.withColumn(count_col, F.sum("__run_n").over(Window.partitionBy(*gkeys)))
+    runs = runs.drop("__run_n")
 
-    cond = [F.col("_pid") == F.col("_rpid")] + [
+    cond = [F.col("__pid") == F.col("__rpid")] + [
         F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group_cols, gkeys)]
-    keep = [F.col(c) for c in ranged.columns if c not in ("_pid", "_local")]
+    keep = [F.col(c) for c in ranged.columns if c not in ("__pid", "__local")]
     extra = [F.col(count_col)] if count_col else []
     out = ranged.join(runs, cond, "inner").select(
-        *keep, (F.col("_offset") + F.col("_local") - F.col("_first")).alias(pos_col), *extra)
+        *keep, (F.col("__run_offset") + F.col("__local") - F.col("__run_first")).alias(pos_col), *extra)
     return out
 
 
