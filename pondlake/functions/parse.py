@@ -42,8 +42,8 @@ def pond_id_from_name(name: Column) -> Column:
             .otherwise(digits.cast("int"))
 
 
-def _fail(col: str, raw: Column, what: str) -> Column:
-    return F.raise_error(F.concat(F.lit(f"cannot {what} {col}: "), raw.cast("string")))
+def _fail(message: str, raw: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(message + ": "), raw.cast("string")))
 
 
 def strict_value(col: str, dtype: str) -> Column:
@@ -53,9 +53,9 @@ def strict_value(col: str, dtype: str) -> Column:
     if dtype.lower() in _INTEGRAL:
         d = raw.try_cast("double")
         bad = raw.isNotNull() & (d.isNull() | (d != F.floor(d)))
-        return F.when(bad, _fail(col, raw, f"cast to {dtype}")).otherwise(d.cast(dtype))
+        return F.when(bad, _fail(f"cannot cast {col} to {dtype}", raw)).otherwise(d.cast(dtype))
     v = raw.try_cast(dtype)
-    return F.when(raw.isNotNull() & v.isNull(), _fail(col, raw, f"cast to {dtype}")).otherwise(v)
+    return F.when(raw.isNotNull() & v.isNull(), _fail(f"cannot cast {col} to {dtype}", raw)).otherwise(v)
 
 
 def strict_cast(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
@@ -68,7 +68,7 @@ def strict_ts(col: str, fmt: str = DAY_FIRST_FORMAT) -> Column:
     """SRC-7: parse text to a timestamp (without zone); bad text fails."""
     raw = F.col(q(col))
     v = F.try_to_timestamp(raw, F.lit(fmt)).cast("timestamp_ntz")
-    return F.when(raw.isNotNull() & v.isNull(), _fail(col, raw, "parse time")).otherwise(v)
+    return F.when(raw.isNotNull() & v.isNull(), _fail(f"cannot parse time {col}", raw)).otherwise(v)
 
 
 def lenient_ts_value(col: str, formats: Sequence[str] = (DAY_FIRST_FORMAT,)) -> Column:

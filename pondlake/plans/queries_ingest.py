@@ -208,7 +208,7 @@ def q_scan_all(spark, sf):
 @register("union_ponds", "WITH " + E + "\nSELECT * FROM readings")
 def q_union_ponds(spark, sf):
     r = events_readings(spark, sf)
-    ponds = ["click", "view", "purchase", "error", "login"]
+    ponds = ["click", "view", "purchase", "error", "signup"]
     parts = [r.filter(F.col("pond_id") == p) for p in ponds]
     rest = r.filter(~F.col("pond_id").isin(ponds) | F.col("pond_id").isNull())
     return T.union_ponds(parts + [rest])
