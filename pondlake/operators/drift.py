@@ -10,17 +10,18 @@ PSI definition (ours; the reference delegates it to a library):
   * ``PSI = sum((ref - cur) * ln(ref / cur))`` over bins;
   * an empty half gives null PSI and status ``INSUFFICIENT``.
 
-The whole computation is aggregates: per-(pond, column) stats joined back on
-their key, then one grouped count per (pond, column, bin).  Every aggregate
-combines map-side, so a pond with most of the rows costs one partial row per
-task, not one task.
+The monitor's halves hold at most ``report_range`` rows per pond and arrive
+hash-partitioned by pond, so each column's range is a window aggregate per
+pond (no join, no extra shuffle); for unbounded halves the range is a grouped
+aggregate joined back on its key.  The bin counts and the PSI sum are grouped
+aggregates that combine map-side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pondlake.operators.series import POND, drift_halves
@@ -31,21 +32,55 @@ SHARE_FLOOR = 1e-4
 ROUND = 9
 
 
-def psi(halves: DataFrame, columns: Sequence[str], half_col: str = "half") -> DataFrame:
-    """DRF-1: ``(pond_id, column_name, n_current, n_reference, bins, psi)``."""
+def _stats_by_window(halves: DataFrame, columns: Sequence[str], is_cur, is_ref) -> DataFrame:
+    """Per-(pond, column) stats as window aggregates over each pond's rows, in
+    the wide form, then one unpivot.  Used when every pond holds a bounded
+    number of rows (the newest-N halves): the input is already hash-partitioned
+    and sorted by pond there, so this adds no shuffle and no join."""
+    w = Window.partitionBy(POND)
+    stats, rows = [], []
+    for i, c in enumerate(columns):
+        x = F.col(f"`{c}`").cast("double")
+        stats += [x.alias(f"_x{i}"), F.min(x).over(w).alias(f"_mn{i}"), F.max(x).over(w).alias(f"_mx{i}"),
+                  F.count(F.when(is_cur, x)).over(w).alias(f"_nc{i}"),
+                  F.count(F.when(is_ref, x)).over(w).alias(f"_nr{i}")]
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.col(f"_x{i}").alias("x"),
+                             F.col(f"_mn{i}").alias("mn"), F.col(f"_mx{i}").alias("mx"),
+                             F.col(f"_nc{i}").alias("n_current"), F.col(f"_nr{i}").alias("n_reference")))
+    wide = halves.select(POND, "half", *stats)
+    long = wide.select(POND, "half", F.inline(F.array(*rows)))
+    return long.withColumn("n", F.col("n_current") + F.col("n_reference"))
+
+
+def _stats_by_join(halves: DataFrame, columns: Sequence[str], is_cur, is_ref) -> DataFrame:
+    """The same stats as a grouped aggregate joined back on (pond, column):
+    skew-safe for halves of any size (AQE broadcasts the stats only when their
+    measured size allows)."""
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                              F.col(f"`{c}`").cast("double").alias("x"))
-                     for c in columns])
-    long = halves.select(POND, F.col(half_col).alias("half"), F.inline(rows))
-    is_cur = F.col("half") == "current"
-    is_ref = F.col("half") == "reference"
+                              F.col(f"`{c}`").cast("double").alias("x")) for c in columns])
+    long = halves.select(POND, "half", F.inline(rows))
     stats = long.groupBy(POND, "column_name").agg(
-        F.min("x").alias("mn"), F.max("x").alias("mx"), F.count("x").alias("n"),
+        F.min("x").alias("mn"), F.max("x").alias("mx"),
         F.count(F.when(is_cur, F.col("x"))).alias("n_current"),
         F.count(F.when(is_ref, F.col("x"))).alias("n_reference"))
-    stats = stats.withColumn("bins", F.when(F.col("n") > 0, F.ceil(F.log2("n") + 1)))
+    stats = stats.withColumn("n", F.col("n_current") + F.col("n_reference"))
+    return long.join(stats, [POND, "column_name"])
+
+
+def psi(halves: DataFrame, columns: Sequence[str], half_col: str = "half",
+        bounded: bool = True) -> DataFrame:
+    """DRF-1: ``(pond_id, column_name, n_current, n_reference, bins, psi)``.
+
+    ``bounded=True`` (the monitor's newest-N halves) computes the range of each
+    column with a window per pond; ``False`` uses an aggregate and a join, for
+    halves whose ponds may be arbitrarily large."""
+    halves = halves.withColumnRenamed(half_col, "half") if half_col != "half" else halves
+    is_cur = F.col("half") == "current"
+    is_ref = F.col("half") == "reference"
+    long = (_stats_by_window if bounded else _stats_by_join)(halves, columns, is_cur, is_ref)
+    long = long.withColumn("bins", F.when(F.col("n") > 0, F.ceil(F.log2("n") + 1)))
     scaled = (F.col("x") - F.col("mn")) / (F.col("mx") - F.col("mn")) * F.col("bins")
-    binned = long.join(stats, [POND, "column_name"]).select(
+    binned = long.select(
         POND, "column_name", "half", "n_current", "n_reference", "bins",
         F.when(F.col("x").isNull(), F.lit(None))
          .when(F.col("mx") > F.col("mn"), F.least(F.floor(scaled), F.col("bins") - 1))

@@ -395,6 +395,12 @@ def tune(train: DataFrame, stages: list, model_name: str, space: Mapping, n_iter
     return fitted.bestModel, draws[best] if draws else {}, list(zip(draws, fitted.avgMetrics))
 
 
+def evaluate(model, test: DataFrame, label: str = "label") -> float:
+    """ML-15: balanced accuracy of ``model`` on the held-out rows."""
+    v = balanced_accuracy(model.transform(test), label).first()[0]
+    return float(v) if v is not None else float("nan")
+
+
 def train_table(df: DataFrame, label: str, id_col: str, model_name: str, space: Mapping,
                 encoding: str = "none", scaling: bool = False, n_iter: int = SEARCH_TRIALS,
                 folds: int = CV_SPLITS, seed: int = RANDOM_STATE, test_size: float = TEST_SIZE,
@@ -413,5 +419,4 @@ def train_table(df: DataFrame, label: str, id_col: str, model_name: str, space:
     stages = preprocessor(train, encoding, scaling, exclude=[id_col])
     model, params, _ = tune(train, stages, model_name, space, n_iter, folds, seed,
                             parallelism=parallelism)
-    score = balanced_accuracy(model.transform(test)).first()[0]
-    return model, params, score
+    return model, params, evaluate(model, test)

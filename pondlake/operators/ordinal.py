@@ -33,6 +33,17 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _range_partitions(df: DataFrame) -> int:
+    """At least the shuffle-partition setting, and at least as many partitions
+    as the input has (the input split count grows with the data, so range
+    partitions keep roughly the input's partition size)."""
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        return max(conf, df.rdd.getNumPartitions())
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session)
+        return conf
+
+
 def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
                   pos_col: str = "pos", count_col: str | None = None,
                   num_partitions: int | None = None) -> DataFrame:
@@ -45,7 +56,7 @@ def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     """
     group_cols = list(group_cols)
     sort_cols = _as_cols(group_cols) + _as_cols(order_cols)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = num_partitions or _range_partitions(df)
     ranged = (df.repartitionByRange(n, *sort_cols)
                 .sortWithinPartitions(*sort_cols)
                 .withColumn("__mid", F.monotonically_increasing_id()))

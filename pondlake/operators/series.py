@@ -5,12 +5,13 @@ A readings frame has ``pond_id``, ``created_at``, ``entry_id`` and sensor
 columns.  Time order inside a pond is ``(created_at, entry_id)``; the second key
 makes it total.  Nothing here uses a window partitioned by pond alone over the
 whole table: positions come from ``ordinal.with_position`` and per-pond top-N
-is a salted two-level limit, so one pond holding most rows is still split
+is a two-level limit tree salted by map task, so one pond holding most rows is still split
 across tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,19 +67,27 @@ def newest_n(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(*_newest_first()).limit(n)
 
 
+def _input_partitions(df: DataFrame) -> int:
+    try:
+        return max(1, df.rdd.getNumPartitions())
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session)
+        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def newest_n_per_pond(df: DataFrame, n: int, salt_buckets: int | None = None,
                       rn_col: str = "rn") -> DataFrame:
     """SRT-3: the newest ``n`` rows of every pond, ``rn`` = 1 for the newest.
 
-    Two-level top-N: first per ``(pond, salt)`` with a deterministic hash salt,
-    then per pond over at most ``salt_buckets * n`` survivors.  Both levels plan
-    as ``WindowGroupLimit`` (partial limit before each shuffle), so a pond with
-    a third of all rows never sends more than ``salt_buckets * n`` rows to the
-    one task that finishes it.
+    A two-level top-N tree.  Each map task first keeps its own newest ``n``
+    rows per pond (the partial ``WindowGroupLimit`` before the shuffle); the
+    salt is the map task's partition id modulo ``S``, so level one merges the
+    survivors of ``M/S`` tasks per (pond, salt) and level two at most ``S * n``
+    rows per pond.  With ``S ~ sqrt(M)`` neither level receives more than
+    about ``sqrt(M) * n`` rows of one pond, however large that pond is.
     """
     if salt_buckets is None:
-        salt_buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64("entry_id", "created_at"), F.lit(salt_buckets)))
+        salt_buckets = math.isqrt(_input_partitions(df) - 1) + 1
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salt_buckets)))
     first = (salted.withColumn("_rn0", F.row_number().over(
                 Window.partitionBy(POND, "_salt").orderBy(*_newest_first())))
                    .filter(F.col("_rn0") <= n).drop("_rn0", "_salt"))

@@ -212,3 +212,36 @@ def q_union_ponds(spark, sf):
     parts = [r.filter(F.col("pond_id") == p) for p in ponds]
     rest = r.filter(~F.col("pond_id").isin(ponds) | F.col("pond_id").isNull())
     return T.union_ponds(parts + [rest])
+
+
+@register("newest_n_dirty", "WITH " + X + f"""
+SELECT * FROM (SELECT pond_id, try_strptime(created_at, '{_FMT}') AS created_at,
+                      try_cast(entry_id AS BIGINT) AS entry_id, event_id FROM x)
+ORDER BY created_at DESC NULLS FIRST, entry_id DESC NULLS LAST, event_id DESC LIMIT 400""")
+def q_newest_n_dirty(spark, sf):
+    """SRT-2 on X: unparseable times are null and come first under DESC, as
+    the database orders them; the cut is at 400 rows, past every null."""
+    from pondlake.operators.series import newest_n
+    df = P.lenient_ts(dirty_readings(spark, sf), "created_at").select(
+        "pond_id", "created_at", F.col("entry_id").try_cast("bigint").alias("entry_id"), "event_id")
+    return newest_n(df, 400)
+
+
+@register("range_profile_dirty", "WITH " + X + f""",
+typed AS ({LENIENT_NUM}),
+banded AS (
+  SELECT pond_id, 'value' AS sensor,
+         CASE WHEN value IS NULL THEN 'null' WHEN abs(value - 50.0) <= 50.0 THEN 'normal'
+              WHEN abs(value - 50.0) <= 100.0 THEN 'outlier' ELSE 'out_of_range' END AS band
+  FROM typed
+  UNION ALL
+  SELECT pond_id, 'k',
+         CASE WHEN k IS NULL THEN 'null' WHEN abs(k - 50.0) <= 25.0 THEN 'normal'
+              WHEN abs(k - 50.0) <= 50.0 THEN 'outlier' ELSE 'out_of_range' END
+  FROM typed)
+SELECT pond_id, sensor, band, count(*) AS n FROM banded GROUP BY pond_id, sensor, band""")
+def q_range_profile_dirty(spark, sf):
+    """AGG-4 on X: missing and unparseable readings fall in the null band."""
+    from pondlake.fixtures import E_RANGES
+    from pondlake.operators.crosspond import range_profile
+    return range_profile(P.lenient_numeric(dirty_readings(spark, sf), E_SENSORS), E_SENSORS, E_RANGES)
