@@ -53,9 +53,10 @@ def aggregate_overview(df: DataFrame, base_pond, sensors: Sequence[str], tick: i
     return cross_pond_stats(align_ponds(df, base_pond, sensors, tick, size, horizon))
 
 
-def class_counts(df: DataFrame, label: str, count_col: str = "n") -> DataFrame:
-    """AGG-3: rows per class (partial aggregation, skew-safe)."""
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias(count_col))
+def class_counts(df: DataFrame, label: str | Sequence[str], count_col: str = "n") -> DataFrame:
+    """AGG-3: rows per class, or per any key list (partial aggregation, skew-safe)."""
+    keys = [label] if isinstance(label, str) else list(label)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
 
 
 def band_expr(x, avg, delta):

@@ -180,19 +180,39 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return mid.groupBy("column_name").agg(F.avg("x").alias("median"))
 
 
-class MedianImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable,
+def approx_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10000) -> DataFrame:
+    """Approximate medians from mergeable quantile sketches (one map-side
+    combined aggregate, no sort): rank error about ``n / accuracy``."""
+    return df.select(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c)
+                       for c in cols]).select(F.inline(F.array(*[
+                           F.struct(F.lit(c).alias("column_name"), F.col(c).alias("median"))
+                           for c in cols])))
+
+
+class _HasAccuracy(Params):
+    accuracy = Param(Params._dummy(), "accuracy",
+                     "0 for exact medians (distributed ranking), else the sketch accuracy",
+                     typeConverter=TypeConverters.toInt)
+
+
+class MedianImputer(Estimator, HasInputCols, HasOutputCols, _HasAccuracy, DefaultParamsReadable,
                     DefaultParamsWritable):
-    """ML-8: fill missing values with the exact training median per column
-    (MLlib trees reject NaN; the reference left nulls to the trees)."""
+    """ML-8: fill missing values with the training median per column (MLlib
+    trees reject NaN; the reference left nulls to the trees).  ``accuracy=0``
+    (default) ranks the values exactly; a positive accuracy uses quantile
+    sketches instead, which avoids a full sort on very large training sets."""
 
     @keyword_only
-    def __init__(self, inputCols=None, outputCols=None):
+    def __init__(self, inputCols=None, outputCols=None, accuracy=0):
         super().__init__()
+        self._setDefault(accuracy=0)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "MedianImputerModel":
         cols = self.getInputCols()
-        found = {r.column_name: r.median for r in exact_medians(dataset, cols).collect()}
+        acc = self.getOrDefault(self.accuracy)
+        medians = exact_medians(dataset, cols) if acc <= 0 else approx_medians(dataset, cols, acc)
+        found = {r.column_name: r.median for r in medians.collect()}
         return MedianImputerModel(inputCols=cols, outputCols=self.getOutputCols(),
                                   values=[float(found.get(c) or 0.0) for c in cols])
 

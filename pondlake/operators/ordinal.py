@@ -34,14 +34,10 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
 
 
 def _range_partitions(df: DataFrame) -> int:
-    """At least the shuffle-partition setting, and at least as many partitions
-    as the input has (the input split count grows with the data, so range
-    partitions keep roughly the input's partition size)."""
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        return max(conf, df.rdd.getNumPartitions())
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session)
-        return conf
+    """The session's shuffle-partition count: on a cluster it is sized for the
+    data (partitions that fit executor memory), like every other shuffle.
+    (Asking the plan for its partition count would make AQE run its stages.)"""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],

@@ -11,7 +11,6 @@ across tasks.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,13 +66,6 @@ def newest_n(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(*_newest_first()).limit(n)
 
 
-def _input_partitions(df: DataFrame) -> int:
-    try:
-        return max(1, df.rdd.getNumPartitions())
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session)
-        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 def newest_n_per_pond(df: DataFrame, n: int, salt_buckets: int | None = None,
                       rn_col: str = "rn") -> DataFrame:
     """SRT-3: the newest ``n`` rows of every pond, ``rn`` = 1 for the newest.
@@ -82,11 +74,12 @@ def newest_n_per_pond(df: DataFrame, n: int, salt_buckets: int | None = None,
     rows per pond (the partial ``WindowGroupLimit`` before the shuffle); the
     salt is the map task's partition id modulo ``S``, so level one merges the
     survivors of ``M/S`` tasks per (pond, salt) and level two at most ``S * n``
-    rows per pond.  With ``S ~ sqrt(M)`` neither level receives more than
-    about ``sqrt(M) * n`` rows of one pond, however large that pond is.
+    rows per pond.  ``S`` defaults to the shuffle-partition count: level one
+    then receives ``M/S * n`` rows per (pond, salt) and level two ``S * n``
+    rows per pond, both independent of how large the pond is.
     """
     if salt_buckets is None:
-        salt_buckets = math.isqrt(_input_partitions(df) - 1) + 1
+        salt_buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salt_buckets)))
     first = (salted.withColumn("_rn0", F.row_number().over(
                 Window.partitionBy(POND, "_salt").orderBy(*_newest_first())))

@@ -52,3 +52,11 @@ def q_monitor(spark, sf):
 SELECT pond_id, value AS drift_share FROM report WHERE test_order = 0 AND status = 'FAIL'""")
 def q_retrain_list(spark, sf):
     return D.retrain_list(D.monitor(events_readings(spark, sf), COLS, N))
+
+
+@register("half_counts", "WITH " + e_halves(N) + """
+SELECT pond_id, half, count(*) AS n FROM halves GROUP BY pond_id, half""")
+def q_half_counts(spark, sf):
+    """AGG-3 for the monitor's halves: rows per pond and half."""
+    from pondlake.operators.crosspond import class_counts
+    return class_counts(drift_halves(events_readings(spark, sf), N), ["pond_id", "half"])

@@ -63,6 +63,14 @@ def test_scaler_and_imputer_fit_and_persist(spark, tmp_path):
     assert [r.a_s for r in again.transform(df).collect()] == [r.a_s for r in out]
 
 
+def test_approx_imputer_close_to_exact(spark):
+    df = spark.range(0, 1001).select((F.col("id") * 1.0).alias("a"))
+    exact = L.MedianImputer(inputCols=["a"], outputCols=["b"]).fit(df)
+    approx = L.MedianImputer(inputCols=["a"], outputCols=["b"], accuracy=1000).fit(df)
+    assert exact.getOrDefault(exact.values) == [500.0]
+    assert abs(approx.getOrDefault(approx.values)[0] - 500.0) <= 2.0
+
+
 def test_sample_space_is_seeded_and_in_range(spark):
     from pondlake.plans.queries_learn import FOREST_SPACE
     a = L.sample_space(FOREST_SPACE, 5, seed=42)
