@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pondlake.operators.series import (POND, TIME_ORDER, cursor_expr, row_position,
-                                       unpivot_sensors)
+from pondlake.operators.ordinal import rows_at_positions
+from pondlake.operators.series import POND, TIME_ORDER, cursor_expr, unpivot_sensors
 from pondlake.schema import FORECAST_HORIZON, WINDOW_SIZE
 
 
@@ -18,20 +18,21 @@ def align_ponds(df: DataFrame, base_pond, sensors: Sequence[str], tick: int,
     """JON-1: every pond's reading at the row positions of the base pond's
     window at ``tick``; the time axis is the base pond's.
 
-    Long form ``(pos, created_at, pond_id, sensor, reading)``.  The axis has
-    exactly ``size`` rows, so it is broadcast by construction; the other ponds
-    are only filtered to that position range, never shuffled to one task.  A
-    pond too short to reach a position has no row there (a gap, not an error).
+    Long form ``(pos, created_at, pond_id, sensor, reading)``.  Only the rows
+    at those ``size`` positions are selected from each pond (exact bracketed
+    selection, no sort of the whole table); the axis has exactly ``size`` rows,
+    so it is broadcast by construction.  A pond too short to reach a position
+    has no row there (a gap, not an error).
     """
     narrow = df.select(POND, *TIME_ORDER, *sensors)
-    every = row_position(narrow, count_col="n_rows")
-    base = (every.filter((F.col(POND) == F.lit(base_pond))
-                         & (F.col("n_rows") >= size + horizon))
-                 .withColumn("start", cursor_expr(F.col("n_rows"), tick, size, horizon)))
-    axis = (base.filter((F.col("pos") >= F.col("start"))
-                        & (F.col("pos") < F.col("start") + F.lit(size)))
-                .select("pos", F.col("created_at").alias("axis_time")))
-    aligned = every.join(F.broadcast(axis), "pos")
+    base_rows = narrow.filter(F.col(POND) == F.lit(base_pond)).select(F.count(F.lit(1))).scalar()
+    start = cursor_expr(base_rows, tick, size, horizon)
+    first = F.when(base_rows >= size + horizon, start)
+    picked = rows_at_positions(narrow, [POND], "created_at", ["entry_id"],
+                               lambda n_rows: (first, first + size))
+    axis = (picked.filter(F.col(POND) == F.lit(base_pond))
+                  .select("pos", F.col("created_at").alias("axis_time")))
+    aligned = picked.join(F.broadcast(axis), "pos")
     long = unpivot_sensors(aligned, sensors, ["pos", "axis_time", POND])
     return long.withColumnRenamed("axis_time", "created_at")
 

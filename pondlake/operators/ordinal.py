@@ -11,8 +11,9 @@ position is
 The range-sorted rows are checkpointed once into the shared checkpoint folder,
 so the run table and the rows see the same partitioning, and a lost executor
 re-reads them instead of re-sampling.  Run offsets come from a small table with one row per (partition, group) run —
-at most ``partitions + groups`` rows — which AQE broadcasts when its measured
-size allows and sort-merge joins otherwise.  Positions then turn ``lead`` /
+at most ``partitions + groups`` rows — which is materialised, counted and
+broadcast when the count is within ``BROADCAST_MAX_ROWS`` (joined by shuffle
+otherwise).  Positions then turn ``lead`` /
 ``lag`` into equi-joins on ``(g, pos)``, which hash-partition evenly however
 skewed ``g`` is.
 """
@@ -33,6 +34,17 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+BROADCAST_MAX_ROWS = 2_000_000  # a few narrow columns: tens of MB at most
+
+
+def broadcast_if_bounded(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``small`` only after counting it: ``small`` must already be
+    materialised (a checkpoint, or a filter of one), so the count is a cheap
+    bounded action.
+    Above ``max_rows`` it is joined by shuffle instead."""
+    return F.broadcast(small) if small.count() <= max_rows else small
+
+
 def _range_partitions(df: DataFrame) -> int:
     """The session's shuffle-partition count: on a cluster it is sized for the
     data (partitions that fit executor memory), like every other shuffle.
@@ -75,7 +87,7 @@ def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     runs = runs.withColumn("__run_offset", F.coalesce(F.sum("__run_n").over(before), F.lit(0)))
     if count_col:
         runs = runs.withColumn(count_col, F.sum("__run_n").over(Window.partitionBy(*gkeys)))
-    runs = runs.drop("__run_n")
+    runs = broadcast_if_bounded(cut_lineage(runs.drop("__run_n")))
 
     cond = [F.col("__pid") == F.col("__rpid")] + [
         F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group_cols, gkeys)]
@@ -102,3 +114,72 @@ def shifted(positioned: DataFrame, group_cols: Sequence[str], value_cols: Sequen
         *group_cols, (F.col(pos_col) - F.lit(offset)).alias(pos_col),
         *[F.col(v).alias(v + suffix) for v in value_cols])
     return positioned.join(partner, [*group_cols, pos_col], how)
+
+
+def rows_at_positions(df: DataFrame, group_cols: Sequence[str], time_col: str,
+                      tie_cols: Sequence[str], bounds, pos_col: str = "pos",
+                      count_col: str = "n_rows", grid: int = 1000,
+                      accuracy: int = 10000) -> DataFrame:
+    """Rows whose 0-based position in their group (order ``time_col`` then
+    ``tie_cols``, null times first) lies in ``[a, b)``, where
+    ``(a, b) = bounds(count column)`` per group (``a`` null: the group is
+    skipped).  Adds ``pos_col`` and ``count_col``.
+
+    Exact, without sorting the whole table: a map-side combined aggregate
+    gives each group's size and a grid of ``grid`` time quantiles (mergeable
+    sketches); the grid brackets the wanted positions by a few cells; a second
+    aggregate counts the rows before the bracket; only the bracket rows are
+    ranked (with ``with_position``).  A group whose bracket turns out not to
+    cover ``[a, b)`` (possible only if the sketch errs beyond its bound) is
+    re-done with full positions, so the result never depends on the sketch.
+    """
+    group_cols = list(group_cols)
+    t = F.col(time_col)
+    pct = [i / grid for i in range(1, grid)]
+    stats = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__L"),
+                                        F.percentile_approx(t, pct, accuracy).alias("__q"))
+    a, b = bounds(F.col("__L"))
+    stats = stats.select(*group_cols, "__L", a.alias("__a"), b.alias("__b"), "__q")
+    stats = stats.filter(F.col("__a").isNotNull())
+    i_lo = F.floor(F.col("__a") * grid / F.col("__L")) - 2
+    i_hi = F.ceil(F.col("__b") * grid / F.col("__L")) + 1
+    stats = stats.select(
+        *group_cols, "__L", "__a", "__b",
+        F.when(i_lo >= 0, F.element_at("__q", (F.least(i_lo, F.lit(grid - 2)) + 1).cast("int")))
+         .alias("__lo"),
+        F.when(i_hi <= grid - 2, F.element_at("__q", (i_hi + 1).cast("int"))).alias("__hi"))
+    # one small row per group; materialised so the sketch is computed once
+    stats = broadcast_if_bounded(cut_lineage(stats))
+
+    tagged = df.join(stats, group_cols)
+    below = t.isNull() | (F.col("__lo").isNotNull() & (t < F.col("__lo")))
+    inside = (t.isNotNull() & (F.col("__lo").isNull() | (t >= F.col("__lo")))
+              & (F.col("__hi").isNull() | (t <= F.col("__hi"))))
+    # the per-group plan: sizes, bounds, rows before and inside the bracket;
+    # one row per group, materialised once for both uses below
+    plan = cut_lineage(tagged.groupBy(*group_cols, "__L", "__a", "__b").agg(
+        F.count(F.when(below, 1)).alias("__before"),
+        F.count(F.when(inside, 1)).alias("__inside")))
+    covered = (F.col("__before") <= F.col("__a")) & \
+              (F.col("__before") + F.col("__inside") >= F.col("__b"))
+    ok = broadcast_if_bounded(
+        plan.filter(covered).select(*group_cols, "__before", "__a", "__b", "__L"))
+    cols = [c for c in df.columns]
+
+    bracket = tagged.filter(inside).select(*cols).join(ok.select(*group_cols), group_cols, "left_semi")
+    ranked = with_position(bracket, group_cols, [time_col, *tie_cols], pos_col="__bpos")
+    picked = (ranked.join(ok, group_cols)
+                    .withColumn(pos_col, F.col("__before") + F.col("__bpos"))
+                    .filter((F.col(pos_col) >= F.col("__a")) & (F.col(pos_col) < F.col("__b")))
+                    .select(*cols, pos_col, F.col("__L").alias(count_col)))
+
+    missed = plan.filter(~covered).select(*group_cols, "__a", "__b")
+    if missed.limit(1).count() == 0:       # bounded check: one row at most
+        return picked
+    redo = df.join(missed.select(*group_cols), group_cols, "left_semi")
+    full = (with_position(redo, group_cols, [F.col(time_col).asc_nulls_first(), *tie_cols],
+                          pos_col=pos_col, count_col=count_col)
+            .join(missed, group_cols)
+            .filter((F.col(pos_col) >= F.col("__a")) & (F.col(pos_col) < F.col("__b")))
+            .select(*cols, pos_col, count_col))
+    return picked.unionByName(full)

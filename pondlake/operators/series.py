@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pondlake.operators.ordinal import shifted, with_position
+from pondlake.operators.ordinal import rows_at_positions, shifted, with_position
 from pondlake.schema import FORECAST_HORIZON, MIN_SERIES_ROWS, TREND_EPSILON, WINDOW_SIZE
 
 POND = "pond_id"
@@ -155,14 +155,27 @@ def positioned_with_cursor(df: DataFrame, tick: int, size: int = WINDOW_SIZE,
     return p.withColumn("start", cursor_expr(F.col("n_rows"), tick, size, horizon))
 
 
-def sliding_window(df: DataFrame, start: int | Column, size: int = WINDOW_SIZE,
-                   horizon: int = FORECAST_HORIZON, positioned: bool = False) -> DataFrame:
+def window_rows(df: DataFrame, tick: int, first: int, last: int, size: int = WINDOW_SIZE,
+                horizon: int = FORECAST_HORIZON) -> DataFrame:
+    """Rows at positions ``start+first .. start+last`` of every pond long
+    enough, ``start`` being the cursor at ``tick``; adds ``pos``, ``n_rows`` and
+    ``start``.  Exact selection: only a bracket around those positions is
+    ranked, never the whole table (``ordinal.rows_at_positions``)."""
+    def bounds(n_rows):
+        start = cursor_expr(n_rows, tick, size, horizon)
+        return (F.when(n_rows >= size + horizon, start + first), start + last + 1)
+    rows = rows_at_positions(df, [POND], "created_at", ["entry_id"], bounds)
+    return rows.withColumn("start", cursor_expr(F.col("n_rows"), tick, size, horizon))
+
+
+def sliding_window(df: DataFrame, start: int, size: int = WINDOW_SIZE,
+                   horizon: int = FORECAST_HORIZON) -> DataFrame:
     """WIN-2: rows at positions ``[start, start+size)`` (``history``) and
     ``[start+size, start+size+horizon)`` (``horizon``) of every pond."""
-    p = df if positioned else row_position(df)
-    s = F.lit(start) if isinstance(start, int) else start
-    win = p.filter((F.col("pos") >= s) & (F.col("pos") < s + size + horizon))
-    return win.withColumn("segment", F.when(F.col("pos") < s + size, F.lit("history"))
+    win = rows_at_positions(df, [POND], "created_at", ["entry_id"],
+                            lambda n_rows: (F.lit(start), F.lit(start + size + horizon)))
+    win = win.drop("n_rows")
+    return win.withColumn("segment", F.when(F.col("pos") < start + size, F.lit("history"))
                           .otherwise(F.lit("horizon")))
 
 
@@ -221,7 +234,8 @@ def overview(df: DataFrame, sensors: Sequence[str], tick: int, size: int = WINDO
              horizon: int = FORECAST_HORIZON, eps: float = TREND_EPSILON) -> DataFrame:
     """WIN-7: per pond and sensor, the latest reading of the window at ``tick``
     and its trend against the last horizon row."""
-    p = positioned_with_cursor(df.select(POND, *TIME_ORDER, *sensors), tick, size, horizon)
+    p = window_rows(df.select(POND, *TIME_ORDER, *sensors), tick, size - 1,
+                    size + horizon - 1, size, horizon)
     last_hist = F.col("start") + F.lit(size - 1)
     last_hor = F.col("start") + F.lit(size + horizon - 1)
     two = p.filter((F.col("pos") == last_hist) | (F.col("pos") == last_hor))
@@ -241,8 +255,9 @@ def pond_detail(df: DataFrame, pond, sensors: Sequence[str], tick: int,
     """WIN-8: one pond's window at ``tick``: history and horizon series per
     sensor, with the latest reading flagged.  The pond filter reaches the scan."""
     one = df.filter(F.col(POND) == F.lit(pond)).select(POND, *TIME_ORDER, *sensors)
-    p = positioned_with_cursor(one, tick, size, horizon)
-    win = sliding_window(p, F.col("start"), size, horizon, positioned=True)
-    win = win.withColumn("is_latest", F.col("pos") == F.col("start") + F.lit(size - 1))
+    win = window_rows(one, tick, 0, size + horizon - 1, size, horizon)
+    win = win.select("*", F.when(F.col("pos") < F.col("start") + size, F.lit("history"))
+                     .otherwise(F.lit("horizon")).alias("segment"),
+                     (F.col("pos") == F.col("start") + F.lit(size - 1)).alias("is_latest"))
     return unpivot_sensors(win, sensors,
                            [POND, "segment", "pos", "created_at", "entry_id", "is_latest"])

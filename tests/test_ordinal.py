@@ -47,3 +47,40 @@ def test_shifted_equals_lead(spark):
     lag = shifted(p, ["g"], ["v"], -1).select("t", "v_next")
     exp_lag = df.select("t", F.lag("v", 1).over(w).alias("v_next"))
     assert sorted(lag.collect()) == sorted(exp_lag.collect())
+
+
+def _window_bounds(start, width):
+    return lambda n: (F.when(n > start, F.lit(start)), F.lit(start + width))
+
+
+def test_rows_at_positions_equals_full_positions_on_hot_group(spark):
+    from pondlake.operators.ordinal import rows_at_positions
+    df = spark.range(0, 20000).select(
+        F.when(F.col("id") % 100 == 0, F.lit("cold")).otherwise(F.lit("hot")).alias("g"),
+        F.timestamp_seconds((F.col("id") * 7919) % 20000).alias("t"), F.col("id"))
+    got = rows_at_positions(df, ["g"], "t", ["id"], _window_bounds(150, 110))
+    full = with_position(df, ["g"], ["t", "id"], count_col="n_rows")
+    exp = full.filter((F.col("pos") >= 150) & (F.col("pos") < 260))
+    key = ["g", "id", "pos", "n_rows"]
+    assert sorted(got.select(*key).collect()) == sorted(exp.select(*key).collect())
+
+
+def test_rows_at_positions_fallback_is_exact(spark):
+    from pondlake.operators.ordinal import rows_at_positions
+    # a coarse grid and a poor sketch: the bracket may miss, the fallback repairs it
+    df = spark.range(0, 5000).select(F.lit("x").alias("g"),
+                                     F.timestamp_seconds(F.col("id") % 700).alias("t"), "id")
+    got = rows_at_positions(df, ["g"], "t", ["id"], _window_bounds(3000, 50), grid=3, accuracy=2)
+    full = with_position(df, ["g"], ["t", "id"])
+    exp = full.filter((F.col("pos") >= 3000) & (F.col("pos") < 3050))
+    assert sorted(got.select("id", "pos").collect()) == sorted(exp.select("id", "pos").collect())
+
+
+def test_rows_at_positions_null_times_first(spark):
+    from pondlake.operators.ordinal import rows_at_positions
+    df = spark.range(0, 300).select(F.lit("x").alias("g"), F.when(F.col("id") % 7 == 0, None)
+                                    .otherwise(F.timestamp_seconds("id")).alias("t"), "id")
+    got = rows_at_positions(df, ["g"], "t", ["id"], _window_bounds(0, 300))
+    w = Window.partitionBy("g").orderBy(F.col("t").asc_nulls_first(), "id")
+    exp = df.select("id", (F.row_number().over(w) - 1).alias("pos"))
+    assert sorted(got.select("id", "pos").collect()) == sorted(exp.collect())

@@ -59,10 +59,11 @@ def test_range_profile_has_no_join(spark):
     assert "Join" not in p and "HashAggregate" in p
 
 
-def test_alignment_broadcasts_only_the_axis(spark):
-    p = plan(E.queries()["aggregate_overview"](spark, SF_SMALL))
-    assert "BroadcastHashJoin" in p
-    assert "SortMergeJoin" not in p
+def test_small_tables_are_broadcast_after_a_count(spark):
+    # axis (100 rows), per-pond bounds and run tables: all counted, then broadcast
+    fp = final_plan(E.queries()["aggregate_overview"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in fp
+    assert "SortMergeJoin" not in fp
 
 
 def test_positions_never_partition_a_window_by_pond_alone(spark):
