@@ -52,17 +52,11 @@ def _range_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-                  pos_col: str = "pos", count_col: str | None = None,
-                  num_partitions: int | None = None) -> DataFrame:
-    """Add ``pos_col`` = 0-based rank of each row within ``group_cols`` in the
-    order ``order_cols`` (ascending unless a sort Column is given), and optionally
-    ``count_col`` = the group's row count.
-
-    The order must be total inside a group (end it with a unique key) for the
-    positions to be deterministic.
-    """
-    group_cols = list(group_cols)
+def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: Sequence[str | Column],
+                 count_col: str | None, num_partitions: int | None):
+    """Range-sorted rows tagged with ``__pid`` / ``__local`` (materialised once)
+    and the run table ``(__rpid, __g*, __run_first, __run_len, __run_offset
+    [, count_col])`` (materialised, counted, broadcast when bounded)."""
     sort_cols = _as_cols(group_cols) + _as_cols(order_cols)
     n = num_partitions or _range_partitions(df)
     ranged = (df.repartitionByRange(n, *sort_cols)
@@ -78,24 +72,80 @@ def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
 
     gkeys = [f"__g{i}" for i in range(len(group_cols))]
     runs = (ranged.groupBy("__pid", *group_cols)
-                  .agg(F.min("__local").alias("__run_first"), F.count(F.lit(1)).alias("__run_n"))
+                  .agg(F.min("__local").alias("__run_first"), F.count(F.lit(1)).alias("__run_len"))
                   .select(F.col("__pid").alias("__rpid"),
                           *[F.col(g).alias(k) for g, k in zip(group_cols, gkeys)],
-                          "__run_first", "__run_n"))
+                          "__run_first", "__run_len"))
     before = Window.partitionBy(*gkeys).orderBy("__rpid").rowsBetween(
         Window.unboundedPreceding, -1)
-    runs = runs.withColumn("__run_offset", F.coalesce(F.sum("__run_n").over(before), F.lit(0)))
+    runs = runs.withColumn("__run_offset", F.coalesce(F.sum("__run_len").over(before), F.lit(0)))
     if count_col:
-        runs = runs.withColumn(count_col, F.sum("__run_n").over(Window.partitionBy(*gkeys)))
-    runs = broadcast_if_bounded(cut_lineage(runs.drop("__run_n")))
-
+        runs = runs.withColumn(count_col, F.sum("__run_len").over(Window.partitionBy(*gkeys)))
+    runs = broadcast_if_bounded(cut_lineage(runs))
     cond = [F.col("__pid") == F.col("__rpid")] + [
         F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group_cols, gkeys)]
+    return ranged, runs, cond
+
+
+def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
+                  pos_col: str = "pos", count_col: str | None = None,
+                  num_partitions: int | None = None) -> DataFrame:
+    """Add ``pos_col`` = 0-based rank of each row within ``group_cols`` in the
+    order ``order_cols`` (ascending unless a sort Column is given), and optionally
+    ``count_col`` = the group's row count.
+
+    The order must be total inside a group (end it with a unique key) for the
+    positions to be deterministic.
+    """
+    group_cols = list(group_cols)
+    ranged, runs, cond = _ranged_runs(df, group_cols, order_cols, count_col, num_partitions)
     keep = [F.col(c) for c in ranged.columns if c not in ("__pid", "__local")]
     extra = [F.col(count_col)] if count_col else []
-    out = ranged.join(runs, cond, "inner").select(
-        *keep, (F.col("__run_offset") + F.col("__local") - F.col("__run_first")).alias(pos_col), *extra)
-    return out
+    return ranged.join(runs, cond, "inner").select(
+        *keep, (F.col("__run_offset") + F.col("__local") - F.col("__run_first")).alias(pos_col),
+        *extra)
+
+
+def with_lead(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
+              value_cols: Sequence[str], offset: int, suffix: str = "_next",
+              pos_col: str = "pos", count_col: str | None = None,
+              num_partitions: int | None = None) -> DataFrame:
+    """Positions plus ``lead(value, offset)`` for ``offset > 0`` with a single
+    hash shuffle of the rows.
+
+    The partner of a row lies in the same (range partition, group) run unless
+    the row is among the run's last ``offset`` rows; then it is among the first
+    ``offset`` rows of a later run.  So ``lead`` is a window over each run
+    (partitioned by run: bounded by the range-partition size, however large the
+    group) and the run heads — ``offset`` rows per run — are materialised,
+    counted and joined in for the boundary rows.
+    """
+    if offset <= 0:
+        raise ValueError("with_lead needs a positive offset; use shifted() for lag")
+    group_cols = list(group_cols)
+    ranged, runs, cond = _ranged_runs(df, group_cols, order_cols, count_col, num_partitions)
+    keep = [c for c in ranged.columns if c not in ("__pid", "__local")]
+    idx = F.col("__local") - F.col("__run_first")
+    p = ranged.join(runs, cond, "inner").select(
+        *keep, "__pid", idx.alias("__i"), "__run_len",
+        (F.col("__run_offset") + idx).alias(pos_col),
+        *([F.col(count_col)] if count_col else []))
+    heads = broadcast_if_bounded(cut_lineage(
+        p.filter(F.col("__i") < offset).select(
+            *[F.col(g).alias(f"__h{i}") for i, g in enumerate(group_cols)],
+            (F.col(pos_col) - F.lit(offset)).alias("__hpos"),
+            *[F.col(v).alias(f"__hv{j}") for j, v in enumerate(value_cols)])))
+    run_w = Window.partitionBy("__pid", *group_cols).orderBy("__i")
+    within = p.select("*", *[F.lead(v, offset).over(run_w).alias(f"__wv{j}")
+                             for j, v in enumerate(value_cols)])
+    hcond = [F.col(g).eqNullSafe(F.col(f"__h{i}")) for i, g in enumerate(group_cols)] + \
+            [F.col(pos_col) == F.col("__hpos")]
+    joined = within.join(heads, hcond, "left")
+    in_run = F.col("__i") + F.lit(offset) < F.col("__run_len")
+    return joined.select(
+        *keep, pos_col, *([count_col] if count_col else []),
+        *[F.when(in_run, F.col(f"__wv{j}")).otherwise(F.col(f"__hv{j}")).alias(v + suffix)
+          for j, v in enumerate(value_cols)])
 
 
 def group_counts(df: DataFrame, group_cols: Sequence[str], count_col: str = "n") -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pondlake.operators.ordinal import rows_at_positions, shifted, with_position
+from pondlake.operators.ordinal import rows_at_positions, with_lead, with_position
 from pondlake.schema import FORECAST_HORIZON, MIN_SERIES_ROWS, TREND_EPSILON, WINDOW_SIZE
 
 POND = "pond_id"
@@ -182,10 +182,10 @@ def sliding_window(df: DataFrame, start: int, size: int = WINDOW_SIZE,
 def horizon_value(df: DataFrame, cols: Sequence[str], h: int = FORECAST_HORIZON,
                   suffix: str = "_future") -> DataFrame:
     """WIN-4: the reading ``h`` rows later in the same pond (an observed later
-    row, not a forecast); null where the series ends.  ``lead`` as an
-    equi-join on ``(pond, pos)``."""
-    p = row_position(df)
-    return shifted(p, [POND], cols, h, suffix=suffix)
+    row, not a forecast); null where the series ends.  One hash shuffle: a
+    window per range-partition run plus a small table of run heads
+    (``ordinal.with_lead``)."""
+    return with_lead(df, [POND], TIME_ORDER, cols, h, suffix=suffix)
 
 
 def trend_expr(latest: Column, future: Column, eps: float = TREND_EPSILON) -> Column:
@@ -219,9 +219,11 @@ def trend_all(df: DataFrame, sensors: Sequence[str], size: int = WINDOW_SIZE,
               horizon: int = FORECAST_HORIZON, eps: float = TREND_EPSILON) -> DataFrame:
     """WIN-6: the trend every cursor ``0 .. L-size-horizon`` would show, per
     pond and sensor: latest = row ``cursor+size-1``, future = ``horizon`` rows on."""
-    p = row_position(df.select(POND, *TIME_ORDER, *sensors))
-    pairs = shifted(p, [POND], sensors, horizon, suffix="_future", how="inner")
-    pairs = pairs.filter(F.col("pos") >= size - 1)
+    narrow = df.select(POND, *TIME_ORDER, *sensors)
+    pairs = with_lead(narrow, [POND], TIME_ORDER, sensors, horizon, suffix="_future",
+                      count_col="n_rows")
+    # cursors 0 .. L-size-horizon: latest at pos >= size-1 with a partner
+    pairs = pairs.filter((F.col("pos") >= size - 1) & (F.col("pos") + horizon < F.col("n_rows")))
     long = unpivot_pairs(pairs, sensors, [POND, "pos", "created_at"], "_future",
                          "latest", "future")
     return long.select(

@@ -84,3 +84,15 @@ def test_rows_at_positions_null_times_first(spark):
     w = Window.partitionBy("g").orderBy(F.col("t").asc_nulls_first(), "id")
     exp = df.select("id", (F.row_number().over(w) - 1).alias("pos"))
     assert sorted(got.select("id", "pos").collect()) == sorted(exp.collect())
+
+
+def test_with_lead_across_short_runs(spark):
+    from pondlake.operators.ordinal import with_lead
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 30 == 0, F.lit("cold")).otherwise(F.lit("hot")).alias("g"),
+        ((F.col("id") * 7919) % 3000).alias("t"), (F.col("id") * 1.5).alias("v"), "id")
+    exp = sorted(df.select("id", F.lead("v", 10).over(
+        Window.partitionBy("g").orderBy("t", "id")).alias("v_next")).collect())
+    for parts in (3, 64):   # 64: the cold group's runs are shorter than the offset
+        got = with_lead(df, ["g"], ["t", "id"], ["v"], 10, num_partitions=parts)
+        assert sorted(got.select("id", "v_next").collect()) == exp
