@@ -1,9 +1,10 @@
 """Raw pond CSV files -> conformed, typed, de-duplicated readings.
 
-Each raw file has its own header layout, so each file is conformed on its own
-(a plan over that file only) and the conformed frames are unioned by name
-into one plan; Spark then scans all files in parallel.  Only the file list
-(names, not data) is handled on the driver.
+Raw files differ in header layout, and the conforming is positional, so files
+are grouped by layout: each layout is one multi-file scan, conformed once;
+a pond with its own repair or splice rule gets a scan of its own.  The
+conformed frames are unioned by name into one plan.  Only file names and
+header lines are handled on the driver.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pondlake.functions.columns import (add_null_column, drop_optional, first_n_columns,
-                                        lower_columns, normalise_header, rename_positional)
-from pondlake.functions.parse import (lenient_numeric, lenient_ts,
+                                        lower_columns, normalise_header, q, rename_positional)
+from pondlake.functions.parse import (lenient_numeric, lenient_ts, pond_id_from_name,
                                       repair_literal, strict_cast, strict_ts)
 from pondlake.operators.cleaning import dedup_rows, drop_all_null, drop_null_key, drop_null_ts
 from pondlake.schema import (CANON, DASHBOARD_SENSORS, DAY_FIRST_FORMAT, FLOAT_COLUMNS,
@@ -33,32 +34,43 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list
     return sorted(r.path for r in listing.collect())
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1 / SRC-2: one CSV with a header, every column as text (blank -> null),
-    plus the file name.  A missing path raises ``AnalysisException``."""
-    header = spark.read.option("header", True).csv(path).columns
+def read_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of one CSV (reads its first line only)."""
+    return spark.read.option("header", True).csv(path).columns
+
+
+def read_raw_csv(spark: SparkSession, paths: str | Sequence[str],
+                 header: Sequence[str] | None = None) -> DataFrame:
+    """SRC-1 / SRC-2: CSV files sharing one header layout, every column as text
+    (blank -> null), plus the file name.  A missing path raises
+    ``AnalysisException``."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    header = list(header) if header is not None else read_header(spark, paths[0])
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    df = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+    df = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(paths)
     return df.withColumn(_FILE, F.col("_metadata.file_name"))
 
 
-def conform(df: DataFrame, pond: int, repairs=LITERAL_REPAIRS,
+def conform(df: DataFrame, pond: int | None, repairs=LITERAL_REPAIRS,
             null_rules=NULL_COLUMN_RULES, names: Sequence[str] = CANON) -> DataFrame:
-    """PRJ-1..5 for one raw file of pond ``pond``: splice a missing
-    ``population``, lower names, drop ``date``, keep 11 columns, rename."""
-    rules = [(p, t, v) for p, t, v in repairs if p == pond]
-    body = df.drop(_FILE)
+    """PRJ-1..5 for raw files of one layout: splice a missing ``population``,
+    lower names, drop ``date``, keep 11 columns, rename by position.
+
+    ``pond`` is the pond number when the files belong to one pond with rules of
+    its own; ``None`` takes each row's pond from its file name (SRC-4).  The
+    pond id leads the columns, so the positional steps count one more."""
+    pond_expr = F.lit(pond) if pond is not None else pond_id_from_name(F.col(_FILE))
+    body = df.select(pond_expr.alias("pond_id"), *[F.col(q(c)) for c in df.columns if c != _FILE])
+    rules = [(None, t, v) for p, t, v in repairs if pond is not None and p == pond]
     if rules:
-        body = repair_literal(body.withColumn("_p", F.lit(pond)), [(None, t, v) for _, t, v in rules],
-                              pond_col="_p").drop("_p")
+        body = repair_literal(body, rules, pond_col="pond_id")
     for p, anchor, offset in null_rules:
-        if p == pond:
+        if pond is not None and p == pond:
             body = add_null_column(body, "population", anchor, offset, dtype="string")
     body = lower_columns(body)
     body = drop_optional(body, "date")
-    body = first_n_columns(body, len(names))
-    body = rename_positional(body, names)
-    return body.withColumn("pond_id", F.lit(pond))
+    body = first_n_columns(body, len(names) + 1)
+    return rename_positional(body, ["pond_id", *names])
 
 
 def clean_typed(df: DataFrame) -> DataFrame:
@@ -72,19 +84,31 @@ def clean_typed(df: DataFrame) -> DataFrame:
     return drop_null_key(dedup_rows(typed), "entry_id")
 
 
-def ingest_folder(spark: SparkSession, folder: str, time_format: str = DAY_FIRST_FORMAT) -> DataFrame:
+def _rule_ponds(repairs, null_rules) -> set[int]:
+    return {p for p, _, _ in repairs} | {p for p, _, _ in null_rules}
+
+
+def ingest_folder(spark: SparkSession, folder: str, time_format: str = DAY_FIRST_FORMAT,
+                  repairs=LITERAL_REPAIRS, null_rules=NULL_COLUMN_RULES) -> DataFrame:
     """SRC-1 + SRC-4 + PRJ-1..6 + FLT-1/2 + SRC-7: every raw file of ``folder``
-    as one readings frame; a bad value anywhere fails the job."""
-    frames = []
+    as one readings frame; a bad value anywhere fails the job.
+
+    Files are grouped by header layout: one read (one scan, many files in
+    parallel) per layout, and a read of its own only for a pond with repair or
+    splice rules.  The driver handles file names and headers, never rows."""
+    special = _rule_ponds(repairs, null_rules)
+    groups: dict[tuple, list[str]] = {}
     for path in list_files(spark, folder):
-        # the conform rules depend on the pond, so its number is read from the
-        # file name here (metadata); the same rule is pond_id_from_name()
         digits = re.search(r"\d+", path.rsplit("/", 1)[-1])
         if digits is None:
             raise ValueError(f"no pond number in file name: {path}")
-        frames.append(clean_typed(conform(read_raw_csv(spark, path), int(digits.group(0)))))
-    if not frames:
+        pond = int(digits.group(0))
+        header = tuple(read_header(spark, path))
+        groups.setdefault((header, pond if pond in special else None), []).append(path)
+    if not groups:
         raise ValueError(f"no CSV files in {folder}")
+    frames = [clean_typed(conform(read_raw_csv(spark, paths, header), pond, repairs, null_rules))
+              for (header, pond), paths in groups.items()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

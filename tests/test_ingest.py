@@ -143,3 +143,19 @@ def test_column_helpers(spark):
         C.target_split(df, "missing")
     assert C.add_null_column(df, "p", "y", 1).columns == ["x", "y", "p", "z"]
     assert C.add_null_column(df, "p", "y", -1).columns == ["p", "x", "y", "z"]
+
+
+def test_files_of_one_layout_share_one_scan(spark, tmp_path):
+    d = tmp_path / "same"
+    d.mkdir()
+    _write(d / "IoTPond2.csv", HEADER, [_row(i) for i in range(1, 8)])
+    _write(d / "IoTPond3.csv", HEADER, [_row(i) for i in range(1, 5)])
+    _write(d / "IoTPond12.csv", HEADER, [_row(i) for i in range(1, 3)])
+    df = ingest_folder(spark, str(d))
+    counts = {r.pond_id: r["count"] for r in df.groupBy("pond_id").count().collect()}
+    assert counts == {2: 7, 3: 4, 12: 2}
+    import contextlib, io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    assert buf.getvalue().count("FileScan csv") == 1
