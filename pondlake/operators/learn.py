@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pondlake.functions.columns import columns_by_type
-from pondlake.operators.ordinal import with_position
+from pondlake.operators.ordinal import rows_at_positions, with_position
 from pondlake.schema import CV_SPLITS, RANDOM_STATE, SEARCH_TRIALS, TEST_SIZE
 
 SPLIT_COL = "split"
@@ -168,16 +168,16 @@ def standard_scale(train: DataFrame, df: DataFrame, cols: Sequence[str],
 
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Exact median (interpolated on even counts) of each column, nulls
-    ignored: ``(column_name, median)``.  Values are ranked with the
-    range-partitioned ordinal, so no column's values meet in one task."""
+    ignored: ``(column_name, median)``.  Only the one or two middle values of
+    each column are selected (``ordinal.rows_at_positions``: sketches bracket
+    the middle, only the bracket is ranked), so no column is sorted whole."""
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x"))
                      for c in cols])
     long = df.select(F.inline(rows)).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    p = with_position(long, ["column_name"], [F.col("x")], pos_col="_pos", count_col="_n")
-    lo = F.floor((F.col("_n") - 1) / 2)
-    hi = F.ceil((F.col("_n") - 1) / 2)
-    mid = p.filter((F.col("_pos") == lo) | (F.col("_pos") == hi))
-    return mid.groupBy("column_name").agg(F.avg("x").alias("median"))
+    middle = rows_at_positions(long, ["column_name"], "x", [],
+                               lambda n: (F.floor((n - 1) / 2), F.ceil((n - 1) / 2) + 1),
+                               pos_col="_pos", count_col="_n")
+    return middle.groupBy("column_name").agg(F.avg("x").alias("median"))
 
 
 def approx_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10000) -> DataFrame:

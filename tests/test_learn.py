@@ -107,3 +107,15 @@ def test_boosted_three_classes_log_loss(spark):
     ll = L.softmax_log_loss(pred).first().log_loss
     assert ll > 0 and math.isfinite(ll)
     assert 0 <= L.BalancedAccuracyEvaluator().evaluate(pred) <= 1
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(-5, 5), min_size=1, max_size=80))
+def test_exact_median_matches_numpy(spark, xs):
+    import numpy as np
+    df = spark.createDataFrame([(float(x),) for x in xs], "a double")
+    got = L.exact_medians(df, ["a"]).first().median
+    assert abs(got - float(np.median(xs))) < 1e-12
