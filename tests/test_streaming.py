@@ -55,3 +55,25 @@ def test_ingest_and_refresh_streams(spark, tmp_path):
     assert rep.filter("test_order = 0").count() == 5
     ov = spark.read.parquet(view)
     assert ov.count() == 10 and ov.filter("start != 0").count() == 0
+
+
+def test_keyed_dedup_across_micro_batches(spark, tmp_path):
+    src, table = tmp_path / "src2", str(tmp_path / "readings2")
+    src.mkdir()
+
+    def write(name, rows):
+        with open(src / name, "w") as f:
+            f.write(",".join(CANON) + "\n")
+            for t, key in rows:
+                f.write(",".join(str(v) for v in [t, key, 1.0, 2, 3.0, 7.0, 0.5, 4, 10, 1.5, 2.5]) + "\n")
+
+    write("IoTPond1_a.csv", [("01/01/2024 10:00:00", 1), ("01/01/2024 10:05:00", 2)])
+    write("IoTPond1_b.csv", [("01/01/2024 10:20:00", 1), ("01/01/2024 10:25:00", 3)])
+    write("IoTPond2_a.csv", [("01/01/2024 10:20:00", 1)])       # same key, other pond: kept
+    q = S.ingest_stream(spark, str(src), table, str(tmp_path / "ck"), delay="1 hour",
+                        available_now=True, max_files=1)
+    q.awaitTermination(300)
+    out = spark.read.parquet(table)
+    keys = sorted((r.pond_id, r.entry_id) for r in out.select("pond_id", "entry_id").collect())
+    assert keys == [(1, 1), (1, 2), (1, 3), (2, 1)]
+    assert q.lastProgress is not None
