@@ -276,15 +276,19 @@ class BalancedAccuracyEvaluator(Evaluator):
         return True
 
 
-def softmax_log_loss(pred: DataFrame, label: str = "label", raw: str = "rawPrediction") -> DataFrame:
-    """ML-11 metric: multi-class log loss of softmax(rawPrediction)."""
+def softmax_log_loss_expr(label: str = "label", raw: str = "rawPrediction") -> Column:
+    """Per-row log loss of softmax(rawPrediction) for the true class."""
     arr = vector_to_array(raw)
     mx = F.array_max(arr)
     denom = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + F.exp(x - mx))
     p_true = F.exp(F.element_at(arr, F.col(label).cast("int") + 1) - mx) / denom
     eps = 1e-15
-    return pred.agg(F.avg(-F.log(F.least(F.greatest(p_true, F.lit(eps)), F.lit(1 - eps))))
-                    .alias("log_loss"))
+    return -F.log(F.least(F.greatest(p_true, F.lit(eps)), F.lit(1 - eps)))
+
+
+def softmax_log_loss(pred: DataFrame, label: str = "label", raw: str = "rawPrediction") -> DataFrame:
+    """ML-11 metric: mean multi-class log loss of softmax(rawPrediction)."""
+    return pred.agg(F.avg(softmax_log_loss_expr(label, raw)).alias("log_loss"))
 
 
 # --------------------------------------------------------------------------- ML-7 / ML-10..13

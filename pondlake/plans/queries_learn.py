@@ -143,3 +143,32 @@ def q_train_forest(spark, sf):
     stages = L.preprocessor(train, "label", False, exclude=["doc_id"])
     model, _, _ = L.tune(train, stages, "random_forest", FOREST_SPACE, n_iter=2, folds=CV_SPLITS)
     return model.transform(test).select("doc_id", "label", "prediction")
+
+
+BOOSTED_SPACE = {
+    "learning_rate": {"type": "Real", "low": 0.01, "high": 0.3, "prior": "log-uniform"},
+    "max_depth": {"type": "Integer", "low": 2, "high": 3},
+    "n_estimators": {"type": "Integer", "low": 3, "high": 5},
+    "subsample": {"type": "Real", "low": 0.5, "high": 1.0},
+    "colsample_bytree": {"type": "Real", "low": 0.6, "high": 1.0},
+}
+
+
+@register("train_boosted")
+def q_train_boosted(spark, sf):
+    """ML-11 with a small budget: one-vs-rest boosted trees on the three-class
+    embeddings subset (64 features), tuned on folds; the hold-out rows with
+    their prediction and per-row log loss of softmax(rawPrediction)."""
+    emb = table(spark, sf, "embeddings").filter("label < 3")
+    dims = 64
+    data = emb.select("vec_id", F.col("label").cast("double").alias("label"),
+                      *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(dims)])
+    folds = 3
+    split = L.stratified_split(data, "label", "vec_id", folds=folds)
+    train = _train(split)
+    test = split.filter(F.col(L.SPLIT_COL) == "test")
+    stages = L.preprocessor(train, "none", False, exclude=["vec_id"])
+    model, _, _ = L.tune(train, stages, "boosted", BOOSTED_SPACE, n_iter=2, folds=folds)
+    pred = model.transform(test)
+    return pred.select("vec_id", "label", "prediction",
+                       L.softmax_log_loss_expr("label", "rawPrediction").alias("log_loss"))
