@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pondlake.functions.columns import columns_by_type
-from pondlake.operators.ordinal import rows_at_positions, with_position
+from pondlake.operators.ordinal import broadcast_if_bounded, rows_at_positions, with_position
+from pondlake.session import cut_lineage
 from pondlake.schema import CV_SPLITS, RANDOM_STATE, SEARCH_TRIALS, TEST_SIZE
 
 SPLIT_COL = "split"
@@ -146,12 +147,15 @@ class PopulationScalerModel(Model, HasInputCols, HasOutputCols, _ColumnStats,
 
 
 def scale_exprs(train: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
-    """The same scaling as expressions whose statistics are scalar subqueries
-    over ``train`` (no join, nothing collected)."""
+    """The same scaling as expressions: one aggregate over ``train`` gives
+    every mean and deviation (a single materialised row); each statistic is
+    then a scalar subquery over that row (no join, nothing collected)."""
+    stats = cut_lineage(train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                                  *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]))
     out = {}
-    for c in cols:
-        mean = train.select(F.avg(c)).scalar()
-        std = train.select(F.stddev_pop(c)).scalar()
+    for i, c in enumerate(cols):
+        mean = stats.select(f"m{i}").scalar()
+        std = stats.select(f"s{i}").scalar()
         dev = F.when(std == 0, F.lit(1.0)).otherwise(std)
         out[c] = (F.col(c).cast("double") - mean) / dev
     return out
@@ -233,7 +237,7 @@ class MedianImputerModel(Model, HasInputCols, HasOutputCols, _ColumnStats,
 
 def impute(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """ML-8 as a query: medians joined in as scalar subqueries."""
-    med = exact_medians(train, cols)
+    med = cut_lineage(exact_medians(train, cols))   # one row per column
     return df.withColumns({
         c: F.coalesce(F.col(c).cast("double"),
                       med.filter(F.col("column_name") == c).select("median").scalar())
@@ -244,13 +248,14 @@ def impute(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def class_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
-    """ML-9: balanced weights ``n / (k * n_class)``: one grouped count, joined
-    back on the label (the count table has one row per class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    """ML-9: balanced weights ``n / (k * n_class)``: one grouped count
+    (materialised: one row per class), its total and size as scalar subqueries
+    over that small table, joined back on the label after a size check."""
+    counts = cut_lineage(df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")))
     total = counts.select(F.sum("_nc")).scalar()
     k = counts.select(F.count(F.lit(1))).scalar()
     w = counts.select(label, (total / (k * F.col("_nc"))).alias(weight_col))
-    return df.join(w, label)
+    return df.join(broadcast_if_bounded(w), label)
 
 
 def balanced_accuracy(pred: DataFrame, label: str = "label",
