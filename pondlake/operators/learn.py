@@ -180,7 +180,7 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long = df.select(F.inline(rows)).filter(F.col("x").isNotNull() & ~F.isnan("x"))
     middle = rows_at_positions(long, ["column_name"], "x", [],
                                lambda n: (F.floor((n - 1) / 2), F.ceil((n - 1) / 2) + 1),
-                               pos_col="_pos", count_col="_n")
+                               pos_col="_pos", count_col="_n", max_groups=len(cols))
     return middle.groupBy("column_name").agg(F.avg("x").alias("median"))
 
 

@@ -53,7 +53,8 @@ def _range_partitions(df: DataFrame) -> int:
 
 
 def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: Sequence[str | Column],
-                 count_col: str | None, num_partitions: int | None):
+                 count_col: str | None, num_partitions: int | None,
+                 max_groups: int | None = None):
     """Range-sorted rows tagged with ``__pid`` / ``__local`` (materialised once)
     and the run table ``(__rpid, __g*, __run_first, __run_len, __run_offset
     [, count_col])`` (materialised, counted, broadcast when bounded)."""
@@ -81,7 +82,10 @@ def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: Sequence[str
     runs = runs.withColumn("__run_offset", F.coalesce(F.sum("__run_len").over(before), F.lit(0)))
     if count_col:
         runs = runs.withColumn(count_col, F.sum("__run_len").over(Window.partitionBy(*gkeys)))
-    runs = broadcast_if_bounded(cut_lineage(runs))
+    if max_groups is not None and n + max_groups <= BROADCAST_MAX_ROWS:
+        runs = F.broadcast(runs)       # at most partitions + groups rows: bounded by the caller
+    else:
+        runs = broadcast_if_bounded(cut_lineage(runs))
     cond = [F.col("__pid") == F.col("__rpid")] + [
         F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group_cols, gkeys)]
     return ranged, runs, cond
@@ -89,16 +93,19 @@ def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: Sequence[str
 
 def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
                   pos_col: str = "pos", count_col: str | None = None,
-                  num_partitions: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None, max_groups: int | None = None) -> DataFrame:
     """Add ``pos_col`` = 0-based rank of each row within ``group_cols`` in the
     order ``order_cols`` (ascending unless a sort Column is given), and optionally
     ``count_col`` = the group's row count.
 
     The order must be total inside a group (end it with a unique key) for the
-    positions to be deterministic.
+    positions to be deterministic.  ``max_groups``, when the caller knows a
+    bound on the number of groups, lets the run table be broadcast without
+    counting it.
     """
     group_cols = list(group_cols)
-    ranged, runs, cond = _ranged_runs(df, group_cols, order_cols, count_col, num_partitions)
+    ranged, runs, cond = _ranged_runs(df, group_cols, order_cols, count_col, num_partitions,
+                                      max_groups)
     keep = [F.col(c) for c in ranged.columns if c not in ("__pid", "__local")]
     extra = [F.col(count_col)] if count_col else []
     return ranged.join(runs, cond, "inner").select(
@@ -169,7 +176,7 @@ def shifted(positioned: DataFrame, group_cols: Sequence[str], value_cols: Sequen
 def rows_at_positions(df: DataFrame, group_cols: Sequence[str], time_col: str,
                       tie_cols: Sequence[str], bounds, pos_col: str = "pos",
                       count_col: str = "n_rows", grid: int = 1000,
-                      accuracy: int = 10000) -> DataFrame:
+                      accuracy: int = 10000, max_groups: int | None = None) -> DataFrame:
     """Rows whose 0-based position in their group (order ``time_col`` then
     ``tie_cols``, null times first) lies in ``[a, b)``, where
     ``(a, b) = bounds(count column)`` per group (``a`` null: the group is
@@ -199,7 +206,9 @@ def rows_at_positions(df: DataFrame, group_cols: Sequence[str], time_col: str,
          .alias("__lo"),
         F.when(i_hi <= grid - 2, F.element_at("__q", (i_hi + 1).cast("int"))).alias("__hi"))
     # one small row per group; materialised so the sketch is computed once
-    stats = broadcast_if_bounded(cut_lineage(stats))
+    stats = cut_lineage(stats)
+    stats = F.broadcast(stats) if max_groups is not None and max_groups <= BROADCAST_MAX_ROWS \
+        else broadcast_if_bounded(stats)
 
     tagged = df.join(stats, group_cols)
     below = t.isNull() | (F.col("__lo").isNotNull() & (t < F.col("__lo")))
@@ -212,20 +221,24 @@ def rows_at_positions(df: DataFrame, group_cols: Sequence[str], time_col: str,
         F.count(F.when(inside, 1)).alias("__inside")))
     covered = (F.col("__before") <= F.col("__a")) & \
               (F.col("__before") + F.col("__inside") >= F.col("__b"))
-    ok = broadcast_if_bounded(
-        plan.filter(covered).select(*group_cols, "__before", "__a", "__b", "__L"))
+    tally = plan.agg(F.count(F.when(covered, 1)).alias("ok"),
+                     F.count(F.when(~covered, 1)).alias("missed")).first()   # one row
+    ok = plan.filter(covered).select(*group_cols, "__before", "__a", "__b", "__L")
+    if tally.ok <= BROADCAST_MAX_ROWS:
+        ok = F.broadcast(ok)
     cols = [c for c in df.columns]
 
     bracket = tagged.filter(inside).select(*cols).join(ok.select(*group_cols), group_cols, "left_semi")
-    ranked = with_position(bracket, group_cols, [time_col, *tie_cols], pos_col="__bpos")
+    ranked = with_position(bracket, group_cols, [time_col, *tie_cols], pos_col="__bpos",
+                           max_groups=tally.ok)
     picked = (ranked.join(ok, group_cols)
                     .withColumn(pos_col, F.col("__before") + F.col("__bpos"))
                     .filter((F.col(pos_col) >= F.col("__a")) & (F.col(pos_col) < F.col("__b")))
                     .select(*cols, pos_col, F.col("__L").alias(count_col)))
 
-    missed = plan.filter(~covered).select(*group_cols, "__a", "__b")
-    if missed.limit(1).count() == 0:       # bounded check: one row at most
+    if tally.missed == 0:
         return picked
+    missed = plan.filter(~covered).select(*group_cols, "__a", "__b")
     redo = df.join(missed.select(*group_cols), group_cols, "left_semi")
     full = (with_position(redo, group_cols, [F.col(time_col).asc_nulls_first(), *tie_cols],
                           pos_col=pos_col, count_col=count_col)
