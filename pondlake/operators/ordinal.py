@@ -1,5 +1,11 @@
 """Row position inside a group, without putting a whole group in one task.
 
+Public entry points (``with_position``, ``with_lead``, ``rows_at_positions``)
+first size the groups with one map-side aggregate.  Groups of at most
+``SMALL_GROUP_ROWS`` rows use a plain window per group (one shuffle, a task
+holds at most that many rows of one group); only larger groups take the
+range-partitioned path described below.
+
 ``row_number() over (partition by g order by o)`` sends every row of a group to
 a single task; one hot pond holding a third of the table would then be sorted
 by one core.  Instead the rows are range-partitioned on ``(g, o)`` so a large
@@ -91,9 +97,9 @@ def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: Sequence[str
     return ranged, runs, cond
 
 
-def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-                  pos_col: str = "pos", count_col: str | None = None,
-                  num_partitions: int | None = None, max_groups: int | None = None) -> DataFrame:
+def _position_by_range(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
+                       pos_col: str = "pos", count_col: str | None = None,
+                       num_partitions: int | None = None, max_groups: int | None = None) -> DataFrame:
     """Add ``pos_col`` = 0-based rank of each row within ``group_cols`` in the
     order ``order_cols`` (ascending unless a sort Column is given), and optionally
     ``count_col`` = the group's row count.
@@ -113,10 +119,10 @@ def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
         *extra)
 
 
-def with_lead(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-              value_cols: Sequence[str], offset: int, suffix: str = "_next",
-              pos_col: str = "pos", count_col: str | None = None,
-              num_partitions: int | None = None) -> DataFrame:
+def _lead_by_runs(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
+                  value_cols: Sequence[str], offset: int, suffix: str = "_next",
+                  pos_col: str = "pos", count_col: str | None = None,
+                  num_partitions: int | None = None, max_groups: int | None = None) -> DataFrame:
     """Positions plus ``lead(value, offset)`` for ``offset > 0`` with a single
     hash shuffle of the rows.
 
@@ -128,9 +134,10 @@ def with_lead(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str
     counted and joined in for the boundary rows.
     """
     if offset <= 0:
-        raise ValueError("with_lead needs a positive offset; use shifted() for lag")
+        raise ValueError("lead needs a positive offset; use shifted() for lag")
     group_cols = list(group_cols)
-    ranged, runs, cond = _ranged_runs(df, group_cols, order_cols, count_col, num_partitions)
+    ranged, runs, cond = _ranged_runs(df, group_cols, order_cols, count_col, num_partitions,
+                                      max_groups)
     keep = [c for c in ranged.columns if c not in ("__pid", "__local")]
     idx = F.col("__local") - F.col("__run_first")
     p = ranged.join(runs, cond, "inner").select(
@@ -173,10 +180,10 @@ def shifted(positioned: DataFrame, group_cols: Sequence[str], value_cols: Sequen
     return positioned.join(partner, [*group_cols, pos_col], how)
 
 
-def rows_at_positions(df: DataFrame, group_cols: Sequence[str], time_col: str,
-                      tie_cols: Sequence[str], bounds, pos_col: str = "pos",
-                      count_col: str = "n_rows", grid: int = 1000,
-                      accuracy: int = 10000, max_groups: int | None = None) -> DataFrame:
+def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
+               tie_cols: Sequence[str], bounds, pos_col: str = "pos",
+               count_col: str = "n_rows", grid: int = 1000,
+               accuracy: int = 10000, max_groups: int | None = None) -> DataFrame:
     """Rows whose 0-based position in their group (order ``time_col`` then
     ``tie_cols``, null times first) lies in ``[a, b)``, where
     ``(a, b) = bounds(count column)`` per group (``a`` null: the group is
@@ -229,8 +236,8 @@ def rows_at_positions(df: DataFrame, group_cols: Sequence[str], time_col: str,
     cols = [c for c in df.columns]
 
     bracket = tagged.filter(inside).select(*cols).join(ok.select(*group_cols), group_cols, "left_semi")
-    ranked = with_position(bracket, group_cols, [time_col, *tie_cols], pos_col="__bpos",
-                           max_groups=tally.ok)
+    ranked = _position_by_range(bracket, group_cols, [time_col, *tie_cols], pos_col="__bpos",
+                                max_groups=tally.ok)
     picked = (ranked.join(ok, group_cols)
                     .withColumn(pos_col, F.col("__before") + F.col("__bpos"))
                     .filter((F.col(pos_col) >= F.col("__a")) & (F.col(pos_col) < F.col("__b")))
@@ -240,9 +247,120 @@ def rows_at_positions(df: DataFrame, group_cols: Sequence[str], time_col: str,
         return picked
     missed = plan.filter(~covered).select(*group_cols, "__a", "__b")
     redo = df.join(missed.select(*group_cols), group_cols, "left_semi")
-    full = (with_position(redo, group_cols, [F.col(time_col).asc_nulls_first(), *tie_cols],
-                          pos_col=pos_col, count_col=count_col)
+    full = (_position_by_range(redo, group_cols, [F.col(time_col).asc_nulls_first(), *tie_cols],
+                               pos_col=pos_col, count_col=count_col)
             .join(missed, group_cols)
             .filter((F.col(pos_col) >= F.col("__a")) & (F.col(pos_col) < F.col("__b")))
             .select(*cols, pos_col, count_col))
     return picked.unionByName(full)
+
+
+# --------------------------------------------------------------------------- by group size
+
+SMALL_GROUP_ROWS = 1_000_000  # a group this small is ranked whole in one task
+
+
+def _limit(small_group_rows: int | None) -> int:
+    return SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
+
+
+def split_by_size(df: DataFrame, group_cols: Sequence[str], limit: int):
+    """``(small rows, large rows or None, number of large groups)``: groups of
+    at most ``limit`` rows and the rest.  One map-side aggregate gives the
+    sizes (materialised, one row per group); at most ``rows / limit`` groups
+    are large, so their keys are broadcast after a count."""
+    group_cols = list(group_cols)
+    sizes = cut_lineage(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__L")))
+    big = sizes.filter(F.col("__L") > limit).select(
+        *[F.col(g).alias(f"__b{i}") for i, g in enumerate(group_cols)])
+    n_big = big.count()
+    if n_big == 0:
+        return df, None, 0
+    if n_big <= BROADCAST_MAX_ROWS:
+        big = F.broadcast(big)
+    cond = [F.col(g).eqNullSafe(F.col(f"__b{i}")) for i, g in enumerate(group_cols)]
+    return df.join(big, cond, "left_anti"), df.join(big, cond, "left_semi"), n_big
+
+
+def _position_by_window(df: DataFrame, group_cols: Sequence[str], order_cols,
+                        pos_col: str, count_col: str | None) -> DataFrame:
+    """Positions of groups known to be small: a plain window per group."""
+    out = df.select("*", (F.row_number().over(
+        Window.partitionBy(*group_cols).orderBy(*_as_cols(order_cols))) - 1).alias(pos_col))
+    if count_col:
+        out = out.withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)))
+    return out
+
+
+def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
+                  pos_col: str = "pos", count_col: str | None = None,
+                  num_partitions: int | None = None, max_groups: int | None = None,
+                  small_group_rows: int | None = None) -> DataFrame:
+    """Add ``pos_col`` = 0-based rank of each row within ``group_cols`` in the
+    order ``order_cols`` (ascending unless a sort Column is given), and
+    optionally ``count_col`` = the group's row count.
+
+    Groups of at most ``small_group_rows`` rows (default ``SMALL_GROUP_ROWS``)
+    are ranked by a window per group; larger groups by range partitioning, so
+    no task ever holds more than that many rows of one group.  The order must
+    be total inside a group for the positions to be deterministic.
+    """
+    group_cols = list(group_cols)
+    limit = _limit(small_group_rows)
+    if not group_cols or limit <= 0:
+        return _position_by_range(df, group_cols, order_cols, pos_col, count_col,
+                                  num_partitions, max_groups)
+    small, large, n_big = split_by_size(df, group_cols, limit)
+    out = _position_by_window(small, group_cols, order_cols, pos_col, count_col)
+    if large is None:
+        return out
+    return out.unionByName(_position_by_range(large, group_cols, order_cols, pos_col, count_col,
+                                              num_partitions, n_big))
+
+
+def with_lead(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
+              value_cols: Sequence[str], offset: int, suffix: str = "_next",
+              pos_col: str = "pos", count_col: str | None = None,
+              num_partitions: int | None = None, small_group_rows: int | None = None) -> DataFrame:
+    """Positions plus ``lead(value, offset)``: a window per group for small
+    groups; for large groups a window per range-partition run plus the run
+    heads (one hash shuffle, bounded tasks)."""
+    group_cols = list(group_cols)
+    limit = _limit(small_group_rows)
+    if not group_cols or limit <= 0:
+        return _lead_by_runs(df, group_cols, order_cols, value_cols, offset, suffix, pos_col,
+                             count_col, num_partitions)
+    small, large, n_big = split_by_size(df, group_cols, limit)
+    w = Window.partitionBy(*group_cols).orderBy(*_as_cols(order_cols))
+    out = _position_by_window(small, group_cols, order_cols, pos_col, count_col).select(
+        "*", *[F.lead(v, offset).over(w).alias(v + suffix) for v in value_cols])
+    if large is None:
+        return out
+    return out.unionByName(_lead_by_runs(large, group_cols, order_cols, value_cols, offset, suffix,
+                                         pos_col, count_col, num_partitions, n_big))
+
+
+def rows_at_positions(df: DataFrame, group_cols: Sequence[str], time_col: str,
+                      tie_cols: Sequence[str], bounds, pos_col: str = "pos",
+                      count_col: str = "n_rows", grid: int = 1000, accuracy: int = 10000,
+                      max_groups: int | None = None,
+                      small_group_rows: int | None = None) -> DataFrame:
+    """Rows whose 0-based position in their group (order ``time_col`` then
+    ``tie_cols``, null times first) lies in ``[a, b)`` with
+    ``(a, b) = bounds(count column)``.  Small groups: a window per group and a
+    filter.  Large groups: exact bracketed selection (``_bracketed``), which
+    never sorts a whole group."""
+    group_cols = list(group_cols)
+    limit = _limit(small_group_rows)
+    if limit <= 0:
+        return _bracketed(df, group_cols, time_col, tie_cols, bounds, pos_col, count_col, grid,
+                          accuracy, max_groups)
+    small, large, n_big = split_by_size(df, group_cols, limit)
+    order = [F.col(time_col).asc_nulls_first(), *tie_cols]
+    ranked = _position_by_window(small, group_cols, order, pos_col, count_col)
+    a, b = bounds(F.col(count_col))
+    out = ranked.filter((F.col(pos_col) >= a) & (F.col(pos_col) < b))
+    if large is None:
+        return out
+    return out.unionByName(_bracketed(large, group_cols, time_col, tie_cols, bounds, pos_col,
+                                      count_col, grid, accuracy, n_big))

@@ -17,13 +17,16 @@ def test_hot_group_positions(spark):
     df = spark.range(0, 5000).select(
         F.when(F.col("id") % 50 == 0, F.lit("cold")).otherwise(F.lit("hot")).alias("g"),
         ((F.col("id") * 7919) % 5000).alias("t"), F.col("id"))
-    got = with_position(df, ["g"], ["t", "id"], count_col="n", num_partitions=16)
     exp = _expected(df, ["g"], ["t", "id"]).select("id", "exp")
-    j = got.join(exp, "id")
-    assert j.filter("pos != exp").count() == 0
-    assert j.count() == 5000
-    counts = {r.g: r.n for r in got.select("g", "n").distinct().collect()}
-    assert counts == {"hot": 4900, "cold": 100}
+    # 0: every group by range partitions; 1000: hot by range, cold by window
+    for small in (0, 1000, None):
+        got = with_position(df, ["g"], ["t", "id"], count_col="n", num_partitions=16,
+                            small_group_rows=small)
+        j = got.join(exp, "id")
+        assert j.filter("pos != exp").count() == 0
+        assert j.count() == 5000
+        counts = {r.g: r.n for r in got.select("g", "n").distinct().collect()}
+        assert counts == {"hot": 4900, "cold": 100}
 
 
 @settings(max_examples=8, deadline=None)
@@ -31,7 +34,8 @@ def test_hot_group_positions(spark):
 def test_positions_property(spark, rows):
     data = [(g, t, i) for i, (g, t) in enumerate(rows)]
     df = spark.createDataFrame(data, "g int, t int, id int")
-    got = with_position(df, ["g"], ["t", "id"], num_partitions=3).select("id", "pos")
+    got = with_position(df, ["g"], ["t", "id"], num_partitions=3,
+                        small_group_rows=0).select("id", "pos")
     exp = _expected(df, ["g"], ["t", "id"]).select("id", "exp")
     assert {(r.id, r.pos) for r in got.collect()} == {(r.id, r.exp) for r in exp.collect()}
 
@@ -58,11 +62,13 @@ def test_rows_at_positions_equals_full_positions_on_hot_group(spark):
     df = spark.range(0, 20000).select(
         F.when(F.col("id") % 100 == 0, F.lit("cold")).otherwise(F.lit("hot")).alias("g"),
         F.timestamp_seconds((F.col("id") * 7919) % 20000).alias("t"), F.col("id"))
-    got = rows_at_positions(df, ["g"], "t", ["id"], _window_bounds(150, 110))
+    got = rows_at_positions(df, ["g"], "t", ["id"], _window_bounds(150, 110), small_group_rows=0)
+    mixed = rows_at_positions(df, ["g"], "t", ["id"], _window_bounds(150, 110), small_group_rows=500)
     full = with_position(df, ["g"], ["t", "id"], count_col="n_rows")
     exp = full.filter((F.col("pos") >= 150) & (F.col("pos") < 260))
     key = ["g", "id", "pos", "n_rows"]
     assert sorted(got.select(*key).collect()) == sorted(exp.select(*key).collect())
+    assert sorted(mixed.select(*key).collect()) == sorted(exp.select(*key).collect())
 
 
 def test_rows_at_positions_fallback_is_exact(spark):
@@ -70,7 +76,8 @@ def test_rows_at_positions_fallback_is_exact(spark):
     # a coarse grid and a poor sketch: the bracket may miss, the fallback repairs it
     df = spark.range(0, 5000).select(F.lit("x").alias("g"),
                                      F.timestamp_seconds(F.col("id") % 700).alias("t"), "id")
-    got = rows_at_positions(df, ["g"], "t", ["id"], _window_bounds(3000, 50), grid=3, accuracy=2)
+    got = rows_at_positions(df, ["g"], "t", ["id"], _window_bounds(3000, 50), grid=3, accuracy=2,
+                            small_group_rows=0)
     full = with_position(df, ["g"], ["t", "id"])
     exp = full.filter((F.col("pos") >= 3000) & (F.col("pos") < 3050))
     assert sorted(got.select("id", "pos").collect()) == sorted(exp.select("id", "pos").collect())
@@ -80,7 +87,7 @@ def test_rows_at_positions_null_times_first(spark):
     from pondlake.operators.ordinal import rows_at_positions
     df = spark.range(0, 300).select(F.lit("x").alias("g"), F.when(F.col("id") % 7 == 0, None)
                                     .otherwise(F.timestamp_seconds("id")).alias("t"), "id")
-    got = rows_at_positions(df, ["g"], "t", ["id"], _window_bounds(0, 300))
+    got = rows_at_positions(df, ["g"], "t", ["id"], _window_bounds(0, 300), small_group_rows=0)
     w = Window.partitionBy("g").orderBy(F.col("t").asc_nulls_first(), "id")
     exp = df.select("id", (F.row_number().over(w) - 1).alias("pos"))
     assert sorted(got.select("id", "pos").collect()) == sorted(exp.collect())
@@ -94,5 +101,6 @@ def test_with_lead_across_short_runs(spark):
     exp = sorted(df.select("id", F.lead("v", 10).over(
         Window.partitionBy("g").orderBy("t", "id")).alias("v_next")).collect())
     for parts in (3, 64):   # 64: the cold group's runs are shorter than the offset
-        got = with_lead(df, ["g"], ["t", "id"], ["v"], 10, num_partitions=parts)
+        got = with_lead(df, ["g"], ["t", "id"], ["v"], 10, num_partitions=parts,
+                        small_group_rows=0)
         assert sorted(got.select("id", "v_next").collect()) == exp

@@ -66,9 +66,10 @@ def test_small_tables_are_broadcast_after_a_count(spark):
     assert "SortMergeJoin" not in fp
 
 
-def test_positions_never_partition_a_window_by_pond_alone(spark):
-    # the row window over the whole table would show up as a Window over the
-    # full rows partitioned by pond; the ordinal only windows its run table
-    p = plan(E.queries()["row_position"](spark, SF_SMALL))
-    assert "rangepartitioning" not in p or "Scan ExistingRDD" in p
-    assert "Scan ExistingRDD" in p          # the checkpointed range-sorted rows
+def test_positions_route_large_groups_to_range_partitions(spark, monkeypatch):
+    from pondlake.operators import ordinal
+    small = plan(E.queries()["row_position"](spark, SF_SMALL))
+    assert "rangepartitioning" not in small          # ~200-row ponds: a window per pond
+    monkeypatch.setattr(ordinal, "SMALL_GROUP_ROWS", 50)
+    large = plan(E.queries()["row_position"](spark, SF_SMALL))
+    assert "Scan ExistingRDD" in large               # the checkpointed range-sorted rows

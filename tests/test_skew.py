@@ -11,6 +11,13 @@ from pondlake.operators import series as S
 from tests.conftest import SF_MID
 
 
+@pytest.fixture(autouse=True)
+def large_group_path(monkeypatch):
+    # the hot pond (9,000 rows) takes the large-group paths, the cold ponds windows
+    from pondlake.operators import ordinal
+    monkeypatch.setattr(ordinal, "SMALL_GROUP_ROWS", 1000)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     r = events_readings(spark, SF_MID)
