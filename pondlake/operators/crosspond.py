@@ -19,10 +19,10 @@ def align_ponds(df: DataFrame, base_pond, sensors: Sequence[str], tick: int,
     window at ``tick``; the time axis is the base pond's.
 
     Long form ``(pos, created_at, pond_id, sensor, reading)``.  Only the rows
-    at those ``size`` positions are selected from each pond (exact bracketed
-    selection, no sort of the whole table); the axis has exactly ``size`` rows,
-    so it is broadcast by construction.  A pond too short to reach a position
-    has no row there (a gap, not an error).
+    at those ``size`` positions are selected from each pond (no sort of the
+    whole table); the axis has exactly ``size`` rows, so it is broadcast by
+    construction.  A pond too short to reach a position gets a null reading
+    there (the reference raised KeyError).
     """
     narrow = df.select(POND, *TIME_ORDER, *sensors)
     base_rows = narrow.filter(F.col(POND) == F.lit(base_pond)).select(F.count(F.lit(1))).scalar()
@@ -32,7 +32,12 @@ def align_ponds(df: DataFrame, base_pond, sensors: Sequence[str], tick: int,
                                lambda n_rows: (first, first + size))
     axis = (picked.filter(F.col(POND) == F.lit(base_pond))
                   .select("pos", F.col("created_at").alias("axis_time")))
-    aligned = picked.join(F.broadcast(axis), "pos")
+    # every pond at every axis position (the positions are generated per pond,
+    # not paired by a join); a pond too short for a position keeps null readings
+    ponds = narrow.select(POND).distinct()
+    grid = ponds.select(POND, F.explode(F.sequence(first, first + size - 1)).alias("pos"))
+    readings = picked.select(POND, "pos", *[F.col(f"`{c}`") for c in sensors])
+    aligned = grid.join(readings, [POND, "pos"], "left").join(F.broadcast(axis), "pos")
     long = unpivot_sensors(aligned, sensors, ["pos", "axis_time", POND])
     return long.withColumnRenamed("axis_time", "created_at")
 

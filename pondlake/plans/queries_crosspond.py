@@ -16,12 +16,14 @@ _ALIGN_SQL = e_cursor(TICK) + f""",
 axis AS (
   SELECT pos, created_at AS axis_time FROM cursored
   WHERE pond_id = '{E_BASE_POND}' AND pos >= start AND pos < start + 100),
+ponds AS (SELECT DISTINCT pond_id FROM readings),
+grid AS (SELECT p.pond_id, a.pos, a.axis_time FROM ponds p CROSS JOIN axis a),
 aligned AS (
-  SELECT p.pos, a.axis_time AS created_at, p.pond_id, 'value' AS sensor, CAST(p.value AS DOUBLE) AS reading
-  FROM positioned p JOIN axis a ON p.pos = a.pos
+  SELECT g.pos, g.axis_time AS created_at, g.pond_id, 'value' AS sensor, CAST(c.value AS DOUBLE) AS reading
+  FROM grid g LEFT JOIN positioned c ON c.pond_id = g.pond_id AND c.pos = g.pos
   UNION ALL
-  SELECT p.pos, a.axis_time, p.pond_id, 'k', CAST(p.k AS DOUBLE)
-  FROM positioned p JOIN axis a ON p.pos = a.pos)"""
+  SELECT g.pos, g.axis_time, g.pond_id, 'k', CAST(c.k AS DOUBLE)
+  FROM grid g LEFT JOIN positioned c ON c.pond_id = g.pond_id AND c.pos = g.pos)"""
 
 
 @register("align_ponds", "WITH " + _ALIGN_SQL + "\nSELECT * FROM aligned")
