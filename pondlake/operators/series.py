@@ -3,10 +3,11 @@ windows, horizon values and trends.
 
 A readings frame has ``pond_id``, ``created_at``, ``entry_id`` and sensor
 columns.  Time order inside a pond is ``(created_at, entry_id)``; the second key
-makes it total.  Nothing here uses a window partitioned by pond alone over the
-whole table: positions come from ``ordinal.with_position`` and per-pond top-N
-is a two-level limit tree salted by map task, so one pond holding most rows is still split
-across tasks.
+makes it total.  No window here spans a large pond: positions, leads and
+window rows come from ``ordinal`` (a window per pond only for ponds of at most
+``ordinal.SMALL_GROUP_ROWS`` rows), and per-pond top-N is a two-level limit
+tree salted by map task, so one pond holding most rows is still split across
+tasks.
 """
 
 from __future__ import annotations
@@ -159,8 +160,9 @@ def window_rows(df: DataFrame, tick: int, first: int, last: int, size: int = WIN
                 horizon: int = FORECAST_HORIZON) -> DataFrame:
     """Rows at positions ``start+first .. start+last`` of every pond long
     enough, ``start`` being the cursor at ``tick``; adds ``pos``, ``n_rows`` and
-    ``start``.  Exact selection: only a bracket around those positions is
-    ranked, never the whole table (``ordinal.rows_at_positions``)."""
+    ``start``.  Exact selection (``ordinal.rows_at_positions``): small ponds
+    by a window per pond, large ponds by ranking only a bracket around the
+    wanted positions, never the whole pond."""
     def bounds(n_rows):
         start = cursor_expr(n_rows, tick, size, horizon)
         return (F.when(n_rows >= size + horizon, start + first), start + last + 1)
@@ -182,9 +184,9 @@ def sliding_window(df: DataFrame, start: int, size: int = WINDOW_SIZE,
 def horizon_value(df: DataFrame, cols: Sequence[str], h: int = FORECAST_HORIZON,
                   suffix: str = "_future") -> DataFrame:
     """WIN-4: the reading ``h`` rows later in the same pond (an observed later
-    row, not a forecast); null where the series ends.  One hash shuffle: a
-    window per range-partition run plus a small table of run heads
-    (``ordinal.with_lead``)."""
+    row, not a forecast); null where the series ends.  ``ordinal.with_lead``:
+    a window per pond for small ponds; for large ponds a window per
+    range-partition run plus a small table of run heads."""
     return with_lead(df, [POND], TIME_ORDER, cols, h, suffix=suffix)
 
 
