@@ -30,7 +30,8 @@ def test_folder_to_reports_dashboard_and_model(spark, tmp_path):
     space = {"max_depth": {"type": "Integer", "low": 2, "high": 3},
              "n_estimators": {"type": "Integer", "low": 3, "high": 4}}
     spark.table("ponds_e2e").selectExpr("*", "CAST(pond_id AS DOUBLE) AS target") \
-        .drop("pond_id").write.mode("overwrite").saveAsTable("ponds_e2e_train")
+        .drop("pond_id").write.mode("overwrite").option("path", str(tmp_path / "train")) \
+        .saveAsTable("ponds_e2e_train")
     model, params, score = jobs.train_from_table(
         spark, "ponds_e2e_train", "target", "entry_id", "random_forest", space,
         out=str(tmp_path / "models"), n_iter=1, folds=2)
