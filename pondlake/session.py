@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,7 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor re-reads the checkpoint instead of recomputing the whole lineage.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first, so the checkpoint write reads the rows just computed
+    # instead of recomputing them; released once the checkpoint exists
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist(blocking=False)
 
 
 def default_parallelism(spark: SparkSession) -> int:
