@@ -150,8 +150,9 @@ def scale_exprs(train: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
     """The same scaling as expressions: one aggregate over ``train`` gives
     every mean and deviation (a single materialised row); each statistic is
     then a scalar subquery over that row (no join, nothing collected)."""
-    stats = cut_lineage(train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                                  *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]))
+    stats = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                      *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)])
+    stats = cut_lineage(stats, small=True)
     out = {}
     for i, c in enumerate(cols):
         mean = stats.select(f"m{i}").scalar()
@@ -237,7 +238,7 @@ class MedianImputerModel(Model, HasInputCols, HasOutputCols, _ColumnStats,
 
 def impute(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """ML-8 as a query: medians joined in as scalar subqueries."""
-    med = cut_lineage(exact_medians(train, cols))   # one row per column
+    med = cut_lineage(exact_medians(train, cols), small=True)   # one row per column
     return df.withColumns({
         c: F.coalesce(F.col(c).cast("double"),
                       med.filter(F.col("column_name") == c).select("median").scalar())
@@ -251,7 +252,7 @@ def class_weights(df: DataFrame, label: str, weight_col: str = "weight") -> Data
     """ML-9: balanced weights ``n / (k * n_class)``: one grouped count
     (materialised: one row per class), its total and size as scalar subqueries
     over that small table, joined back on the label after a size check."""
-    counts = cut_lineage(df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")))
+    counts = cut_lineage(df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")), small=True)
     total = counts.select(F.sum("_nc")).scalar()
     k = counts.select(F.count(F.lit(1))).scalar()
     w = counts.select(label, (total / (k * F.col("_nc"))).alias(weight_col))

@@ -91,7 +91,7 @@ def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: Sequence[str
     if max_groups is not None and n + max_groups <= BROADCAST_MAX_ROWS:
         runs = F.broadcast(runs)       # at most partitions + groups rows: bounded by the caller
     else:
-        runs = broadcast_if_bounded(cut_lineage(runs))
+        runs = broadcast_if_bounded(cut_lineage(runs, small=True))
     cond = [F.col("__pid") == F.col("__rpid")] + [
         F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group_cols, gkeys)]
     return ranged, runs, cond
@@ -144,11 +144,11 @@ def _lead_by_runs(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
         *keep, "__pid", idx.alias("__i"), "__run_len",
         (F.col("__run_offset") + idx).alias(pos_col),
         *([F.col(count_col)] if count_col else []))
-    heads = broadcast_if_bounded(cut_lineage(
-        p.filter(F.col("__i") < offset).select(
-            *[F.col(g).alias(f"__h{i}") for i, g in enumerate(group_cols)],
-            (F.col(pos_col) - F.lit(offset)).alias("__hpos"),
-            *[F.col(v).alias(f"__hv{j}") for j, v in enumerate(value_cols)])))
+    heads = p.filter(F.col("__i") < offset).select(
+        *[F.col(g).alias(f"__h{i}") for i, g in enumerate(group_cols)],
+        (F.col(pos_col) - F.lit(offset)).alias("__hpos"),
+        *[F.col(v).alias(f"__hv{j}") for j, v in enumerate(value_cols)])
+    heads = broadcast_if_bounded(cut_lineage(heads, small=True))
     run_w = Window.partitionBy("__pid", *group_cols).orderBy("__i")
     within = p.select("*", *[F.lead(v, offset).over(run_w).alias(f"__wv{j}")
                              for j, v in enumerate(value_cols)])
@@ -213,7 +213,7 @@ def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
          .alias("__lo"),
         F.when(i_hi <= grid - 2, F.element_at("__q", (i_hi + 1).cast("int"))).alias("__hi"))
     # one small row per group; materialised so the sketch is computed once
-    stats = cut_lineage(stats)
+    stats = cut_lineage(stats, small=True)
     stats = F.broadcast(stats) if max_groups is not None and max_groups <= BROADCAST_MAX_ROWS \
         else broadcast_if_bounded(stats)
 
@@ -223,9 +223,10 @@ def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
               & (F.col("__hi").isNull() | (t <= F.col("__hi"))))
     # the per-group plan: sizes, bounds, rows before and inside the bracket;
     # one row per group, materialised once for both uses below
-    plan = cut_lineage(tagged.groupBy(*group_cols, "__L", "__a", "__b").agg(
+    plan = tagged.groupBy(*group_cols, "__L", "__a", "__b").agg(
         F.count(F.when(below, 1)).alias("__before"),
-        F.count(F.when(inside, 1)).alias("__inside")))
+        F.count(F.when(inside, 1)).alias("__inside"))
+    plan = cut_lineage(plan, small=True)
     covered = (F.col("__before") <= F.col("__a")) & \
               (F.col("__before") + F.col("__inside") >= F.col("__b"))
     tally = plan.agg(F.count(F.when(covered, 1)).alias("ok"),
@@ -270,7 +271,7 @@ def split_by_size(df: DataFrame, group_cols: Sequence[str], limit: int):
     sizes (materialised, one row per group); at most ``rows / limit`` groups
     are large, so their keys are broadcast after a count."""
     group_cols = list(group_cols)
-    sizes = cut_lineage(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__L")))
+    sizes = cut_lineage(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__L")), small=True)
     big = sizes.filter(F.col("__L") > limit).select(
         *[F.col(g).alias(f"__b{i}") for i, g in enumerate(group_cols)])
     n_big = big.count()

@@ -48,15 +48,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, small: bool = False) -> DataFrame:
     """Materialise ``df`` reliably in the shared checkpoint folder.
 
-    Used where a large intermediate is read by several later stages, so a lost
-    executor re-reads the checkpoint instead of recomputing the whole lineage.
+    Used where an intermediate is read by several later stages, so a lost
+    executor re-reads the checkpoint instead of recomputing the lineage.
+    ``small=True`` (tables of one row per group or column) persists the rows
+    first, so the checkpoint write does not rescan the input a second time;
+    large intermediates are not cached (building the cache costs more than
+    the recomputation it would save).
     """
     ensure_checkpoint_dir(df.sparkSession)
-    # persisted first, so the checkpoint write reads the rows just computed
-    # instead of recomputing them; released once the checkpoint exists
+    if not small:
+        return df.checkpoint(eager=True)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return df.checkpoint(eager=True)
