@@ -47,3 +47,19 @@ def test_lenient_numeric_skips_absent_columns(spark):
     df = spark.createDataFrame([("1.5", "x")], "a string, b string")
     out = P.lenient_numeric(df, ["a", "b", "missing"]).first()
     assert out.a == 1.5 and out.b is None
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.floats(-1e3, 1e3, allow_nan=False), st.floats(-1e3, 1e3, allow_nan=False)),
+                min_size=1, max_size=30))
+def test_trend_is_antisymmetric_under_negation(spark, pairs):
+    from pondlake.operators.series import trend
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a double, b double")
+    pos = {r.i: r.trend for r in trend(df, "a", "b").collect()}
+    neg = {r.i: r.trend for r in trend(df.select("i", (-F.col("a")).alias("a"),
+                                                 (-F.col("b")).alias("b")), "a", "b").collect()}
+    flip = {"up": "down", "down": "up", "flat": "flat"}
+    assert all(neg[i] == flip[pos[i]] for i in pos)
