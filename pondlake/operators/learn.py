@@ -14,7 +14,7 @@ import random
 from collections.abc import Mapping, Sequence
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (GBTClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler

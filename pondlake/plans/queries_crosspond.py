@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from pondlake.fixtures import (E_BASE_POND, E_RANGES, E_SENSORS, events_readings,
                                labelled_documents)
 from pondlake.operators import crosspond as C
