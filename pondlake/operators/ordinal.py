@@ -287,7 +287,8 @@ def _position_by_window(df: DataFrame, group_cols: Sequence[str], order_cols,
                         pos_col: str, count_col: str | None) -> DataFrame:
     """Positions of groups known to be small: a plain window per group."""
     out = df.select("*", (F.row_number().over(
-        Window.partitionBy(*group_cols).orderBy(*_as_cols(order_cols))) - 1).alias(pos_col))
+        Window.partitionBy(*group_cols).orderBy(*_as_cols(order_cols))) - 1)
+        .cast("bigint").alias(pos_col))
     if count_col:
         out = out.withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)))
     return out

@@ -86,7 +86,7 @@ def newest_n_per_pond(df: DataFrame, n: int, salt_buckets: int | None = None,
                 Window.partitionBy(POND, "_salt").orderBy(*_newest_first())))
                    .filter(F.col("_rn0") <= n).drop("_rn0", "_salt"))
     final = first.withColumn(rn_col, F.row_number().over(
-        Window.partitionBy(POND).orderBy(*_newest_first())))
+        Window.partitionBy(POND).orderBy(*_newest_first())).cast("bigint"))
     return final.filter(F.col(rn_col) <= n)
 
 

@@ -21,6 +21,21 @@ def test_query_matches_oracle(spark, duck, name):
     assert rows_of(scols, srows) == rows_of(dcols, drows)
 
 
+# Spark type -> DuckDB type of the same values
+_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+          "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "array<double>": "DOUBLE[]"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_types_match_oracle(spark, duck, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    spark_types = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    rel = duck.sql(ORACLE[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types
+
+
 def test_every_query_has_oracle_or_is_declared_rows_only():
     rows_only = set(E.queries()) - set(ORACLE)
     assert rows_only <= {"train_forest", "train_boosted"}
