@@ -77,3 +77,20 @@ def test_keyed_dedup_across_micro_batches(spark, tmp_path):
     keys = sorted((r.pond_id, r.entry_id) for r in out.select("pond_id", "entry_id").collect())
     assert keys == [(1, 1), (1, 2), (1, 3), (2, 1)]
     assert q.lastProgress is not None
+
+
+def test_refresh_batch_replay_is_idempotent(spark, tmp_path):
+    table = str(tmp_path / "readings3")
+    r = events_readings(spark, SF_SMALL)
+    rows = r.select(F.when(F.col("pond_id") == "click", 1).otherwise(2).alias("pond_id"),
+                    F.col("created_at").cast("timestamp").alias("created_at"), "entry_id",
+                    F.col("value").alias("temperature"), F.col("k").alias("ph"))
+    rows.write.partitionBy("pond_id").parquet(table)
+    run = S.refresh_batch(spark, table, str(tmp_path / "rep"), str(tmp_path / "ov"),
+                          ["temperature", "ph"], 100, ["temperature", "ph"])
+    batch = spark.read.parquet(table).filter("pond_id = 1")
+    run(batch, 7)
+    first = spark.read.parquet(str(tmp_path / "rep")).count()
+    run(batch, 7)                      # the same micro-batch replayed after a failure
+    assert spark.read.parquet(str(tmp_path / "rep")).count() == first == 3
+    assert spark.read.parquet(str(tmp_path / "ov")).count() == 2
