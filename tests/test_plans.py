@@ -73,3 +73,14 @@ def test_positions_route_large_groups_to_range_partitions(spark, monkeypatch):
     monkeypatch.setattr(ordinal, "SMALL_GROUP_ROWS", 50)
     large = plan(E.queries()["row_position"](spark, SF_SMALL))
     assert "Scan ExistingRDD" in large               # the checkpointed range-sorted rows
+
+
+def test_pond_filter_prunes_partitions_of_the_table(spark, tmp_path):
+    from pondlake.operators.series import pond_detail
+    r = events_readings(spark, SF_SMALL).withColumn(
+        "pond_id", F.when(F.col("pond_id") == "click", 1).otherwise(2))
+    r.write.partitionBy("pond_id").parquet(str(tmp_path / "readings"))
+    table = spark.read.parquet(str(tmp_path / "readings"))
+    p = plan(table.filter(F.col("pond_id") == 1).select("pond_id", "created_at", "value"))
+    assert "PartitionFilters: [isnotnull(pond_id" in p and "(pond_id#" in p
+    assert pond_detail(table, 1, ["value"], tick=3).count() == 110
