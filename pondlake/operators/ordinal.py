@@ -259,19 +259,26 @@ def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
 # --------------------------------------------------------------------------- by group size
 
 SMALL_GROUP_ROWS = 1_000_000  # a group this small is ranked whole in one task
+BRACKET_TOTAL_ROWS = 50_000_000  # above this many rows, selections bracket every group past the grid
 
 
 def _limit(small_group_rows: int | None) -> int:
     return SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows
 
 
-def split_by_size(df: DataFrame, group_cols: Sequence[str], limit: int):
+def group_sizes(df: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Rows per group, materialised (one row per group, map-side combined)."""
+    return cut_lineage(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__L")), small=True)
+
+
+def split_by_size(df: DataFrame, group_cols: Sequence[str], limit: int,
+                  sizes: DataFrame | None = None):
     """``(small rows, large rows or None, number of large groups)``: groups of
     at most ``limit`` rows and the rest.  One map-side aggregate gives the
     sizes (materialised, one row per group); at most ``rows / limit`` groups
     are large, so their keys are broadcast after a count."""
     group_cols = list(group_cols)
-    sizes = cut_lineage(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__L")), small=True)
+    sizes = group_sizes(df, group_cols) if sizes is None else sizes
     big = sizes.filter(F.col("__L") > limit).select(
         *[F.col(g).alias(f"__b{i}") for i, g in enumerate(group_cols)])
     n_big = big.count()
@@ -351,13 +358,20 @@ def rows_at_positions(df: DataFrame, group_cols: Sequence[str], time_col: str,
     ``tie_cols``, null times first) lies in ``[a, b)`` with
     ``(a, b) = bounds(count column)``.  Small groups: a window per group and a
     filter.  Large groups: exact bracketed selection (``_bracketed``), which
-    never sorts a whole group."""
+    never sorts a whole group.  On a table of more than ``BRACKET_TOTAL_ROWS``
+    rows every group larger than the sketch grid is bracketed, so the table is
+    scanned rather than shuffled whole for a few positions per group."""
     group_cols = list(group_cols)
     limit = _limit(small_group_rows)
     if limit <= 0:
         return _bracketed(df, group_cols, time_col, tie_cols, bounds, pos_col, count_col, grid,
                           accuracy, max_groups)
-    small, large, n_big = split_by_size(df, group_cols, limit)
+    sizes = group_sizes(df, group_cols)
+    if limit > grid and sizes.agg(F.sum("__L")).first()[0] > BRACKET_TOTAL_ROWS:
+        # a large table: ranking every row of the small groups would shuffle it
+        # all for a few positions each, so all but tiny groups are bracketed
+        limit = grid
+    small, large, n_big = split_by_size(df, group_cols, limit, sizes)
     order = [F.col(time_col).asc_nulls_first(), *tie_cols]
     ranked = _position_by_window(small, group_cols, order, pos_col, count_col)
     a, b = bounds(F.col(count_col))
