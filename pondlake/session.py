@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "pondlake") -> SparkSession:
+                app_name: str = "pondlake", driver_memory: str | None = None) -> SparkSession:
     """A session with AQE on, UTC time and no UI.
 
-    On a cluster ``master`` is left to spark-submit; tests pass ``local[*]``.
+    On a cluster ``master`` and memory are left to spark-submit; local runs
+    pass ``local[N]`` and, since a local session runs every task in the
+    driver's JVM, a ``driver_memory`` for it (applies only when the JVM is
+    started here).
     """
     builder = (SparkSession.builder.appName(app_name)
                .config("spark.ui.enabled", "false")
@@ -26,6 +29,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

@@ -104,16 +104,3 @@ def test_with_lead_across_short_runs(spark):
         got = with_lead(df, ["g"], ["t", "id"], ["v"], 10, num_partitions=parts,
                         small_group_rows=0)
         assert sorted(got.select("id", "v_next").collect()) == exp
-
-
-def test_large_table_brackets_small_groups(spark, monkeypatch):
-    from pondlake.operators import ordinal
-    from pondlake.operators.ordinal import rows_at_positions
-    df = spark.range(0, 6000).select((F.col("id") % 6).alias("g"),
-                                     F.timestamp_seconds((F.col("id") * 7919) % 6000).alias("t"), "id")
-    exp = with_position(df, ["g"], ["t", "id"], count_col="n_rows").filter(
-        (F.col("pos") >= 400) & (F.col("pos") < 510))
-    monkeypatch.setattr(ordinal, "BRACKET_TOTAL_ROWS", 1000)   # "large" table, 1,000-row groups
-    got = rows_at_positions(df, ["g"], "t", ["id"], _window_bounds(400, 110), grid=100)
-    key = ["g", "id", "pos", "n_rows"]
-    assert sorted(got.select(*key).collect()) == sorted(exp.select(*key).collect())

@@ -27,7 +27,7 @@ from pondlake.session import get_session  # noqa: E402
 def main(argv):
     replicas = int(argv[1]) if len(argv) > 1 else 100
     sf_dir = argv[2] if len(argv) > 2 else "/root/testdata/sf0.1"
-    spark = get_session("local[8]", 64)
+    spark = get_session("local[8]", 64, driver_memory="16g")
     base = events_readings(spark, sf_dir)
     big = (base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
                .select(F.when(F.col("entry_id") % 10 < 9, F.lit("hot"))
