@@ -13,7 +13,7 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from pondlake.session import get_session
-    s = get_session("local[*]", 8)
+    s = get_session("local[*]", 8, driver_memory="4g")
     yield s
 
 
