@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pondlake.operators import crosspond, drift, learn, series
 from pondlake.schema import MONITOR_COLUMNS, REPORT_RANGE
-from pondlake.sources.catalog import save_table, scan_table
+from pondlake.sources.catalog import conform_to_readings, save_table, scan_table
 from pondlake.sources.csv_ingest import ingest_folder
 from pondlake.sources.sinks import append_report, save_model
 
 
 def load_ponds(spark: SparkSession, folder: str, table: str, path: str | None = None) -> DataFrame:
-    """Ingest every raw file of ``folder`` into ``table`` (key checked first)."""
-    save_table(ingest_folder(spark, folder), table, path=path)
+    """Ingest every raw file of ``folder`` into ``table``: the ``READINGS``
+    types (population checked to fit INT), key checked before the write."""
+    save_table(conform_to_readings(ingest_folder(spark, folder)), table, path=path)
     return scan_table(spark, table)
 
 

@@ -15,6 +15,8 @@ def test_folder_to_reports_dashboard_and_model(spark, tmp_path):
         _write(d / f"IoTPond{pond}.csv", HEADER, rows)
     table = jobs.load_ponds(spark, str(d), "ponds_e2e", path=str(tmp_path / "tbl"))
     assert table.count() == 3 * 130
+    types = dict(table.dtypes)
+    assert types["pond_id"] == "int" and types["created_at"] == "timestamp"
 
     rep = jobs.monitor_table(spark, "ponds_e2e", ["temperature", "ph"], 100,
                              reports_path=str(tmp_path / "reports"), run_id="r1")
