@@ -71,14 +71,3 @@ def cut_lineage(df: DataFrame, small: bool = False) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         df.unpersist(blocking=False)
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
