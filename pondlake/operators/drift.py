@@ -8,7 +8,8 @@ PSI definition (ours; the reference delegates it to a library):
     last bin; a constant column is one bin (PSI 0);
   * shares are per half (bin rows / the half's non-null rows), floored at 1e-4;
   * ``PSI = sum((ref - cur) * ln(ref / cur))`` over bins;
-  * an empty half gives null PSI and status ``INSUFFICIENT``.
+  * an empty half gives null PSI and status ``INSUFFICIENT``;
+  * a text column has one bin per value.
 
 The monitor's halves hold at most ``report_range`` rows per pond and arrive
 hash-partitioned by pond, so each column's range is a window aggregate per
@@ -23,6 +24,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pondlake.operators.series import POND, drift_halves
 from pondlake.schema import (DRIFT_SHARE, MONITOR_COLUMNS, PSI_COLUMN_THRESHOLD,
@@ -32,7 +34,16 @@ SHARE_FLOOR = 1e-4
 ROUND = 9
 
 
-def _stats_by_window(halves: DataFrame, columns: Sequence[str], is_cur, is_ref) -> DataFrame:
+def _value_cols(c: str, text: bool):
+    """``(x, t)``: the numeric value, or the text value of a text column."""
+    raw = F.col(f"`{c}`")
+    if text:
+        return F.lit(None).cast("double"), raw.cast("string")
+    return raw.cast("double"), F.lit(None).cast("string")
+
+
+def _stats_by_window(halves: DataFrame, columns: Sequence[str], text: set[str],
+                     is_cur, is_ref) -> DataFrame:
     """Per-(pond, column) stats as window aggregates over each pond's rows, in
     the wide form, then one unpivot.  Used when every pond holds a bounded
     number of rows (the newest-N halves): the input is already hash-partitioned
@@ -40,11 +51,14 @@ def _stats_by_window(halves: DataFrame, columns: Sequence[str], is_cur, is_ref)
     w = Window.partitionBy(POND)
     stats, rows = [], []
     for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
-        stats += [x.alias(f"_x{i}"), F.min(x).over(w).alias(f"_mn{i}"), F.max(x).over(w).alias(f"_mx{i}"),
-                  F.count(F.when(is_cur, x)).over(w).alias(f"_nc{i}"),
-                  F.count(F.when(is_ref, x)).over(w).alias(f"_nr{i}")]
-        rows.append(F.struct(F.lit(c).alias("column_name"), F.col(f"_x{i}").alias("x"),
+        x, t = _value_cols(c, c in text)
+        v = t if c in text else x
+        stats += [x.alias(f"_x{i}"), t.alias(f"_t{i}"),
+                  F.min(x).over(w).alias(f"_mn{i}"), F.max(x).over(w).alias(f"_mx{i}"),
+                  F.count(F.when(is_cur, v)).over(w).alias(f"_nc{i}"),
+                  F.count(F.when(is_ref, v)).over(w).alias(f"_nr{i}")]
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(c in text).alias("is_text"),
+                             F.col(f"_x{i}").alias("x"), F.col(f"_t{i}").alias("t"),
                              F.col(f"_mn{i}").alias("mn"), F.col(f"_mx{i}").alias("mx"),
                              F.col(f"_nc{i}").alias("n_current"), F.col(f"_nr{i}").alias("n_reference")))
     wide = halves.select(POND, "half", *stats)
@@ -52,17 +66,22 @@ def _stats_by_window(halves: DataFrame, columns: Sequence[str], is_cur, is_ref)
     return long.withColumn("n", F.col("n_current") + F.col("n_reference"))
 
 
-def _stats_by_join(halves: DataFrame, columns: Sequence[str], is_cur, is_ref) -> DataFrame:
+def _stats_by_join(halves: DataFrame, columns: Sequence[str], text: set[str],
+                   is_cur, is_ref) -> DataFrame:
     """The same stats as a grouped aggregate joined back on (pond, column):
     skew-safe for halves of any size (AQE broadcasts the stats only when their
     measured size allows)."""
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                              F.col(f"`{c}`").cast("double").alias("x")) for c in columns])
-    long = halves.select(POND, "half", F.inline(rows))
+    rows = []
+    for c in columns:
+        x, t = _value_cols(c, c in text)
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(c in text).alias("is_text"),
+                             x.alias("x"), t.alias("t")))
+    long = halves.select(POND, "half", F.inline(F.array(*rows)))
+    v = F.coalesce(F.col("x").cast("string"), F.col("t"))
     stats = long.groupBy(POND, "column_name").agg(
         F.min("x").alias("mn"), F.max("x").alias("mx"),
-        F.count(F.when(is_cur, F.col("x"))).alias("n_current"),
-        F.count(F.when(is_ref, F.col("x"))).alias("n_reference"))
+        F.count(F.when(is_cur, v)).alias("n_current"),
+        F.count(F.when(is_ref, v)).alias("n_reference"))
     stats = stats.withColumn("n", F.col("n_current") + F.col("n_reference"))
     return long.join(stats, [POND, "column_name"])
 
@@ -71,20 +90,26 @@ def psi(halves: DataFrame, columns: Sequence[str], half_col: str = "half",
         bounded: bool = True) -> DataFrame:
     """DRF-1: ``(pond_id, column_name, n_current, n_reference, bins, psi)``.
 
-    ``bounded=True`` (the monitor's newest-N halves) computes the range of each
-    column with a window per pond; ``False`` uses an aggregate and a join, for
-    halves whose ponds may be arbitrarily large."""
+    Numeric columns use the equal-width bins above; a text column uses one bin
+    per value (``bins`` is then null).  ``bounded=True`` (the monitor's
+    newest-N halves) computes each column's range with a window per pond;
+    ``False`` uses an aggregate and a join, for halves whose ponds may be
+    arbitrarily large."""
     halves = halves.withColumnRenamed(half_col, "half") if half_col != "half" else halves
+    text = {f.name for f in halves.schema.fields
+            if f.name in columns and isinstance(f.dataType, T.StringType)}
     is_cur = F.col("half") == "current"
     is_ref = F.col("half") == "reference"
-    long = (_stats_by_window if bounded else _stats_by_join)(halves, columns, is_cur, is_ref)
-    long = long.withColumn("bins", F.when(F.col("n") > 0, F.ceil(F.log2("n") + 1)))
+    long = (_stats_by_window if bounded else _stats_by_join)(halves, columns, text, is_cur, is_ref)
+    long = long.withColumn("bins", F.when(~F.col("is_text") & (F.col("n") > 0),
+                                          F.ceil(F.log2("n") + 1)))
     scaled = (F.col("x") - F.col("mn")) / (F.col("mx") - F.col("mn")) * F.col("bins")
+    numeric_bin = (F.when(F.col("x").isNull(), F.lit(None))
+                    .when(F.col("mx") > F.col("mn"), F.least(F.floor(scaled), F.col("bins") - 1))
+                    .otherwise(F.lit(0)))
     binned = long.select(
         POND, "column_name", "half", "n_current", "n_reference", "bins",
-        F.when(F.col("x").isNull(), F.lit(None))
-         .when(F.col("mx") > F.col("mn"), F.least(F.floor(scaled), F.col("bins") - 1))
-         .otherwise(F.lit(0)).alias("bin"))
+        F.when(F.col("is_text"), F.col("t")).otherwise(numeric_bin.cast("string")).alias("bin"))
     per_bin = binned.groupBy(POND, "column_name", "n_current", "n_reference", "bins", "bin").agg(
         F.count(F.when(is_cur, 1)).alias("c_cur"), F.count(F.when(is_ref, 1)).alias("c_ref"))
     # an empty half makes the share undefined (null), never a division error

@@ -62,3 +62,15 @@ def test_report_range_odd_gives_extra_row_to_current(spark):
     h = drift_halves(df, 7)
     counts = {r.half: r["count"] for r in h.groupBy("half").count().collect()}
     assert counts == {"current": 4, "reference": 3}
+
+
+def test_text_column_one_bin_per_value(spark):
+    rows = [("p", "reference", v) for v in "aaab"] + [("p", "current", v) for v in "abbb"]
+    halves = spark.createDataFrame(rows, "pond_id string, half string, s string")
+    got = D.psi(halves, ["s"]).first()
+    r, c = {"a": 0.75, "b": 0.25}, {"a": 0.25, "b": 0.75}
+    import math
+    exp = sum((r[k] - c[k]) * math.log(r[k] / c[k]) for k in r)
+    assert got.bins is None and abs(got.psi - round(exp, 9)) < 1e-12
+    same = D.psi(halves, ["s"], bounded=False).first()
+    assert same.psi == got.psi
