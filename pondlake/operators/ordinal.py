@@ -191,8 +191,9 @@ def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
 
     Exact, without sorting the whole table: a map-side combined aggregate
     gives each group's size and a grid of ``grid`` time quantiles (mergeable
-    sketches); the grid brackets the wanted positions by a few cells; a second
-    aggregate counts the rows before the bracket; only the bracket rows are
+    sketches); the grid brackets the wanted positions by a few cells; one more
+    pass keeps the bracket rows and counts the rows before the bracket (an
+    aggregate that collapses the latter map-side); only the bracket rows are
     ranked (with ``with_position``).  A group whose bracket turns out not to
     cover ``[a, b)`` (possible only if the sketch errs beyond its bound) is
     re-done with full positions, so the result never depends on the sketch.
@@ -221,14 +222,22 @@ def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
     below = t.isNull() | (F.col("__lo").isNotNull() & (t < F.col("__lo")))
     inside = (t.isNotNull() & (F.col("__lo").isNull() | (t >= F.col("__lo")))
               & (F.col("__hi").isNull() | (t <= F.col("__hi"))))
-    # the per-group plan: sizes, bounds, rows before and inside the bracket;
-    # one row per group, materialised once for both uses below
-    plan = tagged.groupBy(*group_cols, "__L", "__a", "__b").agg(
-        F.count(F.when(below, 1)).alias("__before"),
-        F.count(F.when(inside, 1)).alias("__inside"))
-    plan = cut_lineage(plan, small=True)
-    covered = (F.col("__before") <= F.col("__a")) & \
-              (F.col("__before") + F.col("__inside") >= F.col("__b"))
+    # One pass over the rows: a bracket row keeps its values (exact copies
+    # collapse into a count), rows before the bracket collapse into one count
+    # per group -- map-side, so only the bracket and a few partial counts move.
+    data = [c for c in df.columns if c not in group_cols]
+    keyed = tagged.filter(below | inside).select(
+        *group_cols, "__L", "__a", "__b", inside.alias("__in"),
+        *[F.when(inside, F.col(f"`{c}`")).alias(c) for c in data])
+    agg = keyed.groupBy(*group_cols, "__L", "__a", "__b", "__in", *data).agg(
+        F.count(F.lit(1)).alias("__k"))
+    agg = cut_lineage(agg, small=True)
+    plan = agg.groupBy(*group_cols, "__L", "__a", "__b").agg(
+        F.sum(F.when(~F.col("__in"), F.col("__k")).otherwise(0)).alias("__before"),
+        F.sum(F.when(F.col("__in"), F.col("__k")).otherwise(0)).alias("__inside"))
+    end = F.least(F.col("__b"), F.col("__L"))
+    covered = (F.col("__a") >= F.col("__L")) | (
+        (F.col("__before") <= F.col("__a")) & (F.col("__before") + F.col("__inside") >= end))
     tally = plan.agg(F.count(F.when(covered, 1)).alias("ok"),
                      F.count(F.when(~covered, 1)).alias("missed")).first()   # one row
     ok = plan.filter(covered).select(*group_cols, "__before", "__a", "__b", "__L")
@@ -236,9 +245,10 @@ def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
         ok = F.broadcast(ok)
     cols = [c for c in df.columns]
 
-    bracket = tagged.filter(inside).select(*cols).join(ok.select(*group_cols), group_cols, "left_semi")
-    ranked = _position_by_range(bracket, group_cols, [time_col, *tie_cols], pos_col="__bpos",
-                                max_groups=tally.ok)
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("__k").cast("int")))
+    bracket = (agg.filter(F.col("__in")).select(*cols, copies.alias("__copy")).drop("__copy")
+                  .join(ok.select(*group_cols), group_cols, "left_semi"))
+    ranked = with_position(bracket, group_cols, [time_col, *tie_cols], pos_col="__bpos")
     picked = (ranked.join(ok, group_cols)
                     .withColumn(pos_col, F.col("__before") + F.col("__bpos"))
                     .filter((F.col(pos_col) >= F.col("__a")) & (F.col(pos_col) < F.col("__b")))
