@@ -287,7 +287,13 @@ def split_by_size(df: DataFrame, group_cols: Sequence[str], limit: int,
     sizes (materialised, one row per group); at most ``rows / limit`` groups
     are large, so their keys are broadcast after a count."""
     group_cols = list(group_cols)
-    sizes = group_sizes(df, group_cols) if sizes is None else sizes
+    if sizes is None:
+        # the common case has no large group: one aggregate answers that, and
+        # the sizes are materialised only when large groups must be split off
+        lazy = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__L"))
+        if lazy.filter(F.col("__L") > limit).limit(1).count() == 0:
+            return df, None, 0
+        sizes = cut_lineage(lazy, small=True)
     big = sizes.filter(F.col("__L") > limit).select(
         *[F.col(g).alias(f"__b{i}") for i, g in enumerate(group_cols)])
     n_big = big.count()
