@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pondlake.operators.ordinal import rows_at_positions
+from pondlake.operators.ordinal import group_median_stats, rows_at_positions
 from pondlake.operators.series import POND, TIME_ORDER, cursor_expr, unpivot_sensors
 from pondlake.schema import FORECAST_HORIZON, WINDOW_SIZE
 
@@ -45,12 +45,12 @@ def align_ponds(df: DataFrame, base_pond, sensors: Sequence[str], tick: int,
 def cross_pond_stats(aligned: DataFrame,
                      keys: Sequence[str] = ("sensor", "pos", "created_at")) -> DataFrame:
     """AGG-1: min / median / max across ponds at each position and sensor;
-    missing readings are ignored, all missing gives null.  Each group holds one
-    value per pond, so the exact median stays small per group."""
-    return aligned.groupBy(*keys).agg(
-        F.min("reading").alias("min"),
-        F.median("reading").alias("median"),
-        F.max("reading").alias("max"))
+    missing readings are ignored, all missing gives null.  One aggregate with
+    the exact median for groups of ordinary size; a position shared by more
+    than ``ordinal.SMALL_GROUP_ROWS`` ponds selects only its middle readings
+    (``ordinal.group_median_stats``), so their readings never meet in one
+    task."""
+    return group_median_stats(aligned, list(keys), "reading")
 
 
 def aggregate_overview(df: DataFrame, base_pond, sensors: Sequence[str], tick: int,

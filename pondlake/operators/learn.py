@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pondlake.functions.columns import columns_by_type
-from pondlake.operators.ordinal import broadcast_if_bounded, rows_at_positions, with_position
+from pondlake.operators.ordinal import broadcast_if_bounded, group_medians, with_position
 from pondlake.session import cut_lineage
 from pondlake.schema import CV_SPLITS, RANDOM_STATE, SEARCH_TRIALS, TEST_SIZE
 
@@ -174,15 +174,12 @@ def standard_scale(train: DataFrame, df: DataFrame, cols: Sequence[str],
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Exact median (interpolated on even counts) of each column, nulls
     ignored: ``(column_name, median)``.  Only the one or two middle values of
-    each column are selected (``ordinal.rows_at_positions``: sketches bracket
-    the middle, only the bracket is ranked), so no column is sorted whole."""
+    each column are selected (``ordinal.group_medians``: small columns by a
+    window, large ones by sketch-bracketed selection), so no column is sorted
+    whole."""
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x"))
                      for c in cols])
-    long = df.select(F.inline(rows)).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    middle = rows_at_positions(long, ["column_name"], "x", [],
-                               lambda n: (F.floor((n - 1) / 2), F.ceil((n - 1) / 2) + 1),
-                               pos_col="_pos", count_col="_n", max_groups=len(cols))
-    return middle.groupBy("column_name").agg(F.avg("x").alias("median"))
+    return group_medians(df.select(F.inline(rows)), ["column_name"], "x")
 
 
 def approx_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10000) -> DataFrame:

@@ -404,3 +404,56 @@ def rows_at_positions(df: DataFrame, group_cols: Sequence[str], time_col: str,
         parts.append(_bracketed(large, group_cols, time_col, tie_cols, bounds, pos_col,
                                 count_col, grid, accuracy, n_big))
     return _union(parts)
+
+
+def group_medians(df: DataFrame, group_cols: Sequence[str], value_col: str,
+                  out_col: str = "median", small_group_rows: int | None = None) -> DataFrame:
+    """Exact median of ``value_col`` per group, nulls (and NaN) ignored,
+    interpolated on even counts as ``0.5 * lo + 0.5 * hi`` (the same rounding
+    as Spark's ``percentile`` and DuckDB's ``median``).  Groups of at most
+    ``small_group_rows`` values use the exact ``median`` aggregate (bounded
+    per group); larger groups select only their one or two middle values
+    (``rows_at_positions``), so no group's values are gathered in one task.
+    Groups without values are absent."""
+    group_cols = list(group_cols)
+    x = F.col(value_col).cast("double")
+    vals = df.select(*group_cols, x.alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    if not group_cols:
+        return _selected_medians(vals, group_cols, out_col)
+    small, large, _ = split_by_size(vals, group_cols, _limit(small_group_rows))
+    parts = []
+    if small is not None:
+        parts.append(small.groupBy(*group_cols).agg(F.median("__x").alias(out_col)))
+    if large is not None:
+        parts.append(_selected_medians(large, group_cols, out_col))
+    return _union(parts)
+
+
+def _selected_medians(vals: DataFrame, group_cols: list[str], out_col: str) -> DataFrame:
+    mid = rows_at_positions(vals, group_cols, "__x", [],
+                            lambda n: (F.floor((n - 1) / 2), F.ceil((n - 1) / 2) + 1),
+                            pos_col="__p", count_col="__n", small_group_rows=0)
+    lo, hi = F.min("__x"), F.max("__x")
+    return mid.groupBy(*group_cols).agg((lo * F.lit(0.5) + hi * F.lit(0.5)).alias(out_col))
+
+
+def group_median_stats(df: DataFrame, group_cols: Sequence[str], value_col: str,
+                       small_group_rows: int | None = None) -> DataFrame:
+    """``(group..., min, median, max)`` of ``value_col`` per group (nulls and
+    NaN ignored; a group without values gets nulls).  Groups of at most
+    ``small_group_rows`` rows: one aggregate with the exact ``median``.  Larger
+    groups: min/max as a partial aggregate plus the selected middle values."""
+    group_cols = list(group_cols)
+    raw = F.col(value_col).cast("double")
+    x = F.when(~F.isnan(raw), raw)
+    vals = df.select(*group_cols, x.alias("__x"))
+    small, large, _ = split_by_size(vals, group_cols, _limit(small_group_rows))
+    parts = []
+    if small is not None:
+        parts.append(small.groupBy(*group_cols).agg(
+            F.min("__x").alias("min"), F.median("__x").alias("median"), F.max("__x").alias("max")))
+    if large is not None:
+        spread = large.groupBy(*group_cols).agg(F.min("__x").alias("min"), F.max("__x").alias("max"))
+        middle = _selected_medians(large.filter(F.col("__x").isNotNull()), group_cols, "median")
+        parts.append(spread.join(middle, group_cols, "left").select(*group_cols, "min", "median", "max"))
+    return _union(parts)

@@ -31,3 +31,15 @@ def test_band_edges(spark):
                                "pond_id string, v double")
     got = {r.band: r.n for r in C.range_profile(df, ["v"], [("v", 50.0, 50.0)]).collect()}
     assert got == {"null": 1, "normal": 2, "outlier": 2, "out_of_range": 2}
+
+
+def test_median_stats_paths_agree(spark):
+    from pondlake.operators.ordinal import group_median_stats
+    rows = [(g, float(v) if v is not None else None)
+            for g, vs in {1: [3, 1, 2, 8], 2: [5], 3: [None, None], 4: [7, None, 1]}.items() for v in vs]
+    df = spark.createDataFrame(rows, "g int, v double")
+    small = sorted(group_median_stats(df, ["g"], "v").collect())
+    large = sorted(group_median_stats(df, ["g"], "v", small_group_rows=0).collect())
+    assert small == large
+    assert [tuple(r) for r in small] == [(1, 1.0, 2.5, 8.0), (2, 5.0, 5.0, 5.0), (3, None, None, None),
+                                         (4, 1.0, 4.0, 7.0)]

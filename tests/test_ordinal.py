@@ -104,3 +104,18 @@ def test_with_lead_across_short_runs(spark):
         got = with_lead(df, ["g"], ["t", "id"], ["v"], 10, num_partitions=parts,
                         small_group_rows=0)
         assert sorted(got.select("id", "v_next").collect()) == exp
+
+
+from hypothesis import given as _given, settings as _settings, strategies as _st  # noqa: E402
+
+
+@_settings(max_examples=6, deadline=None)
+@_given(_st.lists(_st.tuples(_st.integers(0, 2), _st.integers(-20, 20)), min_size=1, max_size=60))
+def test_group_medians_both_paths_match_numpy(spark, rows):
+    import numpy as np
+    from pondlake.operators.ordinal import group_medians
+    df = spark.createDataFrame([(g, float(v)) for g, v in rows], "g int, v double")
+    exp = {g: float(np.median([v for gg, v in rows if gg == g])) for g in {g for g, _ in rows}}
+    for small in (None, 0):          # window path, bracket path
+        got = {r.g: r.median for r in group_medians(df, ["g"], "v", small_group_rows=small).collect()}
+        assert got == exp
