@@ -114,7 +114,7 @@ class _ColumnStats(Params):
 class PopulationScaler(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable,
                        DefaultParamsWritable):
     """ML-6: ``(x - mean) / stddev_pop`` fitted on the training rows (a zero
-    deviation divides by 1), i.e. scikit-learn's scaling, not MLlib's sample
+    deviation divides by 1): the population deviation, not MLlib's sample
     deviation."""
 
     @keyword_only
