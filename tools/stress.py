@@ -19,6 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from pondlake.fixtures import events_readings  # noqa: E402
 from pondlake.operators import drift as D  # noqa: E402
+from pondlake.operators import learn as L  # noqa: E402
 from pondlake.operators import ordinal  # noqa: E402
 from pondlake.operators import series as S  # noqa: E402
 from pondlake.session import get_session  # noqa: E402
@@ -36,15 +37,21 @@ def main(argv):
                        (F.col("entry_id") * replicas + F.col("rep")).alias("entry_id"), "value", "k"))
     ops = {"overview": lambda: S.overview(big, ["value", "k"], 123456),
            "trend_all": lambda: S.trend_all(big, ["value", "k"]),
-           "monitor": lambda: D.monitor(big, ["value", "k"], 10000)}
-    out = {}
+           "monitor": lambda: D.monitor(big, ["value", "k"], 10000),
+           "medians": lambda: L.exact_medians(big, ["value", "k"])}
+    out, medians = {}, {}
     for mode, limit in (("routed", ordinal.SMALL_GROUP_ROWS), ("window_only", 10 ** 15)):
         ordinal.SMALL_GROUP_ROWS = limit
         for name, fn in ops.items():
             t0 = time.perf_counter()
-            fn().write.format("noop").mode("overwrite").save()
+            if name == "medians":
+                medians[mode] = sorted(tuple(r) for r in fn().collect())
+            else:
+                fn().write.format("noop").mode("overwrite").save()
             out[f"{mode}.{name}"] = round(time.perf_counter() - t0, 2)
-    print(json.dumps({"replicas": replicas, "sec": out}))
+    print(json.dumps({"replicas": replicas, "sec": out,
+                      "medians_equal": medians["routed"] == medians["window_only"],
+                      "medians": medians["routed"]}))
 
 
 if __name__ == "__main__":
