@@ -119,3 +119,18 @@ def test_group_medians_both_paths_match_numpy(spark, rows):
     for small in (None, 0):          # window path, bracket path
         got = {r.g: r.median for r in group_medians(df, ["g"], "v", small_group_rows=small).collect()}
         assert got == exp
+
+
+def test_global_positions_without_groups(spark):
+    df = spark.range(0, 500).select(((F.col("id") * 37) % 500).alias("t"), "id")
+    got = with_position(df, [], ["t", "id"], count_col="n", num_partitions=7)
+    rows = got.select("t", "pos", "n").collect()
+    assert sorted((r.t, r.pos) for r in rows) == [(i, i) for i in range(500)]
+    assert {r.n for r in rows} == {500}
+
+
+def test_shifted_inner_drops_rows_without_partner(spark):
+    df = spark.range(0, 30).select(F.lit("g").alias("g"), F.col("id").alias("t"), (F.col("id") * 2.0).alias("v"))
+    p = with_position(df, ["g"], ["t"])
+    got = shifted(p, ["g"], ["v"], 5, how="inner").orderBy("pos").collect()
+    assert len(got) == 25 and got[0].v_next == 10.0 and got[-1].v_next == 58.0
