@@ -45,3 +45,7 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert rows and set(df.columns) >= {"pond_id", "metric", "status"}
+
+
+def test_entry_schema_is_stable(spark):
+    assert E.entry(spark).schema == E.entry(spark).schema
