@@ -22,6 +22,10 @@ def test_folder_to_reports_dashboard_and_model(spark, tmp_path):
                              reports_path=str(tmp_path / "reports"), run_id="r1")
     assert rep.filter("test_order = 0").count() == 3
     assert spark.read.parquet(str(tmp_path / "reports")).count() == rep.count()
+    full = jobs.monitor_table(spark, "ponds_e2e", report_range=100)      # the nine default columns
+    assert full.count() == 3 * (1 + 9)
+    constant = full.filter("column_name = 'population'").collect()       # constant: one bin, PSI 0
+    assert all(r.value == 0.0 and r.status == "PASS" for r in constant)
 
     dash = jobs.dashboard(spark, "ponds_e2e", ["temperature", "ph"], tick=7, base_pond=1,
                           detail_pond=2)
