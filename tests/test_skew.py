@@ -69,3 +69,15 @@ def test_newest_and_monitor(spark, skewed):
     rep = D.monitor(skewed, ["value", "k"], n)
     cols = ["pond_id", "test_order", "value", "status"]
     assert _rows(rep, cols) == _rows(exp, cols)
+
+
+def test_trend_all_has_one_row_per_cursor(spark):
+    from pondlake.fixtures import events_readings as readings
+    from tests.conftest import SF_SMALL
+    r = readings(spark, SF_SMALL)
+    got = S.trend_all(r, ["value", "k"])
+    sizes = {row.pond_id: row["count"] for row in r.groupBy("pond_id").count().collect()}
+    per = {(row.pond_id, row.sensor): (row.n, row.lo, row.hi) for row in got.groupBy("pond_id", "sensor").agg(
+        F.count(F.lit(1)).alias("n"), F.min("cursor").alias("lo"), F.max("cursor").alias("hi")).collect()}
+    for (pond, _), (n, lo, hi) in per.items():
+        assert (n, lo, hi) == (sizes[pond] - 109, 0, sizes[pond] - 110)
