@@ -57,10 +57,11 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         width *= WIDEN
         ended += width
         digit = rows.withColumn("digit", F.substring("body", 1, width))
-        groups = digit.groupBy("grp", "digit").agg(
+        # written, so that both sides of the join are plain shuffles, whose large parts Spark splits
+        groups = scratch.write(digit.groupBy("grp", "digit").agg(
             F.count("*").alias("n"),
-            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("least"))
-        split = digit.join(groups, ["grp", "digit"])
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("least")))
+        split = sized_join(digit, groups, ["grp", "digit"], "inner", width + 64)
         open_ = (F.col("n") > 1) & (F.col("size") > ended)
         rows = scratch.write(split.select(
             "doc_id", "text_key", "text_sha256", "size", "row_id", F.col("least.doc_id").alias("keep_id"),
