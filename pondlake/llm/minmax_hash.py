@@ -224,7 +224,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"),
                          F.col(text_col).cast("string").alias("text"))
     signed = scratch.write(source.mapInArrow(_sign, _SIG).withColumn("row_id", F.monotonically_increasing_id()))
-    classes = signed.filter("n > 0").groupBy("digest").agg(F.min("row_id").alias("class"), F.min("doc_id").alias("least"))
+    # written, as are other aggregates below that are joined back: Spark splits the large parts
+    # of a join whose two sides are plain shuffles
+    classes = scratch.write(signed.filter("n > 0").groupBy("digest").agg(
+        F.min("row_id").alias("class"), F.min("doc_id").alias("least")))
     members = scratch.write(signed.drop("sig").join(classes, "digest", "left").drop("digest"))
     copies = members.filter("class != row_id").select("row_id")
     first = sized_join(signed.filter("n > 0"), copies, ["row_id"], "left_anti", 16)
@@ -232,7 +235,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = first.select("row_id", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring("sig", i * F.lit(4 * BAND) + F.lit(1), F.lit(4 * BAND))))).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("row_id").alias("head"), F.count("*").alias("size")).filter("size > 1")
+    buckets = scratch.write(keys.groupBy("key").agg(F.min("row_id").alias("head"), F.count("*").alias("size"))
+                            .filter("size > 1").drop("size"))
     shared = scratch.write(keys.join(buckets, "key"))
     involved = scratch.write(shared.select("row_id").distinct())
     wanted = scratch.write(sized_join(members, involved, ["row_id"], "left_semi", 16).select("doc_id", "text_key", "row_id"))
@@ -254,10 +258,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = shared.join(labels, shared["row_id"] == labels["node"], "left") \
                   .select("key", "row_id", "head", F.coalesce("label", "row_id").alias("comp"))
     rest = scratch.write(named.filter("row_id != head"))
-    open_ = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")) \
-                .filter("low != high")
     heads = named.filter("row_id = head").select("key", F.col("comp").alias("main"))
-    left = scratch.write(rest.join(open_, "key").join(heads, "key")
+    open_ = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+    open_ = scratch.write(open_.filter("low != high").join(heads, "key").select("key", "size", "main"))
+    left = scratch.write(rest.join(open_, "key")
                          .select("key", "row_id", "comp", (F.col("comp") != F.col("main")).alias("minor"),
                                  F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     if not left.isEmpty():

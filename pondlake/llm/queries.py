@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pondlake.llm import minmax_hash, mixing, packing, quality, radix_dedup
+from pondlake.llm import (chat, langid, minmax_hash, mixing, packing, quality, radix_dedup, secret_ledger, token_order,
+                          wrapper_html)
+from pondlake.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,12 +24,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = wrapper_html.extract(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op2_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence of ``documents`` as its record reads in the written shards."""
+    path = f"{Scratch(spark, 'shards').root}/shards"
+    manifest = token_order.materialise(token_order.sequences(_table(spark, sf_dir, "documents")), path, key=20240229)
+    read = token_order.read_slots(spark, path).drop("ids", "length")
+    return manifest.join(read, "slot").select("doc_id", "piece", "length", "slot", "shard", "byte_offset", "ids_crc32")
+
+
 @_query
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(_table(spark, sf_dir, "documents")).drop("ids")
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@_query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    back = chat.read_back(chat.format_chats(given.unionByName(extra)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("long").alias("loss_chars"),
+                       F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@_query
+def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    samples = langid.sample(docs, ~F.coalesce(held_out, F.lit(False)))
+    out = langid.identify(docs, langid.fit(samples) if samples else None)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @_query
 def op6_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.exact_classes(_table(spark, sf_dir, "documents")).drop("text_key")
@@ -43,6 +83,17 @@ g as (
 select doc_id, keep_id, group_size, place = 1 as kept, sha256(t) as text_sha256 from g"""
 
 
+@_query
+def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_ledger.scan(_table(spark, sf_dir, "documents"))
+    text = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["place"] < 3)
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 @_query
 def op8_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"))
