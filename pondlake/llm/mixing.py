@@ -61,8 +61,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     # the level if all sources before this one are full and this one and those after it are not
     per = per.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
                          / F.sum("weight").over(rest))
-    per = per.withColumn("fits", F.col("weight") * F.col("level") <= F.col("cap"))
-    level = F.min(F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("level")))).over(whole)
+    per = per.withColumn("place", F.row_number().over(full)).withColumn("fits", F.col("weight") * F.col("level") <= F.col("cap"))
+    level = F.min(F.when(F.col("fits"), F.struct("place", "level"))).over(whole)
     target = F.least("cap", F.coalesce(F.col("weight") * level["level"], F.col("cap")))
     return per.select("source", "source_size", target.alias("target"))
 
@@ -95,27 +95,30 @@ def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.ndarray:
-    """Documents to take of each length, at most its count, summing to about ``budget``
-    (exactly, if the knapsack reaches it)."""
+    """Documents to take of each length (ascending), at most its count, summing to about
+    ``budget`` (exactly, if the knapsack reaches it)."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
     rng = np.random.default_rng(seed)
-    bulk = max(0, budget - WINDOW)
+    bulk = budget - WINDOW if budget > 4 * WINDOW else 0
     take = np.minimum(counts, np.floor(counts * (bulk / max(total, 1)) + rng.random(len(counts))).astype(np.int64))
     left = budget - int((lengths * take).sum())
-    while left < 0 or left > 2 * WINDOW:  # rounding and long documents: single documents, the longest that help first
-        if left < 0:
-            i = max(np.flatnonzero((take > 0) & (lengths > 0)), key=lambda j: (lengths[j] <= -left, lengths[j] if lengths[j] <= -left else -lengths[j]))
-            n = max(1, min(int(take[i]), -left // int(lengths[i])))
+    low = WINDOW // 2 if budget > 4 * WINDOW else 0
+    while not low <= left <= 4 * WINDOW:  # what rounding has left over: single documents, long ones first
+        if left < low:
+            there = np.flatnonzero((take > 0) & (lengths > 0))
+            near = there[lengths[there] <= WINDOW - left]
+            i = near[-1] if len(near) else there[0]
+            n = max(1, min(int(take[i]), (low - left) // int(lengths[i])))
             take[i] -= n
             left += n * int(lengths[i])
         else:
-            fits = np.flatnonzero((take < counts) & (lengths > 0) & (lengths <= left))
-            if not len(fits):
+            there = np.flatnonzero((take < counts) & (lengths > 0) & (lengths <= left - low))
+            if not len(there):
                 break
-            i = fits[np.argmax(lengths[fits])]
-            n = min(int(counts[i] - take[i]), max(1, (left - WINDOW) // int(lengths[i])))
+            i = there[-1]
+            n = max(1, min(int(counts[i] - take[i]), (left - 2 * WINDOW) // int(lengths[i])))
             take[i] += n
             left -= n * int(lengths[i])
     return take + _fill(lengths, counts - take, left) if left > 0 else take
