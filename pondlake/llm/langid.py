@@ -105,11 +105,13 @@ def fit(samples: dict[str, str]) -> Model:
         text = text[text != UNKNOWN].tolist()
         go = automaton(text)
         first = sum(map(len, rows))
-        block = np.zeros((len(go), width), np.int32)
+        block = np.zeros((len(go) + 1, width), np.int32)
         for s, edges in enumerate(go):
             for c, t in edges.items():
                 block[s, c] = first + t
-        block[:, PAD] = np.arange(first, first + len(go))
+        # a symbol that the sample lacks is a phrase of its own: the last state, which nothing follows
+        block[0][block[0] == 0] = first + len(go)
+        block[:, PAD] = np.arange(first, first + len(block))
         rows.append(block)
         roots.append(first)
         weights.append(math.log2(max(2, len(text))))
@@ -132,7 +134,6 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     padded = np.append(flat, np.uint8(PAD))
     for k, root in enumerate(model.roots):
         at_root = model.table[root].astype(np.int64)
-        at_root = np.where(at_root == 0, root, at_root)
         state, made = np.full(len(first), root, np.int64), np.zeros(len(first), np.int64)
         live = len(first)
         for i in range(int(lens[0]) if len(lens) else 0):

@@ -32,7 +32,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: The knapsack's budget: the bulk leaves about this many words to it.
 WINDOW = 16_384
 #: Documents of one source and length that are ranked together.
-RANKED = 20_000
+RANKED = 500
 
 
 def words_in(text: Column) -> Column:

@@ -34,6 +34,8 @@ from pondlake.llm.common import Scratch, ship, sized_join
 LEAST_PAGES = 5
 #: A slot with this share of its text in links is a menu.
 LINK_SHARE = 0.8
+#: Elements nested deeper than this share their ancestor's slot.
+DEEPEST = 64
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -55,9 +57,8 @@ LEFT_OUT_WORDS = frozenset(
     " reply replies disqus newsletter subscribe subscription signup login share sharing social related recommended breadcrumb"
     " breadcrumbs pagination pager popup modal overlay widget search copyright complementary contentinfo alert toolbar"
     " tracking skip hidden".split())
-KEPT_WORDS = frozenset("main article content post entry story body".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PARSED = "page_id long, url string, host string, tree string, blocks array<struct<slot:int,text:string,links:int>>"
@@ -65,7 +66,7 @@ _PARSED = "page_id long, url string, host string, tree string, blocks array<stru
 
 @lru_cache(4096)
 def _label(tag: str, attrs: str) -> str:
-    """Tag with its class and id words, numbers left out; ``!`` where it is not the article's."""
+    """Tag with its classes and id, less numbers that count records; ``!`` where it is not the article's."""
     if not attrs:
         return tag + ("!" if tag in LEFT_OUT_TAGS else "")
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
@@ -73,7 +74,9 @@ def _label(tag: str, attrs: str) -> str:
     out = (tag in LEFT_OUT_TAGS or "hidden" in found or found.get("aria-hidden") == "true"
            or (tag not in ("html", "body", "article", "main") and bool(LEFT_OUT_WORDS & set(words)))
            or (tag == "article" and bool({"comment", "comments", "ad", "related"} & set(words))))
-    return ".".join([tag, *words]) + ("!" if out else "")
+    names = [re.sub(r"\d{3,}", "", x) for x in sorted(unescape(found.get("class", "")).split())]
+    names += [re.sub(r"\d+", "", x) for x in unescape(found.get("id", "")).split()]
+    return re.sub(r"[/!\n]", "", ".".join([tag, *names])) + ("!" if out else "")
 
 
 def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
@@ -82,7 +85,8 @@ def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
 
     Character references are decoded and white space inside a block is one space.
     End tags left out are implied as the HTML standard does for paragraphs, list
-    items and table cells; raw-text elements, comments and markup have no text.
+    items and table cells; raw-text elements, comments and markup have no text. A
+    quote left open in a tag ends with the tag, a tag left open with the page.
     """
     slots: dict[str, int] = {}
     blocks: list[tuple[int, str, int]] = []
@@ -97,7 +101,7 @@ def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
             parts.clear()
             text = " ".join((unescape(text) if "&" in text else text).split())
             if text:
-                path = stack[-1][1]
+                path = stack[-1][1] or "/#"
                 blocks.append((slots.setdefault(path, len(slots)), text, min(linked, len(text))))
         linked = 0
 
@@ -155,7 +159,9 @@ def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
             if tag == "body" and stack[-1][0] == "head":
                 stack.pop()
             if tag not in VOID:
-                path = f"{stack[-1][1]}/{_label(tag, m[3])}"
+                path, label = stack[-1][1], _label(tag, m[3])
+                if len(stack) <= DEEPEST or (label[-1] == "!" and path[-1] != "!"):
+                    path = f"{path}/{label}"
                 slots.setdefault(path, len(slots))
                 stack.append((tag, path))
     close()
@@ -222,7 +228,8 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [[], [], [], [], [], []]
         for host, tree, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "reference"))):
-            paths, pairs = tree.split("\n"), match(tree.split("\n"), reference.split("\n"))
+            paths = tree.split("\n") if tree else []
+            pairs = match(paths, reference.split("\n") if reference else [])
             for i, path in enumerate(paths):
                 labels = path.split("/")
                 inside = [x for x in labels if re.match(r"(article|main)\b(?!.*!)", x)]

@@ -1,0 +1,72 @@
+"""Secret scans: spans against plain regular expressions, and the ledger."""
+
+import re
+from collections import Counter
+from dataclasses import replace
+
+from pondlake.llm import secret_ledger as sl
+from tests.llm import helpers as h
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+TEXTS = [
+    "password: token: abcdefgh12", "PassWord = 'hunter22xx' and api_key=\"ABCDEFGH\"", "token=short then secret=abcdefg",
+    "toKen=abcdefgh", "é😀 secret: abcdefghij", "AKIAABCDEFGHIJKL AKIASHORT AKIA" + "Z" * 40, "deadbeef" * 4 + " " + "0" * 31,
+    "apikey=" + "0123456789abcdef" * 3, "ghp_" + "a" * 36, "AIza" + "x" * 35, "-----BEGIN RSA PRIVATE KEY-----",
+    "eyJhbGciOi1.eyJzdWIiOiI1.c2lnbmF0dXJl", "password=password=12345678", "API_KEY : 'a.b-c_d/e+f='", None, "", "token\n=abcdefgh",
+    "x" * 200_000 + " secret=abcdefgh1"]
+
+
+def base(text: str | None) -> list[tuple]:
+    text = text or ""
+    out = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def _docs(spark, texts=TEXTS):
+    rows = [(i, t, None, "x") for i, t in enumerate(texts)] + [(500 + i, texts[1], None, "x") for i in range(20)] + [(None, texts[0], None, "x")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, blob string, rules string").repartition(4)
+
+
+def test_base_spans(spark):
+    rows, docs = _docs(spark)
+    got = sl.scan(docs).collect()
+    want = Counter((r[0], tuple(base(r[1]))) for r in rows)
+    assert Counter((r.doc_id, tuple(tuple(s) for s in r.spans if s.place < 3)) for r in got) == want
+    kinds = {s.kind for r in got for s in r.spans}
+    assert kinds == {"assign", "access", "hex", "forge", "cloud", "private", "jwt"}
+
+
+def test_ledger_is_incremental(spark, tmp_path):
+    ledger = str(tmp_path / "blobs")
+    rows, docs = _docs(spark)
+    first = sorted(map(str, sl.scan(docs, ledger).collect()))
+    known = spark.read.parquet(ledger)
+    blobs = len({h.sha(r[1] or "") for r in rows})
+    assert known.count() == blobs                       # a blob once, however many rows
+    assert sorted(map(str, sl.scan(docs, ledger).collect())) == first
+    assert spark.read.parquet(ledger).count() == blobs  # nothing unseen, nothing scanned
+    more = docs.unionByName(spark.createDataFrame([(900, "token=abcdefghij", None, "y"), (901, TEXTS[1], None, "y")], docs.schema))
+    out = {r.doc_id: r for r in sl.scan(more, ledger).collect()}
+    assert spark.read.parquet(ledger).count() == blobs + 1
+    assert [s.kind for s in out[900].spans] == ["assign"] and out[901].spans == out[1].spans
+    # a new version of one rule: every blob again, for that rule alone
+    newer = tuple(replace(r, version=2) if r.kind == "hex" else r for r in sl.RULES)
+    again = sl.scan(more, ledger, rules=newer)
+    assert {r.doc_id: r.spans for r in again.collect() if r.doc_id is not None} == {i: r.spans for i, r in out.items() if i is not None}
+    added = [r.rules for r in spark.read.parquet(ledger).collect() if "hex@2" in r.rules]
+    assert added == [["hex@2"]] * (blobs + 1)
+
+
+def test_awkward_and_empty(spark):
+    assert sl.scan(h.awkward(spark)).count() == len(h.awkward_rows())
+    assert sl.scan(h.empty(spark)).count() == 0
+
+
+def test_shuffle_join_gives_the_same(spark, monkeypatch):
+    from pondlake.llm import common
+    rows, docs = _docs(spark)
+    a = sorted(map(str, sl.scan(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, sl.scan(docs).collect())) == a
