@@ -58,12 +58,25 @@ def _range_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _join_groups(left: DataFrame, right: DataFrame, group_cols: Sequence[str],
+                 how: str = "inner") -> DataFrame:
+    """Join on the group columns, null being a group like any other; with no
+    group columns ``right`` has one row."""
+    keys = [f"__jg{i}" for i in range(len(group_cols))]
+    right = right.withColumnsRenamed(dict(zip(group_cols, keys)))
+    if not keys:
+        return left.join(right) if how != "left_semi" else left
+    out = left.join(right, [left[g].eqNullSafe(right[k]) for g, k in zip(group_cols, keys)], how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*keys)
+
+
 def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: Sequence[str | Column],
                  count_col: str | None, num_partitions: int | None,
-                 max_groups: int | None = None):
+                 max_groups: int | None = None, weight_col: str | None = None):
     """Range-sorted rows tagged with ``__pid`` / ``__local`` (materialised once)
     and the run table ``(__rpid, __g*, __run_first, __run_len, __run_offset
-    [, count_col])`` (materialised, counted, broadcast when bounded)."""
+    [, count_col])`` (materialised, counted, broadcast when bounded).  With
+    ``weight_col`` a row counts as that many rows."""
     sort_cols = _as_cols(group_cols) + _as_cols(order_cols)
     n = num_partitions or _range_partitions(df)
     ranged = (df.repartitionByRange(n, *sort_cols)
@@ -79,7 +92,8 @@ def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: Sequence[str
 
     gkeys = [f"__g{i}" for i in range(len(group_cols))]
     runs = (ranged.groupBy("__pid", *group_cols)
-                  .agg(F.min("__local").alias("__run_first"), F.count(F.lit(1)).alias("__run_len"))
+                  .agg(F.min("__local").alias("__run_first"),
+                       (F.sum(weight_col) if weight_col else F.count(F.lit(1))).alias("__run_len"))
                   .select(F.col("__pid").alias("__rpid"),
                           *[F.col(g).alias(k) for g, k in zip(group_cols, gkeys)],
                           "__run_first", "__run_len"))
@@ -162,11 +176,6 @@ def _lead_by_runs(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
           for j, v in enumerate(value_cols)])
 
 
-def group_counts(df: DataFrame, group_cols: Sequence[str], count_col: str = "n") -> DataFrame:
-    """Rows per group (map-side combined, so a hot group costs one row per task)."""
-    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(count_col))
-
-
 def shifted(positioned: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str],
             offset: int, pos_col: str = "pos", suffix: str = "_next",
             how: str = "left") -> DataFrame:
@@ -201,13 +210,20 @@ def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
     group_cols = list(group_cols)
     t = F.col(time_col)
     pct = [i / grid for i in range(1, grid)]
-    stats = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__L"),
-                                        F.percentile_approx(t, pct, accuracy).alias("__q"))
+    # Two levels: a sketch per group and salt (map tasks share SALTS of them), then
+    # one over the salts' grids, so a hot group's sketches never all meet in one task.
+    salted = df.groupBy(*group_cols, (F.spark_partition_id() % SALTS).alias("__salt")).agg(
+        F.count(F.lit(1)).alias("__n"), F.percentile_approx(t, pct, accuracy).alias("__q"))
+    points = salted.select(*group_cols, "__n", F.posexplode(F.coalesce(
+        "__q", F.array(F.lit(None).cast(df.schema[time_col].dataType)))).alias("__i", "__t"))
+    stats = points.groupBy(*group_cols).agg(
+        F.sum(F.when(F.col("__i") == 0, F.col("__n"))).alias("__L"),
+        F.percentile_approx("__t", pct, accuracy).alias("__q"))
     a, b = bounds(F.col("__L"))
     stats = stats.select(*group_cols, "__L", a.alias("__a"), b.alias("__b"), "__q")
     stats = stats.filter(F.col("__a").isNotNull())
-    i_lo = F.floor(F.col("__a") * grid / F.col("__L")) - 2
-    i_hi = F.ceil(F.col("__b") * grid / F.col("__L")) + 1
+    i_lo = F.floor(F.col("__a") * grid / F.col("__L")) - 4
+    i_hi = F.ceil(F.col("__b") * grid / F.col("__L")) + 3
     stats = stats.select(
         *group_cols, "__L", "__a", "__b",
         F.when(i_lo >= 0, F.element_at("__q", (F.least(i_lo, F.lit(grid - 2)) + 1).cast("int")))
@@ -218,7 +234,7 @@ def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
     stats = F.broadcast(stats) if max_groups is not None and max_groups <= BROADCAST_MAX_ROWS \
         else broadcast_if_bounded(stats)
 
-    tagged = df.join(stats, group_cols)
+    tagged = _join_groups(df, stats, group_cols)
     below = t.isNull() | (F.col("__lo").isNotNull() & (t < F.col("__lo")))
     inside = (t.isNotNull() & (F.col("__lo").isNull() | (t >= F.col("__lo")))
               & (F.col("__hi").isNull() | (t <= F.col("__hi"))))
@@ -234,40 +250,61 @@ def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
     agg = cut_lineage(agg, small=True)
     plan = agg.groupBy(*group_cols, "__L", "__a", "__b").agg(
         F.sum(F.when(~F.col("__in"), F.col("__k")).otherwise(0)).alias("__before"),
-        F.sum(F.when(F.col("__in"), F.col("__k")).otherwise(0)).alias("__inside"))
+        F.sum(F.when(F.col("__in"), F.col("__k")).otherwise(0)).alias("__inside"),
+        F.count(F.when(F.col("__in"), 1)).alias("__rows"))
     end = F.least(F.col("__b"), F.col("__L"))
     covered = (F.col("__a") >= F.col("__L")) | (
         (F.col("__before") <= F.col("__a")) & (F.col("__before") + F.col("__inside") >= end))
-    tally = plan.agg(F.count(F.when(covered, 1)).alias("ok"),
+    tally = plan.agg(F.count(F.when(covered, 1)).alias("ok"), F.max("__rows").alias("rows"),
                      F.count(F.when(~covered, 1)).alias("missed")).first()   # one row
     ok = plan.filter(covered).select(*group_cols, "__before", "__a", "__b", "__L")
     if tally.ok <= BROADCAST_MAX_ROWS:
         ok = F.broadcast(ok)
     cols = [c for c in df.columns]
 
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("__k").cast("int")))
-    bracket = (agg.filter(F.col("__in")).select(*cols, copies.alias("__copy")).drop("__copy")
-                  .join(ok.select(*group_cols), group_cols, "left_semi"))
-    ranked = with_position(bracket, group_cols, [time_col, *tie_cols], pos_col="__bpos")
-    picked = (ranked.join(ok, group_cols)
-                    .withColumn(pos_col, F.col("__before") + F.col("__bpos"))
-                    .filter((F.col(pos_col) >= F.col("__a")) & (F.col(pos_col) < F.col("__b")))
-                    .select(*cols, pos_col, F.col("__L").alias(count_col)))
+    # Copies stay one row with their count: a running sum of the counts gives the
+    # first position of each, and only the copies inside [a, b) are written out.
+    bracket = _join_groups(agg.filter(F.col("__in")).select(*cols, "__k"), ok, group_cols)
+    order = [time_col, *tie_cols]
+    ranked = _before(bracket, group_cols, order, "__k", "__at", (tally.rows or 0) <= SMALL_GROUP_ROWS)
+    first = F.col("__before") + F.col("__at")
+    lo = F.greatest(F.col("__a"), first).cast("bigint")
+    hi = F.least(F.col("__b"), first + F.col("__k")).cast("bigint")
+    picked = (ranked.withColumn("__lo", lo).withColumn("__hi", hi).filter(F.col("__lo") < F.col("__hi"))
+                    .select(*cols, F.explode(F.sequence(F.col("__lo"), F.col("__hi") - 1)).alias(pos_col),
+                            F.col("__L").alias(count_col)))
 
     if tally.missed == 0:
         return picked
     missed = plan.filter(~covered).select(*group_cols, "__a", "__b")
-    redo = df.join(missed.select(*group_cols), group_cols, "left_semi")
-    full = (_position_by_range(redo, group_cols, [F.col(time_col).asc_nulls_first(), *tie_cols],
-                               pos_col=pos_col, count_col=count_col)
-            .join(missed, group_cols)
+    redo = _join_groups(df, missed.select(*group_cols), group_cols, "left_semi")
+    full = _position_by_range(redo, group_cols, [F.col(time_col).asc_nulls_first(), *tie_cols],
+                              pos_col=pos_col, count_col=count_col)
+    full = (_join_groups(full, missed, group_cols)
             .filter((F.col(pos_col) >= F.col("__a")) & (F.col(pos_col) < F.col("__b")))
             .select(*cols, pos_col, count_col))
     return picked.unionByName(full)
 
 
+def _before(df: DataFrame, group_cols: list[str], order_cols, weight_col: str, out_col: str,
+            small: bool) -> DataFrame:
+    """``out_col`` = sum of ``weight_col`` over the group's rows before this one.
+    ``small``: every group is known to have at most ``SMALL_GROUP_ROWS`` rows, so
+    a window per group is bounded; else range partitions as in ``_ranged_runs``."""
+    upto = lambda w: F.coalesce(F.sum(weight_col).over(
+        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    if small:
+        return df.withColumn(out_col, upto(Window.partitionBy(*group_cols).orderBy(*_as_cols(order_cols))))
+    ranged, runs, cond = _ranged_runs(df, group_cols, order_cols, None, None, weight_col=weight_col)
+    p = ranged.join(runs, cond, "inner")
+    within = upto(Window.partitionBy("__pid", *group_cols).orderBy("__local"))
+    return p.withColumn("__w", within).select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("__run_offset") + F.col("__w")).cast("bigint").alias(out_col))
+
+
 # --------------------------------------------------------------------------- by group size
 
+SALTS = 64                    # sketches per group that meet in one task
 SMALL_GROUP_ROWS = 1_000_000  # a group this small is ranked whole in one task
 
 
@@ -455,5 +492,5 @@ def group_median_stats(df: DataFrame, group_cols: Sequence[str], value_col: str,
     if large is not None:
         spread = large.groupBy(*group_cols).agg(F.min("__x").alias("min"), F.max("__x").alias("max"))
         middle = _selected_medians(large.filter(F.col("__x").isNotNull()), group_cols, "median")
-        parts.append(spread.join(middle, group_cols, "left").select(*group_cols, "min", "median", "max"))
+        parts.append(_join_groups(spread, middle, group_cols, "left").select(*group_cols, "min", "median", "max"))
     return _union(parts)
