@@ -8,13 +8,14 @@ in one of 40 bands but for about one pair in four million.
 What keeps it linear and even:
 
 * copies (equal shingle sets) become one class before banding;
-* a bucket is joined as a star, every member to its least member, so a bucket of
-  k sets gives k-1 candidate pairs; pairs inside one component need no test;
+* a bucket is joined as a star, every member to the one that shares most buckets
+  with others (an original, among its edited copies), so a bucket of k sets gives
+  k-1 candidate pairs; pairs inside one component need no test;
 * where a bucket still holds several components after that, its members outside
-  the first member's component are compared with all members in blocks of 64, by
-  signature inside the task; only pairs that may reach the threshold leave it.
-  No bucket is capped or dropped;
-* every candidate is confirmed on the two full shingle sets;
+  the largest are compared with all members in blocks of ``BLOCK``, on full sets
+  inside the task; a block gives no more links than join its components. No
+  bucket is capped or dropped;
+* every link is confirmed on the two full shingle sets;
 * components come from min-label propagation with pointer jumping on written
   tables, all joins and aggregates; only a count reaches the driver.
 
@@ -37,10 +38,8 @@ from pondlake.llm.common import Scratch, keep_rows, sized_join, small, text_key
 SHINGLE, SIMILARITY = 5, 75
 PERMUTATIONS, BAND = 80, 4
 BANDS = 2 * PERMUTATIONS // BAND
-#: Signatures estimate the similarity with a deviation of 0.034 at 0.75; pairs
-#: estimated six deviations under the threshold are not tested further.
-LEAST_ESTIMATE = 0.55
-BLOCK = 64
+#: Members of a bucket that are compared with each other at once, and numbers in a matrix that does so.
+BLOCK, WIDE = 512, 4 << 20
 #: Bytes hashed at once; a text is cut between words into such parts.
 PART = 1 << 20
 _SPACES = np.zeros(256, bool)
@@ -179,16 +178,48 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(group: pa.Table) -> pa.Table:
-    """Pairs of a block's queries and members, of different components, that may be similar."""
+    """Links between a block's queries and members of different components: all
+    intersections at once, as products of 0/1 rows over the shingles that two or
+    more sets have; of the pairs that reach the threshold, enough to join what
+    they join."""
     query = np.array(group.column("query").to_pylist(), bool)
-    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, 2 * PERMUTATIONS)
     ids, comp = group.column("row_id").to_numpy(), group.column("comp").to_numpy()
-    a, b, members = [], [], np.flatnonzero(~query)
-    for q in np.flatnonzero(query):
-        close = (sig[members] == sig[q]).mean(1) >= LEAST_ESTIMATE
-        for m in members[close & (comp[members] != comp[q])]:
-            a.append(max(ids[q], ids[m]))
-            b.append(min(ids[q], ids[m]))
+    order = np.argsort(query, kind="stable")  # members, then queries
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+    sets, ids, comp, query = [sets[i] for i in order], ids[order], comp[order], query[order]
+    first = int((~query).sum())
+    sizes = np.array([len(s) for s in sets], np.float64)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times[column] > 1
+    owner, column = owner[often], np.unique(column[often], return_inverse=True)[1]
+    both = np.zeros((len(sets) - first, first))
+    by_column = np.argsort(column, kind="stable")
+    owner, column = owner[by_column], column[by_column]
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = max(1, min(columns, WIDE // len(sets)))
+    for left in range(0, columns, width):
+        lo, hi = np.searchsorted(column, [left, left + width])
+        rows = np.zeros((len(sets), width), np.float32)
+        rows[owner[lo:hi], column[lo:hi] - left] = 1
+        both += rows[first:] @ rows[:first].T
+    union = sizes[first:, None] + sizes[None, :first] - both
+    close = (100 * both >= SIMILARITY * union) & (comp[first:, None] != comp[None, :first])
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    a, b = [], []
+    for q, m in zip(*np.nonzero(close)):
+        x, y = find(int(comp[first + q])), find(int(comp[m]))
+        if x != y:
+            parent[x] = y
+            a.append(int(max(ids[first + q], ids[m])))
+            b.append(int(min(ids[first + q], ids[m])))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -235,9 +266,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = first.select("row_id", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring("sig", i * F.lit(4 * BAND) + F.lit(1), F.lit(4 * BAND))))).alias("key"))
-    buckets = scratch.write(keys.groupBy("key").agg(F.min("row_id").alias("head"), F.count("*").alias("size"))
-                            .filter("size > 1").drop("size"))
+    buckets = scratch.write(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     shared = scratch.write(keys.join(buckets, "key"))
+    # how many meetings a set has in its buckets: the text that others are copies of has the most
+    degree = shared.groupBy("row_id").agg(F.sum("size").alias("degree"))
+    shared = scratch.write(shared.join(degree, "row_id").select("key", "row_id", "degree"))
     involved = scratch.write(shared.select("row_id").distinct())
     wanted = scratch.write(sized_join(members, involved, ["row_id"], "left_semi", 16).select("doc_id", "text_key", "row_id"))
     texts = sized_join(source, wanted.withColumnsRenamed({"doc_id": "d", "text_key": "t"}).select("d", "t", "row_id")
@@ -250,32 +283,37 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     .join(sets.select(F.col("row_id").alias("b"), F.col("hashes").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
 
-    star = shared.filter("row_id != head").select(F.col("row_id").alias("a"), F.col("head").alias("b")).distinct()
-    links = scratch.write(confirmed(star))
-    labels = components(links, scratch)
+    def star(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs of each bucket's best-connected member with the others; linear in the rows."""
+        best = F.max(F.struct("degree", (-F.col("row_id")).alias("row_id")))["row_id"]
+        heads = scratch.write(rows.groupBy("key").agg((-best).alias("head")))
+        return rows.join(heads, "key").filter("row_id != head").select(
+            F.greatest("row_id", "head").alias("a"), F.least("row_id", "head").alias("b")).distinct(), heads
 
-    # buckets that still hold several components, without what the star has tested
-    named = shared.join(labels, shared["row_id"] == labels["node"], "left") \
-                  .select("key", "row_id", "head", F.coalesce("label", "row_id").alias("comp"))
-    rest = scratch.write(named.filter("row_id != head"))
-    heads = named.filter("row_id = head").select("key", F.col("comp").alias("main"))
-    open_ = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-    open_ = scratch.write(open_.filter("low != high").join(heads, "key").select("key", "size", "main"))
-    left = scratch.write(rest.join(open_, "key")
-                         .select("key", "row_id", "comp", (F.col("comp") != F.col("main")).alias("minor"),
-                                 F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    if not left.isEmpty():
-        left = left.join(signed.select("row_id", "sig"), "row_id")
-        own = left.withColumn("block", F.expr("cast(pmod(xxhash64(row_id), blocks) as int)")).withColumn("query", F.lit(False))
-        ask = left.filter("minor").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))) \
-                  .withColumn("query", F.lit(True))
-        # a block's queries are dealt out too, so a group has few of both
-        part = F.when(F.col("query"), F.expr("cast(pmod(xxhash64(row_id, 1), blocks) as int)"))
-        cells = own.withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)"))) \
-            .unionByName(ask.withColumn("part", part))
-        more = cells.select("key", "block", "part", "query", "row_id", "comp", "sig").groupBy("key", "block", "part") \
+    pairs, heads = star(shared)
+    links = scratch.write(confirmed(pairs))
+    labels = components(links, scratch)
+    # a head has met all of its bucket; the others of buckets that still hold several components
+    # are compared in blocks, on their full sets
+    others = shared.join(heads, "key").filter("row_id != head").drop("head")
+    named = scratch.write(others.join(labels, others["row_id"] == labels["node"], "left")
+                          .select("key", "row_id", F.coalesce("label", "row_id").alias("comp")))
+    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.sum("n").alias("size"), F.count("*").alias("comps"), F.max(F.struct("n", "comp"))["comp"].alias("main"))
+    sizes = scratch.write(sizes.filter("comps > 1").drop("comps"))
+    rest = scratch.write(named.join(sizes, "key").select(
+        "key", "row_id", "comp", (F.col("comp") != F.col("main")).alias("minor"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    if not rest.isEmpty():
+        # a bucket's members are dealt to blocks; those outside its largest component ask in every block,
+        # dealt out likewise, so that a group has at most about BLOCK of both
+        own = rest.withColumn("block", F.expr("cast(pmod(xxhash64(row_id), blocks) as int)")).withColumn("query", F.lit(False))
+        own = own.withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)")))
+        ask = rest.filter("minor").withColumn("part", F.expr("cast(pmod(xxhash64(row_id, 1), blocks) as int)"))
+        ask = ask.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("query", F.lit(True))
+        cells = own.unionByName(ask).join(sets, "row_id")
+        more = cells.select("key", "block", "part", "query", "row_id", "comp", "hashes").groupBy("key", "block", "part") \
                     .applyInArrow(_near, "a long, b long").distinct()
-        links = scratch.write(links.unionByName(confirmed(more)))
+        links = scratch.write(links.unionByName(more))
         labels = components(links, scratch)
 
     ids = members.filter("row_id = class").select("class", "least")
