@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Cached words per worker; the cache is emptied when full.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 500_000
 #: A word of letters up to U+024F, with a run of marks after it: two pieces of
 #: the tokenizer's own pattern, so both parts can be looked up on their own.
 _PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?#$%&*()|\-]*)\Z")
@@ -39,7 +40,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}  # ids as unsigned 32-bit numbers: small, and joined fast
         self.cores: dict[str, list[int]] = {}
         self.marks: dict[str, list[int]] = {"": []}
         # how the byte-level step writes each byte
@@ -50,10 +51,10 @@ class WordTokenizer:
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> np.ndarray:
+    def _word(self, word: str) -> bytes:
         found = _PLAIN.match(word)
         if not found:
-            return np.array(self._encode(word), np.uint32)
+            return array("I", self._encode(word)).tobytes()
         core, marks = found[1], found[2]
         if marks not in self.marks:
             self.marks[marks] = self._encode(marks)
@@ -64,7 +65,7 @@ class WordTokenizer:
         if ids is None:
             as_bytes = core if core.isascii() else "".join(map(self.bytes.__getitem__, core.encode()))
             ids = self.cores[core] = [t.id for t in self.tokenizer.model.tokenize(as_bytes)]
-        return np.array(ids + self.marks[marks], np.uint32)
+        return array("I", ids + self.marks[marks]).tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty), one after the other, and the bounds of each text's ids."""
@@ -83,8 +84,8 @@ class WordTokenizer:
             if ids is None:
                 ids = words[w] = self._word(w)
             table.append(ids)
-        sizes = np.fromiter(map(len, table), np.int64, len(table))
-        flat = np.concatenate(table) if table else np.zeros(0, np.uint32)
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), np.uint32)
         begins = np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy()
         lens = sizes[codes]
