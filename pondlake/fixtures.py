@@ -36,11 +36,21 @@ def events_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def drifting_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E with drift: ``value`` of ponds ``click`` and ``error`` grows by 10 a day,
+    and pond ``signup`` keeps one row in 40, too few for a reference half."""
+    r = events_readings(spark, sf_dir)
+    days = F.datediff(F.col("created_at").cast("date"), F.lit("2020-01-01").cast("date"))
+    grown = F.when(F.col("pond_id").isin("click", "error"), F.col("value") + days * F.lit(10.0)) \
+             .otherwise(F.col("value"))
+    return r.withColumn("value", grown).filter((F.col("pond_id") != "signup") | (F.col("entry_id") % 40 == 0))
+
+
 def dirty_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X: E rendered as raw text with injected dirt, keyed by event_id.
 
     id % 10 = 0 -> value null; % 20 = 0 -> k null too; % 17 = 0 -> value text
-    'Jan-00'; % 23 = 0 -> key null; % 29 = 0 -> time text 'not a date'; rows
+    'Jan-00'; % 37 = 0 -> value text 'NaN'; % 41 = 0 -> k text 'NA'; % 23 = 0 -> key null; % 29 = 0 -> time text 'not a date'; rows
     with id % 31 = 0 appear twice.  Times are day-first text cut to seconds.
     """
     ev = table(spark, sf_dir, "events")
@@ -54,8 +64,10 @@ def dirty_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(i.cast("string")).alias("entry_id"),
         F.when(i % 10 == 0, F.lit(None).cast("string"))
          .when(i % 17 == 0, F.lit("Jan-00"))
+         .when(i % 37 == 0, F.lit("NaN"))
          .otherwise(F.col("value").cast("string")).alias("value"),
-        F.when(i % 20 == 0, F.lit(None).cast("string")).otherwise(k).alias("k"),
+        F.when(i % 20 == 0, F.lit(None).cast("string")).when(i % 41 == 0, F.lit("NA"))
+         .otherwise(k).alias("k"),
         i.alias("event_id"),
     )
     doubled = base.filter(F.col("event_id") % 31 == 0)
@@ -63,11 +75,15 @@ def dirty_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E rendered as clean raw text (no dirt): input for the strict operators."""
+    """E rendered as clean raw text (no dirt): input for the strict operators.
+    Times of ids divisible by 3 are in ISO order, the others day first; ``big``
+    is an integer beyond 2^53 as text."""
     r = events_readings(spark, sf_dir)
     return r.select(
         "pond_id",
-        F.date_format("created_at", DAY_FIRST_FORMAT).alias("created_at"),
+        F.when(F.col("entry_id") % 3 == 0, F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+         .otherwise(F.date_format("created_at", DAY_FIRST_FORMAT)).alias("created_at"),
+        (F.col("entry_id") + F.lit(9007199254740993)).cast("string").alias("big"),
         F.col("entry_id").cast("string").alias("entry_id"),
         F.col("value").cast("string").alias("value"),
         F.col("k").cast("bigint").cast("string").alias("k"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pondlake.functions.columns import q
-from pondlake.schema import DAY_FIRST_FORMAT
+from pondlake.schema import DAY_FIRST_FORMAT, MISSING_TOKENS
 
 _INTEGRAL = {"tinyint", "smallint", "int", "integer", "bigint", "long"}
 
@@ -51,9 +51,10 @@ def strict_value(col: str, dtype: str) -> Column:
     on non-integral numbers (a plain cast would truncate 1.5 to 1)."""
     raw = F.col(q(col))
     if dtype.lower() in _INTEGRAL:
-        d = raw.try_cast("double")
-        bad = raw.isNotNull() & (d.isNull() | (d != F.floor(d)))
-        return F.when(bad, _fail(f"cannot cast {col} to {dtype}", raw)).otherwise(d.cast(dtype))
+        d = raw.cast("string").try_cast("decimal(38,10)")   # exact: a double would round above 2^53
+        v = d.try_cast(dtype)
+        bad = raw.isNotNull() & (v.isNull() | (d != F.floor(d)))
+        return F.when(bad, _fail(f"cannot cast {col} to {dtype}", raw)).otherwise(v)
     v = raw.try_cast(dtype)
     return F.when(raw.isNotNull() & v.isNull(), _fail(f"cannot cast {col} to {dtype}", raw)).otherwise(v)
 
@@ -65,9 +66,11 @@ def strict_cast(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 
 def strict_ts(col: str, fmt: str = DAY_FIRST_FORMAT) -> Column:
-    """SRC-7: parse text to a timestamp (without zone); bad text fails."""
+    """SRC-7: parse text to a timestamp (without zone), in ``fmt`` or ISO order
+    (year first); bad text fails."""
     raw = F.col(q(col))
-    v = F.try_to_timestamp(raw, F.lit(fmt)).cast("timestamp_ntz")
+    iso = F.when(raw.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]|\s*$)"), raw.try_cast("timestamp_ntz"))
+    v = F.coalesce(F.try_to_timestamp(raw, F.lit(fmt)).cast("timestamp_ntz"), iso)
     return F.when(raw.isNotNull() & v.isNull(), _fail(f"cannot parse time {col}", raw)).otherwise(v)
 
 
@@ -84,10 +87,18 @@ def lenient_ts(df: DataFrame, col: str = "created_at",
 
 
 def lenient_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """PRJ-9: parse the listed columns that exist as double; bad text -> null."""
+    """PRJ-9: parse the listed columns that exist as double; bad text and ``NaN``
+    -> null."""
     present = set(cols) & set(df.columns)
-    return df.select(*[F.col(q(c)).try_cast("double").alias(c) if c in present else F.col(q(c))
-                       for c in df.columns])
+    return nan_to_null(df.select(*[F.col(q(c)).try_cast("double").alias(c) if c in present
+                                   else F.col(q(c)) for c in df.columns]), list(present))
+
+
+def missing_to_null(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
+    """SRC-1: text that stands for a missing value becomes null in every string column."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)} - set(skip)
+    return df.select(*[F.when(~F.col(q(c)).isin(MISSING_TOKENS), F.col(q(c))).alias(c) if c in text
+                       else F.col(q(c)) for c in df.columns])
 
 
 def nan_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:

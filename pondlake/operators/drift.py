@@ -86,15 +86,18 @@ def _stats_by_join(halves: DataFrame, columns: Sequence[str], text: set[str],
     return long.join(stats, [POND, "column_name"])
 
 
+WINDOW_ROWS = 1_000_000  # newest rows of a pond that one task may hold
+
+
 def psi(halves: DataFrame, columns: Sequence[str], half_col: str = "half",
-        bounded: bool = True) -> DataFrame:
+        bounded: bool = False) -> DataFrame:
     """DRF-1: ``(pond_id, column_name, n_current, n_reference, bins, psi)``.
 
     Numeric columns use the equal-width bins above; a text column uses one bin
-    per value (``bins`` is then null).  ``bounded=True`` (the monitor's
-    newest-N halves) computes each column's range with a window per pond;
-    ``False`` uses an aggregate and a join, for halves whose ponds may be
-    arbitrarily large."""
+    per value (``bins`` is then null).  The ranges come from an aggregate and a
+    join; ``bounded=True``, for halves known to be small (the monitor's newest
+    ``report_range`` rows up to ``WINDOW_ROWS``), takes a window per pond
+    instead, with the same results."""
     halves = halves.withColumnRenamed(half_col, "half") if half_col != "half" else halves
     text = {f.name for f in halves.schema.fields
             if f.name in columns and isinstance(f.dataType, T.StringType)}
@@ -173,7 +176,8 @@ def monitor(readings: DataFrame, columns: Sequence[str] = MONITOR_COLUMNS,
     all ponds in one job.  Only the keys and the checked columns are read."""
     narrow = readings.select(POND, "created_at", "entry_id", *[F.col(f"`{c}`") for c in columns])
     halves = drift_halves(narrow, report_range)
-    return drift_report(psi(halves, columns), columns, **thresholds)
+    bounded = report_range <= WINDOW_ROWS
+    return drift_report(psi(halves, columns, bounded=bounded), columns, **thresholds)
 
 
 def retrain_list(report: DataFrame) -> DataFrame:

@@ -17,8 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pondlake.operators.ordinal import rows_at_positions, with_lead, with_position
+from pondlake.operators.ordinal import (broadcast_if_bounded, rows_at_positions, with_lead,
+                                        with_position)
 from pondlake.schema import FORECAST_HORIZON, MIN_SERIES_ROWS, TREND_EPSILON, WINDOW_SIZE
+from pondlake.session import cut_lineage
 
 POND = "pond_id"
 TIME_ORDER = ["created_at", "entry_id"]
@@ -62,9 +64,14 @@ def sort_by_time(df: DataFrame) -> DataFrame:
 
 def newest_n(df: DataFrame, n: int) -> DataFrame:
     """SRT-2: the newest ``n`` rows of the whole table (nulls first, as the
-    database does under DESC).  Plans as ``TakeOrderedAndProject``: each task
-    keeps its own top ``n`` and only those reach the final merge."""
-    return df.orderBy(*_newest_first()).limit(n)
+    database does under DESC).  Two levels: each map task keeps its own newest
+    ``n``, salts of them are merged, and the last merge gets ``n`` rows per salt
+    however many tasks there are."""
+    salts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    first = salted.withColumn("_rn0", F.row_number().over(
+        Window.partitionBy("_salt").orderBy(*_newest_first()))).filter(F.col("_rn0") <= n)
+    return first.drop("_salt", "_rn0").orderBy(*_newest_first()).limit(n)
 
 
 def newest_n_per_pond(df: DataFrame, n: int, salt_buckets: int | None = None,
@@ -133,11 +140,12 @@ def cursor_position(df: DataFrame, tick: int, size: int = WINDOW_SIZE,
 
 
 def length_guard(df: DataFrame, min_rows: int = MIN_SERIES_ROWS) -> DataFrame:
-    """FLT-6: drop ponds with fewer than ``min_rows`` rows.  The per-pond count
-    is a map-side aggregate joined back on the pond key."""
+    """FLT-6: drop ponds with fewer than ``min_rows`` rows.  The per-pond counts
+    are a map-side aggregate (materialised, one row per pond); the kept keys are
+    broadcast when counted small, so the rows are not shuffled."""
     counts = df.groupBy(POND).agg(F.count(F.lit(1)).alias("_n"))
-    keep = counts.filter(F.col("_n") >= min_rows).select(POND)
-    return df.join(keep, POND, "left_semi")
+    keep = cut_lineage(counts.filter(F.col("_n") >= min_rows).select(POND), small=True)
+    return df.join(broadcast_if_bounded(keep), POND, "left_semi")
 
 
 def length_report(df: DataFrame, min_rows: int = MIN_SERIES_ROWS) -> DataFrame:
@@ -147,15 +155,6 @@ def length_report(df: DataFrame, min_rows: int = MIN_SERIES_ROWS) -> DataFrame:
                              .otherwise(F.lit("skipped")))
 
 
-def positioned_with_cursor(df: DataFrame, tick: int, size: int = WINDOW_SIZE,
-                           horizon: int = FORECAST_HORIZON) -> DataFrame:
-    """Positions, pond length and the window start at ``tick`` on every row;
-    ponds shorter than ``size + horizon`` are left out (FLT-6)."""
-    p = row_position(df, count_col="n_rows")
-    p = p.filter(F.col("n_rows") >= size + horizon)
-    return p.withColumn("start", cursor_expr(F.col("n_rows"), tick, size, horizon))
-
-
 def window_rows(df: DataFrame, tick: int, first: int, last: int, size: int = WINDOW_SIZE,
                 horizon: int = FORECAST_HORIZON) -> DataFrame:
     """Rows at positions ``start+first .. start+last`` of every pond long
@@ -192,8 +191,9 @@ def horizon_value(df: DataFrame, cols: Sequence[str], h: int = FORECAST_HORIZON,
 
 def trend_expr(latest: Column, future: Column, eps: float = TREND_EPSILON) -> Column:
     """WIN-5: ``up`` / ``down`` / ``flat`` on ``future - latest`` with a dead band;
-    a missing delta is ``flat``."""
-    delta = future - latest
+    a missing delta (null or NaN) is ``flat``."""
+    delta = (future - latest).cast("double")
+    delta = F.when(~F.isnan(delta), delta)
     return (F.when(delta > eps, F.lit("up"))
              .when(delta < -eps, F.lit("down"))
              .otherwise(F.lit("flat")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pondlake.fixtures import (E_SENSORS, dirty_readings, events_readings, file_names, lineitem,
-                               lineitem_raw_headers, raw_header, text_readings)
+                               lineitem_raw_headers, raw_header, table, text_readings)
 from pondlake.functions import columns as C
 from pondlake.functions import parse as P
 from pondlake.operators import cleaning as K
@@ -24,21 +24,24 @@ X = f"""x0 AS (
          CASE WHEN event_id % 29 = 0 THEN 'not a date' ELSE strftime(ts, '{_FMT}') END AS created_at,
          CASE WHEN event_id % 23 = 0 THEN NULL ELSE CAST(event_id AS VARCHAR) END AS entry_id,
          CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'Jan-00'
-              ELSE CAST(value AS VARCHAR) END AS value,
-         CASE WHEN event_id % 20 = 0 THEN NULL ELSE regexp_extract(props, '[0-9]+', 0) END AS k,
+              WHEN event_id % 37 = 0 THEN 'NaN' ELSE CAST(value AS VARCHAR) END AS value,
+         CASE WHEN event_id % 20 = 0 THEN NULL WHEN event_id % 41 = 0 THEN 'NA'
+              ELSE regexp_extract(props, '[0-9]+', 0) END AS k,
          event_id
   FROM events),
 x AS (SELECT * FROM x0 UNION ALL SELECT * FROM x0 WHERE event_id % 31 = 0)"""
 
 # T: clean raw text of E
 TXT = f"""t AS (
-  SELECT event_type AS pond_id, strftime(ts, '{_FMT}') AS created_at,
+  SELECT event_type AS pond_id,
+         CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '{_FMT}') END AS created_at,
+         CAST(event_id + 9007199254740993 AS VARCHAR) AS big,
          CAST(event_id AS VARCHAR) AS entry_id, CAST(value AS VARCHAR) AS value,
          CAST(CAST(try_cast(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) AS BIGINT) AS VARCHAR) AS k
   FROM events)"""
 
-LENIENT_NUM = "SELECT pond_id, created_at, entry_id, try_cast(value AS DOUBLE) AS value, " \
-              "try_cast(k AS DOUBLE) AS k, event_id FROM x"
+LENIENT_NUM = "SELECT pond_id, created_at, entry_id, try_cast(nullif(value, 'NaN') AS DOUBLE) AS value, " \
+              "try_cast(nullif(k, 'NA') AS DOUBLE) AS k, event_id FROM x"
 
 
 @register("repair_literal", "WITH " + X + """
@@ -62,8 +65,8 @@ def q_pond_id_from_name(spark, sf):
     return p.withColumn("pond_id", P.pond_id_from_name(F.col("file_name")))
 
 
-_STRICT_TYPES = {"entry_id": "bigint", "value": "double", "k": "double"}
-_STRICT_SQL = ("CAST(entry_id AS BIGINT) AS entry_id, CAST(value AS DOUBLE) AS value, "
+_STRICT_TYPES = {"big": "bigint", "entry_id": "bigint", "value": "double", "k": "double"}
+_STRICT_SQL = ("CAST(big AS BIGINT) AS big, CAST(entry_id AS BIGINT) AS entry_id, CAST(value AS DOUBLE) AS value, "
                "CAST(k AS DOUBLE) AS k")
 
 
@@ -73,7 +76,8 @@ def q_strict_cast(spark, sf):
 
 
 @register("strict_load", "WITH " + TXT + f"""
-SELECT pond_id, strptime(created_at, '{_FMT}') AS created_at, {_STRICT_SQL} FROM t""")
+SELECT pond_id, coalesce(try_strptime(created_at, '%Y-%m-%d %H:%M:%S'), try_strptime(created_at, '{_FMT}')) AS created_at,
+       {_STRICT_SQL} FROM t""")
 def q_strict_load(spark, sf):
     df = P.strict_cast(text_readings(spark, sf), _STRICT_TYPES)
     return df.withColumn("created_at", P.strict_ts("created_at", DAY_FIRST_FORMAT))
@@ -117,7 +121,7 @@ def q_drop_all_null(spark, sf):
 @register("lenient_clean", "WITH " + X + f"""
 SELECT * FROM (
   SELECT pond_id, try_strptime(created_at, '{_FMT}') AS created_at, entry_id,
-         try_cast(value AS DOUBLE) AS value, try_cast(k AS DOUBLE) AS k, event_id FROM x)
+         try_cast(nullif(value, 'NaN') AS DOUBLE) AS value, try_cast(k AS DOUBLE) AS k, event_id FROM x)
 WHERE created_at IS NOT NULL AND (value IS NOT NULL OR k IS NOT NULL)""")
 def q_lenient_clean(spark, sf):
     """The dashboard's lenient read as one plan: time parse, drop missing
@@ -205,13 +209,18 @@ def q_scan_all(spark, sf):
     return T.scan_table(spark, "readings_e")
 
 
-@register("union_ponds", "WITH " + E + "\nSELECT * FROM readings")
+_POND_TABLES = [("customer", "c_custkey", "c_acctbal"), ("supplier", "s_suppkey", "s_acctbal"),
+                ("part", "p_partkey", "p_retailprice")]
+
+
+@register("union_ponds", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS pond_id, {key} AS entry_id, CAST({value} AS DOUBLE) AS value FROM {t}"
+    for t, key, value in _POND_TABLES))
 def q_union_ponds(spark, sf):
-    r = events_readings(spark, sf)
-    ponds = ["click", "view", "purchase", "error", "signup"]
-    parts = [r.filter(F.col("pond_id") == p) for p in ponds]
-    rest = r.filter(~F.col("pond_id").isin(ponds) | F.col("pond_id").isNull())
-    return T.union_ponds(parts + [rest])
+    """Each table is a pond of its own, read once."""
+    return T.union_ponds([table(spark, sf, t).select(
+        F.lit(t).alias("pond_id"), F.col(key).alias("entry_id"), F.col(value).cast("double").alias("value"))
+        for t, key, value in _POND_TABLES])
 
 
 @register("newest_n_dirty", "WITH " + X + f"""

@@ -50,6 +50,27 @@ NULL_COLUMN_RULES = [
 ]
 # Day-first time format of the raw files.
 DAY_FIRST_FORMAT = "dd/MM/yyyy HH:mm:ss"
+# Text that a CSV reader takes for a missing value.
+MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+                  "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+# Hyper-parameter search spaces, used where the caller gives none.
+FOREST_SPACE = {
+    "max_features": {"type": "Categorical", "categories": ["sqrt", "log2", None]},
+    "min_samples_split": {"type": "Integer", "low": 2, "high": 25},
+    "max_samples": {"type": "Real", "low": 0.5, "high": 1.0},
+    "max_depth": {"type": "Integer", "low": 20, "high": 100},
+    "n_estimators": {"type": "Integer", "low": 200, "high": 1000},
+}
+BOOSTED_SPACE = {
+    "learning_rate": {"type": "Real", "low": 0.01, "high": 0.3, "prior": "log-uniform"},
+    "max_depth": {"type": "Integer", "low": 3, "high": 100},
+    "n_estimators": {"type": "Integer", "low": 500, "high": 1500},
+    "subsample": {"type": "Real", "low": 0.2, "high": 1.0},
+    "colsample_bytree": {"type": "Real", "low": 0.6, "high": 1.0},
+    "reg_alpha": {"type": "Real", "low": 0.0, "high": 10.0},
+    "reg_lambda": {"type": "Real", "low": 1.0, "high": 10.0},
+    "gamma": {"type": "Real", "low": 0.0, "high": 5.0},
+}
 # Training options.
 TEST_SIZE = 0.2
 RANDOM_STATE = 42

@@ -41,11 +41,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Only when the session names none (local tests) is a scratch folder set.
+    A scratch folder of this machine is set only where the session names none
+    and runs on this machine alone; on a cluster, executors could not read it,
+    so a missing ``spark.checkpoint.dir`` is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder (master {sc.master})")
         current = tempfile.mkdtemp(prefix="pondlake-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)

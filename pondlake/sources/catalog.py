@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,14 +28,29 @@ def save_table(df: DataFrame, name: str, path: str | None = None,
                partition_by: Sequence[str] = ("pond_id",), check_key: bool = True) -> None:
     """SRC-6 / SRC-7: replace table ``name`` with ``df``, partitioned by pond.
 
-    The key check (unique non-null ``entry_id`` per pond) runs before the
-    write, so a violation leaves the old table in place."""
-    if check_key:
-        df = assert_key(df, ["pond_id"], ["entry_id"])
-    w = df.write.mode("overwrite").format("parquet").partitionBy(*partition_by)
+    ``df`` is written once, to a staging table (under ``path`` in a folder of
+    its own, if given), so every value has been parsed and the key (unique
+    non-null ``entry_id`` per pond) is checked on what was written.  Only then
+    do the tables swap names; any failure before leaves the old table as it was."""
+    spark = df.sparkSession
+    tag = uuid.uuid4().hex[:12]
+    staged, old = f"{name}__staged_{tag}", f"{name}__old_{tag}"
+    w = df.write.format("parquet").partitionBy(*partition_by)
     if path:
-        w = w.option("path", path)
-    w.saveAsTable(name)
+        w = w.option("path", f"{path.rstrip('/')}/load-{tag}")
+    try:
+        w.saveAsTable(staged)
+        if check_key:
+            assert_key(spark.table(staged), ["pond_id"], ["entry_id"])
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        raise
+    had = spark.catalog.tableExists(name)
+    if had:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old.rpartition('.')[2]}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {name.rpartition('.')[2]}")
+    if had:
+        spark.sql(f"DROP TABLE {old}")
 
 
 def scan_table(spark: SparkSession, name: str) -> DataFrame:
@@ -54,8 +70,3 @@ def union_ponds(frames: Sequence[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
-
-
-def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict) -> DataFrame:
-    """SRC-8 over a database, when a JDBC driver is on the class path."""
-    return spark.read.jdbc(url, table, properties=properties)

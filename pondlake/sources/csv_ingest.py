@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from pondlake.functions.columns import (add_null_column, drop_optional, first_n_columns,
                                         lower_columns, normalise_header, q, rename_positional)
-from pondlake.functions.parse import (lenient_numeric, lenient_ts, pond_id_from_name,
+from pondlake.functions.parse import (lenient_numeric, lenient_ts, missing_to_null,
+                                      pond_id_from_name,
                                       repair_literal, strict_cast, strict_ts)
 from pondlake.operators.cleaning import dedup_rows, drop_all_null, drop_null_key, drop_null_ts
 from pondlake.schema import (CANON, DASHBOARD_SENSORS, DAY_FIRST_FORMAT, FLOAT_COLUMNS,
@@ -42,13 +43,14 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
 def read_raw_csv(spark: SparkSession, paths: str | Sequence[str],
                  header: Sequence[str] | None = None) -> DataFrame:
     """SRC-1 / SRC-2: CSV files sharing one header layout, every column as text
-    (blank -> null), plus the file name.  A missing path raises
+    (blank and missing-value tokens -> null), plus the file name.  A missing path raises
     ``AnalysisException``."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     header = list(header) if header is not None else read_header(spark, paths[0])
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
     df = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(paths)
-    return df.withColumn(_FILE, F.col("_metadata.file_name"))
+    df = df.select("*", F.col("_metadata.file_name").alias(_FILE))
+    return missing_to_null(df, skip=[_FILE])
 
 
 def conform(df: DataFrame, pond: int | None, repairs=LITERAL_REPAIRS,
@@ -93,20 +95,27 @@ def ingest_folder(spark: SparkSession, folder: str, time_format: str = DAY_FIRST
     """SRC-1 + SRC-4 + PRJ-1..6 + FLT-1/2 + SRC-7: every raw file of ``folder``
     as one readings frame; a bad value anywhere fails the job.
 
-    Files are grouped by header layout: one read (one scan, many files in
-    parallel) per layout, and a read of its own only for a pond with repair or
-    splice rules.  The driver handles file names and headers, never rows."""
+    The driver handles file names and headers, never rows."""
+    paths = list_files(spark, folder)
+    if not paths:
+        raise ValueError(f"no CSV files in {folder}")
+    return ingest_files(spark, paths, time_format, repairs, null_rules)
+
+
+def ingest_files(spark: SparkSession, paths: Sequence[str], time_format: str = DAY_FIRST_FORMAT,
+                 repairs=LITERAL_REPAIRS, null_rules=NULL_COLUMN_RULES) -> DataFrame:
+    """``ingest_folder`` for the given files: one read (one scan, many files in
+    parallel) per header layout, and a read of its own only for a pond with
+    repair or splice rules."""
     special = _rule_ponds(repairs, null_rules)
     groups: dict[tuple, list[str]] = {}
-    for path in list_files(spark, folder):
+    for path in paths:
         digits = re.search(r"\d+", path.rsplit("/", 1)[-1])
         if digits is None:
             raise ValueError(f"no pond number in file name: {path}")
         pond = int(digits.group(0))
         header = tuple(read_header(spark, path))
         groups.setdefault((header, pond if pond in special else None), []).append(path)
-    if not groups:
-        raise ValueError(f"no CSV files in {folder}")
     frames = [clean_typed(conform(read_raw_csv(spark, paths, header), pond, repairs, null_rules))
               for (header, pond), paths in groups.items()]
     out = frames[0]
@@ -121,7 +130,7 @@ def load_dashboard_csv(spark: SparkSession, path: str, formats=(DAY_FIRST_FORMAT
     """Lenient dashboard read: normalise headers, parse day-first times (bad ->
     null), drop rows without time, parse the present sensors (bad -> null),
     drop rows where all sensors are missing."""
-    df = normalise_header(spark.read.option("header", True).csv(path))
+    df = missing_to_null(normalise_header(spark.read.option("header", True).csv(path)))
     df = drop_null_ts(lenient_ts(df, "created_at", formats))
     df = lenient_numeric(df, sensors)
     return drop_all_null(df, list(sensors))

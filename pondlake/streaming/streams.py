@@ -1,17 +1,20 @@
-"""Structured Streaming: raw pond rows -> readings table, and the drift report
+"""Structured Streaming: raw pond files -> readings table, and the drift report
 and dashboard overview refreshed after every load.
 
-* STR-1 ``ingest_stream``: CSV files in canonical column order arrive in a
-  folder; they get the batch rules (positional names, strict types, NaN ->
-  null, keyed de-duplication, no null keys) and are appended to a parquet
-  table partitioned by pond through the file sink, which commits each
-  micro-batch exactly once.
-* STR-2 ``dedup_stream``: table-key uniqueness with a watermark.
-* STR-3 / STR-4 ``refresh_stream``: a second query on the table's committed
-  files; for each micro-batch it recomputes the drift report and the newest
-  window overview of the ponds that micro-batch touched.  Both writes are
-  idempotent (a replayed batch overwrites the same output), so a restart
-  after a lost executor or driver does not duplicate rows.
+* STR-1 ``ingest_stream``: CSV files arrive in a folder.  The stream carries
+  their names; each micro-batch is read and cleaned by the batch code
+  (``csv_ingest.ingest_files``: layouts, repairs, splices, strict types) and
+  its rows with new keys are written under the micro-batch's own partitions,
+  so a replayed batch overwrites what it wrote.
+* STR-2: a row is dropped only if its ``(pond_id, entry_id)`` is stored already
+  or repeated in the micro-batch: ``new_keys`` anti-joins the stored keys of the
+  ponds that the batch touches.  No row is late; ponds may lag one another by
+  any time.  ``dedup_stream`` is the bounded-state variant for sources whose
+  repeats come close together.
+* STR-3 / STR-4 ``refresh_stream``: a second query on the table's files; for
+  each micro-batch it merges the batch into a table of each pond's newest rows
+  and computes the drift report and the overview from that, so the history of a
+  pond is not read again.  All writes are idempotent.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pondlake.functions.parse import strict_cast, strict_ts
 from pondlake.operators import drift, series
+from pondlake.sources.csv_ingest import ingest_files
 from pondlake.schema import (CANON, DAY_FIRST_FORMAT, FLOAT_COLUMNS, INTEGER_COLUMNS,
                              MIN_SERIES_ROWS, MONITOR_COLUMNS, RAW, REPORT_RANGE)
 
@@ -39,35 +43,65 @@ def typed_readings(raw: DataFrame, time_format: str = DAY_FIRST_FORMAT) -> DataF
 
 
 def dedup_stream(df: DataFrame, delay: str) -> DataFrame:
-    """STR-2: drop repeats of ``(pond_id, entry_id)`` arriving within ``delay``
-    of each other in event time.  Needs a zoned ``TIMESTAMP`` column."""
+    """STR-2 with bounded state: drop repeats of ``(pond_id, entry_id)`` arriving
+    within ``delay`` of each other in event time.  The watermark is one for all
+    ponds, so rows older than the newest by more than ``delay`` are dropped
+    too: only for sources that are in time order across ponds.  Needs a zoned
+    ``TIMESTAMP`` column."""
     return (df.withWatermark("created_at", delay)
               .dropDuplicatesWithinWatermark(["pond_id", "entry_id"]))
 
 
-def read_raw_stream(spark: SparkSession, src_dir: str, max_files: int | None = None) -> DataFrame:
-    """Raw CSV stream: header row, canonical column order, all text; the pond
-    comes from the first digits of the file name."""
-    reader = spark.readStream.option("header", True).schema(RAW)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    raw = reader.csv(src_dir)
-    digits = F.regexp_extract(F.col("_metadata.file_name"), r"\d+", 0)
-    return raw.withColumn("pond_id", F.when(digits == "", F.raise_error(
-        F.concat(F.lit("no pond number in file name: "), F.col("_metadata.file_name"))))
-        .otherwise(digits.cast("int")))
+def read_file_stream(spark: SparkSession, src_dir: str, max_files: int) -> DataFrame:
+    """One row per arriving CSV file: its path (at most ``max_files`` a micro-batch)."""
+    return (spark.readStream.format("text").option("wholetext", True)
+            .option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", max_files)
+            .load(src_dir).select(F.col("_metadata.file_path").alias("path")))
+
+
+def _table_exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
+def new_keys(spark: SparkSession, rows: DataFrame, table_path: str, batch_id: int | None = None) -> DataFrame:
+    """STR-2: ``rows`` without repeats of ``(pond_id, entry_id)`` among themselves or
+    in the table (what ``batch_id`` itself wrote before a replay does not count)."""
+    rows = rows.dropDuplicates(["pond_id", "entry_id"])
+    if not _table_exists(spark, table_path):
+        return rows
+    stored = spark.read.parquet(table_path)
+    if batch_id is not None and "batch_id" in stored.columns:
+        stored = stored.filter(F.col("batch_id") != batch_id)
+    touched = rows.select("pond_id").distinct()
+    stored = stored.select("pond_id", "entry_id").join(touched, "pond_id", "left_semi")  # prunes ponds
+    return rows.join(stored, ["pond_id", "entry_id"], "left_anti")
+
+
+def ingest_batch(spark: SparkSession, table_path: str, time_format: str = DAY_FIRST_FORMAT):
+    """The ``foreachBatch`` body of ``ingest_stream``."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        paths = sorted(r.path for r in batch.distinct().collect())   # bounded by max_files
+        if not paths:
+            return
+        rows = ingest_files(spark, paths, time_format)
+        rows = rows.withColumn("created_at", F.col("created_at").cast("timestamp"))
+        rows = new_keys(spark, rows, table_path, batch_id).withColumn("batch_id", F.lit(batch_id))
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("pond_id", "batch_id").parquet(table_path))
+    return run
 
 
 def ingest_stream(spark: SparkSession, src_dir: str, table_path: str, checkpoint: str,
-                  delay: str = "1 hour", available_now: bool = False,
-                  max_files: int | None = None) -> StreamingQuery:
-    """STR-1: start the ingest query (append, partitioned by pond)."""
-    rows = dedup_stream(typed_readings(read_raw_stream(spark, src_dir, max_files)), delay)
-    writer = (rows.writeStream.format("parquet").outputMode("append")
-                  .option("checkpointLocation", checkpoint).partitionBy("pond_id"))
+                  available_now: bool = False, max_files: int = 1000) -> StreamingQuery:
+    """STR-1: start the ingest query (partitioned by pond and micro-batch)."""
+    writer = (read_file_stream(spark, src_dir, max_files).writeStream
+              .option("checkpointLocation", checkpoint)
+              .foreachBatch(ingest_batch(spark, table_path)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="10 seconds")
-    return writer.start(table_path)
+    return writer.start()
 
 
 def newest_window_overview(table: DataFrame, sensors: Sequence[str],
@@ -81,17 +115,38 @@ def newest_window_overview(table: DataFrame, sensors: Sequence[str],
 
 
 def refresh_batch(spark: SparkSession, table_path: str, reports_path: str, overview_path: str,
-                  columns: Sequence[str], report_range: int, sensors: Sequence[str]):
-    """The ``foreachBatch`` body of ``refresh_stream``."""
+                  columns: Sequence[str], report_range: int, sensors: Sequence[str],
+                  newest_path: str | None = None):
+    """The ``foreachBatch`` body of ``refresh_stream``.
+
+    ``newest_path`` (default beside the overview) holds the newest rows of each
+    pond, as many as the report or the overview needs.  A micro-batch is merged
+    into those of its ponds; a pond seen for the first time starts from its rows
+    in the table."""
+    newest_path = newest_path or f"{overview_path.rstrip('/')}_newest"
+    keep = max(report_range, MIN_SERIES_ROWS)
+    names = list(dict.fromkeys(["created_at", "entry_id", *columns, *sensors]))
+
     def run(batch: DataFrame, batch_id: int) -> None:
         ponds = batch.select("pond_id").distinct()
-        # semi-join on the partition column: dynamic partition pruning reads
-        # only the touched ponds' folders
-        table = spark.read.parquet(table_path).join(ponds, "pond_id", "left_semi")
-        report = drift.monitor(table, columns, report_range)
+        rows = batch.select("pond_id", *names)
+        known = None
+        if _table_exists(spark, f"{newest_path}/current"):
+            known = spark.read.parquet(f"{newest_path}/current").select("pond_id", *names)
+            rows = rows.unionByName(known.join(ponds, "pond_id", "left_semi"))
+        fresh = ponds if known is None else ponds.join(known.select("pond_id").distinct(), "pond_id", "left_anti")
+        history = spark.read.parquet(table_path).select("pond_id", *names)
+        rows = rows.unionByName(history.join(fresh, "pond_id", "left_semi"))
+        merged = series.newest_n_per_pond(rows.dropDuplicates(["pond_id", "entry_id"]), keep).drop("rn")
+        # written aside first: the rows come from the folder that they replace
+        merged.write.mode("overwrite").parquet(f"{newest_path}/pending")
+        newest = spark.read.schema(merged.schema).parquet(f"{newest_path}/pending")
+        (newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+               .partitionBy("pond_id").parquet(f"{newest_path}/current"))
+        report = drift.monitor(newest, columns, report_range)
         (report.withColumn("batch_id", F.lit(batch_id))
                .write.mode("overwrite").parquet(f"{reports_path.rstrip('/')}/batch_id={batch_id}"))
-        view = newest_window_overview(table, sensors)
+        view = newest_window_overview(newest, sensors)
         (view.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("pond_id").parquet(overview_path))
     return run

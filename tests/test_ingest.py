@@ -159,3 +159,51 @@ def test_files_of_one_layout_share_one_scan(spark, tmp_path):
     with contextlib.redirect_stdout(buf):
         df.explain()
     assert buf.getvalue().count("FileScan csv") == 1
+
+
+@pytest.mark.parametrize("bad, message", [({"created_at": "soon"}, "cannot parse time"),
+                                          ({"Population": 3_000_000_000}, "does not fit INT"),
+                                          ({"entry_id": 2}, "violated")])
+def test_failed_reload_leaves_the_old_table(spark, tmp_path, bad, message):
+    from pondlake.plans.jobs import load_ponds
+    good, worse = tmp_path / "good", tmp_path / "worse"
+    for d in (good, worse):
+        d.mkdir()
+        _write(d / "IoTPond2.csv", HEADER, [_row(i) for i in range(1, 11)])
+    rows = [_row(i) for i in range(1, 11)]
+    rows[6] = _row(7, **bad)
+    _write(worse / "IoTPond2.csv", HEADER, rows)
+    name = f"safe_{message.split()[0]}"
+    load_ponds(spark, str(good), name, path=str(tmp_path / "t"))
+    before = sorted(map(str, spark.table(name).collect()))
+    with pytest.raises(Exception, match=message):
+        load_ponds(spark, str(worse), name, path=str(tmp_path / "t"))
+    spark.catalog.refreshTable(name)
+    assert sorted(map(str, spark.table(name).collect())) == before and len(before) == 10
+    load_ponds(spark, str(good), name, path=str(tmp_path / "t"))
+    assert spark.table(name).count() == 10
+    assert not [t for t in T.list_tables(spark) if "__" in t]
+
+
+def test_integers_are_exact_and_tokens_are_missing(spark, tmp_path):
+    d = tmp_path / "exact"
+    d.mkdir()
+    rows = [_row(9007199254740993), _row(9007199254740992), _row(5)]
+    rows[2][2], rows[2][HEADER.index("Population")] = "NaN", "N/A"
+    rows[1][0] = "2024-01-02 10:00:00"
+    _write(d / "IoTPond2.csv", HEADER, rows)
+    got = {r.entry_id: r for r in ingest_folder(spark, str(d)).collect()}
+    assert set(got) == {9007199254740993, 9007199254740992, 5}
+    assert got[5].temperature is None and got[5].population is None
+    assert str(got[9007199254740992].created_at) == "2024-01-02 10:00:00"
+
+
+def test_nan_text_is_missing_and_trend_is_flat(spark):
+    from pondlake.functions.parse import lenient_numeric
+    from pondlake.operators.cleaning import drop_all_null
+    from pondlake.operators.series import trend
+    df = spark.createDataFrame([("NaN", "NaN"), ("1", "NaN")], "a string, b string")
+    typed = lenient_numeric(df, ["a", "b"])
+    assert drop_all_null(typed, ["a", "b"]).count() == 1
+    pairs = spark.createDataFrame([(1.0, float("nan")), (1.0, 2.0), (1.0, None)], "x double, y double")
+    assert [r.trend for r in trend(pairs, "x", "y").collect()] == ["flat", "up", "flat"]

@@ -70,7 +70,7 @@ def test_keyed_dedup_across_micro_batches(spark, tmp_path):
     write("IoTPond1_a.csv", [("01/01/2024 10:00:00", 1), ("01/01/2024 10:05:00", 2)])
     write("IoTPond1_b.csv", [("01/01/2024 10:20:00", 1), ("01/01/2024 10:25:00", 3)])
     write("IoTPond2_a.csv", [("01/01/2024 10:20:00", 1)])       # same key, other pond: kept
-    q = S.ingest_stream(spark, str(src), table, str(tmp_path / "ck"), delay="1 hour",
+    q = S.ingest_stream(spark, str(src), table, str(tmp_path / "ck"),
                         available_now=True, max_files=1)
     q.awaitTermination(300)
     out = spark.read.parquet(table)
@@ -94,3 +94,81 @@ def test_refresh_batch_replay_is_idempotent(spark, tmp_path):
     run(batch, 7)                      # the same micro-batch replayed after a failure
     assert spark.read.parquet(str(tmp_path / "rep")).count() == first == 3
     assert spark.read.parquet(str(tmp_path / "ov")).count() == 2
+
+
+HEADER7 = [c for c in ["created_at", "entry_id", "Temperature (C)", "Turbidity(NTU)", "Dissolved Oxygen(g/ml)",
+                       "PH", "Ammonia(g/ml)", "nitrate(g/ml)", "Population", "Fish_Length (cm)", "Fish_Weight (g)"]]
+
+
+def _csv(path, header, rows):
+    with open(path, "w") as f:
+        f.write(",".join(header) + "\n")
+        for r in rows:
+            f.write(",".join("" if v is None else str(v) for v in r) + "\n")
+
+
+def _reading(time, key, turbidity="10", population=True):
+    row = [time, key, 24.5, turbidity, 6.1, 7.2, 0.3, 12, 50, 7.5, 120.25]
+    return row if population else row[:8] + row[9:]
+
+
+def test_an_older_second_pond_and_rows_without_time_are_kept(spark, tmp_path):
+    src, table = tmp_path / "late", str(tmp_path / "late_table")
+    src.mkdir()
+    _csv(src / "a_IoTPond1.csv", HEADER7, [_reading(f"{d:02d}/03/2024 10:00:00", d) for d in range(1, 11)])
+    run = lambda: S.ingest_stream(spark, str(src), table, str(tmp_path / "ck"), available_now=True).awaitTermination(300)
+    run()
+    _csv(src / "b_IoTPond2.csv", HEADER7, [_reading(f"{d:02d}/02/2024 10:00:00", d) for d in range(1, 11)])
+    _csv(src / "c_IoTPond1.csv", HEADER7, [_reading("01/01/2020 10:00:00", 3), _reading(None, 77)])
+    run()
+    out = spark.read.parquet(table)
+    keys = sorted((r.pond_id, r.entry_id) for r in out.collect())
+    assert keys == [(1, k) for k in range(1, 11)] + [(1, 77)] + [(2, k) for k in range(1, 11)]
+    assert out.filter("pond_id = 1 and entry_id = 3").first().created_at.year == 2024  # the repeat went
+    assert out.filter("entry_id = 77").first().created_at is None
+
+
+def test_batch_rules_hold_in_the_stream(spark, tmp_path):
+    """Repairs, splices, missing-value tokens, extra columns: as in the batch load."""
+    from pondlake.sources.csv_ingest import ingest_folder
+    src, table = tmp_path / "rules", str(tmp_path / "rules_table")
+    src.mkdir()
+    _csv(src / "IoTPond4.csv", HEADER7, [_reading("01/01/2024 10:00:00", 1, "Jan-00"), _reading("02/01/2024 10:00:00", 2, "NA")])
+    _csv(src / "IoTPond7.csv", [h for h in HEADER7 if h != "Population"],
+         [_reading("2024-01-03 10:00:00", 1, population=False)])
+    _csv(src / "IoTPond9a.csv".replace("9a", "1"), HEADER7[:1] + ["Date"] + HEADER7[1:] + ["extra"],
+         [r[:1] + ["x"] + r[1:] + ["y"] for r in [_reading("04/01/2024 10:00:00", 5)]])
+    S.ingest_stream(spark, str(src), table, str(tmp_path / "ck"), available_now=True).awaitTermination(300)
+    got = spark.read.parquet(table).drop("batch_id")
+    want = ingest_folder(spark, str(src))
+    cols = sorted(want.columns)
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+    assert {(r.pond_id, r.turbidity) for r in got.collect()} == {(4, 12.45), (4, None), (7, 10.0), (1, 10.0)}
+
+
+def test_replayed_ingest_batch_writes_the_same(spark, tmp_path):
+    src, table = tmp_path / "replay", str(tmp_path / "replay_table")
+    src.mkdir()
+    _csv(src / "IoTPond1.csv", HEADER7, [_reading("01/01/2024 10:00:00", k) for k in (1, 2, 2)])
+    files = spark.createDataFrame([(f"file://{src}/IoTPond1.csv",)], "path string")
+    run = S.ingest_batch(spark, table)
+    for batch in (0, 0, 1):                       # 0 again after a failure; 1 has the same keys
+        run(files, batch)
+    assert sorted(r.entry_id for r in spark.read.parquet(table).collect()) == [1, 2]
+
+
+def test_refresh_merges_batches_as_the_whole_table_would(spark, tmp_path):
+    from pondlake.operators import drift
+    table = str(tmp_path / "inc")
+    r = events_readings(spark, SF_SMALL)
+    rows = r.select(F.when(F.col("pond_id") == "click", 1).otherwise(2).alias("pond_id"),
+                    F.col("created_at").cast("timestamp").alias("created_at"), "entry_id",
+                    F.col("value").alias("temperature"), F.col("k").alias("ph")).cache()
+    run = S.refresh_batch(spark, table, str(tmp_path / "rep"), str(tmp_path / "ov"), ["temperature", "ph"], 100, ["temperature", "ph"])
+    for i in range(3):
+        part = rows.filter(F.col("entry_id") % 3 == i)
+        part.write.mode("append").partitionBy("pond_id").parquet(table)
+        run(part, i)
+    got = spark.read.parquet(str(tmp_path / "rep")).filter("batch_id = 2").drop("batch_id")
+    want = drift.monitor(rows, ["temperature", "ph"], 100)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
