@@ -9,19 +9,21 @@ the small fitted result (one value per column or class).
 
 from __future__ import annotations
 
+import json
 import math
 import random
+import warnings
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark import StorageLevel, keyword_only
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from pondlake.functions.columns import columns_by_type
 from pondlake.operators.ordinal import broadcast_if_bounded, group_medians, with_position
 from pondlake.session import cut_lineage
-from pondlake.schema import CV_SPLITS, RANDOM_STATE, SEARCH_TRIALS, TEST_SIZE
+from pondlake.schema import (BOOSTED_SPACE, CV_SPLITS, FOREST_SPACE, RANDOM_STATE, SEARCH_TRIALS,
+                             TEST_SIZE)
 
 SPLIT_COL = "split"
 FOLD_COL = "fold"
@@ -75,13 +78,44 @@ def _indexers(cols: Sequence[str]) -> list[StringIndexer]:
 def label_encode(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """ML-3: ordinal codes from the sorted train categories; unseen or
     missing -> -1."""
-    model = Pipeline(stages=_indexers(cols)).fit(train)
-    out = model.transform(df)
-    for c, m in zip(cols, model.stages):
-        n = float(len(m.labels))
-        out = out.withColumn(f"{c}_idx", F.when(F.col(f"{c}_index") == n, F.lit(-1.0))
-                             .otherwise(F.col(f"{c}_index"))).drop(f"{c}_index")
-    return out
+    return OrdinalEncoder(inputCols=list(cols), outputCols=[f"{c}_idx" for c in cols]).fit(train).transform(df)
+
+
+class OrdinalEncoder(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable,
+                     DefaultParamsWritable):
+    """ML-3 as a stage: the code of a category is its place among the sorted
+    training categories, -1 if it has none.  Codes are ordinary numbers: the
+    output has no nominal metadata, so trees take any number of categories."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> "OrdinalEncoderModel":
+        model = Pipeline(stages=_indexers(self.getInputCols())).fit(dataset)
+        return OrdinalEncoderModel(inputCols=self.getInputCols(), outputCols=self.getOutputCols(),
+                                   labels=json.dumps([list(m.labels) for m in model.stages]))
+
+
+class OrdinalEncoderModel(Model, HasInputCols, HasOutputCols, DefaultParamsReadable,
+                          DefaultParamsWritable):
+    labels = Param(Params._dummy(), "labels", "JSON list of each column's categories in order",
+                   typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None, labels=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out = dataset
+        for i, o, own in zip(self.getInputCols(), self.getOutputCols(), json.loads(self.getOrDefault(self.labels))):
+            raw = f"__{o}_index"
+            indexer = StringIndexerModel.from_labels(own or [""], inputCol=i, outputCol=raw, handleInvalid="keep")
+            code = F.when(F.col(raw) == float(len(own or [""])), F.lit(-1.0)).otherwise(F.col(raw))
+            out = indexer.transform(out).withColumn(o, code + F.lit(0.0)).drop(raw)
+        return out
 
 
 def one_hot_stages(cols: Sequence[str]) -> list:
@@ -265,7 +299,7 @@ def balanced_accuracy(pred: DataFrame, label: str = "label",
 
 
 class BalancedAccuracyEvaluator(Evaluator):
-    """ML-14 for ``CrossValidator``: larger is better."""
+    """ML-14 as an evaluator: larger is better."""
 
     def __init__(self, labelCol: str = "label", predictionCol: str = "prediction"):
         super().__init__()
@@ -301,8 +335,8 @@ def preprocessor(df: DataFrame, encoding: str = "none", scaling: bool = False,
                  features: Sequence[str] | None = None, label: str = "label",
                  exclude: Sequence[str] = ()) -> list:
     """ML-7: stage list: impute numbers, encode text (``none`` / ``label`` /
-    ``ohe``), scale numbers if asked, assemble ``features``.  With ``none``,
-    text columns stay out of the vector (MLlib cannot take them raw)."""
+    ``ohe``), scale numbers if asked, assemble ``features``.  With ``none`` a
+    text column raises: the models take numbers only (ML-5)."""
     skip = set(exclude) | {label, SPLIT_COL, FOLD_COL, "weight"}
     cols = [c for c in (features or df.columns) if c not in skip]
     numeric = [c for c in columns_by_type(df.select(*cols), ["numeric"])]
@@ -314,13 +348,16 @@ def preprocessor(df: DataFrame, encoding: str = "none", scaling: bool = False,
         num_out = [f"{c}_std" for c in numeric]
     enc_out: list[str] = []
     if encoding == "label":
-        stages += _indexers(text)
-        enc_out = [f"{c}_index" for c in text]
+        if text:
+            stages.append(OrdinalEncoder(inputCols=text, outputCols=[f"{c}_code" for c in text]))
+        enc_out = [f"{c}_code" for c in text]
     elif encoding == "ohe":
         stages += one_hot_stages(text)
         enc_out = [f"{c}_vec" for c in text]
     elif encoding != "none":
         raise ValueError(f"unknown encoding {encoding!r}")
+    elif text:
+        raise ValueError(f"text columns {text} need an encoding ('label' or 'ohe')")
     stages.append(VectorAssembler(inputCols=num_out + enc_out, outputCol="features"))
     return stages
 
@@ -357,6 +394,8 @@ def map_params(name: str, sampled: Mapping) -> dict:
             out["subsamplingRate"] = float(v)
         elif k == "max_depth":
             out["maxDepth"] = min(int(v), MAX_DEPTH)
+            if int(v) > MAX_DEPTH:
+                warnings.warn(f"max_depth {v} is cut to {MAX_DEPTH}, the deepest tree MLlib grows", stacklevel=2)
         elif k == "n_estimators":
             out["numTrees" if name == "random_forest" else "maxIter"] = int(v)
         elif k == "learning_rate":
@@ -365,7 +404,10 @@ def map_params(name: str, sampled: Mapping) -> dict:
             out["featureSubsetStrategy"] = str(float(v))
         elif k == "gamma":
             out["minInfoGain"] = float(v)
-        # reg_alpha / reg_lambda have no MLlib counterpart and are ignored
+        elif k in ("reg_alpha", "reg_lambda"):
+            warnings.warn(f"{k} has no MLlib counterpart and is ignored", stacklevel=2)
+        else:
+            raise ValueError(f"unknown hyper-parameter {k!r}")
     return out
 
 
@@ -394,17 +436,21 @@ def sample_space(space: Mapping[str, Mapping], n: int, seed: int = RANDOM_STATE)
     return draws
 
 
-def tune(train: DataFrame, stages: list, model_name: str, space: Mapping, n_iter: int = SEARCH_TRIALS,
+SPACES = {"random_forest": FOREST_SPACE, "boosted": BOOSTED_SPACE}
+
+
+def tune(train: DataFrame, stages: list, model_name: str, space: Mapping | None = None, n_iter: int = SEARCH_TRIALS,
          folds: int = CV_SPLITS, seed: int = RANDOM_STATE, label: str = "label",
          parallelism: int = 2):
     """ML-13: seeded random search, ``n_iter`` trials x ``folds`` folds on the
     ``fold`` column, best by balanced accuracy, refit on all train rows.
+    ``space`` defaults to the model's own (``schema``).  Preprocessing is fitted
+    once per fold, and its output is kept while the fold's trials run.
 
     Returns ``(best PipelineModel, best reference-named params, trial table)``."""
     est = make_model(model_name, seed=seed, label=label,
                      weight_col="weight" if "weight" in train.columns else None)
-    pipe = Pipeline(stages=[*stages, est])
-    draws = sample_space(space, n_iter, seed)
+    draws = sample_space(SPACES[model_name] if space is None else space, n_iter, seed)
     target = est.getClassifier() if isinstance(est, OneVsRest) else est
     maps = []
     for d in draws:
@@ -412,14 +458,34 @@ def tune(train: DataFrame, stages: list, model_name: str, space: Mapping, n_iter
         for k, v in map_params(model_name, d).items():
             pm[target.getParam(k)] = v
         maps.append(pm)
-    if not maps:
-        maps = ParamGridBuilder().build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
-                        evaluator=BalancedAccuracyEvaluator(labelCol=label), foldCol=FOLD_COL,
-                        numFolds=folds, parallelism=parallelism, seed=seed)
-    fitted = cv.fit(train)
-    best = max(range(len(fitted.avgMetrics)), key=lambda i: fitted.avgMetrics[i])
-    return fitted.bestModel, draws[best] if draws else {}, list(zip(draws, fitted.avgMetrics))
+    trials = maps or [{}]
+    evaluator = BalancedAccuracyEvaluator(labelCol=label)
+    scores = [0.0] * len(trials)
+    for fold in range(folds):
+        fit_rows, held = train.filter(F.col(FOLD_COL) != fold), train.filter(F.col(FOLD_COL) == fold)
+        prep = Pipeline(stages=stages).fit(fit_rows)
+        fit_rows = prep.transform(fit_rows).persist(StorageLevel.MEMORY_AND_DISK)
+        held = prep.transform(held).persist(StorageLevel.MEMORY_AND_DISK)
+
+        def score(pm: dict) -> float:
+            return evaluator.evaluate(_with_params(est, pm).fit(fit_rows).transform(held))
+
+        with ThreadPool(max(1, parallelism)) as pool:
+            for i, v in enumerate(pool.imap(score, trials)):
+                scores[i] += v / folds
+        fit_rows.unpersist()
+        held.unpersist()
+    best = max(range(len(trials)), key=lambda i: scores[i])
+    prep = Pipeline(stages=stages).fit(train)
+    model = _with_params(est, trials[best]).fit(prep.transform(train))
+    return PipelineModel([*prep.stages, model]), draws[best] if draws else {}, list(zip(draws, scores))
+
+
+def _with_params(est, params: dict):
+    """A copy of the estimator with the given parameters (of its classifier, if one-vs-rest)."""
+    if isinstance(est, OneVsRest):
+        return est.copy({est.classifier: est.getClassifier().copy(params)})
+    return est.copy(params)
 
 
 def evaluate(model, test: DataFrame, label: str = "label") -> float:
@@ -428,7 +494,7 @@ def evaluate(model, test: DataFrame, label: str = "label") -> float:
     return float(v) if v is not None else float("nan")
 
 
-def train_table(df: DataFrame, label: str, id_col: str, model_name: str, space: Mapping,
+def train_table(df: DataFrame, label: str, id_col: str, model_name: str, space: Mapping | None = None,
                 encoding: str = "none", scaling: bool = False, n_iter: int = SEARCH_TRIALS,
                 folds: int = CV_SPLITS, seed: int = RANDOM_STATE, test_size: float = TEST_SIZE,
                 parallelism: int = 2):

@@ -3,6 +3,7 @@ over fixture D (documents joined to labels) and X."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from pondlake.fixtures import E_SENSORS, dirty_readings, labelled_documents, table
@@ -11,7 +12,7 @@ from pondlake.functions.parse import lenient_numeric
 from pondlake.operators import learn as L
 from pondlake.plans.catalog import register
 from pondlake.plans.queries_ingest import LENIENT_NUM, X
-from pondlake.schema import CV_SPLITS, RANDOM_STATE, TEST_SIZE
+from pondlake.schema import BOOSTED_SPACE, CV_SPLITS, FOREST_SPACE, RANDOM_STATE, TEST_SIZE
 
 D = f"""d AS (
   SELECT dd.doc_id, dd.n_chars, dd.lang, dd.source, l.quality
@@ -122,53 +123,71 @@ def q_balanced_accuracy(spark, sf):
     return L.balanced_accuracy(pred)
 
 
-FOREST_SPACE = {
-    "max_features": {"type": "Categorical", "categories": ["sqrt", "log2", None]},
-    "min_samples_split": {"type": "Integer", "low": 2, "high": 25},
-    "max_samples": {"type": "Real", "low": 0.5, "high": 1.0},
-    "max_depth": {"type": "Integer", "low": 3, "high": 5},
-    "n_estimators": {"type": "Integer", "low": 5, "high": 10},
-}
+# Smaller trees than the default spaces: the queries are run at every scale.
+SMALL_FOREST = {**FOREST_SPACE, "max_depth": {"type": "Integer", "low": 3, "high": 8},
+                "n_estimators": {"type": "Integer", "low": 10, "high": 20}}
+SMALL_BOOSTED = {**{k: v for k, v in BOOSTED_SPACE.items() if not k.startswith("reg_")},
+                 "max_depth": {"type": "Integer", "low": 2, "high": 3},
+                 "n_estimators": {"type": "Integer", "low": 2, "high": 3}}
 
 
-@register("train_forest")
+@register("train_forest", "WITH " + D + """
+SELECT doc_id, CAST(quality AS DOUBLE) AS label, TRUE AS valid FROM labelled WHERE split = 'test'""")
 def q_train_forest(spark, sf):
-    """ML-16 with a small budget: tuned forest, hold-out predictions
-    ``(doc_id, label, prediction)`` for every test row (no SQL form)."""
+    """ML-16: tuned forest over all labelled documents; every hold-out row with
+    its label, and whether its prediction is a class."""
     df = labelled_documents(spark, sf)
     data = df.withColumn("label", F.col("quality").cast("double")).drop("quality")
     split = L.stratified_split(data, "label", "doc_id")
     train = L.class_weights(_train(split), "label")
     test = split.filter(F.col(L.SPLIT_COL) == "test")
     stages = L.preprocessor(train, "label", False, exclude=["doc_id"])
-    model, _, _ = L.tune(train, stages, "random_forest", FOREST_SPACE, n_iter=2, folds=CV_SPLITS)
-    return model.transform(test).select("doc_id", "label", "prediction")
+    model, _, _ = L.tune(train, stages, "random_forest", SMALL_FOREST, n_iter=2, folds=CV_SPLITS)
+    return model.transform(test).select("doc_id", "label", F.col("prediction").isin(0.0, 1.0).alias("valid"))
 
 
-BOOSTED_SPACE = {
-    "learning_rate": {"type": "Real", "low": 0.01, "high": 0.3, "prior": "log-uniform"},
-    "max_depth": {"type": "Integer", "low": 2, "high": 3},
-    "n_estimators": {"type": "Integer", "low": 3, "high": 5},
-    "subsample": {"type": "Real", "low": 0.5, "high": 1.0},
-    "colsample_bytree": {"type": "Real", "low": 0.6, "high": 1.0},
-}
+_BOOSTED_SQL = f"""
+ranked AS (
+  SELECT vec_id, label % 3 AS label, row_number() OVER (PARTITION BY label % 3
+           ORDER BY md5('{RANDOM_STATE}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS pos,
+         count(*) OVER (PARTITION BY label % 3) AS n
+  FROM embeddings)
+SELECT vec_id, CAST(label AS DOUBLE) AS label, TRUE AS valid FROM ranked
+WHERE pos < CAST(floor(CAST({TEST_SIZE} AS DOUBLE) * n + 0.5) AS BIGINT)"""
 
 
-@register("train_boosted")
+@register("train_boosted", "WITH " + _BOOSTED_SQL)
 def q_train_boosted(spark, sf):
-    """ML-11 with a small budget: one-vs-rest boosted trees on the three-class
-    embeddings subset (64 features), tuned on folds; the hold-out rows with
-    their prediction and per-row log loss of softmax(rawPrediction)."""
-    emb = table(spark, sf, "embeddings").filter("label < 3")
+    """ML-11: one-vs-rest boosted trees on all embeddings, their labels folded to
+    three classes; every hold-out row with its label, and whether its
+    prediction is a class with a finite log loss."""
+    emb = table(spark, sf, "embeddings")
     dims = 64
-    data = emb.select("vec_id", F.col("label").cast("double").alias("label"),
+    data = emb.select("vec_id", (F.col("label") % 3).cast("double").alias("label"),
                       *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(dims)])
-    folds = 3
-    split = L.stratified_split(data, "label", "vec_id", folds=folds)
+    split = L.stratified_split(data, "label", "vec_id")
     train = _train(split)
     test = split.filter(F.col(L.SPLIT_COL) == "test")
     stages = L.preprocessor(train, "none", False, exclude=["vec_id"])
-    model, _, _ = L.tune(train, stages, "boosted", BOOSTED_SPACE, n_iter=2, folds=folds)
-    pred = model.transform(test)
-    return pred.select("vec_id", "label", "prediction",
-                       L.softmax_log_loss_expr("label", "rawPrediction").alias("log_loss"))
+    model, _, _ = L.tune(train, stages, "boosted", SMALL_BOOSTED, n_iter=2, folds=CV_SPLITS)
+    loss = L.softmax_log_loss_expr("label", "rawPrediction")
+    return model.transform(test).select(
+        "vec_id", "label", (F.col("prediction").isin(0.0, 1.0, 2.0) & (loss >= 0) & (loss < 40)).alias("valid"))
+
+
+@register("softmax_log_loss", """
+WITH s AS (
+  SELECT vec_id, label % 3 AS label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
+         CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
+e AS (SELECT *, greatest(a, b, c) AS m FROM s),
+p AS (
+  SELECT vec_id, exp(CASE label WHEN 0 THEN a WHEN 1 THEN b ELSE c END - m) / (exp(a - m) + exp(b - m) + exp(c - m)) AS p
+  FROM e)
+SELECT vec_id, round(-ln(least(greatest(p, 1e-15), 1 - 1e-15)), 9) AS log_loss FROM p""")
+def q_softmax_log_loss(spark, sf):
+    """ML-11's metric row by row, on scores read from the embeddings."""
+    emb = table(spark, sf, "embeddings")
+    scores = F.array(*[F.col("embedding")[i].cast("double") for i in range(3)])
+    pred = emb.select("vec_id", (F.col("label") % 3).cast("double").alias("label"),
+                      array_to_vector(scores).alias("rawPrediction"))
+    return pred.select("vec_id", F.round(L.softmax_log_loss_expr("label", "rawPrediction"), 9).alias("log_loss"))
