@@ -119,3 +119,53 @@ def test_exact_median_matches_numpy(spark, xs):
     df = spark.createDataFrame([(float(x),) for x in xs], "a double")
     got = L.exact_medians(df, ["a"]).first().median
     assert abs(got - float(np.median(xs))) < 1e-12
+
+
+def test_codes_in_the_pipeline_are_those_of_the_encoder(spark):
+    """Unseen and missing are -1, and 40 categories are ordinary numbers to a forest."""
+    train = spark.createDataFrame([(i, f"c{i % 40:02d}", float(i % 2)) for i in range(400)], "i long, t string, label double")
+    stages = L.preprocessor(train, "label", False, exclude=["i"])
+    model = Pipeline(stages=[*stages, L.make_model("random_forest", {"numTrees": 3, "maxDepth": 3}, weight_col=None)]).fit(train)
+    test = spark.createDataFrame([(1, "c05", 0.0), (2, "unseen", 0.0), (3, None, 0.0)], "i long, t string, label double")
+    rows = model.transform(test).collect()
+    assert [r.t_code for r in rows] == [5.0, -1.0, -1.0]
+    assert all(r.prediction in (0.0, 1.0) for r in rows)
+
+
+def test_ordinal_encoder_persists(spark, tmp_path):
+    train = spark.createDataFrame([("b",), ("a",), (None,)], "t string")
+    model = L.OrdinalEncoder(inputCols=["t"], outputCols=["c"]).fit(train)
+    model.save(str(tmp_path / "enc"))
+    again = L.OrdinalEncoderModel.load(str(tmp_path / "enc"))
+    assert [r.c for r in again.transform(train).collect()] == [1.0, 0.0, -1.0]
+
+
+def test_text_without_encoding_raises(spark):
+    import pytest
+    df = spark.createDataFrame([("a", 1.0, 0.0)], "t string, x double, label double")
+    with pytest.raises(ValueError, match="need an encoding"):
+        L.preprocessor(df, "none")
+
+
+def test_parameters_that_change_are_reported():
+    import pytest
+    with pytest.warns(UserWarning, match="max_depth 100 is cut to 30"):
+        assert L.map_params("random_forest", {"max_depth": 100}) == {"maxDepth": 30}
+    with pytest.warns(UserWarning, match="reg_alpha has no MLlib counterpart"):
+        assert L.map_params("boosted", {"reg_alpha": 1.0}) == {}
+    with pytest.raises(ValueError):
+        L.map_params("boosted", {"nonsense": 1})
+    assert set(L.SPACES["random_forest"]) == {"max_features", "min_samples_split", "max_samples", "max_depth", "n_estimators"}
+    draw = L.sample_space(L.SPACES["boosted"], 5)
+    assert all(500 <= d["n_estimators"] <= 1500 and 3 <= d["max_depth"] <= 100 for d in draw)
+
+
+def test_preprocessing_is_fitted_once_a_fold(spark, monkeypatch):
+    fits = []
+    real = L.MedianImputer._fit
+    monkeypatch.setattr(L.MedianImputer, "_fit", lambda self, d: fits.append(1) or real(self, d))
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 2)) for i in range(60)], "i long, x double, label double")
+    train = L.stratified_split(df, "label", "i", test_size=0.0, folds=3).drop("split")
+    space = {"max_depth": {"type": "Integer", "low": 2, "high": 3}, "n_estimators": {"type": "Integer", "low": 2, "high": 3}}
+    L.tune(train, L.preprocessor(train, exclude=["i"]), "random_forest", space, n_iter=3, folds=3)
+    assert len(fits) == 3 + 1

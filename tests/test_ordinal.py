@@ -134,3 +134,32 @@ def test_shifted_inner_drops_rows_without_partner(spark):
     p = with_position(df, ["g"], ["t"])
     got = shifted(p, ["g"], ["v"], 5, how="inner").orderBy("pos").collect()
     assert len(got) == 25 and got[0].v_next == 10.0 and got[-1].v_next == 58.0
+
+
+def test_a_null_group_is_a_group_on_every_path(spark):
+    """Positions, selections and medians of a null key do not depend on the group's size."""
+    from pondlake.operators import ordinal as O
+    df = spark.range(0, 60).select(F.when(F.col("id") % 3 > 0, F.lit("a")).alias("g"), F.col("id").alias("t"),
+                                   (F.col("id") % 5).cast("double").alias("x"))
+    rows = lambda d: sorted(map(str, d.collect()))
+    pick = lambda small: O.rows_at_positions(df, ["g"], "t", [], lambda n: (F.lit(2), F.lit(9)), small_group_rows=small)
+    small = pick(1000).select("g", "t", "pos", "n_rows")
+    assert rows(pick(0).select("g", "t", "pos", "n_rows")) == rows(small) and small.filter("g is null").count() == 7
+    stats = [O.group_median_stats(df, ["g"], "x", small_group_rows=n).select("g", "min", "median", "max") for n in (0, 1000)]
+    assert rows(stats[0]) == rows(stats[1]) and len(rows(stats[0])) == 2
+    medians = [O.group_medians(df, ["g"], "x", small_group_rows=n).select("g", "median") for n in (0, 1000)]
+    assert rows(medians[0]) == rows(medians[1])
+
+
+def test_a_dominant_value_is_not_written_out_again(spark):
+    """99% of the rows hold one value: the median is read from counts."""
+    from pondlake.operators import ordinal as O
+    df = spark.range(0, 200_000).select(F.lit("a").alias("g"), F.when(F.col("id") % 100 == 0, F.col("id") * 1.0)
+                                        .otherwise(7.0).alias("x"))
+    out = O.group_median_stats(df, ["g"], "x", small_group_rows=0)
+    assert out.first().median == 7.0
+    plan = out._jdf.queryExecution().toString()
+    assert "array_repeat" not in plan
+    mid = O.rows_at_positions(df, ["g"], "x", [], lambda n: (F.lit(99_990), F.lit(100_010)), small_group_rows=0)
+    got = mid.select("x", "pos").collect()
+    assert sorted(r.pos for r in got) == list(range(99_990, 100_010)) and {r.x for r in got} == {7.0}
