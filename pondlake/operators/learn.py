@@ -341,9 +341,9 @@ def preprocessor(df: DataFrame, encoding: str = "none", scaling: bool = False,
     cols = [c for c in (features or df.columns) if c not in skip]
     numeric = [c for c in columns_by_type(df.select(*cols), ["numeric"])]
     text = [c for c in columns_by_type(df.select(*cols), ["text"])]
-    stages: list = [MedianImputer(inputCols=numeric, outputCols=[f"{c}_imp" for c in numeric])]
+    stages: list = [MedianImputer(inputCols=numeric, outputCols=[f"{c}_imp" for c in numeric])] if numeric else []
     num_out = [f"{c}_imp" for c in numeric]
-    if scaling:
+    if scaling and numeric:
         stages.append(PopulationScaler(inputCols=num_out, outputCols=[f"{c}_std" for c in numeric]))
         num_out = [f"{c}_std" for c in numeric]
     enc_out: list[str] = []
