@@ -8,13 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pondlake.operators.ordinal import group_median_stats, rows_at_positions
+from pondlake.operators.ordinal import group_median_stats, group_sizes, rows_at_positions
 from pondlake.operators.series import POND, TIME_ORDER, cursor_expr, unpivot_sensors
 from pondlake.schema import FORECAST_HORIZON, WINDOW_SIZE
 
 
 def align_ponds(df: DataFrame, base_pond, sensors: Sequence[str], tick: int,
-                size: int = WINDOW_SIZE, horizon: int = FORECAST_HORIZON) -> DataFrame:
+                size: int = WINDOW_SIZE, horizon: int = FORECAST_HORIZON,
+                sizes: DataFrame | None = None) -> DataFrame:
     """JON-1: every pond's reading at the row positions of the base pond's
     window at ``tick``; the time axis is the base pond's.
 
@@ -22,41 +23,51 @@ def align_ponds(df: DataFrame, base_pond, sensors: Sequence[str], tick: int,
     at those ``size`` positions are selected from each pond (no sort of the
     whole table); the axis has exactly ``size`` rows, so it is broadcast by
     construction.  A pond too short to reach a position gets a null reading
-    there (the reference raised KeyError).
+    there (the reference raised KeyError).  The table is read twice: for the
+    ponds' sizes (the key column; ``sizes`` of ``pond_sizes`` saves it), which
+    give the base length, the list of ponds and the routing, and for the rows.
     """
     narrow = df.select(POND, *TIME_ORDER, *sensors)
-    base_rows = narrow.filter(F.col(POND) == F.lit(base_pond)).select(F.count(F.lit(1))).scalar()
+    sizes = pond_sizes(df) if sizes is None else sizes
+    base_rows = F.coalesce(sizes.filter(F.col(POND) == F.lit(base_pond)).select("__L").scalar(), F.lit(0))
     start = cursor_expr(base_rows, tick, size, horizon)
     first = F.when(base_rows >= size + horizon, start)
     picked = rows_at_positions(narrow, [POND], "created_at", ["entry_id"],
-                               lambda n_rows: (first, first + size))
+                               lambda n_rows: (first, first + size), sizes=sizes)
     axis = (picked.filter(F.col(POND) == F.lit(base_pond))
                   .select("pos", F.col("created_at").alias("axis_time")))
     # every pond at every axis position (the positions are generated per pond,
     # not paired by a join); a pond too short for a position keeps null readings
-    ponds = narrow.select(POND).distinct()
-    grid = ponds.select(POND, F.explode(F.sequence(first, first + size - 1)).alias("pos"))
+    grid = sizes.select(POND, F.explode(F.sequence(first, first + size - 1)).alias("pos"))
     readings = picked.select(POND, "pos", *[F.col(f"`{c}`") for c in sensors])
     aligned = grid.join(readings, [POND, "pos"], "left").join(F.broadcast(axis), "pos")
     long = unpivot_sensors(aligned, sensors, ["pos", "axis_time", POND])
     return long.withColumnRenamed("axis_time", "created_at")
 
 
-def cross_pond_stats(aligned: DataFrame,
-                     keys: Sequence[str] = ("sensor", "pos", "created_at")) -> DataFrame:
+def pond_sizes(df: DataFrame) -> DataFrame:
+    """Rows per pond, materialised: one row per pond (columns ``pond_id, __L``)."""
+    return group_sizes(df.select(POND), [POND])
+
+
+def cross_pond_stats(aligned: DataFrame, keys: Sequence[str] = ("sensor", "pos", "created_at"),
+                     max_ponds: int | None = None) -> DataFrame:
     """AGG-1: min / median / max across ponds at each position and sensor;
     missing readings are ignored, all missing gives null.  One aggregate with
     the exact median for groups of ordinary size; a position shared by more
     than ``ordinal.SMALL_GROUP_ROWS`` ponds selects only its middle readings
     (``ordinal.group_median_stats``), so their readings never meet in one
-    task."""
-    return group_median_stats(aligned, list(keys), "reading")
+    task.  ``max_ponds``, if known, bounds the groups and saves sizing them."""
+    return group_median_stats(aligned, list(keys), "reading", max_rows=max_ponds)
 
 
 def aggregate_overview(df: DataFrame, base_pond, sensors: Sequence[str], tick: int,
                        size: int = WINDOW_SIZE, horizon: int = FORECAST_HORIZON) -> DataFrame:
-    """AGG-2: JON-1 then AGG-1 for every sensor in one job."""
-    return cross_pond_stats(align_ponds(df, base_pond, sensors, tick, size, horizon))
+    """AGG-2: JON-1 then AGG-1 for every sensor in one job; a position has at most
+    one reading per pond."""
+    sizes = pond_sizes(df)
+    return cross_pond_stats(align_ponds(df, base_pond, sensors, tick, size, horizon, sizes),
+                            max_ponds=sizes.count())
 
 
 def class_counts(df: DataFrame, label: str | Sequence[str], count_col: str = "n") -> DataFrame:

@@ -365,7 +365,7 @@ def _position_by_window(df: DataFrame, group_cols: Sequence[str], order_cols,
 def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
                   pos_col: str = "pos", count_col: str | None = None,
                   num_partitions: int | None = None, max_groups: int | None = None,
-                  small_group_rows: int | None = None) -> DataFrame:
+                  small_group_rows: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Add ``pos_col`` = 0-based rank of each row within ``group_cols`` in the
     order ``order_cols`` (ascending unless a sort Column is given), and
     optionally ``count_col`` = the group's row count.
@@ -373,14 +373,15 @@ def with_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     Groups of at most ``small_group_rows`` rows (default ``SMALL_GROUP_ROWS``)
     are ranked by a window per group; larger groups by range partitioning, so
     no task ever holds more than that many rows of one group.  The order must
-    be total inside a group for the positions to be deterministic.
+    be total inside a group for the positions to be deterministic.  ``sizes``
+    (from ``group_sizes``), when the caller has them, saves sizing the groups.
     """
     group_cols = list(group_cols)
     limit = _limit(small_group_rows)
     if not group_cols or limit <= 0:
         return _position_by_range(df, group_cols, order_cols, pos_col, count_col,
                                   num_partitions, max_groups)
-    small, large, n_big = split_by_size(df, group_cols, limit)
+    small, large, n_big = split_by_size(df, group_cols, limit, sizes)
     parts = []
     if small is not None:
         parts.append(_position_by_window(small, group_cols, order_cols, pos_col, count_col))
@@ -417,8 +418,8 @@ def with_lead(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str
 def rows_at_positions(df: DataFrame, group_cols: Sequence[str], time_col: str,
                       tie_cols: Sequence[str], bounds, pos_col: str = "pos",
                       count_col: str = "n_rows", grid: int = 1000, accuracy: int = 10000,
-                      max_groups: int | None = None,
-                      small_group_rows: int | None = None) -> DataFrame:
+                      max_groups: int | None = None, small_group_rows: int | None = None,
+                      sizes: DataFrame | None = None) -> DataFrame:
     """Rows whose 0-based position in their group (order ``time_col`` then
     ``tie_cols``, null times first) lies in ``[a, b)`` with
     ``(a, b) = bounds(count column)``.  Small groups: a window per group and a
@@ -430,7 +431,7 @@ def rows_at_positions(df: DataFrame, group_cols: Sequence[str], time_col: str,
     if limit <= 0:
         return _bracketed(df, group_cols, time_col, tie_cols, bounds, pos_col, count_col, grid,
                           accuracy, max_groups)
-    small, large, n_big = split_by_size(df, group_cols, limit)
+    small, large, n_big = split_by_size(df, group_cols, limit, sizes)
     parts = []
     if small is not None:
         order = [F.col(time_col).asc_nulls_first(), *tie_cols]
@@ -475,16 +476,19 @@ def _selected_medians(vals: DataFrame, group_cols: list[str], out_col: str) -> D
 
 
 def group_median_stats(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                       small_group_rows: int | None = None) -> DataFrame:
+                       small_group_rows: int | None = None, max_rows: int | None = None) -> DataFrame:
     """``(group..., min, median, max)`` of ``value_col`` per group (nulls and
     NaN ignored; a group without values gets nulls).  Groups of at most
     ``small_group_rows`` rows: one aggregate with the exact ``median``.  Larger
-    groups: min/max as a partial aggregate plus the selected middle values."""
+    groups: min/max as a partial aggregate plus the selected middle values.
+    ``max_rows``: no group has more rows than this, as the caller knows."""
     group_cols = list(group_cols)
     raw = F.col(value_col).cast("double")
     x = F.when(~F.isnan(raw), raw)
     vals = df.select(*group_cols, x.alias("__x"))
-    small, large, _ = split_by_size(vals, group_cols, _limit(small_group_rows))
+    limit = _limit(small_group_rows)
+    small, large, _ = (vals, None, 0) if max_rows is not None and max_rows <= limit \
+        else split_by_size(vals, group_cols, limit)
     parts = []
     if small is not None:
         parts.append(small.groupBy(*group_cols).agg(

@@ -119,9 +119,10 @@ def latest_per_pond(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- WIN
 
 
-def row_position(df: DataFrame, pos_col: str = "pos", count_col: str | None = None) -> DataFrame:
+def row_position(df: DataFrame, pos_col: str = "pos", count_col: str | None = None,
+                 sizes: DataFrame | None = None) -> DataFrame:
     """WIN-1: 0-based position in time order within each pond."""
-    return with_position(df, [POND], TIME_ORDER, pos_col=pos_col, count_col=count_col)
+    return with_position(df, [POND], TIME_ORDER, pos_col=pos_col, count_col=count_col, sizes=sizes)
 
 
 def cursor_expr(n_rows: Column, tick: int, size: int = WINDOW_SIZE,

@@ -44,8 +44,10 @@ SELECT sensor, pos, min(reading) AS min, median(reading) AS median, max(reading)
 FROM long GROUP BY sensor, pos""")
 def q_cross_pond_stats(spark, sf):
     # every position of the whole tables, aligned across ponds by position
-    long = unpivot_sensors(row_position(events_readings(spark, sf)), E_SENSORS, ["pos", "pond_id"])
-    return C.cross_pond_stats(long, keys=["sensor", "pos"])
+    readings = events_readings(spark, sf)
+    sizes = C.pond_sizes(readings)
+    long = unpivot_sensors(row_position(readings, sizes=sizes), E_SENSORS, ["pos", "pond_id"])
+    return C.cross_pond_stats(long, keys=["sensor", "pos"], max_ponds=sizes.count())
 
 
 @register("class_counts", """
