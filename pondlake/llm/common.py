@@ -60,10 +60,18 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table of this scratch that nothing reads any more."""
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this scratch that nothing reads any more."""
+        for df in tables:
+            self._delete(df._scratch_path)
+
+    def clear(self) -> None:
+        """Delete all of this scratch, once nothing reads from it any more."""
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
         sc = self.spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -107,13 +115,16 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str, spent: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` whose (id, text) pair is kept by ``verdict`` (columns
     ``doc_id, text_key, kept``); of rows repeated with the same id and text one
-    stays. All columns of ``docs`` are returned unchanged."""
+    stays. All columns of ``docs`` are returned unchanged. ``spent`` holds what the
+    verdict was made from; it is deleted as soon as the verdict is read."""
     scratch = Scratch(docs.sparkSession, "keep")
     pairs = scratch.write(verdict.groupBy("doc_id", "text_key").agg(
         F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"))
+    if spent:
+        spent.clear()
     key = fresh(docs.columns, "_text_key")
     keyed = docs.withColumn(key, text_key(F.col(text_col)))
     gone = pairs.filter("not kept").select(F.col("doc_id").alias(id_col), F.col("text_key").alias(key))

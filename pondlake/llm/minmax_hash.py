@@ -241,7 +241,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept, text_key``.
 
     Sets of similarity 0.75 or more are linked; ``component_id`` is the least
@@ -251,7 +251,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``doc_id <=> component_id``, so repeated rows of one id are all marked.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "minmax")
+    scratch = scratch or Scratch(spark, "minmax")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"),
                          F.col(text_col).cast("string").alias("text"))
     signed = scratch.write(source.mapInArrow(_sign, _SIG).withColumn("row_id", F.monotonically_increasing_id()))
@@ -267,10 +267,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring("sig", i * F.lit(4 * BAND) + F.lit(1), F.lit(4 * BAND))))).alias("key"))
     buckets = scratch.write(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
-    shared = scratch.write(keys.join(buckets, "key"))
+    met = scratch.write(keys.join(buckets, "key"))
+    scratch.drop(signed, buckets)
     # how many meetings a set has in its buckets: the text that others are copies of has the most
-    degree = shared.groupBy("row_id").agg(F.sum("size").alias("degree"))
-    shared = scratch.write(shared.join(degree, "row_id").select("key", "row_id", "degree"))
+    degree = met.groupBy("row_id").agg(F.sum("size").alias("degree"))
+    shared = scratch.write(met.join(degree, "row_id").select("key", "row_id", "degree"))
+    scratch.drop(met)
     involved = scratch.write(shared.select("row_id").distinct())
     wanted = scratch.write(sized_join(members, involved, ["row_id"], "left_semi", 16).select("doc_id", "text_key", "row_id"))
     texts = sized_join(source, wanted.withColumnsRenamed({"doc_id": "d", "text_key": "t"}).select("d", "t", "row_id")
@@ -329,4 +331,5 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component, all columns unchanged."""
-    return keep_rows(docs, near_components(docs, id_col, text_col), id_col, text_col)
+    scratch = Scratch(docs.sparkSession, "minmax")
+    return keep_rows(docs, near_components(docs, id_col, text_col, scratch), id_col, text_col, scratch)

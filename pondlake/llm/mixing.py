@@ -139,7 +139,8 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: Sequence[float] = WEIGHTS, share: float = 1.5, most_epochs: float = 2.0, seed: int = 17) -> DataFrame:
+        weights: Sequence[float] = WEIGHTS, share: float = 1.5, most_epochs: float = 2.0, seed: int = 17,
+        scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: ``doc_id, source, size, source_size, target, taken, text_key``.
 
     ``size`` counts words (runs without ASCII white space; null text 0); ``taken``
@@ -147,7 +148,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rounded up. A null source is a source of its own, last in order. Ties of the
     seeded hash (repeated rows) are interchangeable. An empty table gives none.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
+    scratch = scratch or Scratch(docs.sparkSession, "mix")
     name = F.col(source_col).cast("string")
     rows = scratch.write(docs.select(
         F.col(id_col).alias("doc_id"), name.alias("source"), words_in(text_or_empty(text_col)).alias("size"),
@@ -182,10 +183,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The documents the mix takes, each as often as it is taken, all columns unchanged."""
-    scratch = Scratch(docs.sparkSession, "mixed")
-    taken = mix(docs, id_col, text_col, source_col, **settings)
+    scratch, spent = Scratch(docs.sparkSession, "mixed"), Scratch(docs.sparkSession, "mix")
+    taken = mix(docs, id_col, text_col, source_col, scratch=spent, **settings)
     times = scratch.write(taken.select(
         "doc_id", "text_key", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int").alias("times")))
+    spent.clear()
     verdict = times.select("doc_id", "text_key", (F.col("times") > 0).alias("kept"))
     kept = keep_rows(docs, verdict, id_col, text_col)
     more = scratch.write(times.groupBy("doc_id", "text_key").agg(F.sum("times").alias("times")).filter("times > 1"))

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pondlake.llm.common import WS, Scratch, fresh, sized_join, text_or_empty, words_of
+from pondlake.llm.common import WS, Scratch, fresh, keep_rows, sized_join, text_key, text_or_empty, words_of
 
 #: Frequent function words by language. Languages not listed are
 #: judged by character classes alone.
@@ -105,7 +105,8 @@ def _whole(shares: Column) -> Column:
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", carry: Sequence[str] = ("doc_id",),
            least_words: int = 50, most_repeated: int = 50, char_distance: float = 0.09, char_slack: float = 12.0,
-           char_least: int = 200, word_distance: float = 0.27, word_least: int = 250) -> tuple[DataFrame, str]:
+           char_least: int = 200, word_distance: float = 0.27, word_least: int = 250,
+           scratch: Scratch | None = None) -> tuple[DataFrame, str]:
     """Every row of ``docs``: the carried columns and one struct of verdict columns,
     whose name is returned.
 
@@ -118,7 +119,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang
     compared to the mean of all documents. Repeated rows are judged alike.
     Windows are compared by hashes of 64 bits less the bits of the word count.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
     measured = scratch.write(_measured(docs, text_col, lang_col, carry))
     m = measured.select("m.*")
     longest = max(map(len, COMMON_WORDS.values()))
@@ -155,7 +156,12 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang
     return rows.select("held", verdict.alias(name)).select("held.*", name), name
 
 
-def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, all columns unchanged."""
-    rows, q = judged(docs, text_col, lang_col, carry=docs.columns)
-    return rows.filter(F.col(q)["kept"]).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "quality")
+    key = fresh([id_col], "_text_key")
+    rows, q = judged(docs.withColumn(key, text_key(F.col(text_col))), text_col, lang_col, [id_col, key], scratch=scratch)
+    verdict = rows.select(F.col(id_col).alias("doc_id"), F.col(key).alias("text_key"), F.col(q)["kept"].alias("kept"))
+    # one verdict a pair: rows repeated with the same id and text all stay or all go
+    verdict = verdict.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"))
+    return keep_rows(docs, verdict, id_col, text_col, scratch)

@@ -27,7 +27,7 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(text_or_empty(text), WS + "+", " ")
 
 
-def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256, text_key``.
 
     Equal texts (white space runs as one space) form a group. The row with the
@@ -37,7 +37,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``text_sha256`` is the digest of the normalised text, for reports only;
     ``text_key`` names the text as given.
     """
-    scratch = Scratch(docs.sparkSession, "radix")
+    scratch = scratch or Scratch(docs.sparkSession, "radix")
     source = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"),
                          normalised(text_col).cast("binary").alias("body"))
     keyed = source.withColumn("size", F.octet_length("body").cast("long")) \
@@ -79,4 +79,5 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns unchanged."""
-    return keep_rows(docs, exact_classes(docs, id_col, text_col), id_col, text_col)
+    scratch = Scratch(docs.sparkSession, "radix")
+    return keep_rows(docs, exact_classes(docs, id_col, text_col, scratch), id_col, text_col, scratch)
