@@ -59,6 +59,24 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+ORACLE["op4_chat_format"] = r"""
+with t as (
+  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m as (
+  select *, lag(role) over (partition by conv_id order by turn, role, text) as before,
+         length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*(\+?/?INST|\+?SYS|\+?ROLE|TEXT)\]')) as written
+  from t)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+       sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
+       cast(7 + sum(written + case role when 'system' then 5 when 'user' then 6 when 'assistant' then 7
+                              else 12 + length(role) end + case when role = before then 1 else 0 end) as bigint) as formatted_chars
+from m group by conv_id"""
+
+
 @_query
 def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
