@@ -57,6 +57,8 @@ LEFT_OUT_WORDS = frozenset(
     " reply replies disqus newsletter subscribe subscription signup login share sharing social related recommended breadcrumb"
     " breadcrumbs pagination pager popup modal overlay widget search copyright complementary contentinfo alert toolbar"
     " tracking skip hidden".split())
+#: The same, for names written in one word (commentlist, cookiebar, sidebarleft).
+LEFT_OUT_STEMS = ("comment", "cookie", "advert", "sidebar", "breadcrumb", "newsletter", "sponsor", "footer", "navbar")
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -72,7 +74,8 @@ def _label(tag: str, attrs: str) -> str:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     words = sorted({w.lower() for k in ("class", "id", "role") for w in _WORD.findall(unescape(found.get(k, "")))})
     out = (tag in LEFT_OUT_TAGS or "hidden" in found or found.get("aria-hidden") == "true"
-           or (tag not in ("html", "body", "article", "main") and bool(LEFT_OUT_WORDS & set(words)))
+           or (tag not in ("html", "body", "article", "main")
+               and any(w in LEFT_OUT_WORDS or (w.startswith(LEFT_OUT_STEMS) and w != "commentary") for w in words))
            or (tag == "article" and bool({"comment", "comments", "ad", "related"} & set(words))))
     names = [re.sub(r"\d{3,}", "", x) for x in sorted(unescape(found.get("class", "")).split())]
     names += [re.sub(r"\d+", "", x) for x in unescape(found.get("id", "")).split()]
@@ -93,9 +96,11 @@ def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
     stack: list[tuple[str, str]] = [("", "")]  # open block elements: tag and path
     parts: list[str] = []
     linked, in_link, at, end = 0, 0, 0, len(html)
+    inline, depth = "", 0  # an open inline element that is not the article's: its text is left out
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, depth
+        depth = 0
         if parts:
             text = "".join(parts)
             parts.clear()
@@ -108,7 +113,7 @@ def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
     while at < end:
         m = _TAG.search(html, at)
         stop = m.start() if m else end
-        if stop > at:
+        if stop > at and not depth:
             text = html[at:stop]
             parts.append(text)
             if in_link:
@@ -120,6 +125,11 @@ def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if depth and tag == inline:
+            depth += -1 if m[1] else 1
+            if not depth:
+                parts.append(" ")
+            continue
         if m[1]:  # an end tag
             if tag == "a":
                 in_link = 0
@@ -135,6 +145,9 @@ def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
                 e = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = e.end() if e else end
             parts.append(" ")
+        elif tag not in BLOCKS and tag not in VOID and m[3] and not m[3].endswith("/") and _label(tag, m[3])[-1] == "!":
+            if not depth:
+                inline, depth = tag, 1
         elif tag == "a":
             in_link = 1
         elif tag == "br":

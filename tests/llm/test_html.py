@@ -73,3 +73,9 @@ def test_given_pages(spark):
         inner = r.html.split("<article>")[1].split("</article>")[0]
         blocks = (" ".join(unescape(re.sub("<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner))
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_inline_adverts_and_one_word_names(spark):
+    page = ("<article><p>Text <span class='ad'>Buy <span>now</span></span>goes on <b>here</b>.</p><ol class='commentlist'><li>nice</li></ol>"
+            "<div id=sidebarLeft>side</div><p><a class='share-link'>Share <p>End</p><p class='commentary'>Said.</p></article>")
+    assert _run(spark, [(1, "http://x/", page)])[1].text == "Text goes on here.\nEnd\nSaid."
