@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Cached words per worker; the cache is emptied when full.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 #: A word of letters up to U+024F, with a run of marks after it: two pieces of
 #: the tokenizer's own pattern, so both parts can be looked up on their own.
 _PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?#$%&*()|\-]*)\Z")
@@ -40,9 +40,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}  # ids as unsigned 32-bit numbers: small, and joined fast
-        self.cores: dict[str, list[int]] = {}
-        self.marks: dict[str, list[int]] = {"": []}
+        self.words: dict[str, bytes] = {}  # ids as unsigned 32-bit numbers
+        self.marks: dict[str, bytes] = {"": b""}
         # how the byte-level step writes each byte
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in set(kept)]
@@ -51,38 +50,44 @@ class WordTokenizer:
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> bytes:
+    def _new(self, word: str) -> bytes:
+        """Ids of a word in ASCII lower case that is not cached. A word of letters is
+        cached; one with marks after it is put together from both parts each time."""
         found = _PLAIN.match(word)
         if not found:
             return array("I", self._encode(word)).tobytes()
         core, marks = found[1], found[2]
-        if marks not in self.marks:
-            self.marks[marks] = self._encode(marks)
-        if not core.isascii():
-            core = unicodedata.normalize("NFC", core)
-        core = core.lower()
-        ids = self.cores.get(core)
+        ids = self.words.get(core)
         if ids is None:
-            as_bytes = core if core.isascii() else "".join(map(self.bytes.__getitem__, core.encode()))
-            ids = self.cores[core] = [t.id for t in self.tokenizer.model.tokenize(as_bytes)]
-        return array("I", ids + self.marks[marks]).tobytes()
+            plain = core
+            if not core.isascii():
+                plain = unicodedata.normalize("NFC", core).lower()
+                plain = "".join(map(self.bytes.__getitem__, plain.encode()))
+            ids = self.words[core] = array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
+        if not marks:
+            return ids
+        if marks not in self.marks:
+            self.marks[marks] = array("I", self._encode(marks)).tobytes()
+        return ids + self.marks[marks]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty), one after the other, and the bounds of each text's ids."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if len(self.words) > CACHED_WORDS or len(self.cores) > CACHED_WORDS:
-            self.words, self.cores = {}, {}
+        if len(self.words) > CACHED_WORDS:
+            self.words = {}
+        # joined with nothing to be copied: ascii_lower misreads the buffers of a slice
+        low = pc.ascii_lower(pa.concat_arrays([texts, texts.slice(0, 0)]))  # the tokenizer lower-cases too
         whole = np.zeros(len(texts), bool)
         for s in self.special:
-            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        split = pc.ascii_split_whitespace(texts)
+            whole |= pc.match_substring(low, s).to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(low)
         coded = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         words, table = self.words, []
         for w in distinct:
             ids = words.get(w)
             if ids is None:
-                ids = words[w] = self._word(w)
+                ids = self._new(w)
             table.append(ids)
         sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
         flat = np.frombuffer(b"".join(table), np.uint32)
@@ -109,7 +114,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def batches_of(texts: pa.Array, characters: int = 8 << 20):
+def batches_of(texts: pa.Array, characters: int = 2 << 20):
     """Ranges of rows of about so many bytes of text, to bound what one step holds."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total, first = np.cumsum(sizes), 0
@@ -118,3 +123,4 @@ def batches_of(texts: pa.Array, characters: int = 8 << 20):
         last = max(first + 1, int(np.searchsorted(total, done + characters, "right")))
         yield first, last
         first = last
+    pa.default_memory_pool().release_unused()

@@ -108,6 +108,17 @@ def test_tokens_equal_the_tokenizers():
         assert ids[bounds[i]:bounds[i + 1]].tolist() == own.tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_tokens_of_slices():
+    """Ranges of a batch, as the tasks take them."""
+    own = WordTokenizer(default_path())
+    texts = ["é à la carte"] * 3 + TEXTS + ["à É È Straße"] * 3
+    whole = pa.array(texts, pa.string())
+    for a in range(0, len(texts), 4):
+        ids, bounds = own.encode(whole.slice(a, 4))
+        for i, t in enumerate(texts[a:a + 4]):
+            assert ids[bounds[i]:bounds[i + 1]].tolist() == own.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+
+
 def test_pieces_and_bins(spark):
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], 1, 2)],
                                  "doc_id long, text string, length int, piece int")
