@@ -378,7 +378,7 @@ def make_model(name: str, params: Mapping | None = None, seed: int = RANDOM_STAT
         gbt = GBTClassifier(labelCol=label, featuresCol="features", seed=seed)
         if params:
             gbt = gbt.setParams(**params)
-        return OneVsRest(classifier=gbt, labelCol=label, featuresCol="features")
+        return OneVsRest(classifier=gbt, labelCol=label, featuresCol="features", parallelism=4)
     raise ValueError(f"unknown model {name!r}")
 
 
