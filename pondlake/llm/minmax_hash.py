@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pondlake.llm.common import Scratch, keep_rows, sized_join, small, text_key
+from pondlake.llm.common import Scratch, keep_rows, sized_join, text_key
 
 SHINGLE, SIMILARITY = 5, 75
 PERMUTATIONS, BAND = 80, 4
@@ -324,7 +324,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = scratch.write(named.select("class", named["label"], "least"))
     names = ends.groupBy("label").agg(F.min("least").alias("name"))
     named = scratch.write(ends.join(names, "label").select("class", "name"))
-    out = sized_join(members, named, ["class"], "left", 24) if small(named, 24) else members.join(named, "class", "left")
+    out = sized_join(members, named, ["class"], "left", 24)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("name", "least"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")
