@@ -5,8 +5,8 @@ common words are compared, by Jensen-Shannon distance (base 2, so 0 to 1), to
 the mean histograms of its language, taken over all documents that pass the base
 rules and are not far themselves. A document is rejected when either distance is
 above its threshold. Short texts are far from any mean by chance: each test has a
-least length, and the threshold for character classes widens as ``char_slack``
-over the number of words.
+least length, and the thresholds widen as ``char_slack`` over the number of words
+and as ``word_slack`` over its square root.
 
 One heavy pass measures every document and writes the measures (and the columns
 the caller carries along) to the shared folder; the references are an aggregate
@@ -105,7 +105,7 @@ def _whole(shares: Column) -> Column:
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", carry: Sequence[str] = ("doc_id",),
            least_words: int = 50, most_repeated: int = 50, char_distance: float = 0.09, char_slack: float = 12.0,
-           char_least: int = 200, word_distance: float = 0.27, word_least: int = 250,
+           char_least: int = 200, word_distance: float = 0.12, word_slack: float = 1.4, word_least: int = 50,
            scratch: Scratch | None = None) -> tuple[DataFrame, str]:
     """Every row of ``docs``: the carried columns and one struct of verdict columns,
     whose name is returned.
@@ -148,7 +148,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang
     rows = rows.select("held", "m", far_chars.alias("char_js"), far_words.alias("word_js"))
     failed = (F.col("m.n_words") < least_words) | (100 * F.col("m.n_repeat_words") > most_repeated * F.col("m.n_words"))
     far = F.coalesce(F.col("char_js") > char_distance + char_slack / F.col("m.n_words"), F.lit(False)) \
-        | F.coalesce(F.col("word_js") > word_distance, F.lit(False))
+        | F.coalesce(F.col("word_js") > word_distance + word_slack / F.sqrt(F.col("m.n_words")), F.lit(False))
     verdict = F.struct(*[F.col(f"m.{k}").alias(k) for k in
                          ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                        "char_js", "word_js", failed.alias("base_failed"), (~failed & ~far).alias("kept"))

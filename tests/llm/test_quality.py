@@ -71,3 +71,27 @@ def test_labelled_quality(spark):
     assert all(r.kept for r in out if r.quality == 1 and not r.base_failed)
     bad = [r.kept for r in out if r.quality == 0]
     assert sum(bad) <= 0.2 * len(bad)
+
+
+def test_common_words_judge_short_texts(spark):
+    """Letters like prose, but hardly a common word: short texts too are far from their language."""
+    rng = random.Random(8)
+    good = [(i, _english(rng, rng.randrange(50, 500)), "en") for i in range(300)]
+    common = set(quality.COMMON_WORDS["en"])
+    bare = [(1000 + i, " ".join(w for w in _english(rng, 4 * n).split() if w.strip(".").lower() not in common)[:6 * n] + " the", "en")
+            for i, n in enumerate((80, 110, 150, 200) * 5)]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(good + bare, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i, _, _ in good)
+    assert all(not got[i].base_failed and got[i].n_words < 250 and not got[i].kept for i, _, _ in bare)
+
+
+def test_labelled_quality_by_length(spark):
+    """Recall on labelled bad rows at every length, and nearly all good rows kept."""
+    d = "/root/testdata/sf0.1"
+    out = judge(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    out = [r for r in out if not r.base_failed]
+    good = [r.kept for r in out if r.quality == 1]
+    assert sum(good) >= 0.998 * len(good)
+    for least, most, share in ((50, 99, 0.8), (100, 249, 0.99), (250, 10**9, 0.99)):
+        bad = [r.kept for r in out if r.quality == 0 and least <= r.n_words <= most]
+        assert bad and sum(not k for k in bad) >= share * len(bad), (least, sum(bad), len(bad))
