@@ -48,7 +48,7 @@ def _measured(docs: DataFrame, text_col: str, lang_col: str | None, carry: Seque
     a = docs.select(held, lang.alias("lang"), text_or_empty(text_col).alias("t"))
     a = a.select("*", words_of(F.col("t")).alias("words"), F.split("t", "\n").alias("lines"))
     a = a.select(
-        "held", "lang", "t",
+        "held", "lang", "t", "words",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.filter("lines", lambda x: x.rlike(f"[^{WS[1:-1]}]")).alias("lines"),
@@ -57,13 +57,18 @@ def _measured(docs: DataFrame, text_col: str, lang_col: str | None, carry: Seque
                  lambda w: w.isin(every)).alias("common"),
         # the power of two above the word count: window hashes keep the bits over it, places take those under it
         F.expr("shiftleft(1L, length(bin(size(words))))").alias("m"))
-    # a window's hash with its place in the low bits: sorted, equal windows meet, and n log n suffices
+    # a window's hash with its place in the low bits: sorted, equal windows meet, and n log n suffices;
+    # windows that meet are then sorted by their words, as the bits left of a long text's hashes meet by chance
     a = a.withColumn("windows", F.expr(
         "case when n_words < 3 then cast(array() as array<bigint>) else sort_array(transform(sequence(0, cast(n_words as int) - 3),"
         " i -> (xxhash64(hashes[i], hashes[i + 1], hashes[i + 2]) & -m) | i)) end"))
+    a = a.withColumn("met", F.expr(
+        "sort_array(transform(transform(filter(windows, (x, j) -> (j > 0 and ((x ^ windows[j - 1]) & -m) = 0)"
+        " or (j < size(windows) - 1 and ((x ^ windows[j + 1]) & -m) = 0)), x -> cast(x & (m - 1) as int)),"
+        " p -> named_struct('w', named_struct('a', words[p], 'b', words[p + 1], 'c', words[p + 2]), 'p', cast(p as long))))"))
     a = a.withColumn("places", F.expr(
-        "sort_array(transform(filter(windows, (x, j) -> (j > 0 and ((x ^ windows[j - 1]) & -m) = 0)"
-        " or (j < size(windows) - 1 and ((x ^ windows[j + 1]) & -m) = 0)), x -> x & (m - 1)))"))
+        "sort_array(transform(filter(met, (x, j) -> (j > 0 and x.w = met[j - 1].w)"
+        " or (j < size(met) - 1 and x.w = met[j + 1].w)), x -> x.p))"))
     listed = F.element_at(lists, F.col("lang"))
     symbols = _count(F.col("t"), "[^#*$%&|<>]+")
     counts = F.struct(
@@ -117,7 +122,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang
     ``least_words`` words, or over ``most_repeated`` percent of the words in
     repeated three-word windows) and ``kept``. A null or rare language is
     compared to the mean of all documents. Repeated rows are judged alike.
-    Windows are compared by hashes of 64 bits less the bits of the word count.
+    Windows whose hashes agree are compared by their words: the count is exact.
     """
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     measured = scratch.write(_measured(docs, text_col, lang_col, carry))

@@ -95,3 +95,13 @@ def test_labelled_quality_by_length(spark):
     for least, most, share in ((50, 99, 0.8), (100, 249, 0.99), (250, 10**9, 0.99)):
         bad = [r.kept for r in out if r.quality == 0 and least <= r.n_words <= most]
         assert bad and sum(not k for k in bad) >= share * len(bad), (least, sum(bad), len(bad))
+
+
+def test_repeats_are_confirmed_on_words(spark):
+    """Windows of other words whose hashes agree in the bits that 40,000 words leave are no repeats."""
+    filler = [f"f{i}" for i in range(40_000)]
+    false = ["a7717", "b782", "c", *filler, "a253", "b3980", "c"]
+    true = [*false, "a7717", "b782", "c"]
+    rows = [(i, " ".join(w), None) for i, w in enumerate((false, true))]
+    got = {r.doc_id: r.n_repeat_words for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: h.quality(t)[-1] for i, t, _ in rows} == {0: 0, 1: 6}
