@@ -7,7 +7,9 @@ it by simple tree matching (order-preserving maximum match of equal labels).
 Slots that align are one slot of the host, and a slot whose text is the same on
 all its pages is template, while varying slots are content. Menus, footers and
 adverts also vary, so a slot is left out as well when an element on its path
-says so by tag, class, id or role, or when nearly all its text is links.
+says so by tag, class, id or role, or when nearly all its text is links. What only
+a name or a form says does not hold for an article or main element below it, and
+a page that would come out empty falls back on its slots of that kind.
 
 The parsed blocks are written once to the shared folder. What decides about
 slots is an aggregate of them (least and greatest text hash a slot, with
@@ -64,22 +66,42 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PARSED = "page_id long, url string, host string, tree string, blocks array<struct<slot:int,text:string,links:int>>"
+#: Elements that hold the text itself: a name on them, as on a heading's anchor, says nothing.
+PLAIN = frozenset("html body article main h1 h2 h3 h4 h5 h6 hgroup p pre blockquote figcaption caption dt dd td th".split())
+#: A class that begins so tells of the page, not of the element (has-sidebar, no-comments).
+MODIFIERS = frozenset("has have with without no not is hide show".split())
+#: Words that count only as a whole name (not hidden-layers).
+WHOLE_NAMES = frozenset("hidden skip alert".split())
+
+
+def _named(tag: str, found: dict[str, str]) -> bool:
+    """Whether a class, id or role names a container that is not the article's."""
+    if tag in PLAIN:
+        return False
+    # ids of sections and of inline elements are generated from headings
+    kinds = ("class", "id", "role") if tag in BLOCKS and tag != "section" else ("class", "role")
+    for name in (x for k in kinds for x in unescape(found.get(k, "")).split()):
+        words = [w.lower() for w in _WORD.findall(name)]
+        if words and words[0] not in MODIFIERS and any(
+                (w in LEFT_OUT_WORDS and (w not in WHOLE_NAMES or len(words) == 1))
+                or (w.startswith(LEFT_OUT_STEMS) and w != "commentary") for w in words):
+            return True
+    return False
 
 
 @lru_cache(4096)
 def _label(tag: str, attrs: str) -> str:
-    """Tag with its classes and id, less numbers that count records; ``!`` where it is not the article's."""
+    """Tag with its classes and id, less numbers that count records; ``!`` where it is not
+    the article's by what it is, ``?`` where it is so by name only or is a form."""
     if not attrs:
-        return tag + ("!" if tag in LEFT_OUT_TAGS else "")
+        return tag + ("?" if tag == "form" else "!" if tag in LEFT_OUT_TAGS else "")
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     words = sorted({w.lower() for k in ("class", "id", "role") for w in _WORD.findall(unescape(found.get(k, "")))})
-    out = (tag in LEFT_OUT_TAGS or "hidden" in found or found.get("aria-hidden") == "true"
-           or (tag not in ("html", "body", "article", "main")
-               and any(w in LEFT_OUT_WORDS or (w.startswith(LEFT_OUT_STEMS) and w != "commentary") for w in words))
+    out = ((tag in LEFT_OUT_TAGS and tag != "form") or "hidden" in found or found.get("aria-hidden") == "true"
            or (tag == "article" and bool({"comment", "comments", "ad", "related"} & set(words))))
     names = [re.sub(r"\d{3,}", "", x) for x in sorted(unescape(found.get("class", "")).split())]
     names += [re.sub(r"\d+", "", x) for x in unescape(found.get("id", "")).split()]
-    return re.sub(r"[/!\n]", "", ".".join([tag, *names])) + ("!" if out else "")
+    return re.sub(r"[/!?\n]", "", ".".join([tag, *names])) + ("!" if out else "?" if tag == "form" or _named(tag, found) else "")
 
 
 def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
@@ -145,7 +167,7 @@ def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
                 e = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = e.end() if e else end
             parts.append(" ")
-        elif tag not in BLOCKS and tag not in VOID and m[3] and not m[3].endswith("/") and _label(tag, m[3])[-1] == "!":
+        elif tag not in BLOCKS and tag not in VOID and m[3] and not m[3].endswith("/") and _label(tag, m[3])[-1] in "!?":
             if not depth:
                 inline, depth = tag, 1
         elif tag == "a":
@@ -173,7 +195,7 @@ def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
                 stack.pop()
             if tag not in VOID:
                 path, label = stack[-1][1], _label(tag, m[3])
-                if len(stack) <= DEEPEST or (label[-1] == "!" and path[-1] != "!"):
+                if len(stack) <= DEEPEST or (label[-1] in "!?" and path[-1:] not in ("!", label[-1])):
                     path = f"{path}/{label}"
                 slots.setdefault(path, len(slots))
                 stack.append((tag, path))
@@ -237,25 +259,38 @@ def match(a: list[str], b: list[str]) -> dict[int, int]:
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each slot of each distinct tree: the host's slot it is, and what its path says."""
+    """For each slot of each distinct tree: the host's slot it is, and what its path says.
+
+    Ranks: 0 in an article or main element, 1 in one below an element that only a
+    name or a form leaves out, 2 in no such element, 3 left out by a name or form, 4
+    left out."""
     for batch in batches:
         out = [[], [], [], [], [], []]
         for host, tree, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "reference"))):
             paths = tree.split("\n") if tree else []
+            articles = any(re.match(r"(article|main)\b(?!.*[!?])", x) for path in paths if "!" not in path for x in path.split("/"))
             pairs = match(paths, reference.split("\n") if reference else [])
             for i, path in enumerate(paths):
                 labels = path.split("/")
-                inside = [x for x in labels if re.match(r"(article|main)\b(?!.*!)", x)]
+                inside = [k for k, x in enumerate(labels) if re.match(r"(article|main)\b(?!.*[!?])", x)]
                 heads = [k for k, x in enumerate(labels) if re.match(r"header\b", x)]
                 # a header is the page's unless it stands in an article
                 outside = any(not any(re.match(r"article\b", y) for y in labels[:k]) for k in heads)
-                left_out = outside or any(x.endswith("!") for x in labels)
+                soft = [k for k, x in enumerate(labels) if x.endswith("?")]
+                if outside or any(x.endswith("!") for x in labels):
+                    rank = 4
+                elif not soft:
+                    rank = 0 if inside else 2
+                elif inside and soft[-1] < inside[0]:
+                    rank = 1
+                else:
+                    rank = 3 if inside or not articles else 4
                 own = f"{pairs[i]}" if i in pairs else f"{zlib.crc32(tree.encode())}:{i}"
-                for column, value in zip(out, (host, tree, i, own, left_out, bool(inside))):
+                for column, value in zip(out, (host, tree, i, own, rank, bool(inside))):
                     column.append(value)
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)],
-                                         names=["host", "tree", "slot", "shared", "left_out", "inside"])
+                                         names=["host", "tree", "slot", "shared", "rank", "inside"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -278,7 +313,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     trees = scratch.write(parsed.groupBy("host", "tree").agg(F.count("*").alias("pages")))
     reference = trees.groupBy("host").agg(F.max(F.struct("pages", "tree"))["tree"].alias("reference"))
     aligned = scratch.write(trees.join(reference, "host").select("host", "tree", "reference").repartition("host", "tree")
-                            .mapInArrow(_align, "host string, tree string, slot int, shared string, left_out boolean, inside boolean"))
+                            .mapInArrow(_align, "host string, tree string, slot int, shared string, rank int, inside boolean"))
 
     # per page and slot, then per slot of the host: is the text always the same, how much of it is links
     on_page = parsed.select("host", "tree", F.explode(F.expr(
@@ -293,19 +328,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     slots = aligned.join(by_tree, ["host", "tree", "slot"])
     judged = slots.groupBy("host", "shared").agg(
         F.sum("pages").alias("pages"), (F.min("low") == F.max("high")).alias("same"),
-        (F.sum("links") >= LINK_SHARE * F.sum("chars")).alias("menu"), F.max("left_out").alias("out"),
+        (F.sum("links") >= LINK_SHARE * F.sum("chars")).alias("menu"), (F.max("rank") >= 3).alias("out"),
         F.max("inside").alias("inside"))
     varied = judged.filter("not same and not out and not menu").groupBy("host").agg(F.max("inside").alias("varies"))
     judged = judged.join(varied, "host", "left")
     template = F.col("same") & (F.col("pages") >= LEAST_PAGES) & F.coalesce(F.col("varies") | ~F.col("inside"), F.lit(False))
-    judged = judged.select("host", "shared", template.alias("template"), "menu")
+    constant = F.col("same") & (F.col("pages") >= LEAST_PAGES)
+    judged = judged.select("host", "shared", template.alias("template"), constant.alias("constant"), "menu")
     kept = slots.join(judged, ["host", "shared"])
-    kept = kept.filter(~F.col("left_out") & ~F.col("template") & (~F.col("menu") | F.col("inside")))
+    kept = kept.filter((F.col("rank") < 4) & ~F.when(F.col("rank") == 3, F.col("constant")).otherwise(F.col("template"))
+                       & (~F.col("menu") | F.col("inside")))
+    # of a tree's slots those of the least rank it has
     kept = scratch.write(kept.groupBy("host", "tree").agg(
-        F.collect_set("slot").alias("kept"), F.collect_set(F.when(F.col("inside"), F.col("slot"))).alias("inside")))
+        *[F.collect_set(F.when(F.col("rank") == r, F.col("slot"))).alias(f"rank{r}") for r in range(4)]))
 
     rows = sized_join(parsed, kept, ["host", "tree"], "left", 4096)
-    chosen = F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.col("kept"))
+    chosen = F.coalesce(*[F.when(F.size(f"rank{r}") > 0, F.col(f"rank{r}")) for r in range(4)])
     rows = rows.select("page_id", "url", "blocks", F.coalesce(chosen, F.expr("cast(array() as array<int>)")).alias("chosen"))
     blocks = F.expr("transform(filter(blocks, b -> array_contains(chosen, b.slot)), b -> b.text)")
     rows = rows.select("page_id", "url", blocks.alias("blocks"))

@@ -79,3 +79,22 @@ def test_inline_adverts_and_one_word_names(spark):
     page = ("<article><p>Text <span class='ad'>Buy <span>now</span></span>goes on <b>here</b>.</p><ol class='commentlist'><li>nice</li></ol>"
             "<div id=sidebarLeft>side</div><p><a class='share-link'>Share <p>End</p><p class='commentary'>Said.</p></article>")
     assert _run(spark, [(1, "http://x/", page)])[1].text == "Text goes on here.\nEnd\nSaid."
+
+
+def test_names_of_wrappers_and_headings_leave_the_article(spark):
+    """Wrappers named by what stands in them, page-wide forms and generated anchors take no article text."""
+    body = ("<h1>T {n}</h1><h2 id='related-work'>Related {n}</h2><p class='alert'>Mind {n}</p><section id=search><p>Found {n}</p></section>"
+            "<div class='hidden-layers'><p>Layer {n}</p></div><h3><span id='Menu'>Menu {n}</span></h3><div class='comments'>Nice {n}</div>")
+    want = "T {n}\nRelated {n}\nMind {n}\nFound {n}\nLayer {n}\nMenu {n}"
+    wraps = ["<div class='has-sidebar'>", "<div class='content with-sidebar'>", "<div class='no-comments'>", "<form id=aspnetForm>", "<div class='sidebar-layout'>"]
+    for k, wrap in enumerate(wraps):
+        end = "</form>" if "form" in wrap else "</div>"
+        page = f"<body>{wrap}<nav>Go {{n}}</nav><article>{body}</article><aside><article>Teaser {{n}}</article></aside>{end}<footer>F {{n}}</footer></body>"
+        got = _run(spark, [(i, f"http://w{k}/{i}", page.format(n=i)) for i in range(6)])
+        assert {i: r.text for i, r in got.items()} == {i: want.format(n=i) for i in range(6)}, wrap
+
+
+def test_empty_page_falls_back_on_varying_slots(spark):
+    page = "<body><nav>Go {n}</nav><form><div class=q>Body {n}</div><h4>Fixed</h4></form><footer>F {n}</footer></body>"
+    got = _run(spark, [(i, f"http://f/{i}", page.format(n=i)) for i in range(6)])
+    assert {i: r.text for i, r in got.items()} == {i: f"Body {i}" for i in range(6)}
