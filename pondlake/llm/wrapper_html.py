@@ -299,8 +299,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ``text`` joins the kept blocks in page order by one newline; it is empty for a
     page that is null, empty or has no article. Pages of a null or unreadable url
     form one host. Where a page has an article or main element only its blocks
-    count. A constant slot is template if the host has LEAST_PAGES pages with it
-    and the host's other kept slots do vary. Repeated rows are pages of their own.
+    count. A constant slot is template if the host has LEAST_PAGES distinct pages
+    with it and the host's other kept slots do vary. Copies of one page, equal in all
+    their text, count once there; each row has its text.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -322,10 +323,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                           F.xxhash64(F.col("x.own.text")).alias("hash"),
                           F.expr("aggregate(x.own, 0L, (n, b) -> n + length(b.text))").alias("chars"),
                           F.expr("aggregate(x.own, 0L, (n, b) -> n + b.links)").alias("links"))
+    # copies of one page count once: the distinct pages (by all their text) in which the slot has text
+    tree_key = [F.xxhash64("host", "tree").alias("tree_key"), F.hash("tree", "host").alias("tree_check")]
+    on_pages = parsed.select(*tree_key, F.xxhash64("blocks.text").alias("page"), F.explode(F.array_distinct("blocks.slot")).alias("slot"))
+    distinct = scratch.write(on_pages.distinct().groupBy("tree_key", "tree_check", "slot").agg(F.count("*").alias("pages")))
     by_tree = scratch.write(seen.groupBy("host", "tree", "slot").agg(
-        F.count("*").alias("pages"), F.min("hash").alias("low"), F.max("hash").alias("high"),
+        F.min("hash").alias("low"), F.max("hash").alias("high"),
         F.sum("chars").alias("chars"), F.sum("links").alias("links")))
-    slots = aligned.join(by_tree, ["host", "tree", "slot"])
+    slots = aligned.join(by_tree, ["host", "tree", "slot"]).select("*", *tree_key).join(distinct, ["tree_key", "tree_check", "slot"])
     judged = slots.groupBy("host", "shared").agg(
         F.sum("pages").alias("pages"), (F.min("low") == F.max("high")).alias("same"),
         (F.sum("links") >= LINK_SHARE * F.sum("chars")).alias("menu"), (F.max("rank") >= 3).alias("out"),

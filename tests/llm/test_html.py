@@ -98,3 +98,15 @@ def test_empty_page_falls_back_on_varying_slots(spark):
     page = "<body><nav>Go {n}</nav><form><div class=q>Body {n}</div><h4>Fixed</h4></form><footer>F {n}</footer></body>"
     got = _run(spark, [(i, f"http://f/{i}", page.format(n=i)) for i in range(6)])
     assert {i: r.text for i, r in got.items()} == {i: f"Body {i}" for i in range(6)}
+
+
+def test_copies_among_other_pages_keep_their_article(spark):
+    """Copies prove no template beside varying pages of the host either; distinct pages do."""
+    page = "<body><article><h1>T {n}</h1>{more}<p>Body {n}</p></article></body>"
+    rows = [(i, f"http://c/{i}", page.format(n=i, more="")) for i in range(12)]
+    rows += [(100 + i, "http://c/x", page.format(n="x", more="<blockquote>Quoted</blockquote><table><tr><td>1<td>2</table>")) for i in range(8)]
+    rows += [(200 + i, f"http://c/y{i}", page.format(n=i, more="<pre>Same note</pre>")) for i in range(6)]
+    got = _run(spark, rows)
+    assert {got[100 + i].text for i in range(8)} == {"T x\nQuoted\n1\n2\nBody x"}
+    assert all(got[i].text == f"T {i}\nBody {i}" for i in range(12))
+    assert all(got[200 + i].text == f"T {i}\nBody {i}" for i in range(6))
