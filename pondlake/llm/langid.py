@@ -3,9 +3,10 @@
 For each language a suffix automaton is built over a bounded sample of its
 labelled text. A text is parsed against it into longest matches: each phrase is
 the longest prefix of what is left that occurs in the sample. Few phrases mean
-little entropy relative to that language; phrases times the log of the sample's
-length, per character, is the normalised count, and the language with the least
-wins.
+little entropy relative to that language; phrases times the log of the longest
+sample's length, per character, is the normalised count, and the language with the
+least wins. The log is the same for all, so that a sample of a few letters cannot win
+by its small one.
 
 Text is lower-cased; a run of anything but letters is one blank. Texts are parsed
 in segments of ``SEGMENT`` symbols, all segments of a batch and all languages in
@@ -43,7 +44,7 @@ class Model:
     symbols: np.ndarray    # code point below 0x3000 -> symbol
     table: np.ndarray      # (state of any language, symbol) -> state; 0: no match
     roots: np.ndarray      # first state of each language
-    weights: np.ndarray    # log2 of each sample's length
+    weights: np.ndarray    # log2 of the longest sample's length, for each language
 
 
 def automaton(text: list[int]) -> list[dict[int, int]]:
@@ -114,7 +115,8 @@ def fit(samples: dict[str, str]) -> Model:
         block[:, PAD] = np.arange(first, first + len(block))
         rows.append(block)
         roots.append(first)
-        weights.append(math.log2(max(2, len(text))))
+        weights.append(len(text))
+    weights = [math.log2(max(2, *weights))] * len(langs) if langs else []
     table = np.concatenate(rows)
     return Model(langs, symbols, table.astype(np.uint16) if len(table) < 2**16 else table, np.array(roots, np.int64), np.array(weights))
 

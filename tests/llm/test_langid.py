@@ -89,3 +89,10 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
     rows = QUERIES["op5_cross_parsing"](spark, d).join(docs, "doc_id").filter("held_out").collect()
     assert len(rows) > 150 and np.mean([r.lang_pred == r.lang for r in rows]) >= 0.98
+
+
+def test_a_tiny_sample_does_not_win():
+    rng = random.Random(6)
+    samples = {k: _text(rng, w, 3000) for k, w in WORDS.items()}
+    texts = [" ".join(rng.choice(WORDS["aa"]) + rng.choice("etaoin") for _ in range(60)) for _ in range(20)]
+    assert langid.predict(langid.fit(samples | {"zz": "ok"}), texts)[0] == ["aa"] * 20
