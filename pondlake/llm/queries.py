@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pondlake.llm import (chat, langid, minmax_hash, mixing, packing, quality, radix_dedup, secret_ledger, token_order,
+from pondlake.llm import (chat, langid, merkle, minmax_hash, mixing, packing, piece_codec, prefix_trie, quality, radix_dedup, secret_ledger, token_order,
                           wrapper_html)
 from pondlake.llm.common import Scratch
 
@@ -130,6 +130,134 @@ def op10_minmax_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_hash.near_components(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its proof, and the root folded from a copy in
+    which n_chars is one more where 7 divides crc32(doc_id)."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = lambda n_chars: [F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    leaves = docs.select(
+        "doc_id", "lang", merkle.digest(merkle.leaf_text(fields(F.col("n_chars")))).alias("leaf"),
+        F.when(tampered, merkle.digest(merkle.leaf_text(fields(F.col("n_chars").cast("decimal(20,0)") + 1)))).alias("other"))
+    rows, name = merkle.manifest(leaves, "leaf", "lang", "doc_id")
+    proof = F.col(name)
+    out = rows.select(
+        "doc_id", merkle.hexed(F.col("leaf")).alias("leaf"), *[merkle.hexed(proof[c]).alias(c) for c in ("subroot", "root")],
+        F.sha2(merkle.hexed(F.concat(proof["siblings"], proof["group_siblings"])).cast("binary"), 256).alias("proof_sha256"),
+        merkle.hexed(merkle.verify(F.coalesce("other", "leaf"), name)).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: crc32 of the bytes of ``id`` in ``ids``, from the polynomial; DuckDB has no such function.
+CRC = r"""
+bits as (select r.range as place, r.range as v, 0 as step from range(256) r),
+folded(place, v, step) as (
+  select place, v, step from bits
+  union all select place, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, step + 1 from folded where step < 8),
+lookup as (select list(v order by place) as t from folded where step = 8),
+crc as (
+  select id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+                             lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) as crc
+  from ids, lookup)"""
+
+ORACLE["op11_merkle_manifest"] = r"""
+with recursive ids as (select distinct doc_id as id from documents),
+""" + CRC.lstrip() + r""",
+told as (
+  select doc_id, lang, n_chars, coalesce(crc % 7 = 0, false) as hit, text, source from documents left join crc on id = doc_id),
+written as (
+  select doc_id, lang, hit,
+         coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') as a, n_chars, coalesce(strlen(text) || ':' || text, '-') as b from told),
+leaf as (
+  select doc_id, lang, row_number() over (partition by lang order by doc_id) - 1 as place, count(*) over (partition by lang) as width,
+         sha256(a || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') || b) as leaf,
+         sha256(a || coalesce(strlen(cast(n_chars + hit::int as varchar)) || ':' || (n_chars + hit::int), '-') || b) as now
+  from written),
+node(lang, level, idx, width, digest) as (
+  select lang, 0, place, width, leaf from leaf
+  union all
+  select lang, level + 1, idx // 2, (any_value(width) + 1) // 2, sha256(string_agg(digest, '' order by idx))
+  from node where width > 1 group by lang, level, idx // 2),
+subroot as (
+  select lang, digest as subroot, row_number() over (order by lang nulls first) - 1 as place, count(*) over () as width
+  from node where width = 1),
+top(level, idx, width, digest) as (
+  select 0, place, width, subroot from subroot
+  union all
+  select level + 1, idx // 2, (any_value(width) + 1) // 2, sha256(string_agg(digest, '' order by idx)) from top where width > 1 group by level, idx // 2),
+height as (select max(level) as height from top),
+path as (
+  select doc_id, level, s.digest as sibling from leaf join node s on s.lang is not distinct from leaf.lang and s.idx = xor(leaf.place >> s.level, 1)
+  union all
+  select doc_id, 100 + level, s.digest from leaf join subroot r on r.lang is not distinct from leaf.lang join top s on s.idx = xor(r.place >> s.level, 1)),
+proof as (select doc_id, sha256(string_agg(sibling, '' order by level)) as proof_sha256 from path group by doc_id),
+fold(doc_id, lang, level, idx, width, digest) as (
+  select doc_id, lang, 0, place, width, now from leaf
+  union all
+  select f.doc_id, f.lang, f.level + 1, f.idx // 2, (f.width + 1) // 2,
+         sha256(case when f.idx % 2 = 0 then f.digest || coalesce(s.digest, '') else s.digest || f.digest end)
+  from fold f left join node s on s.lang is not distinct from f.lang and s.level = f.level and s.idx = xor(f.idx, 1) where f.width > 1),
+over_top(doc_id, level, idx, width, digest) as (
+  select f.doc_id, 0, r.place, r.width, f.digest from fold f join subroot r on r.lang is not distinct from f.lang where f.width = 1
+  union all
+  select f.doc_id, f.level + 1, f.idx // 2, (f.width + 1) // 2,
+         sha256(case when f.idx % 2 = 0 then f.digest || coalesce(s.digest, '') else s.digest || f.digest end)
+  from over_top f left join top s on s.level = f.level and s.idx = xor(f.idx, 1) where f.width > 1)
+select doc_id, leaf, subroot, apex.root,
+       coalesce(proof_sha256, sha256('')) as proof_sha256, o.digest as folded_root, o.digest = apex.root as verified
+from leaf join subroot r on r.lang is not distinct from leaf.lang left join proof using (doc_id) join over_top o using (doc_id)
+cross join (select digest as root from top where width = 1) apex
+where o.width = 1"""
+
+
+@_query
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piece_codec.encode_documents(_table(spark, sf_dir, "documents"), with_ids=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turn_lists(_table(spark, sf_dir, "conversations"))))
+
+
+ORACLE["op13_prefix_trie"] = r"""
+with recursive ids as (select distinct conv_id as id from conversations where conv_id is not null),
+""" + CRC.lstrip() + r""",
+said as (
+  select conv_id as id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as place,
+         strlen(coalesce(text, '')) as bytes, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as said
+  from conversations where conv_id is not null),
+turns as (
+  select id, place, said, bytes from said join crc using (id) where place >= crc % 9
+  union all
+  select c.id, place - 100, said, bytes from crc c join said s on s.id = c.id - c.id % 5 and place < crc % 9),
+seq as (
+  select ids.id, coalesce(list(struct_pack(said := said, bytes := bytes) order by place) filter (said is not null), []) as turns
+  from ids left join turns on turns.id = ids.id group by ids.id),
+member as (
+  select id, d.range as depth, sha256(array_to_string(list_transform(turns[1:d.range], lambda u: u.said), '')) as node,
+         sha256(array_to_string(list_transform(turns[1:d.range - 1], lambda u: u.said), '')) as up,
+         case when d.range = 0 then 0 else turns[d.range].bytes end as bytes, len(turns) = d.range as ends
+  from seq, range(0, 10000) d where d.range <= len(turns)),
+node as (
+  select node, any_value(case when depth > 0 then up end) as up, any_value(depth) as depth, min(id) as conv_id, count(*) as n_convs,
+         (count(*) - 1) * any_value(bytes) as saved,
+         sha256(coalesce(string_agg(cast(id as varchar), ',' order by id) filter (ends), '')) as ends_sha256
+  from member group by node),
+kids as (select up as node, count(*) as n_children from node group by up),
+line(node, above, saved, leaf) as (
+  select n.node, n.node, n.saved, k.node is null from node n left join kids k using (node)
+  union all
+  select l.node, n.up, l.saved, l.leaf from line l join node n on n.node = l.above where n.up is not null),
+total as (select above as node, sum(leaf::int) as n_leaves, sum(saved) as saved_tokens from line group by above)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children,
+       cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, n.ends_sha256
+from node n left join node p on p.node = n.up left join kids k on k.node = n.node join total t on t.node = n.node"""
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """The queries and their SQL, the pipeline among them."""
     import corpus_pipeline
