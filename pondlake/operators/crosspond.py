@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pondlake.operators.ordinal import group_median_stats, group_sizes, rows_at_positions
+from pondlake.operators.ordinal import group_median_stats, group_sizes, join_groups, rows_at_positions
 from pondlake.operators.series import POND, TIME_ORDER, cursor_expr, unpivot_sensors
 from pondlake.schema import FORECAST_HORIZON, WINDOW_SIZE
 
@@ -29,18 +29,18 @@ def align_ponds(df: DataFrame, base_pond, sensors: Sequence[str], tick: int,
     """
     narrow = df.select(POND, *TIME_ORDER, *sensors)
     sizes = pond_sizes(df) if sizes is None else sizes
-    base_rows = F.coalesce(sizes.filter(F.col(POND) == F.lit(base_pond)).select("__L").scalar(), F.lit(0))
+    base_rows = F.coalesce(sizes.filter(F.col(POND).eqNullSafe(F.lit(base_pond))).select("__L").scalar(), F.lit(0))
     start = cursor_expr(base_rows, tick, size, horizon)
     first = F.when(base_rows >= size + horizon, start)
     picked = rows_at_positions(narrow, [POND], "created_at", ["entry_id"],
                                lambda n_rows: (first, first + size), sizes=sizes)
-    axis = (picked.filter(F.col(POND) == F.lit(base_pond))
+    axis = (picked.filter(F.col(POND).eqNullSafe(F.lit(base_pond)))
                   .select("pos", F.col("created_at").alias("axis_time")))
     # every pond at every axis position (the positions are generated per pond,
     # not paired by a join); a pond too short for a position keeps null readings
     grid = sizes.select(POND, F.explode(F.sequence(first, first + size - 1)).alias("pos"))
     readings = picked.select(POND, "pos", *[F.col(f"`{c}`") for c in sensors])
-    aligned = grid.join(readings, [POND, "pos"], "left").join(F.broadcast(axis), "pos")
+    aligned = join_groups(grid, readings, [POND, "pos"], "left").join(F.broadcast(axis), "pos")
     long = unpivot_sensors(aligned, sensors, ["pos", "axis_time", POND])
     return long.withColumnRenamed("axis_time", "created_at")
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pondlake.operators.ordinal import join_groups
 from pondlake.operators.series import POND, drift_halves
 from pondlake.schema import (DRIFT_SHARE, MONITOR_COLUMNS, PSI_COLUMN_THRESHOLD,
                              PSI_DRIFT_CUTOFF, REPORT_RANGE)
@@ -83,7 +84,7 @@ def _stats_by_join(halves: DataFrame, columns: Sequence[str], text: set[str],
         F.count(F.when(is_cur, v)).alias("n_current"),
         F.count(F.when(is_ref, v)).alias("n_reference"))
     stats = stats.withColumn("n", F.col("n_current") + F.col("n_reference"))
-    return long.join(stats, [POND, "column_name"])
+    return join_groups(long, stats, [POND, "column_name"])
 
 
 WINDOW_ROWS = 1_000_000  # newest rows of a pond that one task may hold

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pondlake.functions.columns import columns_by_type
-from pondlake.operators.ordinal import broadcast_if_bounded, group_medians, with_position
+from pondlake.operators.ordinal import broadcast_if_bounded, group_medians, join_groups, with_position
 from pondlake.session import cut_lineage
 from pondlake.schema import (BOOSTED_SPACE, CV_SPLITS, FOREST_SPACE, RANDOM_STATE, SEARCH_TRIALS,
                              TEST_SIZE)
@@ -287,7 +287,7 @@ def class_weights(df: DataFrame, label: str, weight_col: str = "weight") -> Data
     total = counts.select(F.sum("_nc")).scalar()
     k = counts.select(F.count(F.lit(1))).scalar()
     w = counts.select(label, (total / (k * F.col("_nc"))).alias(weight_col))
-    return df.join(broadcast_if_bounded(w), label)
+    return join_groups(df, broadcast_if_bounded(w), [label])
 
 
 def balanced_accuracy(pred: DataFrame, label: str = "label",

@@ -58,7 +58,7 @@ def _range_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _join_groups(left: DataFrame, right: DataFrame, group_cols: Sequence[str],
+def join_groups(left: DataFrame, right: DataFrame, group_cols: Sequence[str],
                  how: str = "inner") -> DataFrame:
     """Join on the group columns, null being a group like any other; with no
     group columns ``right`` has one row."""
@@ -182,11 +182,11 @@ def shifted(positioned: DataFrame, group_cols: Sequence[str], value_cols: Sequen
     """``lead(value, offset)`` (negative offset: ``lag``) as an equi-join on
     ``(group, pos)``.  ``how='left'`` keeps rows with no partner (nulls, as with
     ``lead``); ``'inner'`` drops them.  Both sides hash-partition on
-    ``(group, pos)``, which spreads a hot group evenly."""
+    ``(group, pos)``, which spreads a hot group evenly; a null group is a group."""
     partner = positioned.select(
         *group_cols, (F.col(pos_col) - F.lit(offset)).alias(pos_col),
         *[F.col(v).alias(v + suffix) for v in value_cols])
-    return positioned.join(partner, [*group_cols, pos_col], how)
+    return join_groups(positioned, partner, [*group_cols, pos_col], how)
 
 
 def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
@@ -234,7 +234,7 @@ def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
     stats = F.broadcast(stats) if max_groups is not None and max_groups <= BROADCAST_MAX_ROWS \
         else broadcast_if_bounded(stats)
 
-    tagged = _join_groups(df, stats, group_cols)
+    tagged = join_groups(df, stats, group_cols)
     below = t.isNull() | (F.col("__lo").isNotNull() & (t < F.col("__lo")))
     inside = (t.isNotNull() & (F.col("__lo").isNull() | (t >= F.col("__lo")))
               & (F.col("__hi").isNull() | (t <= F.col("__hi"))))
@@ -264,7 +264,7 @@ def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
 
     # Copies stay one row with their count: a running sum of the counts gives the
     # first position of each, and only the copies inside [a, b) are written out.
-    bracket = _join_groups(agg.filter(F.col("__in")).select(*cols, "__k"), ok, group_cols)
+    bracket = join_groups(agg.filter(F.col("__in")).select(*cols, "__k"), ok, group_cols)
     order = [time_col, *tie_cols]
     ranked = _before(bracket, group_cols, order, "__k", "__at", (tally.rows or 0) <= SMALL_GROUP_ROWS)
     first = F.col("__before") + F.col("__at")
@@ -277,10 +277,10 @@ def _bracketed(df: DataFrame, group_cols: Sequence[str], time_col: str,
     if tally.missed == 0:
         return picked
     missed = plan.filter(~covered).select(*group_cols, "__a", "__b")
-    redo = _join_groups(df, missed.select(*group_cols), group_cols, "left_semi")
+    redo = join_groups(df, missed.select(*group_cols), group_cols, "left_semi")
     full = _position_by_range(redo, group_cols, [F.col(time_col).asc_nulls_first(), *tie_cols],
                               pos_col=pos_col, count_col=count_col)
-    full = (_join_groups(full, missed, group_cols)
+    full = (join_groups(full, missed, group_cols)
             .filter((F.col(pos_col) >= F.col("__a")) & (F.col(pos_col) < F.col("__b")))
             .select(*cols, pos_col, count_col))
     return picked.unionByName(full)
@@ -496,5 +496,5 @@ def group_median_stats(df: DataFrame, group_cols: Sequence[str], value_col: str,
     if large is not None:
         spread = large.groupBy(*group_cols).agg(F.min("__x").alias("min"), F.max("__x").alias("max"))
         middle = _selected_medians(large.filter(F.col("__x").isNotNull()), group_cols, "median")
-        parts.append(_join_groups(spread, middle, group_cols, "left").select(*group_cols, "min", "median", "max"))
+        parts.append(join_groups(spread, middle, group_cols, "left").select(*group_cols, "min", "median", "max"))
     return _union(parts)

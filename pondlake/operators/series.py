@@ -17,8 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pondlake.operators.ordinal import (broadcast_if_bounded, rows_at_positions, with_lead,
-                                        with_position)
+from pondlake.operators.ordinal import (broadcast_if_bounded, join_groups, rows_at_positions,
+                                        with_lead, with_position)
 from pondlake.schema import FORECAST_HORIZON, MIN_SERIES_ROWS, TREND_EPSILON, WINDOW_SIZE
 from pondlake.session import cut_lineage
 
@@ -146,7 +146,7 @@ def length_guard(df: DataFrame, min_rows: int = MIN_SERIES_ROWS) -> DataFrame:
     broadcast when counted small, so the rows are not shuffled."""
     counts = df.groupBy(POND).agg(F.count(F.lit(1)).alias("_n"))
     keep = cut_lineage(counts.filter(F.col("_n") >= min_rows).select(POND), small=True)
-    return df.join(broadcast_if_bounded(keep), POND, "left_semi")
+    return join_groups(df, broadcast_if_bounded(keep), [POND], "left_semi")
 
 
 def length_report(df: DataFrame, min_rows: int = MIN_SERIES_ROWS) -> DataFrame:

@@ -18,10 +18,10 @@ ponds AS (SELECT DISTINCT pond_id FROM readings),
 grid AS (SELECT p.pond_id, a.pos, a.axis_time FROM ponds p CROSS JOIN axis a),
 aligned AS (
   SELECT g.pos, g.axis_time AS created_at, g.pond_id, 'value' AS sensor, CAST(c.value AS DOUBLE) AS reading
-  FROM grid g LEFT JOIN positioned c ON c.pond_id = g.pond_id AND c.pos = g.pos
+  FROM grid g LEFT JOIN positioned c ON c.pond_id IS NOT DISTINCT FROM g.pond_id AND c.pos = g.pos
   UNION ALL
   SELECT g.pos, g.axis_time, g.pond_id, 'k', CAST(c.k AS DOUBLE)
-  FROM grid g LEFT JOIN positioned c ON c.pond_id = g.pond_id AND c.pos = g.pos)"""
+  FROM grid g LEFT JOIN positioned c ON c.pond_id IS NOT DISTINCT FROM g.pond_id AND c.pos = g.pos)"""
 
 
 @register("align_ponds", "WITH " + _ALIGN_SQL + "\nSELECT * FROM aligned")

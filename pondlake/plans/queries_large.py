@@ -9,11 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pondlake.fixtures import E_SENSORS, events_readings
+from pondlake.fixtures import E_BASE_POND, E_SENSORS, events_readings
 from pondlake.operators import crosspond as C
+from pondlake.operators import drift as D
 from pondlake.operators import ordinal
 from pondlake.operators import series as S
 from pondlake.plans.catalog import ORACLE, register
+from pondlake.plans import queries_crosspond, queries_drift  # noqa: F401  (their SQL is reused below)
 from pondlake.plans.queries_series import TICK, WINDOW_START
 
 NULL_POND = "view"
@@ -71,3 +73,28 @@ GROUP BY pond_id, sensor""")
 def q_pond_stats_large(spark, sf):
     long = S.unpivot_sensors(null_pond_readings(spark, sf), E_SENSORS, ["pond_id"])
     return forced(lambda: C.cross_pond_stats(long, keys=["pond_id", "sensor"]))
+
+
+@register("psi_join_null", _sql("psi"))
+def q_psi_join_null(spark, sf):
+    """The ranges by an aggregate and a join, as for halves beyond ``WINDOW_ROWS``."""
+    return D.psi(S.drift_halves(null_pond_readings(spark, sf), queries_drift.N), E_SENSORS)
+
+
+@register("length_guard_null", f"""
+WITH e AS (SELECT nullif(event_type, '{NULL_POND}') AS pond_id, event_id AS entry_id FROM events)
+SELECT * FROM e WHERE EXISTS (
+  SELECT 1 FROM (SELECT pond_id FROM e GROUP BY pond_id HAVING count(*) >= 110) k
+  WHERE k.pond_id IS NOT DISTINCT FROM e.pond_id)""")
+def q_length_guard_null(spark, sf):
+    return S.length_guard(null_pond_readings(spark, sf).select("pond_id", "entry_id"))
+
+
+@register("align_ponds_null", _sql("align_ponds"))
+def q_align_ponds_null(spark, sf):
+    return C.align_ponds(null_pond_readings(spark, sf), E_BASE_POND, E_SENSORS, TICK)
+
+
+@register("aggregate_overview_large", _sql("aggregate_overview"))
+def q_aggregate_overview_large(spark, sf):
+    return forced(lambda: C.aggregate_overview(null_pond_readings(spark, sf), E_BASE_POND, E_SENSORS, TICK))

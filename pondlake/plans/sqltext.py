@@ -54,7 +54,7 @@ binned AS (
               WHEN s.mx > s.mn THEN least(CAST(floor((l.x - s.mn) / (s.mx - s.mn) * s.bins) AS BIGINT),
                                           s.bins - 1)
               ELSE 0 END AS bin
-  FROM long l JOIN stats s ON l.pond_id = s.pond_id AND l.column_name = s.column_name),
+  FROM long l JOIN stats s ON l.pond_id IS NOT DISTINCT FROM s.pond_id AND l.column_name = s.column_name),
 per_bin AS (
   SELECT pond_id, column_name, n_current, n_reference, bins, bin,
          count(CASE WHEN half = 'current' THEN 1 END) AS c_cur,
