@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
            tokenizer_path: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece: a document's ids and the end id, cut only beyond ``capacity``.
 
-    Null text is empty (its one piece is the end id). ``ids`` holds little-endian
+    Null text is empty (its one piece is the end id); a null id stays null. ``ids`` holds little-endian
     unsigned 32-bit ids, null unless ``with_ids``.
     """
     ship(docs.sparkSession)
@@ -115,8 +114,9 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (from ``pieces``) with ``sequence_id`` and ``offset`` on each row.
 
-    Sequence ids are unique numbers without order. Ties of length go by doc_id and
-    piece, so reruns over the same pieces agree but for the numbers.
+    Sequence ids are unique numbers without order. Ties of length go by doc_id (null
+    last) and piece, so reruns over the same pieces agree but for the numbers. Rows
+    repeated with the same id are packed as often; an empty table gives no rows.
     """
     scratch = Scratch(cut.sparkSession, "pack")
     kept = scratch.write(cut)
@@ -125,20 +125,21 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     columns = kept.columns
     schema = kept.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+    def fill(group: pa.Table) -> pa.Table:
+        # in Arrow: pandas would turn the ids of a share with a null one into floats
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         lengths = group["length"].to_numpy()
         sequence, offset = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
-        base = int(group["task"].iloc[0]) << 32
+        base = group["task"][0].as_py() << 32
         for k, own in enumerate(best_two_fit(lengths, capacity)):
             at = 0
             for i in own:
                 sequence[i], offset[i] = base + k, at
                 at += int(lengths[i])
-        return group[columns].assign(sequence_id=sequence, offset=offset)
+        return group.select(columns).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     task = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(tasks))
-    packed = kept.filter(F.col("length") < capacity).withColumn("task", task).groupBy("task").applyInPandas(fill, schema)
+    packed = kept.filter(F.col("length") < capacity).withColumn("task", task).groupBy("task").applyInArrow(fill, schema)
     # full pieces: a sequence each, numbered below zero
     full = kept.filter(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()) \
                .withColumn("offset", F.lit(0).cast("long"))
