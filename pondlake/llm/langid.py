@@ -8,7 +8,8 @@ sample's length, per character, is the normalised count, and the language with t
 least wins. The log is the same for all, so that a sample of a few letters cannot win
 by its small one.
 
-Text is lower-cased; a run of anything but letters is one blank. Texts are parsed
+Text is lower-cased; a run of anything but letters is one blank. Letters of any
+script count; one that no sample has matches nothing. Texts are parsed
 in segments of ``SEGMENT`` symbols, all segments of a batch and all languages in
 step: one table lookup a symbol. A phrase ends at a segment's end, which costs each
 language the same.
@@ -33,16 +34,19 @@ SEGMENT = 256
 #: Bounds of the sample a model is fitted on: labelled documents of a language in
 #: seeded order, characters from the start of each, and characters in all.
 SAMPLE_DOCS, SAMPLE_PIECE, SAMPLE_CHARS = 200, 500, 20_000
-#: Letters that get a symbol of their own; rarer ones match nothing.
+#: Letters whose transitions are held in a dense table; those of rarer ones are looked up in a sorted list.
 LETTERS = 120
 BLANK, UNKNOWN, PAD = 0, 1, 2
+_SYMBOLS = 1 << 21  # more than there are code points
 
 
 @dataclass
 class Model:
     langs: list[str]
-    symbols: np.ndarray    # code point below 0x3000 -> symbol
-    table: np.ndarray      # (state of any language, symbol) -> state; 0: no match
+    symbols: np.ndarray    # code point -> symbol
+    table: np.ndarray      # (state of any language, frequent symbol) -> state; 0: no match
+    rare: np.ndarray       # (state, other symbol) as one number, sorted
+    rare_to: np.ndarray    # the state each of them leads to
     roots: np.ndarray      # first state of each language
     weights: np.ndarray    # log2 of the longest sample's length, for each language
 
@@ -82,7 +86,7 @@ def _symbols(texts: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.ndar
     low = [t.lower() for t in texts]
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) for t in low])
-    out = symbols[np.minimum(codes, len(symbols) - 1)]
+    out = symbols[codes]
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != BLANK) | (out[:-1] != BLANK)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -95,12 +99,12 @@ def fit(samples: dict[str, str]) -> Model:
     """The model of texts by language (in order of the languages' names)."""
     langs = sorted(samples)
     seen = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
-    symbols = np.array([UNKNOWN if chr(i).isalpha() else BLANK for i in range(0x3000)] + [UNKNOWN], np.uint8)
-    letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if ord(c) < 0x3000][:LETTERS]
+    symbols = np.array([UNKNOWN if chr(i).isalpha() else BLANK for i in range(0x110000)], np.int32)
+    letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
     for i, c in enumerate(letters):
         symbols[ord(c)] = 3 + i
-    width = 3 + len(letters)
-    rows, roots, weights = [np.zeros((1, width), np.int32)], [], []
+    width = 3 + min(LETTERS, len(letters))
+    rows, roots, weights, rare = [np.zeros((1, width), np.int32)], [], [], {}
     for lang in langs:
         text = _symbols([samples[lang]], symbols)[0]
         text = text[text != UNKNOWN].tolist()
@@ -109,7 +113,10 @@ def fit(samples: dict[str, str]) -> Model:
         block = np.zeros((len(go) + 1, width), np.int32)
         for s, edges in enumerate(go):
             for c, t in edges.items():
-                block[s, c] = first + t
+                if c < width:
+                    block[s, c] = first + t
+                else:
+                    rare[(first + s) * _SYMBOLS + c] = first + t
         # a symbol that the sample lacks is a phrase of its own: the last state, which nothing follows
         block[0][block[0] == 0] = first + len(go)
         block[:, PAD] = np.arange(first, first + len(block))
@@ -118,7 +125,23 @@ def fit(samples: dict[str, str]) -> Model:
         weights.append(len(text))
     weights = [math.log2(max(2, *weights))] * len(langs) if langs else []
     table = np.concatenate(rows)
-    return Model(langs, symbols, table.astype(np.uint16) if len(table) < 2**16 else table, np.array(roots, np.int64), np.array(weights))
+    keys = np.array(sorted(rare), np.int64)
+    return Model(langs, symbols, table.astype(np.uint16) if len(table) < 2**16 else table, keys,
+                 np.array([rare[k] for k in keys.tolist()], np.int64), np.array(roots, np.int64), np.array(weights))
+
+
+def _go(model: Model, state: np.ndarray, symbol: np.ndarray, dead: int) -> np.ndarray:
+    """The states after a symbol each; ``dead`` where there is none."""
+    width = model.table.shape[1]
+    often = symbol < width
+    went = model.table.ravel()[state * width + np.where(often, symbol, UNKNOWN)].astype(np.int64)
+    if not often.all():
+        at = np.flatnonzero(~often)
+        keys = state[at] * _SYMBOLS + symbol[at]
+        found = np.minimum(np.searchsorted(model.rare, keys), max(0, len(model.rare) - 1))
+        met = model.rare[found] == keys if len(model.rare) else np.zeros(len(at), bool)
+        went[at] = np.where(met, model.rare_to[found] if len(model.rare) else 0, dead)
+    return went
 
 
 def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,21 +154,22 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     lens = np.minimum(SEGMENT, bounds[owner + 1] - first) if len(owner) else np.zeros(0, np.int64)
     order = np.argsort(-lens, kind="stable")
     owner, first, lens = owner[order], first[order], lens[order]
-    table, width = model.table.ravel(), model.table.shape[1]
     count = np.zeros((len(model.langs), len(texts)), np.int64)
-    padded = np.append(flat, np.uint8(PAD))
+    padded = np.append(flat, PAD).astype(np.int64)
     for k, root in enumerate(model.roots):
-        at_root = model.table[root].astype(np.int64)
+        # of a language, the state that nothing follows: a symbol that its sample lacks leads there
+        alone = int(model.table[root, UNKNOWN])
         state, made = np.full(len(first), root, np.int64), np.zeros(len(first), np.int64)
         live = len(first)
         for i in range(int(lens[0]) if len(lens) else 0):
             while live and lens[live - 1] <= i:
                 live = int(np.searchsorted(-lens[:live], -i, "left"))
             c = padded[first[:live] + i]
-            went = table[state[:live] * width + c].astype(np.int64)
-            dead = went == 0
-            made[:live] += dead
-            state[:live] = np.where(dead, at_root[c], went)
+            went = _go(model, state[:live], c, 0)
+            dead = np.flatnonzero(went == 0)
+            made[dead] += 1
+            went[dead] = _go(model, np.full(len(dead), root, np.int64), c[dead], alone)
+            state[:live] = went
         made += state != root
         count[k] = np.bincount(owner, made, len(texts)).astype(np.int64)
     letters = np.concatenate([[0], np.cumsum(flat != BLANK)])

@@ -44,9 +44,9 @@ def test_phrases_are_greedy_longest_matches():
     for k, lang in enumerate(model.langs):
         rng2 = random.Random(1)
         sample = {k: _text(rng2, w, 80) for k, w in WORDS.items()}
-        ref = langid._symbols([sample[lang]], model.symbols)[0].tobytes()
+        ref = "".join(map(chr, langid._symbols([sample[lang]], model.symbols)[0]))
         for i, t in enumerate(texts):
-            s = langid._symbols([t], model.symbols)[0].tobytes()
+            s = "".join(map(chr, langid._symbols([t], model.symbols)[0]))
             n = 0
             for at in range(0, len(s), langid.SEGMENT):
                 part, j = s[at:at + langid.SEGMENT], 0
@@ -96,3 +96,28 @@ def test_a_tiny_sample_does_not_win():
     samples = {k: _text(rng, w, 3000) for k, w in WORDS.items()}
     texts = [" ".join(rng.choice(WORDS["aa"]) + rng.choice("etaoin") for _ in range(60)) for _ in range(20)]
     assert langid.predict(langid.fit(samples | {"zz": "ok"}), texts)[0] == ["aa"] * 20
+
+
+def test_no_letter_is_und_in_any_script():
+    model = langid.fit({k: " ".join(w) * 9 for k, w in WORDS.items()})
+    lang, score = langid.predict(model, ["😀😀", "。。", "　", "１２３ …", "\u2603", "文", "é"])
+    assert lang[:5] == ["und"] * 5 and score[:5] == [0.0] * 5
+    assert "und" not in lang[5:]
+
+
+def test_scripts_with_many_letters():
+    """More letters than the dense table has: Chinese and Japanese are told apart."""
+    rng = random.Random(3)
+    zh = [chr(0x4E00 + i) for i in range(0, 3000, 7)]
+    ja = [chr(0x3041 + i) for i in range(80)] + [chr(0x4E00 + i) for i in range(3, 3000, 11)]
+    words = {"zh": ["".join(rng.choice(zh) for _ in range(3)) for _ in range(300)],
+             "ja": ["".join(rng.choice(ja) for _ in range(3)) for _ in range(300)], **WORDS}
+    model = langid.fit({k: _text(rng, w, 1500) for k, w in words.items()})
+    assert len(model.rare) > 100
+    texts = [(k, _text(rng, w, 30)) for k, w in words.items() for _ in range(10)]
+    assert langid.predict(model, [t for _, t in texts])[0] == [k for k, _ in texts]
+
+
+def test_equal_languages_go_to_the_first_name():
+    model = langid.fit({"b": "one two three", "a": "one two three"})
+    assert langid.predict(model, ["two one"])[0] == ["a"]
