@@ -109,6 +109,13 @@ def scan(versions: DataFrame, ledger: str | None = None, id_col: str = "doc_id",
                 .withColumn("rules", F.array(*[F.lit(x) for x in lists[0]["rules"]]))
         else:
             wanted = sized_join(rows, todo, ["blob", "doc_id"], "inner", 256)
+        # rows repeated with the blob's own id: one of them is scanned
+        again = scratch.write(sized_join(manifest, todo.select("blob", "doc_id"), ["blob", "doc_id"], "left_semi", 128)
+                              .groupBy("blob", "doc_id").count().filter("count > 1").select("blob", "doc_id"))
+        if not again.isEmpty():
+            one = sized_join(wanted, again, ["blob", "doc_id"], "left_semi", 128).groupBy("blob").agg(
+                F.first("text").alias("text"), F.first("rules").alias("rules"))
+            wanted = sized_join(wanted, again, ["blob", "doc_id"], "left_anti", 128).select("blob", "text", "rules").unionByName(one)
         by_name = {r.name: r for r in rules}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
