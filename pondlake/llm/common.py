@@ -115,18 +115,20 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str, spent: Scratch | None = None) -> DataFrame:
+def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str, spent: Scratch | None = None,
+              named: Column | None = None) -> DataFrame:
     """The rows of ``docs`` whose (id, text) pair is kept by ``verdict`` (columns
     ``doc_id, text_key, kept``); of rows repeated with the same id and text one
     stays. All columns of ``docs`` are returned unchanged. ``spent`` holds what the
-    verdict was made from; it is deleted as soon as the verdict is read."""
+    verdict was made from; it is deleted as soon as the verdict is read. ``named`` is
+    what ``text_key`` stands for where that is more than the text."""
     scratch = Scratch(docs.sparkSession, "keep")
     pairs = scratch.write(verdict.groupBy("doc_id", "text_key").agg(
         F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"))
     if spent:
         spent.clear()
     key = fresh(docs.columns, "_text_key")
-    keyed = docs.withColumn(key, text_key(F.col(text_col)))
+    keyed = docs.withColumn(key, text_key(F.col(text_col)) if named is None else named)
     gone = pairs.filter("not kept").select(F.col("doc_id").alias(id_col), F.col("text_key").alias(key))
     left = sized_join(keyed, gone, [id_col, key], "left_anti", 64)
     again = pairs.filter("kept").select(F.col("doc_id").alias(id_col), F.col("text_key").alias(key))

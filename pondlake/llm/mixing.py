@@ -140,21 +140,23 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[float] = WEIGHTS, share: float = 1.5, most_epochs: float = 2.0, seed: int = 17,
-        scratch: Scratch | None = None) -> DataFrame:
+        scratch: Scratch | None = None, named: Column | None = None) -> DataFrame:
     """One row per input row: ``doc_id, source, size, source_size, target, taken, text_key``.
 
     ``size`` counts words (runs without ASCII white space; null text 0); ``taken``
     is ``size`` times the copies the mix takes, none more than ``most_epochs``
-    rounded up. A null source is a source of its own, last in order. Ties of the
-    seeded hash (repeated rows) are interchangeable. An empty table gives none.
+    rounded up. A null source is a source of its own, last in order. Rows alike in
+    id, source and text are interchangeable. An empty table gives none. ``named`` is
+    the key of a text where the caller needs another than its digest.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mix")
     name = F.col(source_col).cast("string")
-    rows = scratch.write(docs.select(
-        F.col(id_col).alias("doc_id"), name.alias("source"), words_in(text_or_empty(text_col)).alias("size"),
-        text_key(F.col(text_col)).alias("text_key"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), name), F.lit(2**31)).alias("draw")))
-    counted = scratch.write(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
+    key = text_key(F.col(text_col)) if named is None else named
+    # rows alike in all that counts are one row with their number, so no draw is shared by more than one
+    alike = docs.select(F.col(id_col).alias("doc_id"), name.alias("source"), words_in(text_or_empty(text_col)).alias("size"),
+                        key.alias("text_key")).groupBy("doc_id", "source", "size", "text_key").agg(F.count("*").alias("copies"))
+    rows = scratch.write(alike.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "source", "text_key"), F.lit(2**31))))
+    counted = scratch.write(rows.groupBy("source", "size").agg(F.sum("copies").alias("n")))
     goal = scratch.write(targets(counted.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most_epochs))
     fitted = sized_join(counted, goal, ["source"], "inner", 64) \
         .withColumn("seed", F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(2**31)))
@@ -164,35 +166,43 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = plan.withColumn("ranges", F.ceil(F.col("n") / RANKED).cast("long"))
     known = sized_join(rows, plan.drop("n"), ["source", "size"], "inner", 64)
     known = known.withColumn("range", F.floor(F.col("draw") * F.col("ranges") / F.lit(2**31)).cast("long"))
-    split = known.filter("ranges > 1").groupBy("source", "size", "range").agg(F.count("*").alias("here"), F.first("take").alias("take"))
+    split = known.filter("ranges > 1").groupBy("source", "size", "range").agg(F.sum("copies").alias("here"), F.first("take").alias("take"))
     upto = Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     split = scratch.write(split.withColumn("before", F.coalesce(F.sum("here").over(upto), F.lit(0)))
                           .select("source", "size", "range", (F.col("take") - F.col("before")).alias("want"), "here"))
-    one = known.filter("ranges = 1").withColumn("want", F.col("take")).withColumn("here", F.lit(RANKED).cast("long") + 1)
+    one = known.filter("ranges = 1").withColumn("want", F.col("take")).withColumn("here", F.col("ranges") * RANKED + 1)
     many = sized_join(known.filter("ranges > 1"), split, ["source", "size", "range"], "inner", 64)
     both = one.unionByName(many)
     ranked = both.filter("want > 0 and want < here")
     order = Window.partitionBy("source", "size", "range").orderBy("draw", "doc_id", "text_key")
-    ranked = ranked.withColumn("extra", (F.row_number().over(order) <= F.col("want")).cast("long"))
-    sure = both.filter("not (want > 0 and want < here)").withColumn("extra", (F.col("want") > 0).cast("long"))
-    out = ranked.unionByName(sure)
-    out = sized_join(out, goal, ["source"], "inner", 64)
-    return out.select("doc_id", "source", "size", "source_size", "target",
-                      (F.col("size") * (F.col("full") + F.col("extra"))).alias("taken"), "text_key")
+    earlier = F.coalesce(F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranked.withColumn("extra", F.greatest(F.lit(0), F.least("copies", F.col("want") - earlier)))
+    sure = both.filter("not (want > 0 and want < here)").withColumn("extra", F.when(F.col("want") > 0, F.col("copies")).otherwise(0))
+    out = sized_join(ranked.unionByName(sure), goal, ["source"], "inner", 64)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    times = F.col("full") + (F.col("copy") <= F.col("extra")).cast("long")
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "text_key")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The documents the mix takes, each as often as it is taken, all columns unchanged."""
+    """The documents the mix takes, each as often as it is taken, all columns unchanged.
+
+    Rows alike in id, source and text are one document, taken as often as all of them;
+    rows that differ in source are documents of their own.
+    """
     scratch, spent = Scratch(docs.sparkSession, "mixed"), Scratch(docs.sparkSession, "mix")
-    taken = mix(docs, id_col, text_col, source_col, scratch=spent, **settings)
+    source = F.col(source_col).cast("string")
+    named = text_key(F.concat(F.coalesce(F.concat(F.octet_length(source).cast("string"), F.lit(":"), source), F.lit("-")),
+                              text_or_empty(text_col)))
+    taken = mix(docs, id_col, text_col, source_col, scratch=spent, named=named, **settings)
     times = scratch.write(taken.select(
         "doc_id", "text_key", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int").alias("times")))
     spent.clear()
     verdict = times.select("doc_id", "text_key", (F.col("times") > 0).alias("kept"))
-    kept = keep_rows(docs, verdict, id_col, text_col)
+    kept = keep_rows(docs, verdict, id_col, text_col, named=named)
     more = scratch.write(times.groupBy("doc_id", "text_key").agg(F.sum("times").alias("times")).filter("times > 1"))
     key, n, i = (fresh(docs.columns, x) for x in ("_key", "_times", "_copy"))
-    kept = kept.withColumn(key, text_key(F.col(text_col)))
+    kept = kept.withColumn(key, named)
     more = more.select(F.col("doc_id").alias(id_col), F.col("text_key").alias(key), F.col("times").alias(n))
     kept = sized_join(kept, more, [id_col, key], "left", 64)
     copies = F.explode(F.sequence(F.lit(1), F.coalesce(F.col(n), F.lit(1)).cast("int")))

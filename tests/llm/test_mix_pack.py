@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pondlake.llm import mixing, packing
 from pondlake.llm.tokens import WordTokenizer, default_path
@@ -164,3 +165,29 @@ def test_words_are_ascii_space_separated(spark):
     t = "a b c\x0bd\x1ce"
     got = mixing.mix(spark.createDataFrame([(1, t, "s")], "doc_id long, text string, source string")).first()
     assert got["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", t)) == 3
+
+
+def test_mixed_keeps_rows_of_both_sources(spark):
+    docs = spark.createDataFrame([(1, "a b c", "A"), (1, "a b c", "B"), (2, "d e f", None)], "doc_id long, text string, source string")
+    taken = {(r.doc_id, r.source): r.taken for r in mixing.mix(docs).collect()}
+    got = Counter((r.doc_id, r.source) for r in mixing.mixed(docs).collect())
+    assert {k: 3 * n for k, n in got.items()} == {k: n for k, n in taken.items() if n} and len(got) >= 2
+
+
+def test_rows_without_ids_are_drawn_evenly(spark):
+    """Equal lengths and null ids: texts have draws of their own, and copies are counted."""
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w x"), F.col("id").cast("string")).alias("text"),
+                                    F.lit("s").alias("source"))
+    copies = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix(docs.unionByName(copies), share=0.5).collect()
+    assert len(got) == 7000 and sum(r.taken for r in got) == 7000
+    assert {r.taken for r in got} == {0, 2}
+    some = sum(r.taken > 0 for r in got if r.source == "s")
+    assert some == 3500
+
+
+def test_ids_beyond_doubles_beside_a_null_one(spark):
+    ids = [2**60 + 1, 2**60 + 3, None, 5]
+    docs = spark.createDataFrame([(i, f"word {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    out = packing.pack(packing.pieces(docs)).collect()
+    assert sorted(r.doc_id or 0 for r in out) == sorted(i or 0 for i in ids)
