@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pondlake.operators.ordinal import group_median_stats, group_sizes, join_groups, rows_at_positions
-from pondlake.operators.series import POND, TIME_ORDER, cursor_expr, unpivot_sensors
+from pondlake.operators.ordinal import group_median_stats, group_sizes, join_groups
+from pondlake.operators.series import POND, TIME_ORDER, _rows_at, cursor_expr, unpivot_sensors
 from pondlake.schema import FORECAST_HORIZON, WINDOW_SIZE
 
 
@@ -26,14 +26,14 @@ def align_ponds(df: DataFrame, base_pond, sensors: Sequence[str], tick: int,
     there (the reference raised KeyError).  The table is read twice: for the
     ponds' sizes (the key column; ``sizes`` of ``pond_sizes`` saves it), which
     give the base length, the list of ponds and the routing, and for the rows.
+    Of a table with a zone map only the files that hold the positions are read.
     """
     narrow = df.select(POND, *TIME_ORDER, *sensors)
     sizes = pond_sizes(df) if sizes is None else sizes
     base_rows = F.coalesce(sizes.filter(F.col(POND).eqNullSafe(F.lit(base_pond))).select("__L").scalar(), F.lit(0))
     start = cursor_expr(base_rows, tick, size, horizon)
     first = F.when(base_rows >= size + horizon, start)
-    picked = rows_at_positions(narrow, [POND], "created_at", ["entry_id"],
-                               lambda n_rows: (first, first + size), sizes=sizes)
+    picked = _rows_at(narrow, lambda n_rows: (first, first + size), sizes)
     axis = (picked.filter(F.col(POND).eqNullSafe(F.lit(base_pond)))
                   .select("pos", F.col("created_at").alias("axis_time")))
     # every pond at every axis position (the positions are generated per pond,
@@ -46,7 +46,10 @@ def align_ponds(df: DataFrame, base_pond, sensors: Sequence[str], tick: int,
 
 
 def pond_sizes(df: DataFrame) -> DataFrame:
-    """Rows per pond, materialised: one row per pond (columns ``pond_id, __L``)."""
+    """Rows per pond, materialised: one row per pond (columns ``pond_id, __L``); from
+    the zone map of a table that has one."""
+    if hasattr(df, "sizes"):
+        return df.sizes()
     return group_sizes(df.select(POND), [POND])
 
 

@@ -174,8 +174,10 @@ def drift_report(psi_df: DataFrame, columns: Sequence[str],
 def monitor(readings: DataFrame, columns: Sequence[str] = MONITOR_COLUMNS,
             report_range: int = REPORT_RANGE, **thresholds) -> DataFrame:
     """DRF-6: newest ``report_range`` rows per pond -> halves -> PSI -> report,
-    all ponds in one job.  Only the keys and the checked columns are read."""
-    narrow = readings.select(POND, "created_at", "entry_id", *[F.col(f"`{c}`") for c in columns])
+    all ponds in one job.  Only the keys and the checked columns are read, and of a
+    table with a zone map (``PondFiles``) only the files with newest rows."""
+    names = list(columns) if hasattr(readings, "newest") else [F.col(f"`{c}`") for c in columns]
+    narrow = readings.select(POND, "created_at", "entry_id", *names)
     halves = drift_halves(narrow, report_range)
     bounded = report_range <= WINDOW_ROWS
     return drift_report(psi(halves, columns, bounded=bounded), columns, **thresholds)

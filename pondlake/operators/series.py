@@ -31,6 +31,15 @@ def _newest_first() -> list[Column]:
     return [F.col("created_at").desc_nulls_first(), F.col("entry_id").desc_nulls_last()]
 
 
+def _rows_at(source, bounds, sizes: DataFrame | None = None) -> DataFrame:
+    """Rows at positions ``bounds(pond size)``: from the files that hold them where
+    ``source`` is a table with a zone map (``sources.pond_files.PondFiles``), else
+    by ``ordinal.rows_at_positions``."""
+    if hasattr(source, "at_positions"):
+        return source.at_positions(bounds)
+    return rows_at_positions(source, [POND], "created_at", ["entry_id"], bounds, sizes=sizes)
+
+
 # --------------------------------------------------------------------------- PRJ
 
 
@@ -66,7 +75,10 @@ def newest_n(df: DataFrame, n: int) -> DataFrame:
     """SRT-2: the newest ``n`` rows of the whole table (nulls first, as the
     database does under DESC).  Two levels: each map task keeps its own newest
     ``n``, salts of them are merged, and the last merge gets ``n`` rows per salt
-    however many tasks there are."""
+    however many tasks there are. Of a table with a zone map only the files that
+    can hold them are read."""
+    if hasattr(df, "newest"):
+        df = df.newest(n, per_pond=False)
     salts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     first = salted.withColumn("_rn0", F.row_number().over(
@@ -84,8 +96,11 @@ def newest_n_per_pond(df: DataFrame, n: int, salt_buckets: int | None = None,
     survivors of ``M/S`` tasks per (pond, salt) and level two at most ``S * n``
     rows per pond.  ``S`` defaults to the shuffle-partition count: level one
     then receives ``M/S * n`` rows per (pond, salt) and level two ``S * n``
-    rows per pond, both independent of how large the pond is.
+    rows per pond, both independent of how large the pond is.  Of a table with a
+    zone map (``PondFiles``) only the files that can hold them are read.
     """
+    if hasattr(df, "newest"):
+        df = df.newest(n)
     if salt_buckets is None:
         salt_buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salt_buckets)))
@@ -166,7 +181,7 @@ def window_rows(df: DataFrame, tick: int, first: int, last: int, size: int = WIN
     def bounds(n_rows):
         start = cursor_expr(n_rows, tick, size, horizon)
         return (F.when(n_rows >= size + horizon, start + first), start + last + 1)
-    rows = rows_at_positions(df, [POND], "created_at", ["entry_id"], bounds)
+    rows = _rows_at(df, bounds)
     return rows.withColumn("start", cursor_expr(F.col("n_rows"), tick, size, horizon))
 
 
@@ -174,8 +189,7 @@ def sliding_window(df: DataFrame, start: int, size: int = WINDOW_SIZE,
                    horizon: int = FORECAST_HORIZON) -> DataFrame:
     """WIN-2: rows at positions ``[start, start+size)`` (``history``) and
     ``[start+size, start+size+horizon)`` (``horizon``) of every pond."""
-    win = rows_at_positions(df, [POND], "created_at", ["entry_id"],
-                            lambda n_rows: (F.lit(start), F.lit(start + size + horizon)))
+    win = _rows_at(df, lambda n_rows: (F.lit(start), F.lit(start + size + horizon)))
     win = win.drop("n_rows")
     return win.withColumn("segment", F.when(F.col("pos") < start + size, F.lit("history"))
                           .otherwise(F.lit("horizon")))
@@ -258,8 +272,10 @@ def overview(df: DataFrame, sensors: Sequence[str], tick: int, size: int = WINDO
 def pond_detail(df: DataFrame, pond, sensors: Sequence[str], tick: int,
                 size: int = WINDOW_SIZE, horizon: int = FORECAST_HORIZON) -> DataFrame:
     """WIN-8: one pond's window at ``tick``: history and horizon series per
-    sensor, with the latest reading flagged.  The pond filter reaches the scan."""
-    one = df.filter(F.col(POND) == F.lit(pond)).select(POND, *TIME_ORDER, *sensors)
+    sensor, with the latest reading flagged.  The pond filter reaches the scan (and
+    the zone map, where there is one)."""
+    one = df.only(pond) if hasattr(df, "only") else df.filter(F.col(POND) == F.lit(pond))
+    one = one.select(POND, *TIME_ORDER, *sensors)
     win = window_rows(one, tick, 0, size + horizon - 1, size, horizon)
     win = win.select("*", F.when(F.col("pos") < F.col("start") + size, F.lit("history"))
                      .otherwise(F.lit("horizon")).alias("segment"),

@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-MODULES = ("queries_series", "queries_large", "queries_crosspond", "queries_drift", "queries_ingest",
+MODULES = ("queries_series", "queries_large", "queries_crosspond", "queries_drift", "queries_ingest", "queries_files",
            "queries_learn")
 
 
