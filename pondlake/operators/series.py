@@ -158,7 +158,10 @@ def cursor_position(df: DataFrame, tick: int, size: int = WINDOW_SIZE,
 def length_guard(df: DataFrame, min_rows: int = MIN_SERIES_ROWS) -> DataFrame:
     """FLT-6: drop ponds with fewer than ``min_rows`` rows.  The per-pond counts
     are a map-side aggregate (materialised, one row per pond); the kept keys are
-    broadcast when counted small, so the rows are not shuffled."""
+    broadcast when counted small, so the rows are not shuffled; a table with a
+    zone map counts by that."""
+    if hasattr(df, "at_least"):
+        return df.at_least(min_rows)
     counts = df.groupBy(POND).agg(F.count(F.lit(1)).alias("_n"))
     keep = cut_lineage(counts.filter(F.col("_n") >= min_rows).select(POND), small=True)
     return join_groups(df, broadcast_if_bounded(keep), [POND], "left_semi")

@@ -3,14 +3,18 @@
 Raw files differ in header layout, and the conforming is positional, so files
 are grouped by layout: each layout is one multi-file scan, conformed once;
 a pond with its own repair or splice rule gets a scan of its own.  The
-conformed frames are unioned by name into one plan.  Only file names and
-header lines are handled on the driver.
+conformed frames are unioned by name into one plan.  Header lines are found by
+tasks, one job for all files; the driver handles file names and headers only.
 """
 
 from __future__ import annotations
 
+import csv
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +44,46 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+def _plain_path(path: str) -> str:
+    return path.replace(":///", ":/", 1)
+
+
+def header_names(line: str) -> list[str]:
+    """Column names of a header line as Spark's CSV reader gives them: an empty name
+    becomes ``_c<i>``, and names that are alike but for case get their place."""
+    names = next(csv.reader([line], escapechar="\\", doublequote=False))
+    low = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if low.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+def read_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """Column names of every file, by one job: a task is a block of one file, gives
+    its first line that is not blank and stops, so of a file no more than the first
+    lines are read.  A file without such a line raises ``ValueError``."""
+    # settings of this read alone: no two files share a task, and lines come in small batches
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.openCostInBytes", own.conf.get("spark.sql.files.maxPartitionBytes"))
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (line, start) in enumerate(zip(batch.column("value").to_pylist(), batch.column("start").to_pylist())):
+                if start:  # not the file's first block
+                    return
+                if line and line.strip():
+                    yield batch.slice(k, 1).select(["path", "value"])
+                    return
+
+    lines = own.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("start"))
+    found = {_plain_path(unquote(r.path)): r.value for r in lines.mapInArrow(first, "path string, value string").collect()}
+    layouts = {line: header_names(line) for line in set(found.values())}
+    missing = [p for p in paths if _plain_path(p) not in found]
+    if missing:
+        raise ValueError(f"no header line in {missing[:5]}")
+    return {p: layouts[found[_plain_path(p)]] for p in paths}
+
+
 def read_raw_csv(spark: SparkSession, paths: str | Sequence[str],
                  header: Sequence[str] | None = None) -> DataFrame:
     """SRC-1 / SRC-2: CSV files sharing one header layout, every column as text
@@ -109,12 +153,13 @@ def ingest_files(spark: SparkSession, paths: Sequence[str], time_format: str = D
     repair or splice rules."""
     special = _rule_ponds(repairs, null_rules)
     groups: dict[tuple, list[str]] = {}
+    headers = read_headers(spark, paths)
     for path in paths:
         digits = re.search(r"\d+", path.rsplit("/", 1)[-1])
         if digits is None:
             raise ValueError(f"no pond number in file name: {path}")
         pond = int(digits.group(0))
-        header = tuple(read_header(spark, path))
+        header = tuple(headers[path])
         groups.setdefault((header, pond if pond in special else None), []).append(path)
     frames = [clean_typed(conform(read_raw_csv(spark, paths, header), pond, repairs, null_rules))
               for (header, pond), paths in groups.items()]

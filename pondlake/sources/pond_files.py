@@ -59,8 +59,8 @@ class PondFiles:
     """A folder of Parquet files (partitioned or not) and the folder of its zone map."""
 
     def __init__(self, spark: SparkSession, path: str, zones_path: str, schema: T.StructType | None = None,
-                 columns: Sequence[str] | None = None, pond: tuple | None = None):
-        self.spark, self.path, self.zones_path, self.pond = spark, path, zones_path, pond
+                 columns: Sequence[str] | None = None, pond: tuple | None = None, least: int = 0):
+        self.spark, self.path, self.zones_path, self.pond, self.least = spark, path, zones_path, pond, least
         reader = spark.read if schema is None else spark.read.schema(schema)
         self.rows = reader.parquet(path)
         self.schema = self.rows.schema
@@ -110,16 +110,24 @@ class PondFiles:
             known = out.select(F.count_distinct("file")).first()[0]
             if known < len(live):
                 raise ValueError(f"{len(live) - known} files of the table are not in its zone map")
-        return out.filter("n_rows > 0")
+        out = out.filter("n_rows > 0")
+        if self.least:
+            long = out.withColumn("_n", F.sum("n_rows").over(Window.partitionBy(POND))).filter(F.col("_n") >= self.least)
+            out = cut_lineage(long.drop("_n"), small=True)
+        return out
 
     # ------------------------------------------------------------------ narrowing
 
     def select(self, *columns: str) -> "PondFiles":
-        return PondFiles(self.spark, self.path, self.zones_path, self.schema, [str(c) for c in columns], self.pond)
+        return PondFiles(self.spark, self.path, self.zones_path, self.schema, [str(c) for c in columns], self.pond, self.least)
 
     def only(self, pond) -> "PondFiles":
         """One pond's files and rows."""
-        return PondFiles(self.spark, self.path, self.zones_path, self.schema, self.columns, (pond,))
+        return PondFiles(self.spark, self.path, self.zones_path, self.schema, self.columns, (pond,), self.least)
+
+    def at_least(self, rows: int) -> "PondFiles":
+        """The ponds of at least so many rows (FLT-6)."""
+        return PondFiles(self.spark, self.path, self.zones_path, self.schema, self.columns, self.pond, rows)
 
     def sizes(self) -> DataFrame:
         """Rows per pond (``pond_id, __L``), from the zone map alone."""
@@ -151,6 +159,8 @@ class PondFiles:
         return self._narrow(self._read(self.newest_files(n, per_pond))).select(*self.columns)
 
     def _narrow(self, rows: DataFrame) -> DataFrame:
+        if self.least:
+            rows = join_groups(rows, broadcast_if_bounded(self.sizes().select(POND)), [POND], "left_semi")
         return rows.filter(F.col(POND).eqNullSafe(F.lit(self.pond[0]))) if self.pond else rows
 
     def stretches(self) -> DataFrame:

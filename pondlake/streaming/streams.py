@@ -7,9 +7,9 @@ and dashboard overview refreshed after every load.
   its rows with new keys are written under the micro-batch's own partitions,
   so a replayed batch overwrites what it wrote.
 * STR-2: a row is dropped only if its ``(pond_id, entry_id)`` is stored already
-  or repeated in the micro-batch: ``new_keys`` anti-joins the stored keys of the
-  ponds that the batch touches.  No row is late; ponds may lag one another by
-  any time.  ``dedup_stream`` is the bounded-state variant for sources whose
+  or repeated in the micro-batch: ``new_keys`` anti-joins the keys of the stored
+  files whose key interval meets the batch's (``KeyIntervals``).  No row is late;
+  ponds may lag one another by any time.  ``dedup_stream`` is the bounded-state variant for sources whose
   repeats come close together.
 * STR-3 / STR-4 ``refresh_stream``: a second query on the table's files; for
   each micro-batch it merges the batch into a table of each pond's newest rows
@@ -20,6 +20,7 @@ and dashboard overview refreshed after every load.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pondlake.functions.parse import strict_cast, strict_ts
 from pondlake.operators import drift, series
+from pondlake.operators.ordinal import broadcast_if_bounded, join_groups
 from pondlake.sources.csv_ingest import ingest_files
 from pondlake.schema import (CANON, DAY_FIRST_FORMAT, FLOAT_COLUMNS, INTEGER_COLUMNS,
                              MIN_SERIES_ROWS, MONITOR_COLUMNS, RAW, REPORT_RANGE)
+from pondlake.session import cut_lineage
 
 
 def typed_readings(raw: DataFrame, time_format: str = DAY_FIRST_FORMAT) -> DataFrame:
@@ -65,18 +68,89 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
 
 
+class KeyIntervals:
+    """STR-2's key store: for every stored file and pond the interval of its keys.
+
+    A micro-batch looks up the files whose interval meets that of its own keys in the
+    same pond and reads the keys of those files only; where keys grow with time these
+    are the files of repeats, however long the history.  The intervals of a batch are
+    written after its rows, under the batch's number, so a replay writes them again;
+    every ``FOLD`` batches those before are written as one folder, so that few are
+    read.  A table written before (or beside) the store gets one for all its files.
+    """
+
+    FOLD = 64
+
+    def __init__(self, spark: SparkSession, table_path: str, path: str | None = None):
+        self.spark, self.table_path = spark, table_path.rstrip("/")
+        self.path = path or f"{self.table_path}_keys"
+
+    def _folders(self) -> tuple[int, list[int]]:
+        """The newest whole fold (-1: none) and the batches written after it."""
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return -1, []
+        names = [f.getPath().getName() for f in fs.listStatus(p)
+                 if fs.exists(sc._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        upto = max([int(n[5:]) for n in names if n.startswith("upto=")], default=-1)
+        return upto, sorted(int(n[6:]) for n in names if n.startswith("batch=") and int(n[6:]) > upto)
+
+    def _intervals(self, rows: DataFrame) -> DataFrame:
+        return rows.select("pond_id", "entry_id", F.col("_metadata.file_path").alias("file")).groupBy("file", "pond_id").agg(
+            F.min("entry_id").alias("first_key"), F.max("entry_id").alias("last_key"))
+
+    def _read(self, batch_id: int | None) -> DataFrame | None:
+        """The intervals of all batches but this one; None if there are none."""
+        upto, batches = self._folders()
+        parts = [f"{self.path}/upto={upto}"] if upto >= 0 else []
+        parts += [f"{self.path}/batch={b}" for b in batches if b != batch_id]
+        return self.spark.read.parquet(*parts) if parts else None
+
+    def build(self) -> None:
+        """Intervals of a table that has no store yet, as those of a fold before any batch."""
+        upto, batches = self._folders()
+        if upto < 0 and not batches and _table_exists(self.spark, self.table_path):
+            self._intervals(self.spark.read.parquet(self.table_path)).write.mode("overwrite").parquet(f"{self.path}/upto=0")
+
+    def files(self, rows: DataFrame, batch_id: int | None = None) -> list[str]:
+        """The stored files that can hold a key of ``rows`` (those of ``batch_id``, written
+        before a replay, do not count)."""
+        known = self._read(batch_id)
+        if known is None:
+            return []
+        spans = cut_lineage(rows.groupBy("pond_id").agg(F.min("entry_id").alias("_lo"), F.max("entry_id").alias("_hi")), small=True)
+        met = join_groups(known, broadcast_if_bounded(spans), ["pond_id"]).filter("last_key >= _lo and first_key <= _hi")
+        found = [r.file for r in met.select("file").distinct().collect()]
+        return [f for f in found if batch_id is None or f"/batch_id={batch_id}/" not in f]
+
+    def written(self, batch_id: int) -> None:
+        """Record the files that a batch has written, and fold where it is time."""
+        rows = self.spark.read.parquet(self.table_path).filter(F.col("batch_id") == batch_id)
+        self._intervals(rows).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        upto, batches = self._folders()
+        if len(batches) > self.FOLD and batches[-1] == batch_id:
+            # batches before this one are complete and are not replayed any more
+            fold = self._read(batch_id)
+            fold.repartition(max(1, fold.count() // 1_000_000)).write.mode("overwrite").parquet(f"{self.path}/upto={batches[-2]}")
+
+
 def new_keys(spark: SparkSession, rows: DataFrame, table_path: str, batch_id: int | None = None) -> DataFrame:
     """STR-2: ``rows`` without repeats of ``(pond_id, entry_id)`` among themselves or
-    in the table (what ``batch_id`` itself wrote before a replay does not count)."""
+    in the table (what ``batch_id`` itself wrote before a replay does not count).
+    Of the table only the files whose keys overlap those of ``rows`` are read."""
     rows = rows.dropDuplicates(["pond_id", "entry_id"])
     if not _table_exists(spark, table_path):
         return rows
-    stored = spark.read.parquet(table_path)
-    if batch_id is not None and "batch_id" in stored.columns:
-        stored = stored.filter(F.col("batch_id") != batch_id)
-    touched = rows.select("pond_id").distinct()
-    stored = stored.select("pond_id", "entry_id").join(touched, "pond_id", "left_semi")  # prunes ponds
-    return rows.join(stored, ["pond_id", "entry_id"], "left_anti")
+    store = KeyIntervals(spark, table_path)
+    store.build()
+    files = store.files(rows, batch_id)
+    if not files:
+        return rows
+    schema = spark.read.parquet(table_path).schema
+    stored = spark.read.schema(schema).option("basePath", table_path).parquet(*map(unquote, files))
+    return join_groups(rows, stored.select("pond_id", "entry_id"), ["pond_id", "entry_id"], "left_anti")
 
 
 def ingest_batch(spark: SparkSession, table_path: str, time_format: str = DAY_FIRST_FORMAT):
@@ -86,10 +160,12 @@ def ingest_batch(spark: SparkSession, table_path: str, time_format: str = DAY_FI
         if not paths:
             return
         rows = ingest_files(spark, paths, time_format)
-        rows = rows.withColumn("created_at", F.col("created_at").cast("timestamp"))
+        # cleaned once; the key lookup and the write read the checkpoint
+        rows = cut_lineage(rows.withColumn("created_at", F.col("created_at").cast("timestamp")))
         rows = new_keys(spark, rows, table_path, batch_id).withColumn("batch_id", F.lit(batch_id))
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("pond_id", "batch_id").parquet(table_path))
+        KeyIntervals(spark, table_path).written(batch_id)
     return run
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pondlake.functions import columns as C
 from pondlake.sources import catalog as T
+from pondlake.sources import csv_ingest as I
 from pondlake.sources.csv_ingest import ingest_folder, load_dashboard_csv, write_clean_csv
 from pondlake.sources.sinks import append_report
 
@@ -207,3 +208,65 @@ def test_nan_text_is_missing_and_trend_is_flat(spark):
     assert drop_all_null(typed, ["a", "b"]).count() == 1
     pairs = spark.createDataFrame([(1.0, float("nan")), (1.0, 2.0), (1.0, None)], "x double, y double")
     assert [r.trend for r in trend(pairs, "x", "y").collect()] == ["flat", "up", "flat"]
+
+
+def test_headers_are_found_by_one_job(spark, tmp_path):
+    """Layouts of many files, blank first lines, quoted, empty and repeated names."""
+    d = tmp_path / "many files"
+    d.mkdir()
+    lines = ["a,b,c", '\n\n"x, y",b,', "A,a,b"]
+    for k in range(60):
+        (d / f"p {k}.csv").write_text(lines[k % 3] + "\n" + "1,2,3\n" * (5000 if k == 7 else 1))
+    paths = I.list_files(spark, str(d))
+    group = f"headers-{tmp_path.name}"
+    spark.sparkContext.setJobGroup(group, "headers")
+    got = I.read_headers(spark, paths)
+    tracker = spark.sparkContext.statusTracker()
+    assert len(tracker.getJobIdsForGroup(group)) <= 2     # one lists the files, one reads their first lines
+    spark.sparkContext.setJobGroup("rest", "rest")
+    want = {0: ["a", "b", "c"], 1: ["x, y", "b", "_c2"], 2: ["A0", "a1", "b"]}
+    for p in paths:
+        k = int(p.rsplit(" ", 1)[1][:-4])
+        assert got[p] == want[k % 3]
+    assert {tuple(got[p]) for p in paths[:3]} <= {tuple(I.read_header(spark, p)) for p in paths[:9]}
+    (d / "empty.csv").write_text("\n \n")
+    with pytest.raises(ValueError, match="no header"):
+        I.read_headers(spark, I.list_files(spark, str(d)))
+
+
+@pytest.mark.parametrize("step", ["write", "key", "point", "drop"])
+def test_readers_see_the_old_table_or_the_new_one(spark, tmp_path, monkeypatch, step):
+    """A writer that dies at any step leaves a whole table under the name."""
+    old = spark.range(5).selectExpr("id AS entry_id", "1 AS pond_id")
+    new = spark.range(9).selectExpr("id AS entry_id", "2 AS pond_id")
+    name = f"pointed_{step}"
+    T.save_table(old, name, path=str(tmp_path / "t"))
+    T.save_table(old, name, path=str(tmp_path / "t"))
+
+    def die(*_, **__):
+        raise KeyboardInterrupt
+
+    if step == "write":
+        monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.saveAsTable", die)
+    elif step == "key":
+        monkeypatch.setattr(T, "assert_key", die)
+    elif step == "point":
+        monkeypatch.setattr(T, "_point", die)
+    else:
+        monkeypatch.setattr(T, "_versions", die)
+    with pytest.raises(KeyboardInterrupt):
+        T.save_table(new, name, path=str(tmp_path / "t"))
+    monkeypatch.undo()
+    assert spark.table(name).count() == (9 if step == "drop" else 5)
+    T.save_table(new, name, path=str(tmp_path / "t"))
+    assert spark.table(name).count() == 9 and len(T._versions(spark, name)) == 2   # the dead writer's are gone
+    assert [t for t in T.list_tables(spark) if t.startswith(name)] == [name]
+
+
+def test_a_plain_table_becomes_a_version(spark, tmp_path):
+    rows = spark.range(4).selectExpr("id AS entry_id", "1 AS pond_id")
+    rows.write.option("path", str(tmp_path / "plain")).saveAsTable("plain_before")
+    T.save_table(rows.filter("entry_id > 1"), "plain_before")
+    assert spark.table("plain_before").count() == 2
+    with pytest.raises(ValueError, match="table name"):
+        T.save_table(rows, "bad name; drop")

@@ -33,6 +33,15 @@ def test_folder_to_reports_dashboard_and_model(spark, tmp_path):
     assert dash["aggregate_overview"].count() == 100 * 2
     assert dash["pond_detail"].count() == 110 * 2
 
+    # the same requests through the zone map of a load in time order
+    zones = str(tmp_path / "zones")
+    jobs.load_ponds(spark, str(d), "ponds_mapped", path=str(tmp_path / "tbl2"), zones_root=zones)
+    again = jobs.monitor_table(spark, "ponds_mapped", ["temperature", "ph"], 100, zones_root=zones)
+    assert sorted(map(str, again.collect())) == sorted(map(str, rep.collect()))
+    mapped = jobs.dashboard(spark, "ponds_mapped", ["temperature", "ph"], tick=7, base_pond=1, detail_pond=2, zones_root=zones)
+    for name, view in dash.items():
+        assert sorted(map(str, mapped[name].collect())) == sorted(map(str, view.collect()))
+
     space = {"max_depth": {"type": "Integer", "low": 2, "high": 3},
              "n_estimators": {"type": "Integer", "low": 3, "high": 4}}
     spark.table("ponds_e2e").selectExpr("*", "CAST(pond_id AS DOUBLE) AS target") \

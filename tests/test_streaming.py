@@ -172,3 +172,40 @@ def test_refresh_merges_batches_as_the_whole_table_would(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "rep")).filter("batch_id = 2").drop("batch_id")
     want = drift.monitor(rows, ["temperature", "ph"], 100)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def _batch(spark, table, batch_id, rows):
+    """One micro-batch of rows (pond, key) through the key lookup, the write and the record."""
+    df = spark.createDataFrame(rows, "pond_id int, entry_id long")
+    fresh = S.new_keys(spark, df, table, batch_id).withColumn("batch_id", F.lit(batch_id))
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pond_id", "batch_id").parquet(table)
+    S.KeyIntervals(spark, table).written(batch_id)
+
+
+def test_key_lookup_stays_flat_over_many_batches(spark, tmp_path, monkeypatch):
+    """Keys grow with time: a batch looks up the files of its repeats, not the history."""
+    monkeypatch.setattr(S.KeyIntervals, "FOLD", 4)
+    table = str(tmp_path / "readings")
+    looked_up = []
+    for b in range(14):
+        # ten new keys a pond, and one of the batch before again
+        rows = [(p, 10 * b + i) for p in (1, 2) for i in range(-1 if b else 0, 10)]
+        looked_up.append(len(S.KeyIntervals(spark, table).files(spark.createDataFrame(rows, "pond_id int, entry_id long"), b)))
+        _batch(spark, table, b, rows)
+    assert looked_up[0] == 0 and max(looked_up) <= 2 * 4 and max(looked_up[-4:]) <= max(looked_up[1:5])
+    store = S.KeyIntervals(spark, table)
+    upto, batches = store._folders()
+    assert upto > 0 and len(batches) <= 5
+    assert spark.read.parquet(table).count() == 280 == spark.read.parquet(table).dropDuplicates(["pond_id", "entry_id"]).count()
+    # a replay of the last batch writes what it wrote; a very late repeat is found
+    _batch(spark, table, 13, [(p, 130 + i) for p in (1, 2) for i in range(-1, 10)])
+    _batch(spark, table, 14, [(1, 3), (2, 3), (3, 3)])
+    assert spark.read.parquet(table).count() == 281
+
+
+def test_key_store_of_a_table_that_had_none(spark, tmp_path):
+    table = str(tmp_path / "old")
+    spark.range(50).selectExpr("1 AS pond_id", "id AS entry_id", "7 AS batch_id").write.partitionBy("pond_id", "batch_id").parquet(table)
+    rows = spark.createDataFrame([(1, 49), (1, 50), (None, 50), (None, 50)], "pond_id int, entry_id long")
+    got = sorted(map(str, S.new_keys(spark, rows, table, 8).collect()))
+    assert got == ["Row(pond_id=1, entry_id=50)", "Row(pond_id=None, entry_id=50)"]
