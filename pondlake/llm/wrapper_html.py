@@ -4,8 +4,11 @@ Each page becomes a tree of its block elements, in which siblings of one label
 (tag, classes, id) are one node: repeated records are one slot. Per host, the
 most common tree is the reference; every other tree of the host is aligned with
 it by simple tree matching (order-preserving maximum match of equal labels).
-Slots that align are one slot of the host, and a slot whose text is the same on
-all its pages is template, while varying slots are content. Menus, footers and
+Slots that align are one slot of the host, as are slots of one path that the
+reference lacks. A slot whose text is the same on all its pages is template, while
+varying slots are content. In trees without an article element a block of a varying
+slot is template too if its text stands on most pages of the slot: the constant
+paragraph among varying ones, which shares their label. Menus, footers and
 adverts also vary, so a slot is left out as well when an element on its path
 says so by tag, class, id or role, or when nearly all its text is links. What only
 a name or a form says does not hold for an article or main element below it, and
@@ -21,19 +24,21 @@ are aligned one distinct tree at a time; the labels come back by a join on
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pondlake.llm.common import Scratch, ship, sized_join
 
 #: A constant slot is template from so many pages of a host on; fewer prove nothing.
 LEAST_PAGES = 5
+#: A block of a varying slot is template beyond this share of the slot's distinct pages.
+BLOCK_SHARE = 0.5
 #: A slot with this share of its text in links is a menu.
 LINK_SHARE = 0.8
 #: Elements nested deeper than this share their ancestor's slot.
@@ -49,6 +54,7 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "button"} | {"hr"}
 CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
                "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
+P_SCOPE = ("td", "th", "table", "caption", "button")
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
          "tbody": {"table"}, "tfoot": {"table"}}
 LEFT_OUT_TAGS = frozenset("head nav footer aside form menu dialog button search".split())
@@ -59,6 +65,8 @@ LEFT_OUT_WORDS = frozenset(
     " reply replies disqus newsletter subscribe subscription signup login share sharing social related recommended breadcrumb"
     " breadcrumbs pagination pager popup modal overlay widget search copyright complementary contentinfo alert toolbar"
     " tracking skip hidden".split())
+#: A name that ends so (widget-text, banner-body) names a text; in an article it says nothing.
+TEXT_WORDS = frozenset("text body content copy title heading paragraph caption inner main".split())
 #: The same, for names written in one word (commentlist, cookiebar, sidebarleft).
 LEFT_OUT_STEMS = ("comment", "cookie", "advert", "sidebar", "breadcrumb", "newsletter", "sponsor", "footer", "navbar")
 
@@ -74,25 +82,30 @@ MODIFIERS = frozenset("has have with without no not is hide show".split())
 WHOLE_NAMES = frozenset("hidden skip alert".split())
 
 
-def _named(tag: str, found: dict[str, str]) -> bool:
-    """Whether a class, id or role names a container that is not the article's."""
+def _named(tag: str, found: dict[str, str]) -> str:
+    """``?`` if a class, id or role names a container that is not the article's, ``~?`` if
+    only names that end in a word for text do, else nothing."""
     if tag in PLAIN:
-        return False
+        return ""
     # ids of sections and of inline elements are generated from headings
     kinds = ("class", "id", "role") if tag in BLOCKS and tag != "section" else ("class", "role")
+    mark = ""
     for name in (x for k in kinds for x in unescape(found.get(k, "")).split()):
         words = [w.lower() for w in _WORD.findall(name)]
         if words and words[0] not in MODIFIERS and any(
                 (w in LEFT_OUT_WORDS and (w not in WHOLE_NAMES or len(words) == 1))
                 or (w.startswith(LEFT_OUT_STEMS) and w != "commentary") for w in words):
-            return True
-    return False
+            if words[-1] not in TEXT_WORDS:
+                return "?"
+            mark = "~?"
+    return mark
 
 
 @lru_cache(4096)
 def _label(tag: str, attrs: str) -> str:
     """Tag with its classes and id, less numbers that count records; ``!`` where it is not
-    the article's by what it is, ``?`` where it is so by name only or is a form."""
+    the article's by what it is, ``?`` where it is so by name only or is a form, ``~?``
+    where the name ends in a word for text."""
     if not attrs:
         return tag + ("?" if tag == "form" else "!" if tag in LEFT_OUT_TAGS else "")
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
@@ -101,7 +114,7 @@ def _label(tag: str, attrs: str) -> str:
            or (tag == "article" and bool({"comment", "comments", "ad", "related"} & set(words))))
     names = [re.sub(r"\d{3,}", "", x) for x in sorted(unescape(found.get("class", "")).split())]
     names += [re.sub(r"\d+", "", x) for x in unescape(found.get("id", "")).split()]
-    return re.sub(r"[/!?\n]", "", ".".join([tag, *names])) + ("!" if out else "?" if tag == "form" or _named(tag, found) else "")
+    return re.sub(r"[/!?~\n]", "", ".".join([tag, *names])) + ("!" if out else "?" if tag == "form" else _named(tag, found))
 
 
 def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
@@ -116,10 +129,19 @@ def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
     slots: dict[str, int] = {}
     blocks: list[tuple[int, str, int]] = []
     stack: list[tuple[str, str]] = [("", "")]  # open block elements: tag and path
+    places: dict[str, list[int]] = {}  # of each tag, where in the stack it is open
     parts: list[str] = []
     linked, in_link, at, end = 0, 0, 0, len(html)
     inline, depth = "", 0  # an open inline element that is not the article's: its text is left out
 
+    def last(tags: Iterable[str]) -> int:
+        """Where the innermost open element of these tags stands, 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop()[0]].pop()
+
     def close() -> None:
         nonlocal linked, depth
         depth = 0
@@ -156,18 +178,17 @@ def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
             if tag == "a":
                 in_link = 0
             elif tag in BLOCKS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close()
-                        del stack[i:]
-                        break
+                i = last((tag,))
+                if i:
+                    close()
+                    cut(i)
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
                 e = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = e.end() if e else end
             parts.append(" ")
-        elif tag not in BLOCKS and tag not in VOID and m[3] and not m[3].endswith("/") and _label(tag, m[3])[-1] in "!?":
+        elif tag not in BLOCKS and tag not in VOID and m[3] and not m[3].endswith("/") and _label(tag, m[3])[-1] in "!?" and _label(tag, m[3])[-2:] != "~?":
             if not depth:
                 inline, depth = tag, 1
         elif tag == "a":
@@ -177,27 +198,23 @@ def parse(html: str) -> tuple[list[str], list[tuple[int, str, int]]]:
         elif tag in BLOCKS or tag == "hr":
             close()
             if tag in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("td", "th", "table", "caption", "button"):
-                        break
+                i = last(("p",))
+                if i > last(P_SCOPE):
+                    cut(i)
             if tag in CLOSES_SAME:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in CLOSES_SAME[tag]:
-                        del stack[i:]
-                        if stack[-1][0] not in CLOSES_SAME[tag]:
-                            break
-                    elif stack[i][0] in SCOPE[tag]:
-                        break
+                i = last(CLOSES_SAME[tag])
+                if i > last(SCOPE[tag]):
+                    while stack[i - 1][0] in CLOSES_SAME[tag]:
+                        i -= 1
+                    cut(i)
             if tag == "body" and stack[-1][0] == "head":
-                stack.pop()
+                cut(len(stack) - 1)
             if tag not in VOID:
                 path, label = stack[-1][1], _label(tag, m[3])
                 if len(stack) <= DEEPEST or (label[-1] in "!?" and path[-1:] not in ("!", label[-1])):
                     path = f"{path}/{label}"
                 slots.setdefault(path, len(slots))
+                places.setdefault(tag, []).append(len(stack))
                 stack.append((tag, path))
     close()
     return list(slots), blocks
@@ -218,43 +235,42 @@ def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def match(a: list[str], b: list[str]) -> dict[int, int]:
     """Simple tree matching of two trees given by their slots' paths: pairs of slots
-    of a maximum order-preserving match in which parents match and labels are equal."""
-    def grown(paths: list[str]) -> tuple[dict[str, list[str]], dict[str, int]]:
-        children: dict[str, list[str]] = {}
-        for p in paths:
-            children.setdefault(p.rpartition("/")[0], []).append(p)
-        return children, {p: i for i, p in enumerate(paths)}
-
-    ca, ia = grown(a)
-    cb, ib = grown(b)
-    weight: dict[tuple[str, str], tuple[int, list]] = {}
-
-    def size(x: str, y: str) -> tuple[int, list]:
-        """Matched nodes below x and y, and the pairs of their children that make it up."""
-        if (x, y) not in weight:
-            xs, ys = ca.get(x, []), cb.get(y, [])
-            best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            for i, u in enumerate(xs):
-                for j, v in enumerate(ys):
-                    same = u.rpartition("/")[2] == v.rpartition("/")[2]
-                    best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + 1 + size(u, v)[0] if same else 0)
-            pairs, i, j = [], len(xs), len(ys)
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    pairs.append((xs[i], ys[j]))
-            weight[x, y] = best[-1][-1], pairs
-        return weight[x, y]
-
-    out, todo = {}, [("", "")]
+    of a maximum order-preserving match in which parents match and labels are equal.
+
+    Siblings differ in label, so nodes match only at equal paths, and of a node's
+    children the heaviest run that ascends in both trees is the maximum match. It is
+    found by a list of best ends, so wide nodes cost n log n steps."""
+    ib = {p: i for i, p in enumerate(b)}
+    common: dict[str, list[str]] = {}  # of each path, its children in both trees, as in a
+    for p in a:
+        if p in ib:
+            common.setdefault(p.rpartition("/")[0], []).append(p)
+    weight: dict[str, int] = {}
+    chosen: dict[str, list[str]] = {}
+    for parent in sorted(common, key=lambda p: -p.count("/")):
+        places: list[int] = []  # ends of runs by place in b, with rising totals
+        totals: list[int] = []
+        ends: list[tuple[str, object]] = []  # a run: its last child and the run before
+        for child in common[parent]:
+            k = bisect_right(places, ib[child])
+            total = 1 + weight.get(child, 0) + (totals[k - 1] if k else 0)
+            run = (child, ends[k - 1] if k else None)
+            stop = k
+            while stop < len(totals) and totals[stop] <= total:
+                stop += 1
+            places[k:stop], totals[k:stop], ends[k:stop] = [ib[child]], [total], [run]
+        weight[parent] = totals[-1]
+        run, kept = ends[-1], []
+        while run:
+            kept.append(run[0])
+            run = run[1]
+        chosen[parent] = kept
+    ia = {p: i for i, p in enumerate(a)}
+    out, todo = {}, [""]
     while todo:
-        for x, y in size(*todo.pop())[1]:
-            out[ia[x]] = ib[y]
-            todo.append((x, y))
+        for p in chosen.get(todo.pop(), []):
+            out[ia[p]] = ib[p]
+            todo.append(p)
     return out
 
 
@@ -263,9 +279,10 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Ranks: 0 in an article or main element, 1 in one below an element that only a
     name or a form leaves out, 2 in no such element, 3 left out by a name or form, 4
-    left out."""
+    left out. ``bare`` says that the tree has no article or main element. A slot that the
+    reference lacks is known by its path."""
     for batch in batches:
-        out = [[], [], [], [], [], []]
+        out = [[], [], [], [], [], [], []]
         for host, tree, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "reference"))):
             paths = tree.split("\n") if tree else []
             articles = any(re.match(r"(article|main)\b(?!.*[!?])", x) for path in paths if "!" not in path for x in path.split("/"))
@@ -276,7 +293,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 heads = [k for k, x in enumerate(labels) if re.match(r"header\b", x)]
                 # a header is the page's unless it stands in an article
                 outside = any(not any(re.match(r"article\b", y) for y in labels[:k]) for k in heads)
-                soft = [k for k, x in enumerate(labels) if x.endswith("?")]
+                soft = [k for k, x in enumerate(labels) if x.endswith("?") and not (inside and k > inside[0] and x.endswith("~?"))]
                 if outside or any(x.endswith("!") for x in labels):
                     rank = 4
                 elif not soft:
@@ -285,12 +302,12 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rank = 1
                 else:
                     rank = 3 if inside or not articles else 4
-                own = f"{pairs[i]}" if i in pairs else f"{zlib.crc32(tree.encode())}:{i}"
-                for column, value in zip(out, (host, tree, i, own, rank, bool(inside))):
+                own = f"{pairs[i]}" if i in pairs else path
+                for column, value in zip(out, (host, tree, i, own, rank, bool(inside), not articles)):
                     column.append(value)
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_())
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)],
-                                         names=["host", "tree", "slot", "shared", "rank", "inside"])
+                                         names=["host", "tree", "slot", "shared", "rank", "inside", "bare"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -300,7 +317,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     page that is null, empty or has no article. Pages of a null or unreadable url
     form one host. Where a page has an article or main element only its blocks
     count. A constant slot is template if the host has LEAST_PAGES distinct pages
-    with it and the host's other kept slots do vary. Copies of one page, equal in all
+    with it and the host's other kept slots do vary; a constant block of a varying slot
+    is so where the page has no article element. Copies of one page, equal in all
     their text, count once there; each row has its text.
     """
     spark = pages.sparkSession
@@ -314,7 +332,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     trees = scratch.write(parsed.groupBy("host", "tree").agg(F.count("*").alias("pages")))
     reference = trees.groupBy("host").agg(F.max(F.struct("pages", "tree"))["tree"].alias("reference"))
     aligned = scratch.write(trees.join(reference, "host").select("host", "tree", "reference").repartition("host", "tree")
-                            .mapInArrow(_align, "host string, tree string, slot int, shared string, rank int, inside boolean"))
+                            .mapInArrow(_align, "host string, tree string, slot int, shared string, rank int, inside boolean, bare boolean"))
 
     # per page and slot, then per slot of the host: is the text always the same, how much of it is links
     on_page = parsed.select("host", "tree", F.explode(F.expr(
@@ -331,12 +349,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.min("hash").alias("low"), F.max("hash").alias("high"),
         F.sum("chars").alias("chars"), F.sum("links").alias("links")))
     slots = aligned.join(by_tree, ["host", "tree", "slot"]).select("*", *tree_key).join(distinct, ["tree_key", "tree_check", "slot"])
-    judged = slots.groupBy("host", "shared").agg(
+    per_slot = slots.groupBy("host", "shared").agg(
         F.sum("pages").alias("pages"), (F.min("low") == F.max("high")).alias("same"),
         (F.sum("links") >= LINK_SHARE * F.sum("chars")).alias("menu"), (F.max("rank") >= 3).alias("out"),
         F.max("inside").alias("inside"))
-    varied = judged.filter("not same and not out and not menu").groupBy("host").agg(F.max("inside").alias("varies"))
-    judged = judged.join(varied, "host", "left")
+    per_slot = scratch.write(per_slot)
+    varied = per_slot.filter("not same and not out and not menu").groupBy("host").agg(F.max("inside").alias("varies"))
+    judged = per_slot.join(varied, "host", "left")
     template = F.col("same") & (F.col("pages") >= LEAST_PAGES) & F.coalesce(F.col("varies") | ~F.col("inside"), F.lit(False))
     constant = F.col("same") & (F.col("pages") >= LEAST_PAGES)
     judged = judged.select("host", "shared", template.alias("template"), constant.alias("constant"), "menu")
@@ -344,12 +363,37 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kept = kept.filter((F.col("rank") < 4) & ~F.when(F.col("rank") == 3, F.col("constant")).otherwise(F.col("template"))
                        & (~F.col("menu") | F.col("inside")))
     # of a tree's slots those of the least rank it has
-    kept = scratch.write(kept.groupBy("host", "tree").agg(
-        *[F.collect_set(F.when(F.col("rank") == r, F.col("slot"))).alias(f"rank{r}") for r in range(4)]))
-
-    rows = sized_join(parsed, kept, ["host", "tree"], "left", 4096)
+    kept = kept.groupBy("host", "tree").agg(
+        *[F.collect_set(F.when(F.col("rank") == r, F.col("slot"))).alias(f"rank{r}") for r in range(4)])
+    constant_blocks = scratch.write(_constant_blocks(parsed, slots, per_slot, tree_key, scratch))
+    kept = scratch.write(kept.join(constant_blocks, ["host", "tree"], "left"))
+
+    width = kept.agg(F.max(F.octet_length("tree") + F.octet_length("host") + 16 * F.coalesce(F.size("constants"), F.lit(0))
+                           + sum(8 * F.size(f"rank{r}") for r in range(4)))).first()[0] or 0
+    rows = sized_join(parsed, kept, ["host", "tree"], "left", 64 + width)
     chosen = F.coalesce(*[F.when(F.size(f"rank{r}") > 0, F.col(f"rank{r}")) for r in range(4)])
-    rows = rows.select("page_id", "url", "blocks", F.coalesce(chosen, F.expr("cast(array() as array<int>)")).alias("chosen"))
-    blocks = F.expr("transform(filter(blocks, b -> array_contains(chosen, b.slot)), b -> b.text)")
+    rows = rows.select("page_id", "url", "blocks", "constants", F.coalesce(chosen, F.expr("cast(array() as array<int>)")).alias("chosen"))
+    blocks = F.expr("""transform(filter(blocks, b -> array_contains(chosen, b.slot) and not coalesce(array_contains(
+        constants, named_struct('slot', b.slot, 'hash', xxhash64(b.text))), false)), b -> b.text)""")
     rows = rows.select("page_id", "url", blocks.alias("blocks"))
     return rows.select("page_id", "url", F.array_join("blocks", "\n").alias("text"), "blocks")
+
+
+def _constant_blocks(parsed: DataFrame, slots: DataFrame, per_slot: DataFrame, tree_key: list[Column], scratch: Scratch) -> DataFrame:
+    """Of each tree without an article, the blocks (slot and text hash) that are template
+    though their slot varies: on LEAST_PAGES distinct pages and on more than BLOCK_SHARE
+    of those on which the host's slot has text. A slot has fewer than 1 / BLOCK_SHARE
+    times as many of them as blocks on a mean page, so the list of a tree is as short
+    as its pages are."""
+    open_slots = scratch.write(slots.filter("bare and rank < 4").join(per_slot.filter("not same").select("host", "shared"), ["host", "shared"])
+                               .select("host", "tree", "tree_key", "tree_check", "slot", "shared"))
+    lines = parsed.select(*tree_key, F.xxhash64("blocks.text").alias("page"), F.explode(F.array_distinct(F.expr(
+        "transform(blocks, b -> named_struct('slot', b.slot, 'hash', xxhash64(b.text)))"))).alias("b"))
+    lines = lines.select("tree_key", "tree_check", F.col("b.slot").alias("slot"), "page", F.col("b.hash").alias("hash"))
+    width = open_slots.agg(F.max(F.octet_length("host") + F.octet_length("shared"))).first()[0] or 0
+    lines = sized_join(lines, open_slots.drop("tree"), ["tree_key", "tree_check", "slot"], "inner", 64 + width)
+    often = scratch.write(lines.select("host", "shared", "hash", "tree_key", "page").distinct()
+                          .groupBy("host", "shared", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES))
+    often = often.join(per_slot.select("host", "shared", "pages"), ["host", "shared"]).filter(F.col("n") > BLOCK_SHARE * F.col("pages"))
+    return open_slots.join(often, ["host", "shared"]).groupBy("host", "tree").agg(
+        F.collect_list(F.struct("slot", "hash")).alias("constants"))

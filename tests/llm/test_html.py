@@ -110,3 +110,70 @@ def test_copies_among_other_pages_keep_their_article(spark):
     assert {got[100 + i].text for i in range(8)} == {"T x\nQuoted\n1\n2\nBody x"}
     assert all(got[i].text == f"T {i}\nBody {i}" for i in range(12))
     assert all(got[200 + i].text == f"T {i}\nBody {i}" for i in range(6))
+
+
+def test_constant_paragraph_beside_varying_siblings(spark, monkeypatch):
+    """One label, no article element: the paragraph on every page goes, those of some pages stay."""
+    page = "<body><div class=q><h2>T {n}</h2><p>Body {n}.</p><p>Subscribe to our weekly letter</p>{more}</div></body>"
+    rows = [(i, f"http://s/{i}", page.format(n=i, more="<p>Shared by a third.</p>" if i % 3 == 0 else "")) for i in range(30)]
+    got = _run(spark, rows)
+    assert {i: r.text for i, r in got.items()} == {
+        i: f"T {i}\nBody {i}." + ("\nShared by a third." if i % 3 == 0 else "") for i in range(30)}
+    monkeypatch.setattr(wh, "LEAST_PAGES", 10 ** 9)  # nothing is learned: the paragraph stays
+    assert all("Subscribe" in r.text for r in _run(spark, rows).values())
+
+
+def test_template_that_the_reference_tree_lacks(spark):
+    """Every page has its own tree; one slot outside the reference is constant over them."""
+    page = "<body><div class=c{k}><p>Body {n}</p></div>{more}</body>"
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(30)]
+    rows = [(i, f"http://t/{i}", page.format(k=names[i], n=i, more="<div class=zz>Read our terms.</div>")) for i in range(30)]
+    rows += [(100 + i, f"http://t/x{i}", page.format(k="ref", n=i, more="")) for i in range(9)]
+    got = _run(spark, rows)
+    assert {i: r.text for i, r in got.items()} == {i: f"Body {i % 100}" for i in got}
+
+
+def test_names_that_end_in_text_stay_in_an_article(spark):
+    page = ("<article><h1>T</h1><div class='widget-text'><p>One</p></div><div id='banner-text'>Two</div>"
+            "<div class='widget'>Gone</div><div class='ad banner-text'>Gone</div></article><div class='footer-text'>Gone</div>")
+    assert _run(spark, [(1, "http://x/", page)])[1].text == "T\nOne\nTwo"
+
+
+def test_deep_and_wide_pages_take_linear_time():
+    import time
+    wide = "".join(f"<div class=k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}>w{i}</div>" for i in range(17_000))
+    deep = ["<div>" * 100_000 + "x", "<p><button>" + "<div>" * 100_000 + "x", "<ul><li>" * 50_000 + "x", "<table><td>" * 50_000 + "x"]
+    for html in [*deep, wide]:
+        start = time.time()
+        slots, blocks = wh.parse(html)
+        assert blocks and len(wh.match(slots, slots)) == len(slots)
+        assert time.time() - start < 5
+    assert len(wh.parse(wide)[1]) == 17_000
+
+
+def test_matching_equals_brute_force():
+    """Random trees with unlike siblings: as many pairs as the plain recursion finds, order kept."""
+    import random
+    rng = random.Random(5)
+
+    def tree(depth, path=""):
+        out = []
+        for x in rng.sample("abcde", rng.randint(0, 4)):
+            out += [f"{path}/{x}", *(tree(depth - 1, f"{path}/{x}") if depth else [])]
+        return out
+
+    def best(a, b, x="", y=""):
+        kids = lambda t, p: [q for q in t if q.rpartition("/")[0] == p]
+        xs, ys = kids(a, x), kids(b, y)
+        m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, u in enumerate(xs):
+            for j, v in enumerate(ys):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + 1 + best(a, b, u, v) if u[-1] == v[-1] else 0)
+        return m[-1][-1]
+
+    for _ in range(200):
+        a, b = tree(2), tree(2)
+        pairs = wh.match(a, b)
+        assert len(pairs) == best(a, b) and all(a[i] == b[j] for i, j in pairs.items())
+        siblings = sorted((a[i].rpartition("/")[0], i, j) for i, j in pairs.items())
+        assert all(j < k for (p, _, j), (q, _, k) in zip(siblings, siblings[1:]) if p == q)
