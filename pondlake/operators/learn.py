@@ -29,7 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pondlake.functions.columns import columns_by_type
+from pondlake.operators.boosting import SoftmaxBoosting
 from pondlake.operators.ordinal import broadcast_if_bounded, group_medians, join_groups, with_position
+from pondlake.operators.search import propose
 from pondlake.session import cut_lineage
 from pondlake.schema import (BOOSTED_SPACE, CV_SPLITS, FOREST_SPACE, RANDOM_STATE, SEARCH_TRIALS,
                              TEST_SIZE)
@@ -363,17 +365,21 @@ def preprocessor(df: DataFrame, encoding: str = "none", scaling: bool = False,
 
 
 MAX_DEPTH = 30  # MLlib's tree depth limit
+SOFTMAX_NAMES = {"colsample_bytree": "colsampleByTree", "gamma": "gamma", "reg_alpha": "regAlpha", "reg_lambda": "regLambda"}
 
 
 def make_model(name: str, params: Mapping | None = None, seed: int = RANDOM_STATE,
                label: str = "label", weight_col: str | None = "weight"):
-    """ML-10 / ML-11: ``random_forest`` (gini, balanced weights) or
-    ``boosted`` (one-vs-rest gradient-boosted trees)."""
+    """ML-10 / ML-11: ``random_forest`` (gini, balanced weights), ``softmax``
+    (boosting on the multinomial log loss) or ``boosted`` (one-vs-rest
+    gradient-boosted trees)."""
     params = dict(params or {})
     if name == "random_forest":
         rf = RandomForestClassifier(labelCol=label, featuresCol="features", impurity="gini",
                                     seed=seed, **({"weightCol": weight_col} if weight_col else {}))
         return rf.setParams(**params) if params else rf
+    if name == "softmax":
+        return SoftmaxBoosting(labelCol=label, featuresCol="features", seed=seed, weightCol=weight_col, **params)
     if name == "boosted":
         gbt = GBTClassifier(labelCol=label, featuresCol="features", seed=seed)
         if params:
@@ -386,7 +392,9 @@ def map_params(name: str, sampled: Mapping) -> dict:
     """Reference hyper-parameter names -> MLlib parameters (see SURVEY §2.8)."""
     out: dict = {}
     for k, v in sampled.items():
-        if k == "max_features":
+        if name == "softmax" and k in SOFTMAX_NAMES:
+            out[SOFTMAX_NAMES[k]] = float(v)
+        elif k == "max_features":
             out["featureSubsetStrategy"] = {"sqrt": "sqrt", "log2": "log2", None: "all"}[v]
         elif k == "min_samples_split":
             out["minInstancesPerNode"] = max(1, int(v) // 2)
@@ -436,45 +444,63 @@ def sample_space(space: Mapping[str, Mapping], n: int, seed: int = RANDOM_STATE)
     return draws
 
 
-SPACES = {"random_forest": FOREST_SPACE, "boosted": BOOSTED_SPACE}
+SPACES = {"random_forest": FOREST_SPACE, "boosted": BOOSTED_SPACE, "softmax": BOOSTED_SPACE}
 
 
 def tune(train: DataFrame, stages: list, model_name: str, space: Mapping | None = None, n_iter: int = SEARCH_TRIALS,
          folds: int = CV_SPLITS, seed: int = RANDOM_STATE, label: str = "label",
-         parallelism: int = 2):
-    """ML-13: seeded random search, ``n_iter`` trials x ``folds`` folds on the
-    ``fold`` column, best by balanced accuracy, refit on all train rows.
-    ``space`` defaults to the model's own (``schema``).  Preprocessing is fitted
-    once per fold, and its output is kept while the fold's trials run.
+         parallelism: int = 2, search: str = "random"):
+    """ML-13: ``n_iter`` trials x ``folds`` folds on the ``fold`` column, best by
+    balanced accuracy, refit on all train rows.  ``search`` is ``random`` (seeded
+    draws) or ``bayes`` (each trial proposed from the scores of those before,
+    ``search.propose``; its folds run side by side).  ``space`` defaults to the
+    model's own (``schema``).  Preprocessing is fitted once per fold, and its output
+    is kept while trials need it.
 
     Returns ``(best PipelineModel, best reference-named params, trial table)``."""
     est = make_model(model_name, seed=seed, label=label,
                      weight_col="weight" if "weight" in train.columns else None)
-    draws = sample_space(SPACES[model_name] if space is None else space, n_iter, seed)
+    space = SPACES[model_name] if space is None else space
+    if search not in ("random", "bayes"):
+        raise ValueError(f"unknown search {search!r}")
     target = est.getClassifier() if isinstance(est, OneVsRest) else est
-    maps = []
-    for d in draws:
-        pm = {}
-        for k, v in map_params(model_name, d).items():
-            pm[target.getParam(k)] = v
-        maps.append(pm)
-    trials = maps or [{}]
+
+    def mapped(draw: Mapping) -> dict:
+        return {target.getParam(k): v for k, v in map_params(model_name, draw).items()}
+
     evaluator = BalancedAccuracyEvaluator(labelCol=label)
-    scores = [0.0] * len(trials)
-    for fold in range(folds):
+
+    def parts(fold: int) -> tuple[DataFrame, DataFrame]:
         fit_rows, held = train.filter(F.col(FOLD_COL) != fold), train.filter(F.col(FOLD_COL) == fold)
         prep = Pipeline(stages=stages).fit(fit_rows)
-        fit_rows = prep.transform(fit_rows).persist(StorageLevel.MEMORY_AND_DISK)
-        held = prep.transform(held).persist(StorageLevel.MEMORY_AND_DISK)
+        return (prep.transform(fit_rows).persist(StorageLevel.MEMORY_AND_DISK),
+                prep.transform(held).persist(StorageLevel.MEMORY_AND_DISK))
 
-        def score(pm: dict) -> float:
-            return evaluator.evaluate(_with_params(est, pm).fit(fit_rows).transform(held))
+    def score(pm: dict, fit_rows: DataFrame, held: DataFrame) -> float:
+        return evaluator.evaluate(_with_params(est, pm).fit(fit_rows).transform(held))
 
+    if search == "bayes" and n_iter:
+        draws, scores, ready = [], [], [parts(fold) for fold in range(folds)]
         with ThreadPool(max(1, parallelism)) as pool:
-            for i, v in enumerate(pool.imap(score, trials)):
-                scores[i] += v / folds
-        fit_rows.unpersist()
-        held.unpersist()
+            for _ in range(n_iter):
+                draws.append(propose(space, draws, scores, seed))
+                pm = mapped(draws[-1])
+                scores.append(sum(pool.map(lambda p: score(pm, *p), ready)) / folds)
+        trials = [mapped(d) for d in draws]
+        for fit_rows, held in ready:
+            fit_rows.unpersist()
+            held.unpersist()
+    else:
+        draws = sample_space(space, n_iter, seed)
+        trials = [mapped(d) for d in draws] or [{}]
+        scores = [0.0] * len(trials)
+        for fold in range(folds):
+            fit_rows, held = parts(fold)
+            with ThreadPool(max(1, parallelism)) as pool:
+                for i, v in enumerate(pool.imap(lambda pm: score(pm, fit_rows, held), trials)):
+                    scores[i] += v / folds
+            fit_rows.unpersist()
+            held.unpersist()
     best = max(range(len(trials)), key=lambda i: scores[i])
     prep = Pipeline(stages=stages).fit(train)
     model = _with_params(est, trials[best]).fit(prep.transform(train))
@@ -497,7 +523,7 @@ def evaluate(model, test: DataFrame, label: str = "label") -> float:
 def train_table(df: DataFrame, label: str, id_col: str, model_name: str, space: Mapping | None = None,
                 encoding: str = "none", scaling: bool = False, n_iter: int = SEARCH_TRIALS,
                 folds: int = CV_SPLITS, seed: int = RANDOM_STATE, test_size: float = TEST_SIZE,
-                parallelism: int = 2):
+                parallelism: int = 2, search: str = "random"):
     """ML-16: split -> weights -> preprocessor -> tuned model -> hold-out score.
 
     Returns ``(model, params, test balanced accuracy)``."""
@@ -511,5 +537,5 @@ def train_table(df: DataFrame, label: str, id_col: str, model_name: str, space:
     test = split.filter(F.col(SPLIT_COL) == "test")
     stages = preprocessor(train, encoding, scaling, exclude=[id_col])
     model, params, _ = tune(train, stages, model_name, space, n_iter, folds, seed,
-                            parallelism=parallelism)
+                            parallelism=parallelism, search=search)
     return model, params, evaluate(model, test)
