@@ -158,27 +158,24 @@ class SoftmaxBoosting(Estimator, _BoostingParams, DefaultParamsReadable, Default
                 x = np.array(batch["x"].tolist(), float)
                 p = _softmax(_margins(fresh, x, np.array(batch["m"].tolist(), float)))
                 w, y = batch["w"].to_numpy(), batch["y"].to_numpy()
-                binned = [np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)]
+                binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
                 for k in range(classes):
-                    if not open_nodes[k]:
-                        continue
-                    node = _leaf_of(trees[k], x)
                     place = np.full(len(trees[k]["left"]), -1)
                     place[open_nodes[k]] = range(len(open_nodes[k]))
-                    at = place[node]
+                    at = place[_leaf_of(trees[k], x)]
                     use = at >= 0
                     if not use.any():
                         continue
                     g, h = (w * (p[:, k] - (y == k)))[use], (w * p[:, k] * (1 - p[:, k]))[use]
-                    cells = len(open_nodes[k]) * bins
-                    for f in np.flatnonzero(masks[k]):
-                        cell = at[use] * bins + binned[f][use]
-                        sums = [np.bincount(cell, v, cells).reshape(-1, bins) for v in (g, h)]
-                        out = pd.DataFrame(np.hstack(sums), columns=names)
-                        out.insert(0, "f", int(f))
-                        out.insert(0, "node", open_nodes[k])
-                        out.insert(0, "k", k)
-                        yield out
+                    chosen = np.flatnonzero(masks[k])
+                    cell = (at[use][:, None] * len(chosen) + np.arange(len(chosen))) * bins + binned[use][:, chosen]
+                    cells = len(open_nodes[k]) * len(chosen) * bins
+                    sums = [np.bincount(cell.ravel(), np.repeat(v, len(chosen)), cells).reshape(-1, bins) for v in (g, h)]
+                    out = pd.DataFrame(np.hstack(sums), columns=names)
+                    out.insert(0, "f", np.tile(chosen, len(open_nodes[k])).astype(np.int32))
+                    out.insert(0, "node", np.repeat(open_nodes[k], len(chosen)).astype(np.int32))
+                    out.insert(0, "k", np.int32(k))
+                    yield out
 
         def shrunk(g: np.ndarray) -> np.ndarray:
             return np.sign(g) * np.maximum(np.abs(g) - alpha, 0)
