@@ -3,6 +3,7 @@ over fixture D (documents joined to labels) and X."""
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from pondlake.fixtures import E_SENSORS, dirty_readings, labelled_documents, tab
 from pondlake.functions.columns import target_split
 from pondlake.functions.parse import lenient_numeric
 from pondlake.operators import learn as L
+from pondlake.operators.bagging import out_of_bag
 from pondlake.plans.catalog import register
 from pondlake.plans.queries_ingest import LENIENT_NUM, X
 from pondlake.schema import BOOSTED_SPACE, CV_SPLITS, FOREST_SPACE, RANDOM_STATE, TEST_SIZE
@@ -146,6 +148,19 @@ def q_train_forest(spark, sf):
     return model.transform(test).select("doc_id", "label", F.col("prediction").isin(0.0, 1.0).alias("valid"))
 
 
+@register("forest_out_of_bag", "WITH " + D + """
+SELECT doc_id, CAST(quality AS DOUBLE) AS label, TRUE AS valid FROM labelled WHERE split = 'train'""")
+def q_forest_out_of_bag(spark, sf):
+    """ML-10: out-of-bag votes on all labelled training documents; every row with its
+    label, and whether its prediction is a class just where a tree did not see it."""
+    data = labelled_documents(spark, sf).withColumn("label", F.col("quality").cast("double")).drop("quality")
+    train = L.class_weights(_train(L.stratified_split(data, "label", "doc_id")), "label")
+    rows = Pipeline(stages=L.preprocessor(train, "label", False, exclude=["doc_id"])).fit(train).transform(train)
+    voted = out_of_bag(rows, {"numTrees": 10, "maxDepth": 5}, seed=RANDOM_STATE, weight_col="weight")
+    known = F.coalesce(F.col("oob_prediction").isin(0.0, 1.0), F.lit(False))
+    return voted.select("doc_id", "label", (known == (F.col("oob_trees") > 0)).alias("valid"))
+
+
 _BOOSTED_SQL = f"""
 ranked AS (
   SELECT vec_id, label % 3 AS label, row_number() OVER (PARTITION BY label % 3
@@ -175,6 +190,24 @@ def q_train_boosted(spark, sf):
         "vec_id", "label", (F.col("prediction").isin(0.0, 1.0, 2.0) & (loss >= 0) & (loss < 40)).alias("valid"))
 
 
+@register("train_softmax", "WITH " + _BOOSTED_SQL)
+def q_train_softmax(spark, sf):
+    """ML-11: boosting on the softmax loss, L1 and L2 penalties and sampling on, on the
+    rows of ``train_boosted``; every hold-out row with its label, and whether its
+    prediction is a class with a finite log loss."""
+    data = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 3).cast("double").alias("label"),
+                                                 *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
+    split = L.stratified_split(data, "label", "vec_id")
+    train, test = _train(split), split.filter(F.col(L.SPLIT_COL) == "test")
+    params = L.map_params("softmax", {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.3, "subsample": 0.9, "colsample_bytree": 0.8,
+                                      "reg_alpha": 0.1, "reg_lambda": 1.0, "gamma": 0.0})
+    stages = L.preprocessor(train, "none", False, exclude=["vec_id"])
+    model = Pipeline(stages=[*stages, L.make_model("softmax", params, weight_col=None)]).fit(train)
+    loss = L.softmax_log_loss_expr("label", "rawPrediction")
+    return model.transform(test).select(
+        "vec_id", "label", (F.col("prediction").isin(0.0, 1.0, 2.0) & (loss >= 0) & (loss < 40)).alias("valid"))
+
+
 @register("softmax_log_loss", """
 WITH s AS (
   SELECT vec_id, label % 3 AS label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
