@@ -36,28 +36,33 @@ _FILE = "_zone_file"
 
 
 def write_clustered(df: DataFrame, path: str, rows_per_file: int | None = None, mode: str = "append",
-                    partition_by: Sequence[str] = ()) -> None:
+                    partition_by: Sequence[str] = (), files: int | None = None) -> None:
     """Write ``df`` so that a file holds a stretch of one pond's time (or several short
     ponds whole): range partitions of (pond, time, key), sorted; a large pond spans
-    many partitions."""
-    w = df.repartitionByRange(POND, *TIME_ORDER).sortWithinPartitions(POND, *TIME_ORDER).write.mode(mode)
+    many partitions.  ``files``: how many partitions (default: as the session sets)."""
+    keys = [POND, *TIME_ORDER]
+    dealt = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    w = dealt.sortWithinPartitions(*keys).write.mode(mode)
     if rows_per_file:
         w = w.option("maxRecordsPerFile", rows_per_file)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def _name(file: str) -> str:
+def plain_name(file: str) -> str:
     """A file's name in one form, whether Spark listed it or wrote it beside a row."""
     return file.replace(":///", ":/", 1)
 
 
-def _file_of_row() -> Column:
+def file_of_row() -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), "^([A-Za-z0-9]+):///", "$1:/")
 
 
 class PondFiles:
     """A folder of Parquet files (partitioned or not) and the folder of its zone map."""
 
+    #: Column of the file's name in what ``_read`` returns.
+    FILE = _FILE
+
     def __init__(self, spark: SparkSession, path: str, zones_path: str, schema: T.StructType | None = None,
                  columns: Sequence[str] | None = None, pond: tuple | None = None, least: int = 0):
         self.spark, self.path, self.zones_path, self.pond, self.least = spark, path, zones_path, pond, least
@@ -68,7 +73,7 @@ class PondFiles:
 
     def files(self) -> list[str]:
         """The files that are there now (a fresh listing)."""
-        return sorted(map(_name, self.spark.read.schema(self.schema).parquet(self.path).inputFiles()))
+        return sorted(map(plain_name, self.spark.read.schema(self.schema).parquet(self.path).inputFiles()))
 
     # ------------------------------------------------------------------ the zone map
 
@@ -80,7 +85,7 @@ class PondFiles:
         new = sorted(live - old)
         if new or not self._has_zones():
             timed = F.col(TIME).isNotNull()
-            zones = self._read(new).select(POND, TIME, KEY, _file_of_row().alias("file")).groupBy("file", POND).agg(
+            zones = self._read(new).select(POND, TIME, KEY, F.col(_FILE).alias("file")).groupBy("file", POND).agg(
                 F.count(F.lit(1)).alias("n_rows"), F.count(F.when(~timed, 1)).alias("n_null"),
                 F.min(TIME).alias("first_time"), F.max(TIME).alias("last_time"), F.min(KEY).alias("first_key"), F.max(KEY).alias("last_key"))
             # a file without rows has a row of the map too
@@ -119,26 +124,27 @@ class PondFiles:
     # ------------------------------------------------------------------ narrowing
 
     def select(self, *columns: str) -> "PondFiles":
-        return PondFiles(self.spark, self.path, self.zones_path, self.schema, [str(c) for c in columns], self.pond, self.least)
+        return type(self)(self.spark, self.path, self.zones_path, self.schema, [str(c) for c in columns], self.pond, self.least)
 
     def only(self, pond) -> "PondFiles":
         """One pond's files and rows."""
-        return PondFiles(self.spark, self.path, self.zones_path, self.schema, self.columns, (pond,), self.least)
+        return type(self)(self.spark, self.path, self.zones_path, self.schema, self.columns, (pond,), self.least)
 
     def at_least(self, rows: int) -> "PondFiles":
         """The ponds of at least so many rows (FLT-6)."""
-        return PondFiles(self.spark, self.path, self.zones_path, self.schema, self.columns, self.pond, rows)
+        return type(self)(self.spark, self.path, self.zones_path, self.schema, self.columns, self.pond, rows)
 
     def sizes(self) -> DataFrame:
         """Rows per pond (``pond_id, __L``), from the zone map alone."""
         return cut_lineage(self.zones().groupBy(POND).agg(F.sum("n_rows").alias("__L")), small=True)
 
     def _read(self, files: Sequence[str]) -> DataFrame:
-        """Rows of the given files, which alone are listed and planned. Names come encoded
-        as in a URL; a reader takes them plain."""
+        """Rows of the given files, which alone are listed and planned, and the file's name.
+        Names come encoded as in a URL; a reader takes them plain."""
         if not files:
-            return self.rows.filter("false")
-        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*map(unquote, sorted(files)))
+            return self.rows.filter("false").withColumn(_FILE, F.lit(None).cast("string"))
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*map(unquote, sorted(files))) \
+                   .withColumn(_FILE, file_of_row())
 
     # ------------------------------------------------------------------ requests
 
@@ -192,7 +198,7 @@ class PondFiles:
         wanted = cut_lineage(wanted, small=True)
         files = [r.file for r in wanted.select("file").distinct().collect()]
         read = self._narrow(self._read(files)).select(
-            *dict.fromkeys([POND, *TIME_ORDER, *self.columns]), _file_of_row().alias(_FILE), F.col(TIME).isNotNull().alias("_timed"))
+            *dict.fromkeys([POND, *TIME_ORDER, *self.columns]), _FILE, F.col(TIME).isNotNull().alias("_timed"))
         wanted = wanted.select(F.col("file").alias(_FILE), POND, F.col("timed").alias("_timed"), "run", "base", F.col("n_rows").alias("_n"), "_a", "_b")
         met = join_groups(read, broadcast_if_bounded(wanted), [_FILE, POND, "_timed"])
         placed = with_position(met, [POND, "run"], TIME_ORDER, pos_col="_place")

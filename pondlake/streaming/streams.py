@@ -20,7 +20,7 @@ and dashboard overview refreshed after every load.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import unquote
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ from pondlake.sources.csv_ingest import ingest_files
 from pondlake.schema import (CANON, DAY_FIRST_FORMAT, FLOAT_COLUMNS, INTEGER_COLUMNS,
                              MIN_SERIES_ROWS, MONITOR_COLUMNS, RAW, REPORT_RANGE)
 from pondlake.session import cut_lineage
+from pondlake.streaming.compaction import MergedBatches, compact, key_intervals
 
 
 def typed_readings(raw: DataFrame, time_format: str = DAY_FIRST_FORMAT) -> DataFrame:
@@ -77,6 +78,7 @@ class KeyIntervals:
     written after its rows, under the batch's number, so a replay writes them again;
     every ``FOLD`` batches those before are written as one folder, so that few are
     read.  A table written before (or beside) the store gets one for all its files.
+    Batches that have been merged (``compaction``) are looked up in the spans' files.
     """
 
     FOLD = 64
@@ -84,6 +86,7 @@ class KeyIntervals:
     def __init__(self, spark: SparkSession, table_path: str, path: str | None = None):
         self.spark, self.table_path = spark, table_path.rstrip("/")
         self.path = path or f"{self.table_path}_keys"
+        self.merged = MergedBatches(spark, table_path)
 
     def _folders(self) -> tuple[int, list[int]]:
         """The newest whole fold (-1: none) and the batches written after it."""
@@ -97,29 +100,30 @@ class KeyIntervals:
         upto = max([int(n[5:]) for n in names if n.startswith("upto=")], default=-1)
         return upto, sorted(int(n[6:]) for n in names if n.startswith("batch=") and int(n[6:]) > upto)
 
-    def _intervals(self, rows: DataFrame) -> DataFrame:
-        return rows.select("pond_id", "entry_id", F.col("_metadata.file_path").alias("file")).groupBy("file", "pond_id").agg(
-            F.min("entry_id").alias("first_key"), F.max("entry_id").alias("last_key"))
-
     def _read(self, batch_id: int | None) -> DataFrame | None:
-        """The intervals of all batches but this one; None if there are none."""
+        """The intervals of all unmerged batches but this one; None if there are none."""
         upto, batches = self._folders()
         parts = [f"{self.path}/upto={upto}"] if upto >= 0 else []
         parts += [f"{self.path}/batch={b}" for b in batches if b != batch_id]
-        return self.spark.read.parquet(*parts) if parts else None
+        if not parts:
+            return None
+        of_batch = F.regexp_extract("file", "/batch_id=([0-9]+)/", 1)
+        merged = (of_batch != "") & (of_batch.cast("long") <= self.merged.upto())
+        return self.spark.read.parquet(*parts).filter(~merged)
 
     def build(self) -> None:
         """Intervals of a table that has no store yet, as those of a fold before any batch."""
         upto, batches = self._folders()
-        if upto < 0 and not batches and _table_exists(self.spark, self.table_path):
-            self._intervals(self.spark.read.parquet(self.table_path)).write.mode("overwrite").parquet(f"{self.path}/upto=0")
+        if upto < 0 and not batches and self.merged.exists():
+            key_intervals(self.merged.live()).write.mode("overwrite").parquet(f"{self.path}/upto=0")
 
     def files(self, rows: DataFrame, batch_id: int | None = None) -> list[str]:
         """The stored files that can hold a key of ``rows`` (those of ``batch_id``, written
         before a replay, do not count)."""
-        known = self._read(batch_id)
-        if known is None:
+        parts = [p for p in (self._read(batch_id), self.merged.intervals()) if p is not None]
+        if not parts:
             return []
+        known = reduce(DataFrame.unionByName, parts)
         spans = cut_lineage(rows.groupBy("pond_id").agg(F.min("entry_id").alias("_lo"), F.max("entry_id").alias("_hi")), small=True)
         met = join_groups(known, broadcast_if_bounded(spans), ["pond_id"]).filter("last_key >= _lo and first_key <= _hi")
         found = [r.file for r in met.select("file").distinct().collect()]
@@ -127,12 +131,14 @@ class KeyIntervals:
 
     def written(self, batch_id: int) -> None:
         """Record the files that a batch has written, and fold where it is time."""
-        rows = self.spark.read.parquet(self.table_path).filter(F.col("batch_id") == batch_id)
-        self._intervals(rows).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        if batch_id not in self.merged.batches():  # it had no new rows
+            return
+        rows = self.merged.live().filter(F.col("batch_id") == batch_id)
+        key_intervals(rows).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
         upto, batches = self._folders()
         if len(batches) > self.FOLD and batches[-1] == batch_id:
             # batches before this one are complete and are not replayed any more
-            fold = self._read(batch_id)
+            fold = self._read(batch_id)  # without what has been merged since
             fold.repartition(max(1, fold.count() // 1_000_000)).write.mode("overwrite").parquet(f"{self.path}/upto={batches[-2]}")
 
 
@@ -141,21 +147,24 @@ def new_keys(spark: SparkSession, rows: DataFrame, table_path: str, batch_id: in
     in the table (what ``batch_id`` itself wrote before a replay does not count).
     Of the table only the files whose keys overlap those of ``rows`` are read."""
     rows = rows.dropDuplicates(["pond_id", "entry_id"])
-    if not _table_exists(spark, table_path):
+    if not MergedBatches(spark, table_path).exists():
         return rows
     store = KeyIntervals(spark, table_path)
     store.build()
     files = store.files(rows, batch_id)
     if not files:
         return rows
-    schema = spark.read.parquet(table_path).schema
-    stored = spark.read.schema(schema).option("basePath", table_path).parquet(*map(unquote, files))
+    stored = MergedBatches(spark, table_path).read(files)
     return join_groups(rows, stored.select("pond_id", "entry_id"), ["pond_id", "entry_id"], "left_anti")
 
 
-def ingest_batch(spark: SparkSession, table_path: str, time_format: str = DAY_FIRST_FORMAT):
+def ingest_batch(spark: SparkSession, table_path: str, time_format: str = DAY_FIRST_FORMAT,
+                 compact_every: int = 0, keep_batches: int = 1000):
     """The ``foreachBatch`` body of ``ingest_stream``."""
     def run(batch: DataFrame, batch_id: int) -> None:
+        covered = MergedBatches(spark, table_path).upto()
+        if batch_id <= covered:  # a stream begun anew beside an old table would be hidden by its spans
+            raise ValueError(f"batch {batch_id} of {table_path} was merged already (up to {covered})")
         paths = sorted(r.path for r in batch.distinct().collect())   # bounded by max_files
         if not paths:
             return
@@ -166,15 +175,22 @@ def ingest_batch(spark: SparkSession, table_path: str, time_format: str = DAY_FI
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("pond_id", "batch_id").parquet(table_path))
         KeyIntervals(spark, table_path).written(batch_id)
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            compact(spark, table_path, keep_batches)
     return run
 
 
 def ingest_stream(spark: SparkSession, src_dir: str, table_path: str, checkpoint: str,
-                  available_now: bool = False, max_files: int = 1000) -> StreamingQuery:
-    """STR-1: start the ingest query (partitioned by pond and micro-batch)."""
+                  available_now: bool = False, max_files: int = 1000, compact_every: int = 0,
+                  keep_batches: int = 1000) -> StreamingQuery:
+    """STR-1: start the ingest query (partitioned by pond and micro-batch).  Every
+    ``compact_every`` batches (0: never) the batches before are merged into files in
+    time order, and merged ones older than ``keep_batches`` are deleted: read the
+    table by ``MergedBatches.rows`` or ``stream_files`` then, and let no reader of
+    the folder itself (a refresh stream) lag by more."""
     writer = (read_file_stream(spark, src_dir, max_files).writeStream
               .option("checkpointLocation", checkpoint)
-              .foreachBatch(ingest_batch(spark, table_path)))
+              .foreachBatch(ingest_batch(spark, table_path, compact_every=compact_every, keep_batches=keep_batches)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="10 seconds")
     return writer.start()
@@ -190,6 +206,11 @@ def newest_window_overview(table: DataFrame, sensors: Sequence[str],
     return series.overview(newest, sensors, tick=0)
 
 
+def stored_rows(spark: SparkSession, table_path: str) -> DataFrame:
+    """Every row of a stream's table once, whether its batch has been merged or not."""
+    return MergedBatches(spark, table_path).rows()
+
+
 def refresh_batch(spark: SparkSession, table_path: str, reports_path: str, overview_path: str,
                   columns: Sequence[str], report_range: int, sensors: Sequence[str],
                   newest_path: str | None = None):
@@ -211,7 +232,7 @@ def refresh_batch(spark: SparkSession, table_path: str, reports_path: str, overv
             known = spark.read.parquet(f"{newest_path}/current").select("pond_id", *names)
             rows = rows.unionByName(known.join(ponds, "pond_id", "left_semi"))
         fresh = ponds if known is None else ponds.join(known.select("pond_id").distinct(), "pond_id", "left_anti")
-        history = spark.read.parquet(table_path).select("pond_id", *names)
+        history = stored_rows(spark, table_path).select("pond_id", *names)
         rows = rows.unionByName(history.join(fresh, "pond_id", "left_semi"))
         merged = series.newest_n_per_pond(rows.dropDuplicates(["pond_id", "entry_id"]), keep).drop("rn")
         # written aside first: the rows come from the folder that they replace
@@ -233,7 +254,7 @@ def refresh_stream(spark: SparkSession, table_path: str, checkpoint: str, report
                    report_range: int = REPORT_RANGE, sensors: Sequence[str] | None = None,
                    available_now: bool = False) -> StreamingQuery:
     """STR-3 + STR-4: re-run the monitor and the overview after each load."""
-    schema = spark.read.parquet(table_path).schema
+    schema = MergedBatches(spark, table_path).schema()
     source = spark.readStream.schema(schema).parquet(table_path)
     writer = (source.writeStream.option("checkpointLocation", checkpoint)
                     .foreachBatch(refresh_batch(spark, table_path, reports_path, overview_path,
