@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pondlake.functions.columns import columns_by_type
 from pondlake.operators.boosting import SoftmaxBoosting
-from pondlake.operators.ordinal import broadcast_if_bounded, group_medians, join_groups, with_position
+from pondlake.operators.ordinal import broadcast_if_bounded, column_medians, join_groups, with_position
 from pondlake.operators.search import propose
 from pondlake.session import cut_lineage
 from pondlake.schema import (BOOSTED_SPACE, CV_SPLITS, FOREST_SPACE, RANDOM_STATE, SEARCH_TRIALS,
@@ -208,14 +208,10 @@ def standard_scale(train: DataFrame, df: DataFrame, cols: Sequence[str],
 
 
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exact median (interpolated on even counts) of each column, nulls
-    ignored: ``(column_name, median)``.  Only the one or two middle values of
-    each column are selected (``ordinal.group_medians``: small columns by a
-    window, large ones by sketch-bracketed selection), so no column is sorted
-    whole."""
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x"))
-                     for c in cols])
-    return group_medians(df.select(F.inline(rows)), ["column_name"], "x")
+    """Exact median (interpolated on even counts) of each column, nulls and NaN
+    ignored: ``(column_name, median)``, in two scans for all columns
+    (``ordinal.column_medians``); no column is sorted whole."""
+    return column_medians(df, cols)
 
 
 def approx_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10000) -> DataFrame:

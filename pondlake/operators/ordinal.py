@@ -475,6 +475,69 @@ def _selected_medians(vals: DataFrame, group_cols: list[str], out_col: str) -> D
     return mid.groupBy(*group_cols).agg((lo * F.lit(0.5) + hi * F.lit(0.5)).alias(out_col))
 
 
+def column_medians(df: DataFrame, cols: Sequence[str], small_rows: int | None = None, grid: int = 1000,
+                   accuracy: int = 10000) -> DataFrame:
+    """Exact median of each column, nulls and NaN ignored, interpolated as in
+    ``group_medians``: ``(column_name, median)``; columns without values are absent.
+
+    Two scans whatever the number of columns, and no unpivot. The first aggregate
+    counts the values and sketches all columns (a sketch per column and salt). Up to
+    ``small_rows`` values the second is the exact ``median`` of all columns at once.
+    Beyond that the sketches bracket each median, and the second groups the rows by
+    their values inside the brackets, null outside: nearly all rows fall into one
+    group, which collapses map-side, and count themselves below a bracket or not.
+    Only the bracket values, a hundredth of a column, are ranked. A bracket that turns
+    out not to hold its median is not used: that column is selected on its own."""
+    names = [f"__x{i}" for i in range(len(cols))]
+    raw = [F.col(f"`{c}`").cast("double") for c in cols]
+    vals = df.select(*[F.when(~F.isnan(x), x).alias(n) for x, n in zip(raw, names)])
+    pct = [i / grid for i in range(1, grid)]
+    sketches = vals.groupBy((F.spark_partition_id() % SALTS).alias("__salt")).agg(*[
+        F.struct(F.lit(i).alias("__c"), F.count(n).alias("__n"), F.percentile_approx(n, pct, accuracy).alias("__q")).alias(n)
+        for i, n in enumerate(names)])
+    sketches = cut_lineage(sketches.select(F.inline(F.array(*names))).filter("__n > 0"), small=True)
+    named = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("__c") + 1).alias("column_name")
+    sizes = {r["__c"]: r["n"] for r in sketches.groupBy("__c").agg(F.sum("__n").alias("n")).collect()}  # a row a column
+    if max(sizes.values(), default=0) <= _limit(small_rows):
+        medians = F.array(*[F.struct(F.lit(i).alias("__c"), F.median(n).alias("median")) for i, n in enumerate(names)])
+        return vals.agg(medians.alias("__m")).select(F.inline("__m")).filter(F.col("median").isNotNull()).select(named, "median")
+
+    # the sketches' points weigh as many values as they stand for
+    points = sketches.select("__c", (F.col("__n") / grid).alias("__w"), F.explode("__q").alias("__t"))
+    rank = F.sum("__w").over(Window.partitionBy("__c").orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    whole = F.element_at(F.create_map(*[F.lit(v) for item in sizes.items() for v in item]), F.col("__c"))
+    share = points.withColumn("__p", rank / whole)
+    brackets = {r["__c"]: (r["lo"], r["hi"]) for r in share.groupBy("__c").agg(
+        F.max(F.when(F.col("__p") < 0.5 - 4 / grid, F.col("__t"))).alias("lo"),
+        F.min(F.when(F.col("__p") > 0.5 + 4 / grid, F.col("__t"))).alias("hi")).collect()}
+    used = sorted(brackets)
+    inside, below = {}, {}
+    for i in used:
+        x, (lo, hi) = F.col(names[i]), brackets[i]
+        inside[i] = (x >= (lo if lo is not None else float("-inf"))) & (x <= (hi if hi is not None else float("inf")))
+        below[i] = x < (lo if lo is not None else float("-inf"))
+    cells = vals.groupBy(*[F.when(inside[i], F.col(names[i])).alias(f"__v{i}") for i in used]).agg(
+        F.count(F.lit(1)).alias("__k"), *[F.count(F.when(below[i], 1)).alias(f"__b{i}") for i in used])
+    cells = cut_lineage(cells, small=True)
+    tally = cells.agg(*[F.sum(f"__b{i}").alias(f"b{i}") for i in used],
+                      *[F.coalesce(F.sum(F.when(F.col(f"__v{i}").isNotNull(), F.col("__k"))), F.lit(0)).alias(f"k{i}") for i in used],
+                      *[F.count(f"__v{i}").alias(f"n{i}") for i in used]).first()
+    wanted = {i: ((sizes[i] - 1) // 2 - tally[f"b{i}"], sizes[i] // 2 - tally[f"b{i}"]) for i in used}
+    missed = [i for i in used if wanted[i][0] < 0 or wanted[i][1] >= tally[f"k{i}"]]
+    held = [i for i in used if i not in missed]
+    parts = [_selected_medians(vals.select(F.col(names[i]).alias("__x")).filter(F.col("__x").isNotNull()), [], "median")
+             .select(F.lit(cols[i]).alias("column_name"), "median") for i in missed]
+    if held:
+        row = F.array(*[F.struct(F.lit(i).alias("__c"), F.col(f"__v{i}").alias("__x"), F.col("__k")) for i in held])
+        values = cells.select(F.inline(F.filter(row, lambda s: s["__x"].isNotNull()))).groupBy("__c", "__x").agg(F.sum("__k").alias("__k"))
+        ranked = _before(values, ["__c"], ["__x"], "__k", "__at", max(tally[f"n{i}"] for i in held) <= SMALL_GROUP_ROWS)
+        first, last = (F.element_at(F.create_map(*[F.lit(v) for i in held for v in (i, wanted[i][side])]), F.col("__c")) for side in (0, 1))
+        middle = ranked.filter((F.col("__at") <= last) & (F.col("__at") + F.col("__k") > first))
+        lo, hi = F.min("__x"), F.max("__x")
+        parts.append(middle.groupBy("__c").agg((lo * F.lit(0.5) + hi * F.lit(0.5)).alias("median")).select(named, "median"))
+    return _union(parts)
+
+
 def group_median_stats(df: DataFrame, group_cols: Sequence[str], value_col: str,
                        small_group_rows: int | None = None, max_rows: int | None = None) -> DataFrame:
     """``(group..., min, median, max)`` of ``value_col`` per group (nulls and

@@ -1,10 +1,14 @@
 """The distributed position equals row_number() even when one group holds
 nearly all rows, and lead/lag equi-joins equal lead()."""
 
+import random
+
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pondlake.operators import ordinal as O
 from pondlake.operators.ordinal import shifted, with_position
 
 
@@ -138,7 +142,6 @@ def test_shifted_inner_drops_rows_without_partner(spark):
 
 def test_a_null_group_is_a_group_on_every_path(spark):
     """Positions, selections and medians of a null key do not depend on the group's size."""
-    from pondlake.operators import ordinal as O
     df = spark.range(0, 60).select(F.when(F.col("id") % 3 > 0, F.lit("a")).alias("g"), F.col("id").alias("t"),
                                    (F.col("id") % 5).cast("double").alias("x"))
     rows = lambda d: sorted(map(str, d.collect()))
@@ -153,7 +156,6 @@ def test_a_null_group_is_a_group_on_every_path(spark):
 
 def test_a_dominant_value_is_not_written_out_again(spark):
     """99% of the rows hold one value: the median is read from counts."""
-    from pondlake.operators import ordinal as O
     df = spark.range(0, 200_000).select(F.lit("a").alias("g"), F.when(F.col("id") % 100 == 0, F.col("id") * 1.0)
                                         .otherwise(7.0).alias("x"))
     out = O.group_median_stats(df, ["g"], "x", small_group_rows=0)
@@ -163,3 +165,43 @@ def test_a_dominant_value_is_not_written_out_again(spark):
     mid = O.rows_at_positions(df, ["g"], "x", [], lambda n: (F.lit(99_990), F.lit(100_010)), small_group_rows=0)
     got = mid.select("x", "pos").collect()
     assert sorted(r.pos for r in got) == list(range(99_990, 100_010)) and {r.x for r in got} == {7.0}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 999, 1000])
+def test_column_medians_of_all_paths(spark, n):
+    """Small columns, brackets, and brackets that a coarse sketch misplaces; ties, nulls, NaN, sorted input."""
+    import statistics
+    rng = random.Random(n)
+    rows = [(float(i), None if i % 3 else rng.gauss(0, 1), float("nan") if i % 2 else rng.random(),
+             7.0 if i % 10 else -float(i), None, i) for i in range(n)]
+    schema = "a double, `b.c` double, d double, e double, f double, g long"
+    df = spark.createDataFrame(rows, schema).coalesce(3)
+    cols = ["a", "b.c", "d", "e", "f", "g"]
+    want = {}
+    for c, xs in zip(cols, zip(*rows)) if rows else []:
+        xs = [float(x) for x in xs if x is not None and x == x]
+        if xs:
+            want[c] = statistics.median(xs)
+    for options in ({}, {"small_rows": 0}, {"small_rows": 0, "grid": 40, "accuracy": 1}):
+        got = {r.column_name: r.median for r in O.column_medians(df, cols, **options).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_column_medians_scan_twice_and_impute_once_more(spark):
+    from pondlake.operators import learn as L
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(0, 1000, 1, 3).mapInArrow(counted, "id long").select(
+        (F.col("id") * 1.0).alias("a"), F.when(F.col("id") % 2 == 0, F.col("id") * 2.0).alias("b"), (-F.col("id")).cast("double").alias("c"))
+    for small in (None, 0):
+        seen.value = 0
+        assert len(O.column_medians(df, ["a", "b", "c"], small).collect()) == 3
+        assert seen.value <= 2000
+    seen.value = 0
+    assert L.impute(df, df, ["a", "b", "c"]).filter("b = 998").count() == 500
+    assert seen.value <= 3000
