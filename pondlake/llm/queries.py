@@ -130,6 +130,26 @@ def op10_minmax_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_hash.near_components(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+ORACLE["op10_minmax_components"] = r"""
+with recursive w as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (
+  select r, doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                       when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as shingles
+  from w),
+one as (select r, len(shingles) as n, unnest(shingles) as shingle from sets),
+links as (
+  select a.r as a, b.r as b from one a join one b on a.shingle = b.shingle and a.r < b.r
+  group by a.r, b.r, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges as (select a, b from links union all select b, a from links),
+reach(a, b) as (select r, r from sets union select reach.a, edges.b from reach join edges on edges.a = reach.b),
+named as (select reach.a as r, min(sets.doc_id) as component_id from reach join sets on sets.r = reach.b group by reach.a)
+select doc_id, cast(len(shingles) as bigint) as n_shingles, component_id, doc_id is not distinct from component_id as kept
+from sets join named using (r)"""
+
+
 @_query
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` with its proof, and the root folded from a copy in
