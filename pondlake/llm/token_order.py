@@ -1,10 +1,11 @@
 """Training-order materialisation of token sequences.
 
 Documents become sequences of at most ``SEQUENCE`` ids. Sequences get a dense
-index (partition counts, then running sums), and a keyed Feistel permutation of
+index in the order of document and piece (range partitions of the bare keys, their
+counts, then running sums), and a keyed Feistel permutation of
 the index with cycle-walking gives each its global slot: a bijection of
 [0, n) computed row by row, so the order is fixed by the key and no shuffle of
-keys or sort by random numbers is needed. Range partitions of slots then write
+random numbers or sort by them is needed. Range partitions of slots then write
 shards: one Parquet row per shard holding a fixed number of records of a fixed
 stride, in slot order. The record of slot s is in shard s // per_shard at byte
 (s % per_shard) * stride, so readers go on from any slot.
@@ -91,14 +92,20 @@ def materialise(seqs: DataFrame, path: str, key: int, length: int = SEQUENCE, pe
 
     A record is its length as an unsigned 32-bit number, then its ids, padded with
     zeros to the stride ``4 + 2 * length``. Repeated rows are sequences of their own;
-    an empty table writes no shard. The order depends on ``key``, the number of
-    sequences and their order in the input.
+    an empty table writes no shard. The order depends on ``key`` and the rows alone, not
+    on files, partitions or the size of the cluster: sequences are counted by document,
+    piece, length and a hash of the ids (null documents first; those that agree in all
+    are equal records).
     """
     spark = seqs.sparkSession
     scratch = Scratch(spark, "order")
     rows = scratch.write(seqs.withColumn("place", F.monotonically_increasing_id()), compression="zstd")
-    task = F.shiftright("place", 33)
-    counts = scratch.write(rows.groupBy(task.alias("task")).agg(F.count("*").alias("n")))
+    # place comes last, so that equal records of a hot key spread over partitions too
+    keys = rows.select("doc_id", "piece", "length", F.xxhash64("ids").alias("ids_hash"), "place")
+    ranked = keys.repartitionByRange(*keys.columns).sortWithinPartitions(*keys.columns)
+    ranked = scratch.write(ranked.select("place", F.monotonically_increasing_id().alias("rank")))
+    task = F.shiftright("rank", 33)
+    counts = scratch.write(ranked.groupBy(task.alias("task")).agg(F.count("*").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row per writing task
     base = scratch.write(counts.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
@@ -106,10 +113,11 @@ def materialise(seqs: DataFrame, path: str, key: int, length: int = SEQUENCE, pe
     def permuted(index: pd.Series) -> pd.Series:
         return pd.Series(slots_of(index.to_numpy(np.int64), total, key))
 
-    index = F.col("base") + F.col("place").bitwiseAND(F.lit(2**33 - 1))
-    dealt = sized_join(rows.withColumn("task", task), base, ["task"], "inner", 24)
-    dealt = dealt.withColumn("slot", F.pandas_udf(permuted, "long")(index)) \
-                 .withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
+    index = F.col("base") + F.col("rank").bitwiseAND(F.lit(2**33 - 1))
+    slots = sized_join(ranked.withColumn("task", task), base, ["task"], "inner", 24)
+    slots = scratch.write(slots.select("place", F.pandas_udf(permuted, "long")(index).alias("slot")))
+    dealt = sized_join(rows, slots, ["place"], "inner", 24) \
+        .withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
     stride = 4 + 2 * length
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +143,7 @@ def materialise(seqs: DataFrame, path: str, key: int, length: int = SEQUENCE, pe
     ordered = dealt.select("shard", "slot", "length", "ids").repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
     ordered.mapInArrow(write, _SHARDS).write.option("compression", "zstd").parquet(path)
     manifest = scratch.write(dealt.select("doc_id", "piece", "length", "slot"))
-    scratch.drop(rows)
+    scratch.drop(rows, ranked, slots)
     return manifest
 
 

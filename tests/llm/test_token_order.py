@@ -53,6 +53,20 @@ def test_shards_hold_every_sequence(spark, tmp_path):
     assert all(r.records == 16 for r in shards if r.shard < n // 16)
 
 
+def test_order_is_of_the_rows_not_of_their_partitions(spark, tmp_path):
+    texts = [r[1] for r in h.awkward_rows()]
+    rows = [(None if i % 3 == 0 else 2**60 + i % 5, t) for i, t in enumerate(texts * 3)] + [(None, "same words")] * 40
+    seen = []
+    for parts, seed in ((2, 1), (5, 2)):
+        mixed = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
+        docs = spark.createDataFrame(mixed, "doc_id long, text string").repartition(parts)
+        path = str(tmp_path / f"shards{parts}")
+        manifest = to.materialise(to.sequences(docs, length=32), path, key=3, length=32, per_shard=8)
+        seen.append((sorted((r.shard, bytes(r.data)) for r in spark.read.parquet(path).collect()),
+                     sorted(map(str, manifest.collect()))))
+    assert seen[0] == seen[1] and len(seen[0][0]) > 5
+
+
 def test_empty(spark, tmp_path):
     assert to.materialise(to.sequences(h.empty(spark)), str(tmp_path / "x"), key=1).count() == 0
     assert to.read_slots(spark, str(tmp_path / "x")).count() == 0
