@@ -169,3 +169,16 @@ def test_preprocessing_is_fitted_once_a_fold(spark, monkeypatch):
     space = {"max_depth": {"type": "Integer", "low": 2, "high": 3}, "n_estimators": {"type": "Integer", "low": 2, "high": 3}}
     L.tune(train, L.preprocessor(train, exclude=["i"]), "random_forest", space, n_iter=3, folds=3)
     assert len(fits) == 3 + 1
+
+
+def test_trials_of_one_vs_rest_have_their_parameters(spark):
+    """The classifiers are grown with the drawn parameters, not with MLlib's defaults, in the trials and the refit."""
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3)) for i in range(60)], "i long, x double, label double")
+    train = L.stratified_split(df, "label", "i", test_size=0.0, folds=2).drop("split")
+    space = {"max_depth": {"type": "Integer", "low": 1, "high": 1}, "n_estimators": {"type": "Integer", "low": 2, "high": 2}}
+    model, params, _ = L.tune(train, L.preprocessor(train, exclude=["i"]), "boosted", space, n_iter=1, folds=2)
+    assert params == {"max_depth": 1, "n_estimators": 2}
+    assert [(m.getNumTrees, max(t.depth for t in m.trees)) for m in model.stages[-1].models] == [(2, 1)] * 3
+    est = L.make_model("boosted", weight_col=None)
+    own = L._with_params(est, {est.getClassifier().maxIter: 3}).getClassifier()
+    assert own.getMaxIter() == 3 and est.getClassifier().getMaxIter() == 20
