@@ -11,7 +11,8 @@ that each is tried once: work is linear in the text.
 Where no piece has a blank after another character (checked when the file is read),
 no merge crosses the place before a run of blanks, and a text's ids are those of
 its words in order. Words are put together from runs of letters and of marks by the
-same check of adjacent pieces; a bounded cache holds the runs a worker has met.
+same check of adjacent pieces; a bounded table holds the runs a worker has met, and
+the borders and ids of a batch's runs are looked up there as arrays.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +35,11 @@ from pondlake.llm.tokens import batches_of
 
 BLANK = "▁"  # how the vocabulary writes a blank
 #: Cached runs of letters, and pairs of pieces, per worker; a cache is emptied when full.
-CACHED = 400_000
+CACHED = 800_000
 #: A character that no piece has; it stands between words that are matched together.
 BORDER = "\uffff"
-_WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+#: Over any piece, and over -1 - any code point, as a number without sign.
+PIECE = 1 << 31
 _RUN = re.compile(rf"{BLANK}*[^{BLANK}\n.,;:!?]+|{BLANK}+|[\n.,;:!?]+")
 #: Longer runs are encoded each time they come.
 CACHED_LENGTH = 64
@@ -47,6 +50,15 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class _Rows(dict):
+    """Row numbers; a run that has none gets the next, and is listed as new."""
+
+    def __missing__(self, run: str) -> int:
+        row = self[run] = self.rows + len(self.new)
+        self.new.append(run)
+        return row
+
+
 class PieceCodec:
     """Ids of texts for a merge-type vocabulary file, equal to the library's.
 
@@ -67,6 +79,7 @@ class PieceCodec:
         if any(BORDER in p for p in self.scores):
             raise ValueError("a piece has the border character")
         self.reach = [len(self.pieces.get(i, " ")) - 1 for i in range(size)]  # characters after the first
+        self.less = np.array(self.reach)
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.by_words = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.pieces.values())
         # pieces that the merges never make (from their own characters) are no candidates
@@ -82,8 +95,8 @@ class PieceCodec:
         self.shorter = {i: next((self.found[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.found), None)
                         for p, i in self.found.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.runs: dict[str, tuple[int, int, bytes, bytes]] = {}  # first and last piece, ids
-        self.decimals = [f"{i} ".encode() for i in range(size)]
+        self.decimals = np.array([f"{i} ".encode() for i in range(size)])  # of equal width, filled with zero bytes
+        self._forget()
 
     def _history(self, piece: str) -> list[tuple[float, int, int]] | None:
         """The merges that make a piece from its characters, in order: score, and the
@@ -181,66 +194,121 @@ class PieceCodec:
                 piece = -1 - ord(text[at]) if cut is None and less[piece] else cut
         return laid
 
-    def _written(self, pieces: list[int]) -> tuple[bytes, bytes]:
-        """Ids as 32-bit numbers and as decimals with a blank after each; characters
-        that are no piece are written as bytes."""
-        if min(pieces) < 0:
-            out: list[int] = []
-            for p in pieces:
-                if p >= 0:
-                    out.append(p)
-                elif (known := self.library.piece_to_id(chr(-1 - p))) != self.library.unk_id():
-                    out.append(known)
-                else:
-                    out.extend(self.bytes[b] for b in chr(-1 - p).encode())
-            pieces = out
-        return array("i", pieces).tobytes(), b"".join([self.decimals[p] for p in pieces])
-
-    def split(self, text: str) -> list[str]:
-        """The normalised text cut before each run of blanks."""
-        norm = self.library.normalize(text)
-        if not self.by_words:
-            return [norm] if norm else []
-        if BLANK + BLANK in norm or norm.endswith(BLANK) or BORDER in norm:
-            return _WORD.findall(norm)
-        words = norm.replace(BLANK, BORDER + BLANK).split(BORDER)
-        return words if words[0] else words[1:]
-
-    def learn(self, words: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """For each word its ids as 32-bit numbers, and as decimals with a blank after each.
+    def _written(self, pieces: list[int]) -> list[int]:
+        """Ids of pieces; characters that are no piece are written as bytes."""
+        if min(pieces) >= 0:
+            return pieces
+        out: list[int] = []
+        for p in pieces:
+            if p >= 0:
+                out.append(p)
+            elif (known := self.library.piece_to_id(chr(-1 - p))) != self.library.unk_id():
+                out.append(known)
+            else:
+                out.extend(self.bytes[b] for b in chr(-1 - p).encode())
+        return out
 
-        A word is put together from its runs of letters and of marks, if the pieces at
-        each border are compatible; only runs not seen before are segmented.
-        """
-        runs, pairs = self.runs, self.pairs
-        parts = [_RUN.findall(w) for w in words]
-        new = list({r for own in parts for r in own if r not in runs})
-        plain = [r for r in new if BORDER not in r]
-        for r, pieces in zip(plain, self.segment(plain)):
-            runs[r] = (pieces[0], pieces[-1], *self._written(pieces))
-        for r in new if len(plain) < len(new) else ():
-            if BORDER in r:
-                pieces = self._alone(r)
-                runs[r] = (pieces[0], pieces[-1], *self._written(pieces))
-        numbers, decimals = [], []
-        for w, own in zip(words, parts):
-            first, last, number, decimal = runs[own[0]]
-            if len(own) > 1:
-                for r in own[1:]:
-                    begin, end, n, d = runs[r]
-                    fits = pairs.get((last, begin))
-                    if not (self.compatible(last, begin) if fits is None else fits):
-                        number, decimal = self._written(self._alone(w))
-                        break
-                    number, decimal, last = number + n, decimal + d, end
-            numbers.append(number)
-            decimals.append(decimal)
-        for r in new:
+    def _forget(self) -> None:
+        """Begin the runs' table anew. Row 0 is of no run and has no ids."""
+        self.runs, self.words = _Rows(), {}  # rows of runs, and of whole words
+        self.first, self.last, self.begin, self.size, self.blank = (array("i", [0]) for _ in range(5))
+        self.ids = array("i")
+
+    def _add(self, row: np.ndarray, ids: np.ndarray) -> None:
+        """Rows (first and last piece, where the ids begin, their number, whether a blank comes first), and ids."""
+        for column, values in zip((self.first, self.last, self.begin, self.size, self.blank, self.ids), (*row, ids)):
+            column.frombytes(values.astype(np.int32).tobytes())
+
+    def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``compatible`` for each pair of pieces; each distinct pair is looked up once."""
+        pairs, of = np.unique((left.astype(np.int64) << 32) + right + PIECE, return_inverse=True)
+        known, fits = self.pairs, []
+        for pair in zip((pairs >> 32).tolist(), ((pairs & 0xFFFFFFFF) - PIECE).tolist()):
+            fit = known.get(pair)
+            fits.append(self.compatible(*pair) if fit is None else fit)
+        return np.array(fits, bool)[of]
+
+    def _learn(self, new: list[str]) -> None:
+        """Rows for runs not seen before. The longest pieces from left to right are what
+        backtracking tries first; where all of a run's are compatible, they are its
+        pieces. The other runs are laid by backtracking."""
+        joined = BORDER.join([r if BORDER not in r else "" for r in new])
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        known, of = np.unique(chars, return_inverse=True)
+        laid = np.array([self.single.get(chr(x), -1 - x) for x in known.tolist()], np.int64)[of]
+        border = chars == ord(BORDER)
+        found = np.fromiter(chain.from_iterable(self.automaton.iter_long(joined)), np.int64).reshape(-1, 2)
+        ends, pieces = found[:, 0], found[:, 1]
+        starts = ends - self.less[pieces]
+        laid[starts] = pieces
+        inner = np.zeros(len(chars) + 1, np.int8)  # after a piece's first character
+        inner[starts + 1] += 1
+        inner[ends + 1] -= 1
+        shown = (np.cumsum(inner[:-1], dtype=np.int8) == 0) & ~border
+        laid, run = laid[shown], np.cumsum(border)[shown]
+        size = np.bincount(run, minlength=len(new))
+        whole = (size > 0)
+        whole[run[laid < 0]] = False
+        near = np.flatnonzero(run[1:] == run[:-1])
+        whole[run[near[~self._fits(laid[near], laid[near + 1])]]] = False
+        held = whole[run]
+        ids, size = laid[held], np.where(whole, size, 0)
+        begin = np.cumsum(size) - size
+        at = np.minimum(begin, max(len(ids) - 1, 0))
+        first, last = (ids[at], ids[np.maximum(at + size - 1, 0)]) if len(ids) else (size.copy(), size.copy())
+        rest = np.flatnonzero(~whole).tolist()
+        plain = [new[i] for i in rest if BORDER not in new[i]]
+        backtracked, more, total = iter(self.segment(plain)), [], len(ids)
+        for i in rest:
+            own = next(backtracked) if BORDER not in new[i] else self._alone(new[i])
+            first[i], last[i] = own[0], own[-1]
+            own = self._written(own)
+            begin[i], size[i] = total, len(own)
+            total += len(own)
+            more.extend(own)
+        blank = np.fromiter((r[0] == BLANK for r in new), bool, len(new))
+        self._add(np.array([first, last, begin + len(self.ids), size, blank]), np.concatenate([ids, np.array(more, np.int64)]))
+
+    def _rows(self, texts: list[list[str]]) -> np.ndarray:
+        """The table's row of each run of all texts, one text after the other."""
+        runs = self.runs
+        runs.new, runs.rows = [], len(self.size)
+        rows = np.fromiter(map(runs.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        if runs.new:
+            self._learn(runs.new)
+        for r in runs.new:
             if len(r) > CACHED_LENGTH:
                 del runs[r]
-        if len(runs) > CACHED:
-            self.runs = {}
-        return numbers, decimals
+        return rows
+
+    def _mend(self, rows: np.ndarray, texts: list[list[str]], bounds: np.ndarray) -> None:
+        """Where the pieces at a border inside a word aren't compatible, the word's first
+        run gets the row of the whole word, and its others get row 0."""
+        inside = np.ones(len(rows) + 1, bool)  # whether a run goes on with the word before it
+        inside[bounds] = False
+        if self.by_words:
+            inside[:-1] &= np.array(self.blank)[rows] == 0
+        border = np.flatnonzero(inside)
+        bad = border[~self._fits(np.array(self.last)[rows[border - 1]], np.array(self.first)[rows[border]])].tolist()
+        runs, done = list(chain.from_iterable(texts)) if bad else [], 0
+        for at in bad:
+            if at < done:
+                continue
+            begin, done = at - 1, at + 1
+            while inside[begin]:
+                begin -= 1
+            while inside[done]:
+                done += 1
+            word = "".join(runs[begin:done])
+            row = self.words.get(word)
+            if row is None:
+                pieces = self._alone(word)
+                ids, row = self._written(pieces), len(self.size)
+                self._add(np.array([[pieces[0]], [pieces[-1]], [len(self.ids)], [len(ids)], [word[0] == BLANK]]), np.array(ids))
+                if len(word) <= CACHED_LENGTH:
+                    self.words[word] = row
+            rows[begin:done] = 0
+            rows[begin] = row
 
     def _alone(self, word: str) -> list[int]:
         """The pieces of one word, whatever characters it has."""
@@ -250,16 +318,27 @@ class PieceCodec:
         return self._lay(word, longest, 0, len(word))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
-        """For each text all its ids, the end id last, and their decimals joined by a blank."""
-        words = [self.split(t) for t in texts]
-        distinct = list(dict.fromkeys(chain.from_iterable(words)))
-        numbers, decimals = self.learn(distinct)
-        number, decimal = dict(zip(distinct, numbers)).__getitem__, dict(zip(distinct, decimals)).__getitem__
+        """For each text all its ids, the end id last, and their decimals joined by a blank.
+
+        A word is put together from its runs of letters and of marks, if the pieces at
+        each border are compatible; only runs not seen before are segmented.
+        """
+        parts = [_RUN.findall(self.library.normalize(t)) for t in texts]
+        bounds = np.concatenate([[0], np.cumsum([len(own) for own in parts])]).astype(np.int64)
+        rows = self._rows(parts)
+        self._mend(rows, parts, bounds)
+        lengths = np.array(self.size, np.int64)[rows]
+        ends = np.cumsum(lengths)
+        # where each id lies in the table: its run's begin there, less the ids before the run, plus its own place
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(np.array(self.begin)[rows] - (ends - lengths), lengths)
+        ids = np.array(self.ids)[at]
+        if len(self.runs) + len(self.words) > CACHED or len(self.ids) > 16 * CACHED:
+            self._forget()
+        stops = np.concatenate([[0], ends])[bounds].tolist()
         last = self.library.eos_id()
-        for own in words:
-            ids = array("i", b"".join(map(number, own))).tolist()
-            ids.append(last)
-            yield ids, b"".join(map(decimal, own)).decode() + str(last)
+        for begin, stop in zip(stops, stops[1:]):
+            own = ids[begin:stop]
+            yield [*own.tolist(), last], self.decimals[own].tobytes().translate(None, b"\0").decode() + str(last)
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -290,7 +369,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         c = codec(model)
         for batch in batches:
             texts, names = batch.column("text"), batch.column("doc_id")
-            for first, last in batches_of(texts, 8 << 20):
+            for first, last in batches_of(texts, 2 << 20):
                 rows = [[], [], [], [], []]
                 for ids, decimals in c.encode([t or "" for t in texts.slice(first, last - first).to_pylist()]):
                     decoded = c.decode(ids)

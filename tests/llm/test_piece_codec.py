@@ -84,3 +84,17 @@ def test_empty_table(spark):
 def test_caches_are_emptied_without_change(codec, library, monkeypatch):
     monkeypatch.setattr(pc, "CACHED", 5)
     same(codec, library, [h.prose(random.Random(k), 50, 10**6) for k in range(20)])
+
+
+def test_only_runs_whose_longest_pieces_do_not_fit_are_backtracked(library, monkeypatch):
+    codec, laid = pc.PieceCodec(pc.default_path()), []
+    real = codec._lay
+    monkeypatch.setattr(codec, "_lay", lambda *a: laid.append(a[0][a[2]:a[3]]) or real(*a))
+    whole = [p[1:] for p in codec.found if p[0] == pc.BLANK and p[1:].isascii() and p[1:].isalpha()][:500]
+    same(codec, library, [" ".join(whole)] * 2)
+    assert not laid  # each word is one piece
+    same(codec, library, [h.prose(random.Random(k), 50, 10**6) for k in range(20)])
+    assert len(laid) < len(codec.runs)
+    before = len(laid)
+    same(codec, library, [h.prose(random.Random(k), 50, 10**6) for k in range(20)])
+    assert len(laid) == before  # runs and words met before are looked up
