@@ -1,7 +1,10 @@
 """Boosted trees for two classes: against MLlib's, in one task and by Spark jobs, and the
 query that searches them over the whole space."""
 
+import time
 import warnings
+from multiprocessing.pool import ThreadPool
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -13,6 +16,7 @@ from pondlake.operators import learn as L
 from pondlake.operators import logistic as G
 from pondlake.plans import queries_learn as Q
 from pondlake.schema import BOOSTED_SPACE, CV_SPLITS, SEARCH_TRIALS
+from pondlake.session import ship_package
 
 
 def _rows(spark, n=240, seed=5, values=24, classes=2, parts=1):
@@ -137,3 +141,11 @@ def test_every_trial_of_the_space_grows_its_rounds_and_cuts():
         trees = G._boost_here(x, y, np.arange(320), {"rounds": t["maxIter"], "depth": t["maxDepth"], "bins": 32, "step": t["stepSize"], "rate": t["subsamplingRate"],
                                                      "size": size, "least": 1, "info": 0.0, "gamma": t["gamma"], "seed": 42})
         assert 500 <= len(trees) == t["maxIter"] and sum(len(tree["left"]) > 1 for tree in trees) > 0
+
+
+def test_fits_side_by_side_ship_the_package_once():
+    sent = []
+    sc = SimpleNamespace(applicationId="side-by-side", addPyFile=lambda p: (time.sleep(0.1), sent.append(p)))
+    with ThreadPool(6) as pool:
+        pool.map(lambda _: ship_package(SimpleNamespace(sparkContext=sc)), range(6))
+    assert len(sent) == 1
